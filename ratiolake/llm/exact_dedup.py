@@ -24,6 +24,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside on disk
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -32,13 +33,18 @@ def sha_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row, the place of each row's content. What isn't read from files is written first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+def in_files(docs: DataFrame) -> DataFrame:
+    """docs as read from files, so that each row has a place; what isn't read from files is written first."""
     try:
-        return docs.select("*", *place)
+        docs.select("_metadata.row_index")
+        return docs
     except AnalysisException:
-        return written(docs, "arrived").select("*", *place)
+        return written(docs, "arrived")
+
+
+def with_locator(docs: DataFrame) -> DataFrame:
+    """docs with _file and _row, the place of each row's content."""
+    return in_files(docs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def keyed_state(spark: SparkSession, arrivals: str, state: str, partitions: int | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -77,39 +83,59 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_diges
     """
     spark = docs.sparkSession
     rows = with_locator(docs.select("doc_id", "text"))
-    rows = rows.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"), "_file", "_row").withColumn("digest", digest(F.col("norm")))
+    rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"), "_file", "_row").withColumn("digest", digest(F.col("norm")))
     arrivals = scratch(spark, "arrivals")
-    # doc_id of null goes into the state as the smallest number; it comes back as null through the locator's row
-    rows.select("digest", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("_file").alias("file"), F.col("_row").alias("row")).write.parquet(arrivals)
+    rows.select("digest", "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"), F.unhex(F.sha2("norm", 256)).alias("sha")).write.parquet(arrivals)
     state = keyed_state(spark, arrivals, scratch(spark, "state"))
-    state = state.select(F.col("key.digest").alias("s_digest"), F.col("value.*"))
-    names = state.columns  # digest, then the aggregate's buffers in order: doc_id, place, order, n
-    state = state.toDF("digest", "keep_id", "place", "place_order", "n") if len(names) == 5 else state
-    state = state.select("digest", "keep_id", F.col("place.file").alias("k_file"), F.col("place.row").alias("k_row"), F.col("n").alias("group_size"))
-
-    seen = rows.join(state, "digest").withColumn("kept", (F.col("_file") == F.col("k_file")) & (F.col("_row") == F.col("k_row")))
-    seen = seen.withColumn("text_sha256", F.sha2("norm", 256))
-    narrow = seen.drop("norm", "k_file", "k_row")
-    # full bytes on hits: groups of one have nothing to be compared with
-    hits = seen.filter("group_size > 1")
+    state = state.select("key.digest", "value.*").toDF("digest", "keep_id", "place", "place_order", "group_size").select("digest", "keep_id", "place", "group_size")
+    state = written(state, "groups")
+
+    arrived = spark.read.parquet(arrivals).select("digest", "doc_id", F.col("file").alias("_file"), F.col("row").alias("_row"), F.lower(F.hex("sha")).alias("text_sha256"))
+    kept = (F.col("_file") == F.col("place.file")) & (F.col("_row") == F.col("place.row"))
+    groups = arrived.join(state, "digest").withColumn("kept", kept)
+    # full bytes on hits; groups of one have nothing to be compared with
+    several = state.filter("group_size > 1").select("digest", "place")
+    hits = written(maybe_among(rows, several).join(several, "digest").withColumn("kept", kept).select("digest", "kept", "norm"), "hits")
     stored = hits.filter("kept").select("digest", F.col("norm").alias("stored"))
-    differ = hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest").distinct()
-    differ = written(differ, "collisions")
-    if differ.isEmpty():
-        return narrow.select("doc_id", _null_back("keep_id"), "group_size", "kept", "text_sha256", "_file", "_row")
-    apart = rows.join(differ, "digest")
-    by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "_file", "_row")).alias("k"))
-    apart = apart.join(by_text, "norm").select("doc_id", F.col("k.doc_id").alias("keep_id"), "group_size", ((F.col("_file") == F.col("k._file")) & (F.col("_row") == F.col("k._row"))).alias("kept"), F.sha2("norm", 256).alias("text_sha256"), "_file", "_row")
-    whole = narrow.join(differ, "digest", "left_anti").select(*apart.columns).unionByName(apart)
-    return whole.withColumn("keep_id", _null_back("keep_id"))
+    differ = written(hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest").distinct(), "collisions")
+    if not differ.isEmpty():
+        apart = maybe_among(rows, differ).join(differ, "digest")
+        by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"))).alias("place"))
+        apart = apart.join(by_text, "norm").withColumns({"keep_id": F.col("place.doc_id"), "kept": kept, "text_sha256": F.sha2("norm", 256)})
+        whole = groups.join(differ, "digest", "left_anti")
+        groups = whole.select(*_OUT).unionByName(apart.select(*_OUT))
+    return groups.select(_null_back("doc_id"), _null_back("keep_id"), *_OUT[2:])
+
+
+#: Stands for a null doc_id, which is smaller than any other.
+_NO_ID = -(1 << 63)
+_OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "_file", "_row"]
+#: Bits of the largest filter that maybe_among broadcasts: 256 MB.
+MAX_BITS = 1 << 31
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose digest may be among those of keys: all that are, and a few others.
+
+    A bitmap of hashed digests, 16 bits for each of keys but never over MAX_BITS, goes to the rows, so
+    that most of the others stay out of the join that follows and their texts are not moved.
+    """
+    bits = max(1 << 15, min(MAX_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    bitmap = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    near = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")
+    return near.filter(byte.bitwiseAND(bit) != 0).drop("_at", "_bucket", "_bits")
 
 
 def _null_back(name: str) -> Column:
-    return F.when(F.col(name) != -(1 << 63), F.col(name)).alias(name)
+    return F.when(F.col(name) != _NO_ID, F.col(name)).alias(name)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that exact_groups does not keep."""
+    docs = in_files(docs)
     placed = with_locator(docs)
     stay = exact_groups(docs).filter("kept").select("_file", "_row")
     return placed.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")

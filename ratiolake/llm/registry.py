@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup
+from . import chat_format, exact_dedup, line_dedup, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_chat_formatting": chat_format.OP9_SQL,
