@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, substring_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, line_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
 }
 
