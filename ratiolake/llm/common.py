@@ -80,3 +80,22 @@ def ascii_lower(text: Column) -> Column:
 def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of docs never clash with working ones."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Bits of the largest filter that maybe_among broadcasts: 256 MB.
+MAX_BITS = 1 << 31
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose value of the column `key` may be among those of keys: all that are, and a few others.
+
+    A bitmap of hashed values, 16 bits for each of keys but never over MAX_BITS, goes to the rows, so
+    that most of the others stay out of the join that follows and their texts are not moved.
+    """
+    bits = max(1 << 15, min(MAX_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    bitmap = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    near = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")
+    return near.filter(byte.bitwiseAND(bit) != 0).drop("_at", "_bucket", "_bits")

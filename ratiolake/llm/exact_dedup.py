@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, written
+from .common import ascii_lower, maybe_among, scratch, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How the state is kept: on disk, with a bound on memory over all of an executor's partitions.
@@ -95,11 +95,11 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_diges
     groups = arrived.join(state, "digest").withColumn("kept", kept)
     # full bytes on hits; groups of one have nothing to be compared with
     several = state.filter("group_size > 1").select("digest", "place")
-    hits = written(maybe_among(rows, several).join(several, "digest").withColumn("kept", kept).select("digest", "kept", "norm"), "hits")
+    hits = written(maybe_among(rows, several, "digest").join(several, "digest").withColumn("kept", kept).select("digest", "kept", "norm"), "hits")
     stored = hits.filter("kept").select("digest", F.col("norm").alias("stored"))
     differ = written(hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest").distinct(), "collisions")
     if not differ.isEmpty():
-        apart = maybe_among(rows, differ).join(differ, "digest")
+        apart = maybe_among(rows, differ, "digest").join(differ, "digest")
         by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"))).alias("place"))
         apart = apart.join(by_text, "norm").withColumns({"keep_id": F.col("place.doc_id"), "kept": kept, "text_sha256": F.sha2("norm", 256)})
         whole = groups.join(differ, "digest", "left_anti")
@@ -110,24 +110,6 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_diges
 #: Stands for a null doc_id, which is smaller than any other.
 _NO_ID = -(1 << 63)
 _OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "_file", "_row"]
-#: Bits of the largest filter that maybe_among broadcasts: 256 MB.
-MAX_BITS = 1 << 31
-
-
-def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows whose digest may be among those of keys: all that are, and a few others.
-
-    A bitmap of hashed digests, 16 bits for each of keys but never over MAX_BITS, goes to the rows, so
-    that most of the others stay out of the join that follows and their texts are not moved.
-    """
-    bits = max(1 << 15, min(MAX_BITS, 1 << (16 * keys.count()).bit_length()))
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
-    bitmap = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
-    near = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")
-    return near.filter(byte.bitwiseAND(bit) != 0).drop("_at", "_bucket", "_bits")
-
 
 def _null_back(name: str) -> Column:
     return F.when(F.col(name) != _NO_ID, F.col(name)).alias(name)

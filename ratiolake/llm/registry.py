@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, exact_dedup, line_dedup, substring_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_chat_formatting": chat_format.OP9_SQL,
 }
