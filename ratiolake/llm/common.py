@@ -77,25 +77,50 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that further columns of docs never clash with working ones."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
-
-
 #: Bits of the largest filter that maybe_among broadcasts: 256 MB.
 MAX_BITS = 1 << 31
 
 
+def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """docs less the rows whose columns `on` (null equals null) are among those of gone; all columns stay.
+
+    Only rows that a bitmap of gone's keys can't clear are moved and joined.
+    """
+    names, spark = docs.columns, docs.sparkSession
+    key = F.xxhash64(*on)
+    gone = written(gone.select(*on).distinct().withColumn("_k", key), "gone")
+    bitmap, bits = _bitmap(gone, "_k")
+    flagged = docs.withColumn("_k", key).withColumn("_at", _place("_k", bits)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    flagged = flagged.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_near", F.coalesce(_bit_set(), F.lit(False)))
+    clear = flagged.filter("not _near").select(*names)
+    g = gone.select("_k", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)])
+    same = flagged["_k"] == g["_k"]
+    for i, c in enumerate(on):
+        same = same & flagged[c].eqNullSafe(g[f"_g{i}"])
+    return clear.unionByName(flagged.filter("_near").join(g, same, "left_anti").select(*names))
+
+
+def _place(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+
+
+def _bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    bits = max(1 << 15, min(MAX_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = keys.select(_place(key, bits).alias("at"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits")), bits
+
+
+def _bit_set() -> Column:
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")) != 0
+
+
 def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows whose value of the column `key` may be among those of keys: all that are, and a few others.
 
     A bitmap of hashed values, 16 bits for each of keys but never over MAX_BITS, goes to the rows, so
     that most of the others stay out of the join that follows and their texts are not moved.
     """
-    bits = max(1 << 15, min(MAX_BITS, 1 << (16 * keys.count()).bit_length()))
-    at = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-    bitmap = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
-    near = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")
-    return near.filter(byte.bitwiseAND(bit) != 0).drop("_at", "_bucket", "_bits")
+    bitmap, bits = _bitmap(keys, key)
+    near = rows.withColumn("_at", _place(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
+    return near.filter(_bit_set()).drop("_at", "_bucket", "_bits")

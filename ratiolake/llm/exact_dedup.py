@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, maybe_among, scratch, written
+from .common import ascii_lower, maybe_among, scratch, without, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How the state is kept: on disk, with a bound on memory over all of an executor's partitions.
@@ -97,7 +97,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_diges
     several = state.filter("group_size > 1").select("digest", "place")
     hits = written(maybe_among(rows, several, "digest").join(several, "digest").withColumn("kept", kept).select("digest", "kept", "norm"), "hits")
     stored = hits.filter("kept").select("digest", F.col("norm").alias("stored"))
-    differ = written(hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest").distinct(), "collisions")
+    differ = written(hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest"), "collisions").distinct()
     if not differ.isEmpty():
         apart = maybe_among(rows, differ, "digest").join(differ, "digest")
         by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"))).alias("place"))
@@ -118,9 +118,8 @@ def _null_back(name: str) -> Column:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that exact_groups does not keep."""
     docs = in_files(docs)
-    placed = with_locator(docs)
-    stay = exact_groups(docs).filter("kept").select("_file", "_row")
-    return placed.join(stay, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    gone = exact_groups(docs).filter("not kept").select("_file", "_row")
+    return without(with_locator(docs), gone, ["_file", "_row"]).drop("_file", "_row")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

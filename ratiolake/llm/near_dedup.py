@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_128_digest
 
-from .common import map_rows, maybe_among, raw_texts, written
+from .common import map_rows, maybe_among, raw_texts, without, written
 from .graph import components
 from .sketch import mix
 from .words import Words, blocks
@@ -104,6 +104,11 @@ def near_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     return out.select(back("d").alias("doc_id"), "n_shingles", back("comp").alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs, all columns, less the rows that near_groups does not keep."""
+    return without(docs, near_groups(docs, k).filter("not kept").select("doc_id"), ["doc_id"])
+
+
 def loose_ties(nodes: DataFrame) -> DataFrame:
     """Ties (a, b) of nodes (id, minima) that share table keys and have LOOSE minima in common."""
 

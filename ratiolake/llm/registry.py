@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, substring_dedup
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
+    "op10_language_id": language_id.op10_language_id,
+    "op10_language_id_pages": language_id.op10_language_id_pages,
 }
 
 ORACLE_SQL = {
