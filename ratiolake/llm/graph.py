@@ -11,17 +11,22 @@ from .common import written
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for each id of edges (a, b), comp the smallest id it can reach.
 
-    Labels spread over the edges and then jump to their own label's label, until nothing changes; each
-    round is written to the shared folder. Loops and repeated edges do no harm.
+    In each round every id joins its smallest neighbour, and that one's; then the graph is contracted to
+    what lies between different joined ids, until no edge is left. Rounds grow with the logarithm of the
+    longest path, and only the first sees all edges. Each round is written to the shared folder. Loops and
+    repeated edges do no harm.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).select("id", F.least("id", "comp").alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels["id"] == near["a"]).select("id", "comp", F.least("comp", "near").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("next"))
-        new = written(spread.join(jump, "to").select("id", F.col("comp").alias("old"), F.least("to", "next").alias("comp")), "labels")
-        changed = new.filter("comp <> old").limit(1).count()
-        labels = new.select("id", "comp")
-        if not changed:
-            return labels
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    ends = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    labels = written(ends.withColumn("comp", F.col("id")), "labels")
+    left = left.filter("a <> b")
+    while not left.isEmpty():
+        lower = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("to"))
+        again = lower.toDF("to", "next")
+        joins = written(lower.join(again, "to", "left").select("v", F.coalesce("next", "to").alias("to")), "joins")
+        labels = written(labels.join(joins, labels["comp"] == joins["v"], "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+        for end in ("a", "b"):
+            left = left.join(joins.toDF(end, "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left = left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = written(left.distinct(), "edges")
+    return labels

@@ -55,7 +55,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"))
     lines = written(line_hashes(docs, min_chars), "lines")
     shared = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("d").alias("last")).filter(F.col("n") >= min_docs)
-    drop = lines.join(shared.select("key", "last"), "key").filter("d <> last").groupBy("d").agg(F.collect_set("key").alias("keys"))
+    # written, so that both sides of the join are dealt out anew and the lines of a common key can be split
+    shared = written(shared.select("key", "last"), "shared")
+    drop = lines.join(shared, "key").filter("d <> last").groupBy("d").agg(F.collect_set("key").alias("keys"))
     return map_rows(docs.join(drop.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "keys"), lambda: lambda b: _reassemble(b, min_chars), "doc_id bigint, kept_text string, n_lines bigint, n_dropped bigint")
 
 

@@ -177,15 +177,16 @@ def _settled_large(texts: DataFrame, k: int) -> DataFrame:
 
     diffs = written(map_rows(sets.join(centre, "family", "left").select("family", "d", "shingles", "centre"), lambda: differences, "family bigint, d bigint, s bigint, diff array<bigint>"), "differences")
     middle = diffs.groupBy("family").agg(F.min(F.struct("s", "d")).alias("m")).select("family", F.col("m.s").alias("m_s"), F.col("m.d").alias("m_d"))
-    placed = diffs.join(middle, "family").withColumn("apart", F.col("s") + F.col("m_s") > 0)
+    # written, so that what follows is dealt out anew and no task has a whole family
+    placed = written(diffs.join(middle, "family").withColumn("apart", F.col("s") + F.col("m_s") > 0), "placed")
     star = placed.filter("not apart and d <> m_d").select(F.col("m_d").alias("a"), F.col("d").alias("b"))
     # pairs of which one at least is not tied to the middle
     nearest = placed.filter("apart").groupBy("family").agg(F.min("s").alias("least_s"))
-    placed = placed.join(nearest, "family").withColumn("q", F.size("diff"))
-    each = placed.select("family", "d", "s", "q", "apart", "least_s", F.explode("diff").alias("e"))
+    placed = written(placed.join(nearest, "family"), "placed")
+    each = placed.select("family", "d", "s", "apart", "least_s", F.explode("diff").alias("e"))
     often = each.groupBy("family", "e").agg(F.count("*").alias("n"), F.max("apart").alias("wanted"))
     each = each.join(often.filter("n > 1 and wanted").select("family", "e", "n"), ["family", "e"])
-    # what no other row has comes first in the order by rarity; `alone` is how much of it there is
+    # elements in order of rarity: a pair that has t in common has one at which each side has t left
     by_rarity = Window.partitionBy("family", "d").orderBy("n", "e")
     shared = F.count("*").over(Window.partitionBy("family", "d"))
     each = each.withColumn("left", shared - F.row_number().over(by_rarity) + 1)
