@@ -10,7 +10,7 @@ of the domain towards the whole. Each row's own count is taken out of its host's
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,14 @@ from .common import map_rows, raw_texts, without, written
 
 BUCKETS = 1 << 15
 #: Expected labelled rows for each language that the fit uses; languages with fewer labelled rows than LEAST are left out.
-SAMPLE, LEAST = 2000, 20
+SAMPLE, LEAST = 2000, 3
 #: A text counts as at most so many independent trigrams.
 WEIGHT = 50.0
 #: Rows of its parent that a host or domain is smoothed with.
 SMOOTH = 10.0
-#: The least posterior of a language that is accepted.
-ACCEPT = 0.5
+#: The least posterior of a language that is accepted, and how far a text's mean log-probability may lie from that
+#: of the language's own sample (0) towards that of trigrams never seen in it (1).
+ACCEPT, STRANGE = 0.5, 0.75
 _SPREAD = np.uint32(2654435761)
 
 
@@ -44,6 +45,9 @@ class Model:
     languages: list[str]
     #: Log-probability of each bucket in each language: BUCKETS x languages.
     logp: np.ndarray
+    #: Mean log-probability of a language's own sample, and of trigrams never seen in it.
+    usual: list[float] = field(default_factory=list)
+    unseen: list[float] = field(default_factory=list)
 
     def score(self, raw: bytes) -> tuple[int, np.ndarray]:
         """Trigrams of a text, and their mean log-probability in each language."""
@@ -76,7 +80,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
     found = chosen.mapInArrow(count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((BUCKETS, len(languages)))
     n[found["bucket"].to_numpy(), found["k"].to_numpy()] = found["n"].to_numpy()
-    return Model(languages, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32))
+    total = n.sum(axis=0)
+    logp = np.log((n + 0.5) / (total + 0.5 * BUCKETS))
+    return Model(languages, logp.astype(np.float32), ((n * logp).sum(axis=0) / np.maximum(total, 1)).tolist(), np.log(0.5 / (total + 0.5 * BUCKETS)).tolist())
 
 
 def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -84,7 +90,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
 
     keys are further columns to carry. One row per row: keys, language, posterior, text_language,
     n_trigrams, accepted. A row is accepted if its best language has a posterior of ACCEPT or more and its
-    text is likelier in that language than with all trigrams alike. Null and empty texts, and all rows if
+    text does not look STRANGE for it. Null and empty texts, and all rows if
     the model has no languages, have no language and are not accepted. Ties go to the language first in
     the alphabet. Null or unknown evidence weighs nothing; rows without host share the domain's prior, and
     without domain that of all rows.
@@ -148,7 +154,8 @@ def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     x = x.withColumn("at", F.array_position("total", F.col("top")).cast("int")).withColumn("posterior", 1 / F.aggregate("total", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
     names = F.array(*map(F.lit, model.languages))
     sure = F.col("best").isNotNull()
-    fits = F.element_at("mean", F.col("at")) > float(-np.log(BUCKETS))
+    usual, unseen = (F.element_at(F.array(*map(F.lit, v)), F.col("at")) for v in (model.usual, model.unseen))
+    fits = usual - F.element_at("mean", F.col("at")) < STRANGE * (usual - unseen)
     return x.select(
         *keys,
         F.when(sure, F.element_at(names, F.col("at"))).alias("language"),
