@@ -86,7 +86,7 @@ def page_ranges(text: Column, most: Column) -> Column:
 
     def pair(p: Column) -> Column:
         a = clamp(number(p, 1))
-        b = F.coalesce(clamp(F.when(F.regexp_extract(p, r"-\s*(\d+)", 1) != "", number(p, 2))), a)
+        b = F.when(F.contains(p, F.lit("-")), clamp(number(p, 2))).otherwise(a)
         return F.struct(F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
 
     ordered = F.array_sort(F.transform(parts, pair))
