@@ -23,8 +23,8 @@ ITEMS_AT_ONCE = 64_000_000
 
 
 def normal(raw: bytes) -> str:
-    """A-Z in lower case, each run of white space (U+0020, U+0009 to U+000D) one space, none at the ends."""
-    return b" ".join(raw.lower().split()).decode()
+    """Lower case (of all scripts), each run of white space (U+0020, U+0009 to U+000D) one space, none at the ends."""
+    return b" ".join(raw.split()).decode().lower()
 
 
 def passages(item: str, size: int = PASSAGE) -> list[str]:
@@ -122,7 +122,7 @@ def item_blocks(items: DataFrame, shortest: int = SHORTEST, at_once: int = ITEMS
 def find_items(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, per_edit: int = PER_EDIT, shortest: int = SHORTEST, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """Which test items (item_id, text) each of docs (doc_id, text; more columns are ignored) holds.
 
-    Both are compared in lower case (A-Z) with single spaces. An item counts as held if some passage of it
+    Both are compared in lower case with single spaces. An item counts as held if some passage of it
     occurs within len(passage) // per_edit - 1 edits (insertions, deletions, changes of a code point).
     Items of fewer than `shortest` code points, null and empty ones included, are not looked for; a null
     item_id is told as -1, and items that repeat an id are one item. Null and empty texts hold nothing.

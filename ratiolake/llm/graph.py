@@ -21,12 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(ends.withColumn("comp", F.col("id")), "labels")
     left = left.filter("a <> b")
     while not left.isEmpty():
-        lower = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("to"))
+        # each step is written before the next, so that the rows of a hub are dealt out anew and can be split
+        lower = written(left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("to")), "lower")
         again = lower.toDF("to", "next")
         joins = written(lower.join(again, "to", "left").select("v", F.coalesce("next", "to").alias("to")), "joins")
         labels = written(labels.join(joins, labels["comp"] == joins["v"], "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
         for end in ("a", "b"):
             left = left.join(joins.toDF(end, "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = written(left.distinct(), "edges")
+        left = written(written(left, "between").distinct(), "edges")
     return labels
