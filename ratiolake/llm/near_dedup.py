@@ -34,6 +34,8 @@ MINIMA = 2 * GROUPS * PER
 LOOSE = 13
 #: Rows of a family that one task compares.
 SMALL = 32
+#: Rows of a larger family that meet what stands for the family in one task.
+SHARE = 64
 _NO_ID = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
@@ -157,6 +159,14 @@ def settled(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
     return small.unionByName(_settled_large(texts.filter(F.col("size") > SMALL), k))
 
 
+def _with_family(rows: DataFrame, families: DataFrame, how: str) -> DataFrame:
+    """rows (family, size, d) with the columns of families (family, size), a family's rows spread over tasks."""
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("d"), shares).cast("int"))
+    copies = families.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("size")
+    return rows.join(copies, ["family", "share"], how).drop("share")
+
+
 def _settled_large(texts: DataFrame, k: int) -> DataFrame:
     def as_sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [x.view(np.int64) for x in shingle_sets(list(raw_texts(batch["text"])), k)]
@@ -164,7 +174,7 @@ def _settled_large(texts: DataFrame, k: int) -> DataFrame:
 
     sets = written(map_rows(texts.select("family", "size", "d", "text"), lambda: as_sets, "family bigint, size bigint, d bigint, shingles array<bigint>"), "large")
     most = sets.select("family", "size", F.explode("shingles").alias("e")).groupBy("family", "size", "e").agg(F.count("*").alias("n")).filter("2 * n > size")
-    centre = most.groupBy("family").agg(F.collect_list("e").alias("centre"))
+    centre = most.groupBy("family", "size").agg(F.collect_list("e").alias("centre"))
 
     def differences(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out, s = [], []
@@ -173,16 +183,16 @@ def _settled_large(texts: DataFrame, k: int) -> DataFrame:
             d = np.setxor1d(x, c.values.to_numpy(), assume_unique=True) if c.is_valid else x
             out.append(d)
             s.append(9 * len(d) - len(x))
-        yield pa.record_batch([batch["family"], batch["d"], pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["family", "d", "s", "diff"])
+        yield pa.record_batch([batch["family"], batch["size"], batch["d"], pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["family", "size", "d", "s", "diff"])
 
-    diffs = written(map_rows(sets.join(centre, "family", "left").select("family", "d", "shingles", "centre"), lambda: differences, "family bigint, d bigint, s bigint, diff array<bigint>"), "differences")
-    middle = diffs.groupBy("family").agg(F.min(F.struct("s", "d")).alias("m")).select("family", F.col("m.s").alias("m_s"), F.col("m.d").alias("m_d"))
+    diffs = written(map_rows(_with_family(sets, centre, "left").select("family", "size", "d", "shingles", "centre"), lambda: differences, "family bigint, size bigint, d bigint, s bigint, diff array<bigint>"), "differences")
+    middle = diffs.groupBy("family", "size").agg(F.min(F.struct("s", "d")).alias("m")).select("family", "size", F.col("m.s").alias("m_s"), F.col("m.d").alias("m_d"))
     # written, so that what follows is dealt out anew and no task has a whole family
-    placed = written(diffs.join(middle, "family").withColumn("apart", F.col("s") + F.col("m_s") > 0), "placed")
+    placed = written(_with_family(diffs, middle, "inner").withColumn("apart", F.col("s") + F.col("m_s") > 0), "placed")
     star = placed.filter("not apart and d <> m_d").select(F.col("m_d").alias("a"), F.col("d").alias("b"))
     # pairs of which one at least is not tied to the middle
-    nearest = placed.filter("apart").groupBy("family").agg(F.min("s").alias("least_s"))
-    placed = written(placed.join(nearest, "family"), "placed")
+    nearest = placed.filter("apart").groupBy("family", "size").agg(F.min("s").alias("least_s"))
+    placed = written(_with_family(placed, nearest, "inner"), "placed")
     each = placed.select("family", "d", "s", "apart", "least_s", F.explode("diff").alias("e"))
     often = each.groupBy("family", "e").agg(F.count("*").alias("n"), F.max("apart").alias("wanted"))
     each = each.join(often.filter("n > 1 and wanted").select("family", "e", "n"), ["family", "e"])
