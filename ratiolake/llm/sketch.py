@@ -12,13 +12,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, written
 
 ROWS = 2
 #: Cells are dealt out in blocks of this many.
 BLOCK = 1 << 16
-MIN_CELLS, MAX_CELLS = 1 << 17, 1 << 31
+MIN_CELLS, MAX_CELLS = 1 << 17, 1 << 30
+#: Bytes of bits that the driver fetches at a time.
+FETCH = 1 << 26
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Items held before they are sketched.
 _HOLD = 1 << 20
@@ -32,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def cells_for(items: int) -> int:
-    """Cells of a row for so many items: 8 each, between MIN_CELLS and MAX_CELLS (2 rows of 256 MB of bits)."""
+    """Cells of a row for so many items: 8 each, between MIN_CELLS and MAX_CELLS (2 rows of 128 MB of bits)."""
     return max(MIN_CELLS, min(MAX_CELLS, 1 << max(0, 8 * items - 1).bit_length()))
 
 
@@ -76,11 +79,13 @@ def repeated_items(df: DataFrame, items: Callable[[pa.RecordBatch], Iterator[np.
 
     spark = df.sparkSession
     parts = df.mapInArrow(partial, "row int, block int, once binary, more binary")
-    blocks = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "block").mapInArrow(_merged, "row int, block int, bits binary")
+    blocks = written(parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "block").mapInArrow(_merged, "row int, block int, bits binary"), "sketch")
     bits = [np.zeros(cells // 8, np.uint8) for _ in range(ROWS)]
-    for x in blocks.toArrow().to_batches():
-        for row, block, b in zip(*(x[i].to_pylist() for i in range(3)), strict=True):
-            bits[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(b, np.uint8)
+    step = FETCH // (ROWS * BLOCK // 8)
+    for first in range(0, cells // BLOCK, step):
+        for x in blocks.filter(F.col("block").between(first, first + step - 1)).toArrow().to_batches():
+            for row, block, b in zip(*(x[i].to_pylist() for i in range(3)), strict=True):
+                bits[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(b, np.uint8)
     return spark.sparkContext.broadcast(Repeated(cells, bits))
 
 
