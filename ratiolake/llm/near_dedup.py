@@ -2,8 +2,10 @@
 
 Two collections of GROUPS small hashes each (a hash is PER minima) give GROUPS * GROUPS table keys, one for
 each pair of a hash of the first and one of the second: 32 minima serve 64 tables of four minima each, which
-would take 256. Sets that are equal are one node from the start. In each table the rows of a key are tied
-to the key's smallest row; ties that hold in two tables and agree with the minima form loose families.
+would take 256. Sets that are equal are one node from the start, and nodes of equal minima are tied. In each
+table the rows of a key are tried with the key's smallest row; ties that agree with the minima form loose
+families. Then every two rows of a key that are of different families are tried, as they are where all but a
+few rows are of one family; other keys are split by one more hash, as rows that share two tables share three.
 
 Links are then settled exactly on the full sets inside each family. Small families compare all their sets
 in one task of bounded size. In a large one every set x is written as its difference D(x) from the sets'
@@ -15,6 +17,7 @@ so one tie to it is enough; other pairs must share elements of their differences
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ GROUPS, PER = 8, 2
 MINIMA = 2 * GROUPS * PER
 #: Of MINIMA, so many are equal in rows of a loose family.
 LOOSE = 13
+#: Rows of a key outside its largest family, up to which all are tried with all rows of the key.
+STRAYS = 32
+#: Hashes that a split key has at most; all pairs of different families are tried there, however many.
+DEEPEST = 3
 #: Rows of a family that one task compares.
 SMALL = 32
 #: Rows of a larger family that meet what stands for the family in one task.
@@ -65,12 +72,29 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def table_keys(signatures: np.ndarray) -> np.ndarray:
-    """GROUPS * GROUPS keys of each row of MINIMA minima."""
-    s = signatures.astype(np.uint64)
-    group = mix((s[:, ::2] << np.uint64(32) | s[:, 1::2]) + np.uint64(1))
+    """GROUPS * GROUPS keys of each row of MINIMA minima; the low bits of a key are its table."""
+    group = group_hashes(signatures)
     one, two = group[:, :GROUPS], group[:, GROUPS:]
     table = np.arange(GROUPS * GROUPS, dtype=np.uint64).reshape(GROUPS, GROUPS)
-    return mix(one[:, :, None] * np.uint64(3) + mix(two[:, None, :] + table)).reshape(len(s), -1)
+    keys = mix(one[:, :, None] * np.uint64(3) + mix(two[:, None, :] + table))
+    return (keys - keys % np.uint64(GROUPS * GROUPS) + table).reshape(len(signatures), -1)
+
+
+def group_hashes(signatures: np.ndarray) -> np.ndarray:
+    """The 2 * GROUPS hashes of each row of MINIMA minima."""
+    s = signatures.astype(np.uint64)
+    return mix((s[:, ::2] << np.uint64(32) | s[:, 1::2]) + np.uint64(1))
+
+
+def split_keys(group: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, mask, key): for each row of hashes and the mask of those in its key, all keys of one hash more."""
+    bit = np.uint32(1) << np.arange(2 * GROUPS, dtype=np.uint32)
+    held = (masks[:, None] & bit) != 0
+    hashed = mix(group + np.arange(1, 2 * GROUPS + 1, dtype=np.uint64))
+    total = np.where(held, hashed, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    row, g = np.nonzero(~held)
+    mask = masks[row] | bit[g]
+    return row, mask, mix(total[row] + hashed[row, g] + mix(mask.astype(np.uint64)))
 
 
 def near_groups(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -96,7 +120,7 @@ def near_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     base = written(map_rows(docs, lambda: described, "d bigint, n bigint, same binary, minima binary"), "sets")
     nodes = written(base.filter("n > 0").groupBy("same").agg(F.min("d").alias("id"), F.first("minima").alias("minima")), "nodes")
 
-    families = components(loose_ties(nodes))
+    families = loose_families(nodes)
     links = settled(docs, families, k)
     groups = components(links)
 
@@ -111,26 +135,79 @@ def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     return without(docs, near_groups(docs, k).filter("not kept").select("doc_id"), ["doc_id"])
 
 
-def loose_ties(nodes: DataFrame) -> DataFrame:
-    """Ties (a, b) of nodes (id, minima) that share table keys and have LOOSE minima in common."""
+def loose_families(nodes: DataFrame) -> DataFrame:
+    """Families (id, comp) of nodes (id, minima): what share table keys and have LOOSE minima in common, and what these join.
+
+    Of two rows that share a key either both are in one family at the end, or they were tried with each other.
+    A key of more than STRAYS rows outside its largest family is replaced by all keys of one hash more.
+    """
+    alike = nodes.groupBy("minima").agg(F.min("id").alias("own"))
+    ties = [nodes.join(alike, "minima").filter("id <> own").select(F.col("own").alias("a"), F.col("id").alias("b"))]
+    sig = written(alike.select(F.col("own").alias("id"), "minima"), "minima")
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sig = np.frombuffer(b"".join(batch["minima"].to_pylist()), np.uint32).reshape(-1, MINIMA)
+        minima_of = _signatures(batch["minima"])
         ids = np.repeat(batch["id"].to_numpy(), GROUPS * GROUPS)
-        yield pa.record_batch([pa.array(table_keys(sig).ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
-
-    keys = map_rows(nodes.select("id", "minima"), lambda: keyed, "key bigint, id bigint")
-    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
-    pairs = keys.join(first, "key").filter("id <> first").groupBy("id", "first").agg(F.count("*").alias("tables")).filter("tables >= 2")
-    sig = nodes.select("id", "minima")
-    both = pairs.join(sig, "id").join(sig.toDF("first", "first_minima"), "first").select("id", "first", "minima", "first_minima")
-
-    def agreeing(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("minima", "first_minima"))
-        ok = pa.array((x == y).sum(axis=1) >= LOOSE)
-        yield pa.record_batch([batch["first"], batch["id"]], names=["a", "b"]).filter(ok)
-
-    return map_rows(both, lambda: agreeing, "a bigint, b bigint")
+        yield pa.record_batch([pa.array(table_keys(minima_of).ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+    def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, mask, key = split_keys(group_hashes(_signatures(batch["minima"])), batch["mask"].to_numpy().astype(np.uint32))
+        yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(mask.astype(np.int32)), pa.array(batch["id"].to_numpy()[row])], names=["key", "mask", "id"])
+
+    mask = F.expr(f"shiftleft(1, cast(pmod(key, {GROUPS * GROUPS}) div {GROUPS} as int)) | shiftleft(1, {GROUPS} + cast(pmod(key, {GROUPS}) as int))")
+    rows = map_rows(sig, lambda: keyed, "key bigint, id bigint")
+    for hashes in range(2, DEEPEST + 1):
+        # rows that share two tables share three hashes: seen in two keys here, or in one of three hashes
+        tables = 2 if hashes == 2 else 1
+        first = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
+        rows = written(rows.join(first, "key"), "keys")
+        pairs = rows.filter("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("tables"))
+        ties.append(written(agreeing(pairs.filter(F.col("tables") >= tables), sig), "ties"))
+        families = components(_all(ties))
+
+        placed = rows.join(families, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("family"), *(["mask"] if hashes > 2 else []))
+        mixed = rows.join(families, "id", "left").groupBy("key").agg(F.min(F.coalesce("comp", "id")).alias("one"), F.max(F.coalesce("comp", "id")).alias("other")).filter("one < other").select("key")
+        placed = written(placed.join(mixed, "key"), "mixed")
+        if placed.isEmpty():
+            return families
+        shares = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
+        main = shares.groupBy("key").agg(F.max(F.struct("n", "family")).alias("m"), F.sum("n").alias("size"))
+        main = main.select("key", F.col("m.family").alias("main"), (F.col("size") - F.col("m.n")).alias("strays"))
+        placed = written(placed.join(main, "key"), "placed")
+        few = placed if hashes == DEEPEST else placed.filter(F.col("strays") <= STRAYS)
+        x = few.filter("family <> main").select("key", F.col("id").alias("x"), F.col("family").alias("x_family"))
+        y = few.select("key", F.col("id").alias("y"), F.col("family").alias("y_family"), "main")
+        # two strays meet twice
+        pairs = x.join(y, "key").filter("x_family <> y_family and (y_family = main or x < y)")
+        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("tables"))
+        more = written(agreeing(pairs.filter(F.col("tables") >= tables), sig), "ties")
+        found = not more.isEmpty()
+        if found:
+            ties.append(more)
+        many = placed.filter(F.col("strays") > STRAYS)
+        if hashes == DEEPEST or many.isEmpty():
+            return components(_all(ties)) if found else families
+        many = many.select("id", "key", (mask if hashes == 2 else F.col("mask")).alias("mask"))
+        rows = map_rows(many.select("id", "mask").distinct().join(sig, "id"), lambda: split, "key bigint, mask int, id bigint").distinct()
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, MINIMA)
+
+
+def agreeing(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose rows of sig (id, minima) have LOOSE minima in common."""
+    both = pairs.join(sig.toDF("a", "a_minima"), "a").join(sig.toDF("b", "b_minima"), "b").select("a", "b", "a_minima", "b_minima")
+
+    def agree(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ok = (_signatures(batch["a_minima"]) == _signatures(batch["b_minima"])).sum(axis=1) >= LOOSE
+        yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
+
+    return map_rows(both, lambda: agree, "a bigint, b bigint")
 
 
 def settled(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from ratiolake.llm import near_dedup
 from ratiolake.llm.graph import components
 
@@ -79,6 +81,27 @@ def test_five_words_and_odd_rows(spark):
     assert near_dedup.near_groups(table(spark, [])).collect() == []
 
 
+def test_families_among_unrelated_documents_of_a_small_vocabulary(spark):
+    """Unrelated documents with smaller identifiers have the keys of nearly all planted pairs."""
+    rng = np.random.default_rng(1)
+    n, pairs, size = 3000, 200, 400
+    vocabulary = rng.integers(0, 1 << 63, size).astype(np.uint64)
+    hashed = np.stack([(vocabulary * a + b) >> np.uint64(32) for a, b in zip(near_dedup._A, near_dedup._B, strict=True)]).astype(np.uint32)
+    has = rng.random((n + 2 * pairs, size)) < 0.3
+    for i in range(n, n + 2 * pairs, 2):
+        y, k = has[i].copy(), int(has[i].sum() * 0.1)
+        gone, new = rng.choice(np.flatnonzero(y), k, False), rng.choice(np.flatnonzero(~y), k, False)
+        y[gone], y[new] = False, True
+        has[i + 1] = y
+    low = np.stack([hashed[:, x].min(axis=1) for x in has])
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(low)], "id bigint, minima binary")
+    got = {r.id: r.comp for r in near_dedup.loose_families(nodes).collect()}
+    keys = near_dedup.table_keys(low)
+    for i in range(n + 2 * pairs):
+        linked = ((keys == keys[i]).sum(axis=1) >= 2) & ((low == low[i]).sum(axis=1) >= near_dedup.LOOSE)
+        assert {got.get(j, j) for j in np.flatnonzero(linked).tolist()} == {got.get(i, i)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (101, 102), (60, 50), (61, 50)]
     got = {r.id: r.comp for r in components(table(spark, edges, "a bigint, b bigint")).collect()}
