@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import map_rows, raw_texts, written
 
 KINDS = ["email", "ip", "card", "phone"]
-#: A pattern needs so many distinct instances of a kind, and so much of its instances' confidence; an instance needs CONFIDENT.
+#: A pattern needs so many distinct instances of a kind, and so much of the confidence of what is known; an instance needs CONFIDENT.
 SUPPORT, RELIABLE, CONFIDENT, ROUNDS = 3, 0.8, 0.8, 3
-#: Digits of an identifier-like token at least, and its code points at most.
-DIGITS, LONGEST = 6, 64
+#: What an unknown instance of a kind's form weighs against a pattern; one of another form or kind weighs 1.
+UNKNOWN = 0.1
+#: Code points of an identifier-like token at most.
+LONGEST = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,6 +33,8 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
+_STARTS = re.compile(r"[0-9]+|\(at\)|\[at\]|_at_")
+_SPACED = re.compile(r"[0-9+(][0-9().+/-]*(?: [0-9(][0-9().+/-]*)*")
 _BLANK = frozenset(" \t\n\x0b\x0c\r")
 _EDGE = ".,;:!?\"'()[]{}<>|"
 
@@ -93,10 +97,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens, without punctuation at their ends, that touch no taken span."""
+    """Tokens with digits or an at-mark, and runs of numbers with single blanks between, without punctuation at their ends, that touch no taken span."""
     last, taken = 0, sorted((a, b) for _, a, b in taken)
     k = 0
-    for m in _NUMBER.finditer(text):
+    for m in _SPACED.finditer(text):
+        a, b = m.span()
+        if b - a > LONGEST:
+            continue
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        # a bracket stays that is closed inside
+        while a < b and text[a] in _EDGE and ")" not in text[a:b]:
+            a += 1
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if (k == len(taken) or taken[k][0] >= b) and " " in text[a:b] and (a == 0 or text[a - 1] in _BLANK or text[a - 1] in _EDGE):
+            yield a, b
+    k = 0
+    for m in _STARTS.finditer(text):
         if m.start() < last:
             continue
         a, b = m.span()
@@ -113,7 +131,7 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             b -= 1
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if (k == len(taken) or taken[k][0] >= b) and sum(ch.isdigit() for ch in text[a:b]) >= DIGITS:
+        if (k == len(taken) or taken[k][0] >= b) and a < b:
             yield a, b
 
 
@@ -128,7 +146,7 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 def could_be(token: str) -> int:
     """Bits of the kinds a token may be by its form."""
     n = sum(ch.isdigit() for ch in token)
-    plain = all(ch.isdigit() or ch in "+-.()/" for ch in token)
+    plain = all(ch.isdigit() or ch in "+-.()/ " for ch in token)
     return (1 if re.fullmatch(r"[A-Za-z0-9._%+-]+(?:\(at\)|\[at\]|_at_)[A-Za-z0-9.\[\]()-]+", token) else 0) | (2 if re.fullmatch(r"[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}(?::[0-9]+)?", token) else 0) | (4 if plain and 13 <= n <= 19 else 0) | (8 if plain and 7 <= n <= 15 else 0)
 
 
@@ -164,6 +182,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     near = seen.select("row", F.explode("near").alias("x")).select("row", "x.*")
     added = near.filter("kind < 0").join(discovered(near), "token").filter("(form & shiftleft(1, found)) <> 0")
     added = added.groupBy("row").agg(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end")).alias("added"))
+    # of a run of numbers and a token in it, both of one kind, the run is told
+    added = added.withColumn("added", F.expr("filter(added, x -> not exists(added, y -> y.kind = x.kind and y.start <= x.start and y.end >= x.end and y <> x))"))
     all_of = seen.select("doc_id", "row", "base").join(added, "row", "left")
     names = F.array(*map(F.lit, KINDS))
 
@@ -187,13 +207,18 @@ def discovered(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(token, found): tokens that the pattern-instance graph of near (kind, form, token, patterns) takes for a kind."""
     edges = written(near.select(F.explode("patterns").alias("pattern"), "token", "kind", "form").distinct(), "graph")
     links = edges.select("pattern", "token").distinct()
-    of_pattern = links.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= SUPPORT)
+    bit = F.when(F.col("kind") >= 0, F.expr("shiftleft(1, kind)")).otherwise(0)
+    may_be = edges.groupBy("token").agg(F.bit_or(bit).alias("seed"), F.bit_or("form").alias("form"))
+    may_be = may_be.select("token", F.when(F.col("seed") != 0, F.col("seed")).otherwise(F.col("form")).alias("fits"))
+    able = [F.count_if(F.col("fits").bitwiseAND(1 << i) != 0) for i in range(len(KINDS))]
+    of_pattern = links.join(may_be, "token").groupBy("pattern").agg(F.count("*").alias("instances"), F.array(*able).alias("able")).filter(F.col("instances") >= SUPPORT)
     forms = edges.filter("kind < 0").select("token", "form").distinct()
     seeds = edges.filter("kind >= 0").select("token", F.col("kind").alias("found"), F.lit(1.0).alias("confidence")).distinct()
     known = seeds
     for _ in range(rounds):
-        held = links.join(known, "token").groupBy("pattern", "found").agg(F.sum("confidence").alias("mass"), F.count_if(F.col("confidence") >= CONFIDENT).alias("support"))
-        score = F.col("mass") / F.col("instances")
+        held = links.join(known, "token").groupBy("pattern", "found").agg(F.sum("confidence").alias("mass"), F.count("*").alias("held"), F.count_if(F.col("confidence") >= CONFIDENT).alias("support"))
+        fitting = F.element_at("able", F.col("found") + 1)
+        score = F.col("mass") / (F.col("held") + F.col("instances") - fitting + UNKNOWN * (fitting - F.col("held")))
         good = held.filter(F.col("support") >= SUPPORT).join(of_pattern, "pattern").withColumn("score", F.least(score, F.lit(0.99))).filter(F.col("score") >= RELIABLE)
         vouched = links.join(good, "pattern").groupBy("token", "found").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("confidence"))
         new = vouched.join(forms, "token").filter("(form & shiftleft(1, found)) <> 0").select("token", "found", "confidence").filter(F.col("confidence") >= CONFIDENT)

@@ -68,3 +68,36 @@ def test_contexts_add_unseen_identifiers_and_nothing_else(spark):
     assert not any(spans[d] for d in (102, 103, 111, *range(300, 350)))
     assert spans[200] == told(brute(dict(rows)[200]))
     assert pii.find_personal_data(table(spark, [])).collect() == []
+
+
+def test_unseen_identifiers_of_each_kind_and_form(spark):
+    unseen = {
+        "email": ["jane.doe(at)example.org", "bob_at_example.com"],
+        "ip": ["10-0-0-12"],
+        "card": ["4111 1111 1111 1112"],
+        "phone": ["0171 234 567", "(212) 555-7777"],
+    }
+    # the last digit makes the Luhn sum a multiple of 10
+    cards = [f"411111111111{i:03d}" for i in range(12)]
+    cards = [next(c + str(d) for d in range(10) if pii.luhn(c + str(d))) for c in cards]
+    seen = {"email": lambda i: f"a{i}@example.org", "ip": lambda i: f"10.0.1.{i}", "card": lambda i: cards[i], "phone": lambda i: f"+1 212 555 {1000 + i}"}
+    rows = [(100 * k + i, f"this {kind} entry {seen[kind](i)} noted") for k, kind in enumerate(pii.KINDS) for i in range(12)]
+    want = {}
+    for k, kind in enumerate(pii.KINDS):
+        for i, x in enumerate(unseen[kind]):
+            d = 1000 + 10 * k + i
+            rows.append((d, f"this {kind} entry {x} noted"))
+            want[d] = f"{kind}:{len(kind) + 12}:{len(kind) + 12 + len(x)}"
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert {d: got[d] for d in want} == want
+
+
+def test_half_of_a_context_unseen(spark):
+    rows = [(i, f"please call +1 (212) 555-{1000 + i} today") for i in range(12)]
+    rows += [(100 + i, f"please call 212.555.{2000 + i} today") for i in range(12)]
+    # three phones among numbers of another kind tell nothing
+    rows += [(200 + i, f"ticket no +1 (212) 555-{3000 + i} closed") for i in range(3)]
+    rows += [(300 + i, f"ticket no 10.0.2.{i} closed") for i in range(12)] + [(400, "ticket no 212.555.9999 closed")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert all(got[100 + i] == "phone:12:24" for i in range(12))
+    assert got[400] == ""
