@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule, and with line feed of the line rule: space and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -16,10 +19,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session has none (as in tests), a new one of our own."""
+    """The folder in spark.checkpoint.dir. A local session that names none (as in tests) gets a new one; others must name one."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         where = getattr(sc, "_ratiolake_dir", None)
         if where is None:
             where = sc._ratiolake_dir = tempfile.mkdtemp(prefix="ratiolake-")
@@ -53,7 +58,7 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with state per task: make() runs once in each task and gives the function of a batch."""
     arrow_batches(df.sparkSession)
 
@@ -81,23 +86,45 @@ def ascii_lower(text: Column) -> Column:
 MAX_BITS = 1 << 31
 
 
-def without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    """docs less the rows whose columns `on` (null equals null) are among those of gone; all columns stay.
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, file, at): each row of docs as one struct, so that its names meet no others, and where it stands.
 
-    Only rows that a bitmap of gone's keys can't clear are moved and joined.
+    What isn't read from files and at most filtered and projected since, or has a column that hides the files'
+    metadata, is written first.
     """
-    names, spark = docs.columns, docs.sparkSession
-    key = F.xxhash64(*on)
-    gone = written(gone.select(*on).distinct().withColumn("_k", key), "gone")
-    bitmap, bits = _bitmap(gone, "_k")
-    flagged = docs.withColumn("_k", key).withColumn("_at", _place("_k", bits)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
-    flagged = flagged.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_near", F.coalesce(_bit_set(), F.lit(False)))
-    clear = flagged.filter("not _near").select(*names)
-    g = gone.select("_k", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(on)])
-    same = flagged["_k"] == g["_k"]
-    for i, c in enumerate(on):
-        same = same & flagged[c].eqNullSafe(g[f"_g{i}"])
-    return clear.unionByName(flagged.filter("_near").join(g, same, "left_anti").select(*names))
+    spark = docs.sparkSession
+    plan = docs._jdf.queryExecution().analyzed().toString().splitlines()
+    if "_metadata" not in (c.lower() for c in docs.columns) and all(re.match(r"[ :+-]*(Project|Filter|SubqueryAlias|Relation)\b", x) for x in plan):
+        try:
+            return docs.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        except AnalysisException:
+            pass
+    path = scratch(spark, "arrived")
+    packed = docs.select(F.struct("*").alias("row"))
+    packed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(packed.schema).parquet(path).select("row", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def without(docs: DataFrame, gone: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """docs less the rows for which the expressions `on` (null equals null) are among gone's columns of these names.
+
+    All columns of docs stay, whatever their names: a row travels as one struct. Only rows that a bitmap of
+    gone's keys can't clear are moved and joined.
+    """
+    packed = docs.select(F.struct("*").alias("row"), F.struct(*[c.alias(n) for n, c in on.items()]).alias("own"))
+    return left_over(packed, gone, list(on)).select("row.*")
+
+
+def left_over(packed: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """(row) of packed (row, own): rows whose struct `own` of the given names is not among gone's rows."""
+    gone = written(gone.select(*names).distinct().select(F.xxhash64(*names).alias("gone_key"), F.struct(*names).alias("gone")), "gone")
+    bitmap, bits = _bitmap(gone, "gone_key")
+    keyed = packed.select("row", "own", F.xxhash64(*[F.col("own")[n] for n in names]).alias("key")).withColumn("_at", _place("key", bits))
+    keyed = keyed.withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket", "left").withColumn("near", F.coalesce(_bit_set(), F.lit(False)))
+    same = F.col("key") == F.col("gone_key")
+    for n in names:
+        same = same & F.col("own")[n].eqNullSafe(F.col("gone")[n])
+    return keyed.filter("not near").select("row").unionByName(keyed.filter("near").select("row", "own", "key").join(gone, same, "left_anti").select("row"))
 
 
 def _place(key: str, bits: int) -> Column:

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, maybe_among, scratch, without, written
+from .common import ascii_lower, left_over, maybe_among, placed, scratch, written
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How the state is kept: on disk, with a bound on memory over all of an executor's partitions.
@@ -33,20 +32,6 @@ def sha_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def in_files(docs: DataFrame) -> DataFrame:
-    """docs as read from files, so that each row has a place; what isn't read from files is written first."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "arrived")
-
-
-def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row, the place of each row's content."""
-    return in_files(docs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def keyed_state(spark: SparkSession, arrivals: str, state: str, partitions: int | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Stream the files under arrivals that the state in folder `state` has not seen yet through the keyed state; return it.
 
@@ -79,37 +64,47 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha_diges
     its file does, so one row of a group stays always. A null doc_id is smaller than any other. An empty
     table gives no rows. digest: of the normalised text; a weak one costs time, not correctness.
 
-    Columns: doc_id, keep_id, group_size, kept, text_sha256, _file, _row.
+    Columns: doc_id, keep_id, group_size, kept, text_sha256.
     """
-    spark = docs.sparkSession
-    rows = with_locator(docs.select("doc_id", "text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"), "_file", "_row").withColumn("digest", digest(F.col("norm")))
+    return _groups(placed(docs.select("doc_id", "text")), digest).drop("file", "at")
+
+
+def _groups(rows: DataFrame, digest: Callable[[Column], Column] = sha_digest) -> DataFrame:
+    """The columns of exact_groups and the place (file, at) for rows (row, file, at) whose struct has doc_id and text."""
+    spark = rows.sparkSession
+    rows = rows.select(F.coalesce("row.doc_id", F.lit(_NO_ID)).alias("doc_id"), ascii_lower(F.coalesce("row.text", F.lit(""))).alias("norm"), "file", "at")
     arrivals = scratch(spark, "arrivals")
-    rows.select("digest", "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"), F.unhex(F.sha2("norm", 256)).alias("sha")).write.parquet(arrivals)
+    rows.select(digest(F.col("norm")).alias("digest"), "doc_id", "file", F.col("at").alias("row"), F.unhex(F.sha2("norm", 256)).alias("sha")).write.parquet(arrivals)
     state = keyed_state(spark, arrivals, scratch(spark, "state"))
     state = state.select("key.digest", "value.*").toDF("digest", "keep_id", "place", "place_order", "group_size").select("digest", "keep_id", "place", "group_size")
     state = written(state, "groups")
 
-    arrived = spark.read.parquet(arrivals).select("digest", "doc_id", F.col("file").alias("_file"), F.col("row").alias("_row"), F.lower(F.hex("sha")).alias("text_sha256"))
-    kept = (F.col("_file") == F.col("place.file")) & (F.col("_row") == F.col("place.row"))
+    arrived = spark.read.parquet(arrivals).select("digest", "doc_id", "file", F.col("row").alias("at"), F.lower(F.hex("sha")).alias("text_sha256"))
+    kept = (F.col("file") == F.col("place.file")) & (F.col("at") == F.col("place.row"))
     groups = arrived.join(state, "digest").withColumn("kept", kept)
-    # full bytes on hits; groups of one have nothing to be compared with
+    # full bytes on hits, found by their places; groups of one have nothing to be compared with
     several = state.filter("group_size > 1").select("digest", "place")
-    hits = written(maybe_among(rows, several, "digest").join(several, "digest").withColumn("kept", kept).select("digest", "kept", "norm"), "hits")
-    stored = hits.filter("kept").select("digest", F.col("norm").alias("stored"))
-    differ = written(hits.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest"), "collisions").distinct()
+    hits = written(maybe_among(arrived.drop("text_sha256"), several, "digest").join(several, "digest").select("file", "at", "digest", kept.alias("kept"), _spot().alias("spot")), "hits")
+    texts = written(maybe_among(rows.withColumn("spot", _spot()), hits, "spot").drop("spot").join(hits.drop("spot"), ["file", "at"]), "hit-texts")
+    stored = texts.filter("kept").select("digest", F.col("norm").alias("stored"))
+    differ = written(texts.filter("not kept").join(stored, "digest").filter("norm <> stored").select("digest"), "collisions").distinct()
     if not differ.isEmpty():
-        apart = maybe_among(rows, differ, "digest").join(differ, "digest")
-        by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", F.col("_file").alias("file"), F.col("_row").alias("row"))).alias("place"))
+        apart = texts.drop("kept").join(differ, "digest")
+        by_text = apart.groupBy("norm").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "file", F.col("at").alias("row"))).alias("place"))
         apart = apart.join(by_text, "norm").withColumns({"keep_id": F.col("place.doc_id"), "kept": kept, "text_sha256": F.sha2("norm", 256)})
         whole = groups.join(differ, "digest", "left_anti")
         groups = whole.select(*_OUT).unionByName(apart.select(*_OUT))
     return groups.select(_null_back("doc_id"), _null_back("keep_id"), *_OUT[2:])
 
 
+def _spot() -> Column:
+    return F.xxhash64("file", "at")
+
+
 #: Stands for a null doc_id, which is smaller than any other.
 _NO_ID = -(1 << 63)
-_OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "_file", "_row"]
+_OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "file", "at"]
+
 
 def _null_back(name: str) -> Column:
     return F.when(F.col(name) != _NO_ID, F.col(name)).alias(name)
@@ -117,13 +112,13 @@ def _null_back(name: str) -> Column:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that exact_groups does not keep."""
-    docs = in_files(docs)
-    gone = exact_groups(docs).filter("not kept").select("_file", "_row")
-    return without(with_locator(docs), gone, ["_file", "_row"]).drop("_file", "_row")
+    rows = placed(docs)
+    gone = _groups(rows).filter("not kept").select("file", "at")
+    return left_over(rows.select("row", F.struct("file", "at").alias("own")), gone, ["file", "at"]).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_file", "_row")
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP7_SQL = """

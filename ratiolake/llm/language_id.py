@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, raw_texts, without, written
 
 BUCKETS = 1 << 15
-#: Expected labelled rows for each language that the fit uses; languages with fewer labelled rows than LEAST are left out.
+#: Expected labelled texts for each language that the fit uses; languages with fewer than LEAST are left out.
 SAMPLE, LEAST = 2000, 3
 #: A text counts as at most so many independent trigrams.
 WEIGHT = 50.0
@@ -29,6 +30,13 @@ SMOOTH = 10.0
 #: The least posterior of a language that is accepted, and how far a text's mean log-probability may lie from that
 #: of the language's own sample (0) towards that of trigrams never seen in it (1).
 ACCEPT, STRANGE = 0.5, 0.75
+#: The languages that may be fitted, by their codes of two letters in ISO 639-1.
+LANGUAGES = tuple(
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy "
+    "ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv "
+    "mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw "
+    "ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu".split()
+)
 _SPREAD = np.uint32(2654435761)
 
 
@@ -55,19 +63,20 @@ class Model:
         return len(t), self.logp[t].mean(axis=0) if len(t) and self.languages else np.zeros(len(self.languages))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST, known: tuple[str, ...] = LANGUAGES) -> Model:
     """A Model from labelled rows (text, label); null labels and texts without trigrams are left out.
 
-    Of each label about `sample` rows are used, chosen by a hash of the text; the driver receives at most
-    BUCKETS counts for each label.
+    Only labels of the stated list `known` are fitted, and of these only such as `least` distinct texts or
+    more carry. Of each label about `sample` distinct texts are used, chosen by a hash of the text, so copies
+    weigh as one; the driver receives at most BUCKETS counts for each label.
     """
-    rows = labelled.select("text", "label").filter("label is not null and text is not null")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
+    rows = labelled.select("text", "label").filter(F.col("label").isin(*known) & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    counts = {r.label: r.n for r in rows.groupBy("label", "hash").agg(F.lit(1).alias("one")).groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     share = F.coalesce(*[F.when(F.col("label") == x, F.lit(min(1.0, sample / counts[x]))) for x in languages])
-    chosen = rows.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share)
+    chosen = rows.filter((F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) / float(1 << 30)) < share).groupBy("label", "hash").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
@@ -105,12 +114,13 @@ def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
         names = [c for c in batch.schema.names if c != "text"]
         yield pa.record_batch([*rest, pa.array([n for n, _ in got], pa.int64()), pa.array([s.astype(np.float64) for _, s in got], pa.list_(pa.float64()))], names=[*names, "n", "mean"])
 
-    kept = rows.select(*keys, "declared", "suffix", "host", "domain", "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), "n bigint, mean array<double>"])
+    kept = rows.select(F.struct(*keys).alias("keys"), "declared", "suffix", "host", "domain", "text")
+    schema = T.StructType([*(f for f in kept.schema if f.name != "text"), T.StructField("n", T.LongType()), T.StructField("mean", T.ArrayType(T.DoubleType()))])
+    carried = [F.col("keys")[k].alias(k) for k in keys]
     base = written(map_rows(kept, lambda: scored, schema).withColumn("best", F.when((F.col("n") > 0) & (F.size("mean") > 0), F.array_position("mean", F.array_max("mean")).cast("int"))), "scores")
     if not L:
         nothing = F.lit(None).cast("string")
-        return base.select(*keys, nothing.alias("language"), F.lit(None).cast("double").alias("posterior"), nothing.alias("text_language"), F.col("n").alias("n_trigrams"), F.lit(False).alias("accepted"))
+        return base.select(*carried, nothing.alias("language"), F.lit(None).cast("double").alias("posterior"), nothing.alias("text_language"), F.col("n").alias("n_trigrams"), F.lit(False).alias("accepted"))
 
     def tally(*by: str) -> DataFrame:
         """Rows by the best language of their text, an array of counts for each value of `by`."""
@@ -131,11 +141,10 @@ def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
 
     x = base
     for by in (["domain"], ["host", "domain"], ["declared"], ["suffix"]):
-        t = tally(*by).toDF(*[f"_{c}" for c in by], f"by_{by[0]}")
-        same = F.lit(True)
-        for c in by:
-            same = same & x[c].eqNullSafe(t[f"_{c}"])
-        x = x.join(t.filter(F.col(f"_{by[0]}").isNotNull()), same, "left").drop(*[f"_{c}" for c in by])
+        # a row without the value has nothing to be joined with: its key is one of many that no tally has
+        here = F.when(F.col(by[0]).isNotNull(), F.to_json(F.struct(*[F.col(c) for c in by])))
+        t = tally(*by).filter(F.col(by[0]).isNotNull()).select(here.alias("key"), F.col("n_of").alias(f"by_{by[0]}"))
+        x = x.withColumn("key", F.coalesce(here, F.pmod(F.xxhash64("mean", "n"), F.lit(4096)).cast("string"))).join(t, "key", "left").drop("key")
     domain = shares(less(F.col("by_domain")), everywhere, SMOOTH)
     host = shares(less(F.col("by_host")), domain, SMOOTH)
     # P(evidence | language) but for a factor that is the same in all languages: the value's share of each language's rows
@@ -157,7 +166,7 @@ def identify(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     usual, unseen = (F.element_at(F.array(*map(F.lit, v)), F.col("at")) for v in (model.usual, model.unseen))
     fits = usual - F.element_at("mean", F.col("at")) < STRANGE * (usual - unseen)
     return x.select(
-        *keys,
+        *carried,
         F.when(sure, F.element_at(names, F.col("at"))).alias("language"),
         F.when(sure, F.col("posterior")).alias("posterior"),
         F.when(sure, F.element_at(names, F.coalesce("best", F.lit(1)))).alias("text_language"),
@@ -184,11 +193,13 @@ def pages_as_rows(pages: DataFrame) -> DataFrame:
 
 
 def accepted_rows(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source and more), all columns, less the rows whose language identify does not accept."""
-    id_of = [F.col("doc_id"), F.xxhash64("text", "lang", "source").alias("_row_hash")]
-    told = identify(documents_as_rows(docs, *id_of), fit(docs.select("text", F.col("lang").alias("label"))), ["doc_id", "_row_hash"])
-    gone = told.filter("not accepted").select("doc_id", "_row_hash")
-    return without(docs.withColumn("_row_hash", F.xxhash64("text", "lang", "source")), gone, ["doc_id", "_row_hash"]).drop("_row_hash")
+    """docs (doc_id, text, lang, source and more), all columns, less the rows whose language identify does not accept.
+
+    Rows with null or empty texts go; rows that repeat a doc_id are judged each by itself, and equal rows alike.
+    """
+    own = F.xxhash64("text", "lang", "source")
+    told = identify(documents_as_rows(docs, F.col("doc_id"), own.alias("hash")), fit(docs.select("text", F.col("lang").alias("label"))), ["doc_id", "hash"])
+    return without(docs, told.filter("not accepted").select("doc_id", "hash"), {"doc_id": F.col("doc_id"), "hash": own})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

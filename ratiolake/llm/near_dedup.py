@@ -132,7 +132,7 @@ def near_groups(docs: DataFrame, k: int = 5) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs, all columns, less the rows that near_groups does not keep."""
-    return without(docs, near_groups(docs, k).filter("not kept").select("doc_id"), ["doc_id"])
+    return without(docs, near_groups(docs, k).filter("not kept").select("doc_id"), {"doc_id": F.col("doc_id")})
 
 
 def loose_families(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside; tables may have such columns too.
-CLASHES = ["d", "t", "n", "key", "row", "at", "kept", "family", "digest", "norm", "packed", "near", "base", "id"]
+CLASHES = ["d", "t", "n", "key", "row", "at", "kept", "family", "digest", "norm", "packed", "near", "base", "id", "own", "file", "gone", "gone_key", "spot", "hash", "place"]
+CLASHES += ["_k", "_at", "_bucket", "_near", "_bits", "_file", "_row", "_metadata", "_row_hash", "_g0", "with.dot"]
 
 
 def table(spark, rows, schema="doc_id bigint, text string"):
