@@ -8,18 +8,24 @@ edit distance between the passage and any stretch of the text there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_rows, raw_texts
+from .common import map_rows, placed, raw_texts, written
 
-#: Code points of a passage (an item under two of them is one passage), of each edit allowed, and the fewest of an item.
-PASSAGE, PER_EDIT, SHORTEST = 160, 20, 20
-#: Code points of items that one walk over the texts looks for; more items take more walks.
-ITEMS_AT_ONCE = 64_000_000
+#: Code points of a passage (an item under two of them is one passage), and of each edit allowed.
+PASSAGE, PER_EDIT = 160, 20
+#: Passages of fewer code points must stand as whole words: they are matched exactly, and would be found inside others.
+WHOLE_WORDS = 20
+#: Code points of passages that one walk over the texts looks for (some 60 bytes each in a worker); more take more walks.
+AT_ONCE = 4_000_000
 
 
 def normal(raw: bytes) -> str:
@@ -67,106 +73,154 @@ def least_distance(pattern: str, text: str) -> int:
 
 
 class Matcher:
-    """Finds the items of a list that a text holds within their budgets."""
+    """Finds the passages of a list (item_ids, passage) that a text holds within their budgets."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = PASSAGE, per_edit: int = PER_EDIT):
+    def __init__(self, listed: list[tuple[list[int | None], str]], per_edit: int = PER_EDIT):
         import ahocorasick
 
         self.found = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
-        self.passages: list[tuple[int, str, int]] = []
-        for item_id, item in items:
-            for p in passages(item, size):
-                cut = pieces(p, per_edit)
-                for at, x in cut:
-                    where.setdefault(x, []).append((len(self.passages), at))
-                self.passages.append((item_id, p, len(cut) - 1))
+        self.passages: list[tuple[list[int | None], str, int]] = []
+        for ids, p in listed:
+            cut = pieces(p, per_edit)
+            for at, x in cut:
+                where.setdefault(x, []).append((len(self.passages), at))
+            self.passages.append((ids, p, len(cut) - 1))
         for x, places in where.items():
             self.found.add_word(x, (len(x), places))
         if where:
             self.found.make_automaton()
         self.any = bool(where)
 
-    def items_in(self, text: str) -> dict[int, int]:
+    def items_in(self, text: str) -> dict[int | None, int]:
         """item_id and its passage's least distance, for each item with a passage within budget."""
-        out: dict[int, int] = {}
+        out: dict[int | None, int] = {}
         if not self.any:
             return out
-        tried = set()
+        tried, exact = set(), set()
         for end, (n, places) in self.found.iter(text):
             for k, at in places:
-                item_id, p, budget = self.passages[k]
                 start = end + 1 - n - at
-                if out.get(item_id) == 0 or (k, start) in tried:
+                if k in exact or (k, start) in tried:
                     continue
                 tried.add((k, start))
-                if text.startswith(p, start) if start >= 0 else False:
-                    out[item_id] = 0
-                    continue
-                d = least_distance(p, text[max(0, start - budget) : start + len(p) + budget]) if budget else budget + 1
+                ids, p, budget = self.passages[k]
+                if start >= 0 and text.startswith(p, start):
+                    if len(p) < WHOLE_WORDS and (text[start - 1 : start].isalnum() or text[start + len(p) : start + len(p) + 1].isalnum()):
+                        continue
+                    exact.add(k)
+                    d = 0
+                else:
+                    d = least_distance(p, text[max(0, start - budget) : start + len(p) + budget]) if budget else 1
                 if d <= budget:
-                    out[item_id] = min(d, out.get(item_id, d))
+                    for i in ids:
+                        out[i] = min(d, out.get(i, d))
         return out
 
 
-def item_blocks(items: DataFrame, shortest: int = SHORTEST, at_once: int = ITEMS_AT_ONCE) -> list:
-    """The items to look for, normalised, as broadcast lists of (item_id, text) of about at_once code points each."""
-    norm = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]+", " "))
-    known = items.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), norm.alias("text")).filter(F.length("text") >= shortest)
-    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // at_once) or 1
-    parts = [known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-    return [items.sparkSession.sparkContext.broadcast(sorted((r.item_id, normal(r.text.encode())) for r in part.toLocalIterator())) for part in parts]
+_MATCHER: dict[tuple[str, int], Matcher] = {}
 
 
-def find_items(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, per_edit: int = PER_EDIT, shortest: int = SHORTEST, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """Which test items (item_id, text) each of docs (doc_id, text; more columns are ignored) holds.
+@dataclass
+class Block:
+    """Passages that one walk looks for: a broadcast list of (item_ids, passage) under a name, one of so many."""
 
-    Both are compared in lower case with single spaces. An item counts as held if some passage of it
-    occurs within len(passage) // per_edit - 1 edits (insertions, deletions, changes of a code point).
-    Items of fewer than `shortest` code points, null and empty ones included, are not looked for; a null
-    item_id is told as -1, and items that repeat an id are one item. Null and empty texts hold nothing.
-    Rows that repeat a doc_id are rows like others. Items are a stated query set: they go to all texts, in
-    blocks of at_once code points; each block is one walk over docs.
+    name: str
+    listed: Broadcast
+    of: int
 
-    One row per row of docs: doc_id, item_ids (sorted), distance (the least, null without items), contaminated.
-    """
-    rows, held = docs.select("doc_id", "text"), []
-    for k, listed in enumerate(item_blocks(items, shortest, at_once)):
+    def matcher(self, per_edit: int) -> Matcher:
+        """Made once in each worker, which holds one at a time."""
+        key = (self.name, per_edit)
+        if key not in _MATCHER:
+            _MATCHER.clear()
+            _MATCHER[key] = Matcher(self.listed.value, per_edit)
+        return _MATCHER[key]
 
-        def make(listed=listed, k=k, held=tuple(held)):
-            matcher = Matcher(listed.value, passage, per_edit)
 
-            def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                got = [matcher.items_in(normal(raw)) for raw in raw_texts(batch["text"])]
-                found = [pa.array([sorted(x) for x in got], pa.list_(pa.int64())), pa.array([min(x.values(), default=None) for x in got], pa.int64())]
-                yield pa.record_batch([batch["doc_id"], batch["text"], *(batch[h] for h in held), *found], names=["doc_id", "text", *held, f"ids{k}", f"least{k}"])
+def passage_blocks(items: DataFrame, size: int = PASSAGE, at_once: int = AT_ONCE) -> Iterator[Block]:
+    """The passages of items (item_id, text) to look for, in blocks of about at_once code points.
 
-            return work
+    Passages that several items share are one. The driver holds one block at a time.
+    """
 
-        rows = map_rows(rows, make, ", ".join(["doc_id bigint, text string", *(f"{h} {'array<bigint>' if h[0] == 'i' else 'bigint'}" for h in held), f"ids{k} array<bigint>, least{k} bigint"]))
-        held += [f"ids{k}", f"least{k}"]
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*held[::2]))))
-    least = F.array_min(F.array(*held[1::2]))
-    return rows.select("doc_id", ids.alias("item_ids"), least.alias("distance")).withColumn("contaminated", F.size("item_ids") > 0)
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, found = [], []
+        for i, raw in zip(batch["item_id"].to_pylist(), raw_texts(batch["text"]), strict=True):
+            own = [p for p in passages(normal(raw), size) if p]
+            ids += [i] * len(own)
+            found += own
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["item_id", "passage"])
+
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    each = map_rows(known, lambda: cut, "item_id bigint, passage string").distinct()
+    # collect_set leaves null ids out; they are told by a flag
+    each = each.groupBy("passage").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed"))
+    each = written(each, "passages")
+    n = -(-(each.agg(F.sum(F.length("passage"))).first()[0] or 0) // at_once) or 1
+    sc = items.sparkSession.sparkContext
+    for k in range(n):
+        part = each if n == 1 else each.filter(F.pmod(F.xxhash64("passage"), F.lit(n)) == k)
+        yield Block(uuid.uuid4().hex, sc.broadcast(sorted(((r.ids + [None] * r.unnamed, r.passage) for r in part.toLocalIterator()), key=lambda x: x[1])), n)
+
+
+def find_items(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, per_edit: int = PER_EDIT, at_once: int = AT_ONCE) -> DataFrame:
+    """Which test items (item_id, text) each of docs (doc_id, text; more columns are ignored) holds.
 
+    Both are compared in lower case with single spaces. An item counts as held if some passage of it
+    occurs within len(passage) // per_edit - 1 edits (insertions, deletions, changes of a code point).
+    Passages of fewer than WHOLE_WORDS code points, exact as they are, count only where no letter or digit
+    stands at either side. Null and empty items are held by nothing; a null item_id is one of its own, last
+    in item_ids; items that repeat an id are one item. Null and empty texts hold nothing. Rows that repeat a
+    doc_id are rows like others. Items are a stated query set: they go to all texts, in blocks of about
+    at_once code points; each block is one walk over docs, a job of its own.
 
-def clean_rows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    One row per row of docs: doc_id, item_ids (sorted), distance (the least, null without items), contaminated.
+    """
+    rows = docs.select("doc_id", "text")
+    found = F.col("item_ids"), F.col("distance")
+    told = None
+    for k, block in enumerate(passage_blocks(items, passage, at_once)):
+        if block.of == 1:
+            return _walked(rows, block, per_edit, "doc_id").select("doc_id", *found, (F.size("item_ids") > 0).alias("contaminated"))
+        if k == 0:
+            spots = written(placed(rows).select(F.col("row.doc_id").alias("doc_id"), "file", "at", F.col("row.text").alias("text")).withColumn("place", F.struct("file", "at")), "spots")
+        hits = written(_walked(spots, block, per_edit, "place").filter(F.size("item_ids") > 0), "walk")
+        told = hits if told is None else told.unionByName(hits)
+        block.listed.unpersist()
+    got = told.groupBy("place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.min("distance").alias("distance"))
+    told = spots.select("doc_id", "place").join(got, "place", "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), "distance")
+    return told.select("doc_id", *found, (F.size("item_ids") > 0).alias("contaminated"))
+
+
+def _walked(rows: DataFrame, block: Block, per_edit: int, key: str) -> DataFrame:
+    """(key, item_ids, distance) for each of rows (key, text)."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        m = block.matcher(per_edit)
+        got = [m.items_in(normal(raw)) for raw in raw_texts(batch["text"])]
+        ids = [sorted(x, key=lambda i: (i is None, i)) for x in got]
+        yield pa.record_batch([batch[key], pa.array(ids, pa.list_(pa.int64())), pa.array([min(x.values(), default=None) for x in got], pa.int64())], names=[key, "item_ids", "distance"])
+
+    rows = rows.select(key, "text")
+    schema = T.StructType([rows.schema[key], T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("distance", T.LongType())])
+    return map_rows(rows, lambda: work, schema)
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """docs, all columns, without the rows that hold a test item by the rules of find_items."""
-    out = docs
-    for listed in item_blocks(items):
-
-        def make(listed=listed):
-            matcher = Matcher(listed.value)
-
-            def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not matcher.items_in(normal(raw)) for raw in raw_texts(texts)], pa.bool_()))
-
-            return work
-
-        out = map_rows(out, make, out.schema)
-    return out
+    out = docs.select(F.struct("*").alias("row"))
+    for block in passage_blocks(items, at_once=at_once):
+
+        def work(batch: pa.RecordBatch, block=block) -> Iterator[pa.RecordBatch]:
+            m = block.matcher(PER_EDIT)
+            yield batch.filter(pa.array([not m.items_in(normal(raw)) for raw in raw_texts(batch["row"].field("text"))], pa.bool_()))
+
+        out = map_rows(out, lambda work=work: work, out.schema)
+        if block.of > 1:
+            out = written(out, "clean")
+            block.listed.unpersist()
+    return out.select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,19 +22,24 @@ def test_myers():
         assert dc.least_distance(p, t) == distance(p, t)
 
 
+def stands(p, text):
+    """Whether p stands in text with no letter or digit at either side."""
+    at = [i for i in range(len(text)) if text.startswith(p, i)]
+    return any(not text[i - 1 : i].isalnum() and not text[i + len(p) : i + len(p) + 1].isalnum() for i in at)
+
+
 def brute(rows, items):
-    out = []
+    out, no_id = [], 1 << 62
     for d, t in rows:
         text, found = dc.normal((t or "").encode()), {}
         for item_id, item in items:
             item = dc.normal((item or "").encode())
-            if len(item) < dc.SHORTEST:
-                continue
             for p in dc.passages(item):
                 n = distance(p, text)
-                if n <= max(1, len(p) // dc.PER_EDIT) - 1:
-                    found[-1 if item_id is None else item_id] = min(n, found.get(item_id, n))
-        out.append((d, sorted(found), min(found.values(), default=None), bool(found)))
+                if p and n <= max(1, len(p) // dc.PER_EDIT) - 1 and (len(p) >= dc.WHOLE_WORDS or stands(p, text)):
+                    key = no_id if item_id is None else item_id
+                    found[key] = min(n, found.get(key, n))
+        out.append((d, [None if i == no_id else i for i in sorted(found)], min(found.values(), default=None), bool(found)))
     return sorted(out, key=repr)
 
 
@@ -42,7 +47,7 @@ def test_items_within_their_budget(spark):
     random.seed(12)
     word = lambda: "".join(random.choice("abcdefghijé") for _ in range(random.randint(1, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(random.randint(4, 60)).capitalize()) for i in range(12)] + [(50, "short"), (51, None), (52, ""), (None, text(20)), (53, text(10)), (53, text(12))]
+    items = [(i, text(random.randint(4, 60)).capitalize()) for i in range(12)] + [(50, "short"), (51, None), (52, ""), (None, text(20)), (-1, text(20)), (53, text(10)), (53, text(12)), (54, "no"), (None, "short")]
     rows = [(d, t) for d, t in ODD if len(t or "") < 1000]
     for i in range(90):
         part = list(random.choice(items)[1] or "")
@@ -51,15 +56,16 @@ def test_items_within_their_budget(spark):
             part[at : at + random.randint(0, 1)] = random.choice(["", "z", "y"])
         part = "".join(part)
         rows.append((100 + i, f"{text(i % 9)} {part.upper().replace(' ', '  ' if i % 2 else chr(10)) if i % 5 else part[len(part) // 3 :]} {text(i % 7)}"))
+    rows += [(300, "a SHORT one"), (301, "shorter"), (302, "x short, y"), (303, "know nothing"), (304, "no")]
     docs, tests = with_clashes(table(spark, rows)).repartition(3), table(spark, items, "item_id bigint, text string")
     want = brute(rows, items)
     assert sum(w[3] for w in want) > 30 and sum(not w[3] for w in want) > 20
-    for at_once in (dc.ITEMS_AT_ONCE, 700):
+    for at_once in (dc.AT_ONCE, 700):
         got = dc.find_items(docs, tests, at_once=at_once).collect()
         assert sorted((tuple(r) for r in got), key=repr) == want
-    clean = dc.clean_rows(docs, tests)
-    assert clean.columns == docs.columns
-    assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((w[0] for w in want if not w[3]), key=repr)
+        clean = dc.clean_rows(docs, tests, at_once)
+        assert clean.columns == docs.columns
+        assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((w[0] for w in want if not w[3]), key=repr)
 
 
 def test_empty_tables(spark):
@@ -67,3 +73,28 @@ def test_empty_tables(spark):
     assert dc.find_items(none, items).collect() == [] and dc.clean_rows(none, items).collect() == []
     got = dc.find_items(table(spark, [(1, "x"), (None, None)]), items).collect()
     assert [(r.item_ids, r.distance, r.contaminated) for r in got] == [([], None, False)] * 2
+
+
+def test_the_registered_query_against_brute_force(spark, sf):
+    """Whole tables of the smallest scale; a cheap bound (shared pieces) tells which pairs need the table of distances."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {}
+    for d, t in docs:
+        text, found = dc.normal((t or "").encode()), {}
+        for item_id, item in items:
+            for p in dc.passages(dc.normal((item or "").encode())):
+                budget = len(p) // dc.PER_EDIT - 1
+                third = [p[i : i + dc.PER_EDIT // 2] for i in range(0, len(p), dc.PER_EDIT // 2)]
+                # budget edits leave at least one whole tenth-part of the passage in place
+                for i, x in enumerate(third):
+                    at = text.find(x)
+                    while at >= 0:
+                        start = at - i * (dc.PER_EDIT // 2)
+                        n = dc.least_distance(p, text[max(0, start - budget) : start + len(p) + budget])
+                        if n <= budget:
+                            found[item_id] = min(n, found.get(item_id, n))
+                        at = text.find(x, at + 1)
+        want[d] = (sorted(found), min(found.values(), default=None), bool(found))
+    got = {r.doc_id: (r.item_ids, r.distance, r.contaminated) for r in dc.op8_decontaminate(spark, sf).collect()}
+    assert got == want and any(w[2] for w in want.values())
