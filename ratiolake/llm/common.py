@@ -143,11 +143,18 @@ def _bit_set() -> Column:
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows whose value of the column `key` may be among those of keys: all that are, and a few others.
+    """rows whose value of the column `key` may be among those of keys: all that are, and a few others."""
+    return parted(rows, keys, key)[0]
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose value of the column `key` may be among those of keys, and the others, which are not.
 
     A bitmap of hashed values, 16 bits for each of keys but never over MAX_BITS, goes to the rows, so
     that most of the others stay out of the join that follows and their texts are not moved.
     """
     bitmap, bits = _bitmap(keys, key)
-    near = rows.withColumn("_at", _place(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bitmap), "_bucket")
-    return near.filter(_bit_set()).drop("_at", "_bucket", "_bits")
+    at = rows.withColumn("_at", _place(key, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    near = at.join(F.broadcast(bitmap), "_bucket").filter(_bit_set())
+    far = at.join(F.broadcast(bitmap), "_bucket", "left").filter(~F.coalesce(_bit_set(), F.lit(False)))
+    return near.select(*rows.columns), far.select(*rows.columns)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, map_rows, raw_texts, written
+from .common import BLANK, map_rows, parted, raw_texts, written
 
 _STRIP = BLANK.encode()
 #: Stands for a null doc_id, which counts as one document smaller than any other.
@@ -25,20 +26,18 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(d, key) for each line of docs (d, text) that is long enough, once per row of docs."""
+    """(d, t, key) for each line of docs (d, t, text) that is long enough, once per row of docs."""
 
-    def make():
-        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids, keys = [], []
-            for d, raw in zip(batch["d"].to_pylist(), raw_texts(batch["text"]), strict=True):
-                found = {k for line in raw.split(b"\n") if (k := line_key(line, min_chars))}
-                ids += [d] * len(found)
-                keys += found
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["d", "key"])
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, keys = [], []
+        for raw in raw_texts(batch["text"]):
+            found = {k for line in raw.split(b"\n") if (k := line_key(line, min_chars))}
+            n.append(len(found))
+            keys += found
+        row = np.repeat(np.arange(len(n)), n)
+        yield pa.record_batch([batch["d"].take(pa.array(row)), batch["t"].take(pa.array(row)), pa.array(keys, pa.binary())], names=["d", "t", "key"])
 
-        return work
-
-    return map_rows(docs.select("d", "text"), make, "d bigint, key binary")
+    return map_rows(docs.select("d", "t", "text"), lambda: work, "d bigint, t bigint, key binary")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -50,15 +49,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     of these doc_ids, which keeps every one. Rows that repeat a doc_id are one document. A null doc_id is
     one document, smaller than any other. An empty table gives no rows.
 
+    Only texts that may lose a line are moved, to meet the keys of their lines.
     One row per row of docs: doc_id, kept_text, n_lines, n_dropped.
     """
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"))
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("t"))
     lines = written(line_hashes(docs, min_chars), "lines")
-    shared = lines.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("d").alias("last")).filter(F.col("n") >= min_docs)
+    shared = lines.select("d", "key").distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("d").alias("last")).filter(F.col("n") >= min_docs)
     # written, so that both sides of the join are dealt out anew and the lines of a common key can be split
     shared = written(shared.select("key", "last"), "shared")
-    drop = lines.join(shared, "key").filter("d <> last").groupBy("d").agg(F.collect_set("key").alias("keys"))
-    return map_rows(docs.join(drop.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "keys"), lambda: lambda b: _reassemble(b, min_chars), "doc_id bigint, kept_text string, n_lines bigint, n_dropped bigint")
+    # by document and text, so that not even rows without an identifier meet in one task
+    drop = lines.join(shared, "key").filter("d <> last").groupBy("d", "t").agg(F.collect_set("key").alias("keys"))
+    drop = written(drop.withColumn("own", F.xxhash64("d", "t")), "drop")
+    near, far = parted(docs.withColumn("own", F.xxhash64("d", "t")), drop, "own")
+    rows = near.join(drop.select("d", "t", "keys").hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "keys")
+    rows = rows.unionByName(far.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("keys")))
+    return map_rows(rows, lambda: lambda b: _reassemble(b, min_chars), "doc_id bigint, kept_text string, n_lines bigint, n_dropped bigint")
 
 
 def _reassemble(batch: pa.RecordBatch, min_chars: int) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from xxhash import xxh3_128_digest
 from .common import map_rows, maybe_among, raw_texts, without, written
 from .graph import components
 from .sketch import mix
-from .words import Words, blocks
+from .words import Words, blocks, parts
 
 GROUPS, PER = 8, 2
 MINIMA = 2 * GROUPS * PER
@@ -39,8 +39,10 @@ LOOSE = 13
 STRAYS = 32
 #: Hashes that a split key has at most; all pairs of different families are tried there, however many.
 DEEPEST = 3
-#: Rows of a family that one task compares.
-SMALL = 32
+#: Rows of a family that one task compares, and bytes of their texts.
+SMALL, SMALL_BYTES = 32, 32 << 20
+#: Shingles hashed together.
+AT_ONCE = 1 << 16
 #: Rows of a larger family that meet what stands for the family in one task.
 SHARE = 64
 _NO_ID = -(1 << 63)
@@ -52,6 +54,13 @@ _B = _rng.integers(0, 1 << 64, MINIMA, np.uint64)
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct runs of k words, A-Z in lower case; of all its words if there are fewer."""
     for _, words in blocks([x.lower() for x in texts]):
+        if isinstance(words, bytes):
+            runs = [np.unique(part.runs(k)[:own]) for part, own, _ in parts(words, k - 1)]
+            runs = [x for x in runs if len(x)]
+            if runs:
+                yield np.unique(np.concatenate(runs))
+                continue
+            words = Words([words])
         yield from _sets_of(words, k)
 
 
@@ -67,8 +76,26 @@ def _sets_of(words: Words, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    return np.array([(shingles * a + b).min() >> np.uint64(32) for a, b in zip(_A, _B, strict=True)], np.uint32)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """MINIMA minima of each of some sets, none of them empty: a row each. Some AT_ONCE shingles are hashed together."""
+    out = np.empty((len(sets), MINIMA), np.uint32)
+    i = 0
+    while i < len(sets):
+        j, size = i + 1, len(sets[i])
+        while j < len(sets) and size + len(sets[j]) <= AT_ONCE:
+            size += len(sets[j])
+            j += 1
+        first = np.concatenate(([0], np.cumsum([len(x) for x in sets[i : j - 1]]))).astype(np.int64)
+        low = np.full((j - i, MINIMA), ~np.uint64(0))
+        shingles = np.concatenate(sets[i:j]) if j > i + 1 else sets[i]
+        # a set that is larger by itself is taken in slices
+        for at in range(0, len(shingles), AT_ONCE):
+            part = shingles[at : at + AT_ONCE]
+            for m in range(MINIMA):
+                low[:, m] = np.minimum(low[:, m], np.minimum.reduceat(part * _A[m] + _B[m], first))
+        out[i:j] = low >> np.uint64(32)
+        i = j
+    return out
 
 
 def table_keys(signatures: np.ndarray) -> np.ndarray:
@@ -114,14 +141,15 @@ def near_groups(docs: DataFrame, k: int = 5) -> DataFrame:
     def described(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = list(shingle_sets(list(raw_texts(batch["text"])), k))
         same = [xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-        lows = [minima(x).tobytes() if len(x) else None for x in sets]
-        yield pa.record_batch([batch["d"], pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lows, pa.binary())], names=["d", "n", "same", "minima"])
+        found = iter(minima([x for x in sets if len(x)]))
+        lows = [next(found).tobytes() if len(x) else None for x in sets]
+        yield pa.record_batch([batch["d"], pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(lows, pa.binary()), batch["bytes"]], names=["d", "n", "same", "minima", "bytes"])
 
-    base = written(map_rows(docs, lambda: described, "d bigint, n bigint, same binary, minima binary"), "sets")
-    nodes = written(base.filter("n > 0").groupBy("same").agg(F.min("d").alias("id"), F.first("minima").alias("minima")), "nodes")
+    base = written(map_rows(docs.withColumn("bytes", F.octet_length("text").cast("long")), lambda: described, "d bigint, n bigint, same binary, minima binary, bytes bigint"), "sets")
+    nodes = written(base.filter("n > 0").groupBy("same").agg(F.min_by(F.struct(F.col("d").alias("id"), "bytes"), "d").alias("first"), F.first("minima").alias("minima")).select("same", "first.*", "minima"), "nodes")
 
-    families = loose_families(nodes)
-    links = settled(docs, families, k)
+    families = loose_families(nodes.select("id", "minima"))
+    links = settled(docs, families.join(nodes.select("id", "bytes"), "id"), k)
     groups = components(links)
 
     placed = nodes.select("same", "id").join(groups, "id", "left").select("same", F.coalesce("comp", "id").alias("comp"))
@@ -211,9 +239,14 @@ def agreeing(pairs: DataFrame, sig: DataFrame) -> DataFrame:
 
 
 def settled(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
-    """The exact links (a, b) inside families (id, comp) of docs (d, text); some that others imply are left out."""
-    sizes = families.groupBy("comp").agg(F.count("*").alias("size"))
-    members = written(families.join(sizes, "comp").select(F.col("id").alias("d"), F.col("comp").alias("family"), "size"), "families")
+    """The exact links (a, b) inside families (id, comp, bytes of the text) of docs (d, text); some that others imply are left out.
+
+    One task compares a family of SMALL rows or fewer, if their texts are of SMALL_BYTES or fewer; rows of
+    others are spread over tasks.
+    """
+    sizes = families.groupBy("comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    few = (F.col("size") <= SMALL) & (F.col("bytes") <= SMALL_BYTES)
+    members = written(families.drop("bytes").join(sizes.withColumn("few", few).drop("bytes"), "comp").select(F.col("id").alias("d"), F.col("comp").alias("family"), "size", "few"), "families")
     texts = maybe_among(docs, members.select("d"), "d").join(members, "d")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -230,10 +263,10 @@ def settled(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
                         found.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    small = texts.filter(F.col("size") <= SMALL).select("family", "d", "text").groupBy("family").applyInArrow(compare, "a bigint, b bigint")
-    if members.filter(F.col("size") > SMALL).isEmpty():
+    small = texts.filter("few").select("family", "d", "text").groupBy("family").applyInArrow(compare, "a bigint, b bigint")
+    if members.filter("not few").isEmpty():
         return small
-    return small.unionByName(_settled_large(texts.filter(F.col("size") > SMALL), k))
+    return small.unionByName(_settled_large(texts.filter("not few"), k))
 
 
 def _with_family(rows: DataFrame, families: DataFrame, how: str) -> DataFrame:

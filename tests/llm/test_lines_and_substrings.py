@@ -1,7 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
-from ratiolake.llm import line_dedup, substring_dedup
+import numpy as np
+
+from ratiolake.llm import line_dedup, near_dedup, substring_dedup
+from ratiolake.llm import words as word_hash
+from ratiolake.llm.words import parts
 
 from .cases import ODD, table, with_clashes, words
 
@@ -27,6 +31,7 @@ def test_lines(spark):
     long = "x" * 39 + "é"
     rows = [*ODD, *[(i, f"{long}\nown {i}\n  {long.upper().replace('É', 'é')}\t\n" + "y" * 39 + "\n\n") for i in range(30, 36)], (36, long + "\n" + long), (36, "other\n" + long), (37, ("z" * 50 + "\n") * 3), (38, "q" * 50)]
     rows += [(40 + i, "z" * 50) for i in range(3)]
+    rows += [(None, f"{long}\n{i}") for i in range(4)]
     got = line_dedup.dedup_lines(with_clashes(table(spark, rows)).repartition(3)).collect()
     assert sorted(map(tuple, got), key=repr) == brute_lines(rows, 40, 5)
     assert sum(r.n_dropped for r in got) > 6
@@ -61,10 +66,13 @@ def test_windows(spark):
             t = t[:80] + ["edit"] + t[81:]
         rows.append((100 + i, "\n".join(" ".join(t[k : k + 9]) for k in range(0, len(t), 9))))
     rows += [(300, "ha " * 36), (301, "ho " * 35), (302, rows[-1][1]), (302, "same id " + " ".join(word(90))), (303, "a\0b " * 40)]
-    got = substring_dedup.remove_repeats(with_clashes(table(spark, rows)).repartition(3)).collect()
-    assert sorted(((r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in got), key=repr) == brute_windows(rows, 35)
-    for r in got:
-        assert sum(b - a for a, b in zip(r.removed_from, r.removed_to, strict=True)) == r.n_removed
+    want = brute_windows(rows, 35)
+    for most_cells in (1 << 20, 0):  # a sketch that goes to all tasks, and one that stays a table
+        got = substring_dedup.remove_repeats(with_clashes(table(spark, rows)).repartition(3), most_cells=most_cells).collect()
+        assert sorted(((r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in got), key=repr) == want
+        for r in got:
+            assert sum(b - a for a, b in zip(r.removed_from, r.removed_to, strict=True)) == r.n_removed
+    assert substring_dedup.remove_repeats(table(spark, []), most_cells=-1).collect() == []
     assert substring_dedup.remove_repeats(table(spark, [])).collect() == []
 
 
@@ -77,3 +85,38 @@ def test_narrow_windows_and_a_crowded_sketch(spark, monkeypatch):
     rows = [(i, " ".join(random.choice("abc") for _ in range(random.randint(0, 60)))) for i in range(300)]
     got = substring_dedup.remove_repeats(table(spark, rows), width=6, grain=3).collect()
     assert sorted(((r.doc_id, r.kept_text, r.n_words, r.n_removed) for r in got), key=repr) == brute_windows(rows, 6)
+
+
+def test_texts_in_parts_are_as_whole(spark):
+    """Windows, sets and spans of texts that are taken in parts of any size are those of the whole texts."""
+    random.seed(15)
+    texts = [" ".join(random.choice("abc") * random.choice([1, 1, 2, 30]) for _ in range(n)).encode() for n in (0, 1, 5, 40, 300, 2000)] + [b"  lead  \n trail \t", b"x" * 500, b" " * 700, b"q r " * 400]
+    width, grain = 6, 3
+    whole = substring_dedup.Scan(texts, width, grain, 1 << 20)
+    maybe = lambda a: a % np.uint64(3) != 0
+    flat = lambda scan: sorted((int(d), int(a), tuple(x)) for doc, at, h in scan.suspects(maybe) for d, a, x in zip(doc, at, h.tolist(), strict=True))
+    single = [None if i % 2 else np.arange(0, 200, 3, dtype=np.int32)[: len(t.split())] for i, t in enumerate(texts)]
+    for size in (1, 7, 50, 333):
+        part = substring_dedup.Scan(texts, width, grain, size)
+        assert flat(part) == flat(whole)
+        assert list(part.removal(maybe, single)) == list(whole.removal(maybe, single))
+        found = lambda scan: {int(x) for _, _, w, *_ in scan.blocks() for x in w.occurrences}
+        assert found(part) == found(whole)
+    for t in texts:
+        for k in (1, 2, 5):
+            want = next(near_dedup.shingle_sets([t], k))
+            runs = [np.unique(p.runs(k)[:own]) for p, own, _ in parts(t, k - 1, 40)]
+            assert len(t.split()) < k or (np.unique(np.concatenate(runs)) == want).all()
+
+
+def test_spans_over_several_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, 3000).astype(np.uint8)
+    start = np.sort(rng.integers(0, 3001, 200))
+    end = np.maximum.accumulate(np.minimum(3000, start + rng.integers(0, 900, 200)))
+    want = word_hash._spans(a, word_hash._BYTES, start, end, 1)
+    monkeypatch.setattr(word_hash, "_SUM", 64)
+    small = word_hash._Powers(word_hash._BASE)
+    assert (word_hash._spans(a, small, start, end, 1) == want).all()
+    byhand = [sum((int(a[j]) + 1) * pow(word_hash._BASE, j - i, 1 << 64) for j in range(i, e)) % (1 << 64) for i, e in zip(start[:40].tolist(), end[:40].tolist(), strict=True)]
+    assert want[:40].tolist() == byhand
