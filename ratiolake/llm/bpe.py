@@ -3,8 +3,12 @@
 A rolling hash over the bytes cuts each text, at white space, into chunks that copies of a passage share
 wherever it stands. Sketches tell which chunks may occur more than once. Texts without such a chunk are
 encoded where they are. Of the others, each distinct shared chunk is encoded once, its ids are joined
-back, and the pieces are put together in order. Every cut was tried before: words at its two sides are
+back, and the pieces are put together in order. Every cut was tried before: what stands at its two sides is
 encoded together and apart, and where the ids differ, the chunks there are joined and encoded as one.
+
+What has to stand there for agreement to settle the matter depends on the tokenizer. If its JSON says that
+words between white space are encoded each by itself (`by_word`), only added tokens can reach over a cut, and
+the words next to it tell. Of other tokenizers the whole chunks at both sides are compared.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from .words import _BYTES, BLOCK_BYTES, _spans
 
 #: Mean and least bytes of a chunk, bytes that the rolling hash sees.
 MEAN, LEAST, SEEN = 1024, 256, 16
-#: Words whose ids a worker remembers.
-MEMO = 400_000
+#: Words whose ids a worker remembers, and the bytes of the longest.
+MEMO, REMEMBERED = 400_000, 64
+#: Bytes of text that are encoded together, and tokens that are decoded together.
+STRETCH = 1 << 20
 WANT = ("n_tokens", "ids_sha256", "decoded_sha256")
 KINDS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -48,11 +54,10 @@ class Codec:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         told = json.loads(source)
         self.tokens = None if told.get("decoder") else [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        added = [x["content"].encode() for x in told.get("added_tokens", ())]
+        added = [x["content"].encode() for x in told.get("added_tokens") or ()]
         self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        # whether words apart by white space are encoded each by itself, and A-Z as a-z
-        self.by_word = all(self.ids(f"{a}{b}{c}") == self.ids(a) + self.ids(c) for a in ("ab", "1", "é,") for b in (" ", "\n", "\t  ") for c in ("cd", "2", ".'s"))
-        self.no_case = self.by_word and all(self.ids(x) == self.ids(x.lower()) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        self.spaced = [x for x in added if len(x.split()) > 1 or x.strip() != x]
+        self.by_word, self.no_case = words_apart(told)
         self.memo: dict[bytes, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -72,27 +77,73 @@ class Codec:
         if len(memo) + len(missing) > MEMO:
             memo.clear()
             missing = list(set(words))
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join([memo[w] for w in words])
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+        new = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(missing, got, strict=True)}
+        out = b"".join([new[w] if w in new else memo[w] for w in words])
+        memo.update([(w, e) for w, e in new.items() if len(w) <= REMEMBERED][: MEMO - len(memo)])
+        return out
+
+    def encode_all(self, parts: list[bytes]) -> bytes:
+        """The ids of parts of a text whose cuts agree, some STRETCH bytes at a time."""
+        out, held, size = [], [], 0
+        for x in parts:
+            held.append(x)
+            size += len(x)
+            if size >= STRETCH:
+                out.append(self.encode(b"".join(held)))
+                held, size = [], 0
+        return b"".join([*out, self.encode(b"".join(held))]) if held else b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False); without a decoder it puts a space between tokens."""
         if self.tokens is None:
             return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         tokens = self.tokens
-        return " ".join([tokens[i] for i in ids.tolist()])
+        return " ".join([" ".join([tokens[i] for i in ids[at : at + STRETCH].tolist()]) for at in range(0, len(ids), STRETCH)])
+
+    def agreed(self, raw: bytes, at: list[int]) -> list[int]:
+        """Those cuts of a text at which its ids are the same together and apart."""
+        out = []
+        for before, cut, after in zip([0, *at], at, [*at[1:], len(raw)], strict=False):
+            if self.by_word:
+                if any(raw.find(x, max(0, cut - len(x) + 1), cut + len(x)) >= 0 for x in self.spaced):
+                    continue
+                before = max(raw.rfind(b" ", before, cut), raw.rfind(b"\n", before, cut), before)
+                gap = _GAP.search(raw, cut + 1, after)
+                after = gap.start() if gap else after
+            together = self.ids(raw[before:after].decode())
+            if together == self.ids(raw[before:cut].decode()) + self.ids(raw[cut:after].decode()):
+                out.append(cut)
+        return out
+
+
+_GAP = re.compile(rb"[ \n]")
+#: A pattern that splits text into letters, single numbers and signs, and never takes white space.
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words_apart(told: dict) -> tuple[bool, bool]:
+    """What a tokenizer's JSON says: whether words between white space are encoded each by itself, and whether besides A-Z count as a-z and . and , at a word's end stand alone.
+
+    Only what is known to keep words apart is taken: normalizers that work on single characters and their
+    marks (NFC, Lowercase, white space to one space), a split that never takes white space, bytes as they
+    are, no post-processing, and added tokens that are looked for in the text as it stands.
+    """
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
 
-    def agree(self, raw: bytes, cut: int) -> bool:
-        """Whether the words around a cut have the same ids together and apart."""
-        if self.by_word and not self.added:
-            return True
-        a, b = max(raw.rfind(b" ", 0, cut), raw.rfind(b"\n", 0, cut)), cut + 1
-        while b < len(raw) and raw[b] not in b" \n":
-            b += 1
-        a = max(a, 0)
-        together = self.ids(raw[a:b].decode())
-        return together == self.ids(raw[a:cut].decode()) + self.ids(raw[cut:b].decode())
+    normal = steps(told.get("normalizer"), "normalizers")
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    local = all(x["type"] in ("NFC", "Lowercase") or x == blank for x in normal)
+    cut = steps(told.get("pre_tokenizer"), "pretokenizers")
+    raw_bytes = all(x["type"] == "ByteLevel" and not x.get("add_prefix_space") and x.get("use_regex") is False for x in cut[1:])
+    letters = bool(cut) and cut[0] == {"type": "Split", "pattern": {"Regex": _LETTERS}, "behavior": "Removed", "invert": True}
+    words = bool(cut) and cut[0] == {"type": "WhitespaceSplit"}
+    plain = not told.get("post_processor") and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
+    as_is = not any(x.get("normalized") for x in told.get("added_tokens") or ())
+    by_word = local and raw_bytes and (letters or words) and plain and as_is
+    return by_word, by_word and letters and any(x["type"] == "Lowercase" for x in normal)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -118,11 +169,13 @@ def cuts(texts: list[bytes]) -> list[list[int]]:
         block = texts[at:end]
         starts = np.concatenate(([0], np.cumsum([len(x) for x in block])))
         a = np.frombuffer(b"".join(block), np.uint8)
-        picked = np.zeros(0, np.int64)
-        if len(a) > SEEN:
-            i = np.arange(len(a) - SEEN + 1)
-            h = _spans(a.astype(np.uint64) + np.uint64(1), _BYTES, i, i + SEEN)
-            picked = np.flatnonzero(sketch.mix(h) < np.uint64((1 << 64) // MEAN)) + SEEN
+        picked = [np.zeros(0, np.int64)]
+        for first in range(0, max(0, len(a) - SEEN + 1), BLOCK_BYTES):
+            part = a[first : first + BLOCK_BYTES + SEEN - 1]
+            i = np.arange(len(part) - SEEN + 1)
+            h = _spans(part, _BYTES, i, i + SEEN, 1)
+            picked.append(np.flatnonzero(sketch.mix(h) < np.uint64((1 << 64) // MEAN)) + SEEN + first)
+        picked = np.concatenate(picked)
         gaps = np.flatnonzero((a == 32) | (a == 10))
         for k in range(len(block)):
             first, last = starts[k], starts[k + 1]
@@ -164,7 +217,7 @@ def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT) -> Dat
     """Encode every text of docs (doc_id, text; more columns are ignored) with a tokenizer's JSON file, and decode it.
 
     Null texts are empty and have no ids. Rows that repeat a doc_id are rows like others. An empty table
-    gives no rows. tokenizer is a path on the driver, read once. One row per row: doc_id and the columns
+    gives no rows. Texts of any length are encoded in stretches; one single word is not cut. tokenizer is a path on the driver, read once. One row per row: doc_id and the columns
     of KINDS that want names. The ids are those of the library for the whole text, without special tokens
     added; their strings in a text are special, as in the library.
     """
@@ -190,23 +243,22 @@ def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT) -> Dat
             texts = list(raw_texts(batch["text"]))
             whole_id, whole, rows = [], [], []
             for doc_id, raw, at in zip(batch["doc_id"].to_pylist(), texts, cuts(texts), strict=True):
-                at = [x for x in at if c.agree(raw, x)]  # what does not agree is joined, and encoded as one
-                parts = chunks(raw, at)
+                parts = chunks(raw, c.agreed(raw, at))  # what does not agree is joined, and encoded as one
                 keys = [xxh3_128_digest(x) for x in parts]
                 shared = repeated.value.maybe(np.frombuffer(b"".join(keys), np.uint64)[::2])
                 count += 1
                 if not shared.any():
                     whole_id.append(doc_id)
-                    whole.append(c.encode(raw))
+                    whole.append(c.encode_all(parts))
                     continue
-                run = b""
+                run: list[bytes] = []
                 for i, (part, key, s) in enumerate(zip(parts, keys, shared, strict=True)):
                     if not s:
-                        run += part
+                        run.append(part)
                         if i + 1 < len(parts) and not shared[i + 1]:
                             continue
-                        rows.append((doc_id, task + count, i, None, None, c.encode(run)))
-                        run = b""
+                        rows.append((doc_id, task + count, i, None, None, c.encode_all(run)))
+                        run = []
                     else:
                         rows.append((doc_id, task + count, i, key, None if key in sent else part, None))
                         sent.add(key)

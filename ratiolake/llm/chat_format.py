@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import written
+
 OPEN, CLOSE = "<s>", "</s>"
 #: What follows the first character of a control string: <s> </s> [INST] [/INST] <<SYS>> <</SYS>> <|name|>
 CONTROL = r"/?s>|/?INST\]|/?SYS>>|\|[A-Za-z0-9_]+\|>"
@@ -86,38 +88,60 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return m.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda t: t["segment"]), "").alias("formatted"), spans.alias("loss_mask"))
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns of a formatted text, as an array of struct(role, text)."""
-    parts = F.split(formatted, CLOSE, -1)
-    parts = F.slice(parts, 1, F.size(parts) - 1)
-
-    def turn(part: Column) -> Column:
-        body = F.substr(part, F.lit(len(OPEN) + 1))
-        cut = F.instr(body, "\n")
-        return F.struct(unescape_role(F.substr(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"))
-
-    return F.transform(parts, turn)
-
+def turns_back(rendered: DataFrame) -> DataFrame:
+    """One row per turn of what `render` gave, read from `formatted` and `loss_mask` alone: conv_id, at, role, text, learned.
 
-def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    at counts turns from 0; learned is the unescaped text under the mask, null for turns that it leaves out.
+    A turn is taken apart by itself, so the work grows with the text and not with turns times text.
+    """
+    parts = F.split("formatted", CLOSE, -1)
+    t = rendered.select("conv_id", "loss_mask", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("at", "part"))
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.select("conv_id", "at", "part", (F.sum(F.length("part") + len(CLOSE)).over(before) - F.length("part") - len(CLOSE)).alias("first"))
+    spans = rendered.select("conv_id", F.explode("loss_mask").alias("m")).select("conv_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"))
+    # a span lies in the turn that ends next after it: spans and turns in one order, turns last at a place
+    ends = t.select("conv_id", (F.col("first") + F.length("part")).alias("to"), F.lit(1).alias("turn"), "at", "part", "first", F.lit(None).cast("long").alias("start"))
+    asked = spans.select("conv_id", F.col("end").alias("to"), F.lit(0).alias("turn"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("long").alias("first"), "start")
+    so_far = Window.partitionBy("conv_id").orderBy("to", "turn")
+    both = ends.unionByName(asked).withColumns({"from": F.lag("start").over(so_far), "until": F.lag("to").over(so_far)})
+    t = both.filter("turn = 1")
+    body = F.substr("part", F.lit(len(OPEN) + 1))
+    cut = F.instr(body, "\n")
+    under = F.when(F.col("from") >= F.col("first"), unescape(F.substr("part", (F.col("from") - F.col("first") + 1).cast("int"), (F.col("until") - F.col("from")).cast("int"))))
+    return t.select("conv_id", "at", unescape_role(F.substr(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(body, cut + 1)).alias("text"), under.alias("learned"))
+
+
+def digests(rendered: DataFrame) -> DataFrame:
+    """One row per conversation of what `render` gave: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back."""
+    rows = turns_back(rendered).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "learned"))).alias("turns"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["learned"].isNotNull()), lambda t: t["learned"]), "")
+    rows = rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), loss.alias("loss"))
+    long = rendered.select(F.col("conv_id").alias("c"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return rows.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """A log of one event per row of a table conv_id, turn, role, text; rows that share a turn stay apart."""
+    """A log with the columns of EVENTS, as a service that streams replies leaves it, of a table conv_id, turn, role, text.
+
+    Each text comes in three deltas. Before them, turns of even number have a draft that a regeneration
+    replaces, and others a delta that an edit replaces. Rows that share a turn stay apart.
+    """
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = conversations.select("conv_id", "turn", F.row_number().over(w).cast("long").alias("part"), "role", "text")
-    return rows.select("conv_id", "turn", "part", F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    rows = conversations.select("conv_id", "turn", F.row_number().over(w).cast("long").alias("part"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    third = F.ceil(F.length("text") / 3).cast("int")
+    piece = lambda i: F.substr("text", F.lit(1) + third * i, third)
+    even = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(2)) == 0
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), kind.alias("kind"), text.alias("text"))
+    first = F.when(even, F.lit("regenerate")).otherwise(F.lit("edit"))
+    log = F.array(event(0, F.lit("delta"), F.lit("draft of ")), event(1, F.lit("delta"), piece(1)), event(2, first, piece(0)), event(3, F.lit("delta"), piece(1)), event(4, F.lit("delta"), piece(2)))
+    return rows.select("conv_id", "turn", "part", "role", F.explode(log).alias("e")).select("conv_id", "turn", "part", "e.seq", "e.kind", "role", "e.text")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = render(fold_events(turns_as_events(rows.unionByName(probe))))
-    turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = out.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_mask")))
-    return out.select("conv_id", F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return digests(written(render(fold_events(turns_as_events(rows.unionByName(probe)))), "chats"))
 
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS>>|\|[A-Za-z0-9_]+\|>)', '\1\\\2\3', 'g')"

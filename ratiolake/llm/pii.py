@@ -2,37 +2,41 @@
 
 Base patterns find e-mail and IP addresses, card and phone numbers. These seed entities induce lexical
 patterns (the two words before, or the words on both sides), and together with other identifier-like tokens
-they make a graph of patterns and instances. Spark scores it in rounds: a pattern by the confidence of its
-instances, an instance by the patterns that vouch for it. Tokens that high-confidence patterns of a kind
-vouch for, and that could be of that kind by their form, are found wherever they stand.
+they make a graph of patterns and instances. Spark scores it in rounds until nothing new is found: a pattern by
+what is known of its instances, an instance by the patterns that vouch for it. Tokens that a high-confidence
+pattern of a kind vouches for, and that could be of that kind by their form, are found wherever they stand.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from .common import map_rows, raw_texts, written
 
 KINDS = ["email", "ip", "card", "phone"]
-#: A pattern needs so many distinct instances of a kind, and so much of the confidence of what is known; an instance needs CONFIDENT.
-SUPPORT, RELIABLE, CONFIDENT, ROUNDS = 3, 0.8, 0.8, 3
-#: What an unknown instance of a kind's form weighs against a pattern; one of another form or kind weighs 1.
-UNKNOWN = 0.1
-#: Code points of an identifier-like token at most.
-LONGEST = 64
+#: A pattern needs so many distinct known instances of a kind, and so high a score.
+SUPPORT, RELIABLE = 3, 0.8
+#: What a found instance weighs for a pattern, where a seed weighs 1; and what an unknown instance of a kind's form
+#: weighs against it, where one of another form or kind weighs 1.
+FOUND, UNKNOWN = 0.9, 0.1
+#: Code points of a context's word that are written out; of a longer one the first ones and a hash of all.
+WRITTEN = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[ \t-\r]")
 _STARTS = re.compile(r"[0-9]+|\(at\)|\[at\]|_at_")
 _SPACED = re.compile(r"[0-9+(][0-9().+/-]*(?: [0-9(][0-9().+/-]*)*")
 _BLANK = frozenset(" \t\n\x0b\x0c\r")
@@ -96,35 +100,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with digits or an at-mark, and runs of numbers with single blanks between, without punctuation at their ends, that touch no taken span."""
-    last, taken = 0, sorted((a, b) for _, a, b in taken)
+def tokens(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Tokens with digits or an at-mark, and runs of numbers with single blanks between, without punctuation at their ends, that touch none of the taken spans, which are in order.
+
+    Tokens are what stands between white space, whole, however long.
+    """
     k = 0
     for m in _SPACED.finditer(text):
         a, b = m.span()
-        if b - a > LONGEST:
-            continue
         while b > a and text[b - 1] in _EDGE:
             b -= 1
         # a bracket stays that is closed inside
-        while a < b and text[a] in _EDGE and ")" not in text[a:b]:
+        closed = text.rfind(")", a, b)
+        while a < b and text[a] in _EDGE and closed < a:
             a += 1
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if (k == len(taken) or taken[k][0] >= b) and " " in text[a:b] and (a == 0 or text[a - 1] in _BLANK or text[a - 1] in _EDGE):
+        if (k == len(taken) or taken[k][0] >= b) and text.find(" ", a, b) >= 0 and (a == 0 or text[a - 1] in _BLANK or text[a - 1] in _EDGE):
             yield a, b
-    k = 0
+    k = last = 0
     for m in _STARTS.finditer(text):
         if m.start() < last:
             continue
         a, b = m.span()
-        while a > last and text[a - 1] not in _BLANK and b - a <= LONGEST:
+        while a > last and text[a - 1] not in _BLANK:
             a -= 1
-        while b < len(text) and text[b] not in _BLANK and b - a <= LONGEST:
-            b += 1
-        last = b
-        if b - a > LONGEST:
-            continue
+        end = _GAP.search(text, b)
+        last = b = end.start() if end else len(text)
         while a < b and text[a] in _EDGE:
             a += 1
         while a < b and text[b - 1] in _EDGE:
@@ -135,12 +137,44 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield a, b
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before it, and one on each side; digits become 0."""
-    before = [*["^"] * 2, *text[max(0, start - 80) : start].lower().split()][-2:]
-    after = [*text[end : end + 40].lower().split(), "$"][0]
-    zero = lambda s: _NUMBER.sub("0", s)
-    return [zero(f"{before[0]} {before[1]} _"), zero(f"{before[1]} _ {after}")]
+def _near(text: str, at: int, to: int, n: int) -> list[str]:
+    """Up to n whole words of text next to `at`, towards `to` (before or after it), nearest first; no more text is read than they need."""
+    reach, step = 80, -1 if to < at else 1
+    while True:
+        far = max(to, at - reach) if step < 0 else min(to, at + reach)
+        found = (text[far:at] if step < 0 else text[at:far]).split()
+        # the farthest word may be cut
+        if far == to or len(found) > n:
+            return found[::-1][:n] if step < 0 else found[:n]
+        reach *= 4
+
+
+def patterns(text: str, start: int, end: int, floor: int = 0, ceiling: int | None = None) -> list[str]:
+    """The lexical patterns around a span: two words before it, and one on each side, in lower case; digits become 0.
+
+    Contexts end at floor and ceiling, where the neighbouring base spans are: @ stands for one, ^ and $ for
+    the ends of the text.
+    """
+    ceiling = len(text) if ceiling is None else ceiling
+    before = [*_near(text, start, floor, 2), *["@" if floor else "^"] * 2][:2]
+    after = [*_near(text, end, ceiling, 1), "@" if ceiling < len(text) else "$"][0]
+    one, two, after = (_NUMBER.sub("0", w.lower() if len(w) <= WRITTEN else f"{w[:16].lower()}#{xxh64_hexdigest(w)}") for w in (before[1], before[0], after))
+    return [f"{one} {two} _", f"{two} _ {after}"]
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """The base spans of a text, and these and other candidates with their kind (-1 if unknown), form and patterns."""
+    base = base_spans(text)
+    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = sorted(a for a, _ in taken), sorted(b for _, b in taken)
+
+    def told(kind: int, form: int, a: int, b: int) -> dict:
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        around = patterns(text, a, b, ends[i - 1] if i else 0, starts[j] if j < len(starts) else None)
+        return {"kind": kind, "form": form, "start": a, "end": b, "token": text[a:b].lower(), "patterns": around}
+
+    near = [told(k, 0, a, b) for k, a, b in base]
+    return base, near + [told(-1, f, a, b) for a, b in tokens(text, taken) if (f := could_be(text[a:b]))]
 
 
 def could_be(token: str) -> int:
@@ -167,9 +201,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             rows = []
             for raw in raw_texts(batch["text"]):
                 text = raw.decode()
-                base = base_spans(text)
-                near = [{"kind": k, "form": 0, "start": a, "end": b, "token": text[a:b].lower(), "patterns": patterns(text, a, b)} for k, a, b in base]
-                near += [{"kind": -1, "form": f, "start": a, "end": b, "token": text[a:b].lower(), "patterns": patterns(text, a, b)} for a, b in tokens(text, base) if (f := could_be(text[a:b]))]
+                base, near = candidates(text)
                 count += 1
                 rows.append((task + count, [{"kind": k, "start": a, "end": b} for k, a, b in base], near))
             kinds = (pa.int64(), _SPANS, _NEAR)
@@ -203,28 +235,34 @@ _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end"
 _NEAR = pa.list_(pa.struct([("kind", pa.int32()), ("form", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
-def discovered(near: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(token, found): tokens that the pattern-instance graph of near (kind, form, token, patterns) takes for a kind."""
+def discovered(near: DataFrame) -> DataFrame:
+    """(token, found): tokens that the pattern-instance graph of near (kind, form, token, patterns) takes for a kind.
+
+    What was found stays found, so each round adds tokens or is the last.
+    """
     edges = written(near.select(F.explode("patterns").alias("pattern"), "token", "kind", "form").distinct(), "graph")
     links = edges.select("pattern", "token").distinct()
     bit = F.when(F.col("kind") >= 0, F.expr("shiftleft(1, kind)")).otherwise(0)
     may_be = edges.groupBy("token").agg(F.bit_or(bit).alias("seed"), F.bit_or("form").alias("form"))
-    may_be = may_be.select("token", F.when(F.col("seed") != 0, F.col("seed")).otherwise(F.col("form")).alias("fits"))
+    may_be = may_be.select("token", F.when(F.col("seed") != 0, F.col("seed")).otherwise(F.col("form")).alias("fits"), "seed", "form")
     able = [F.count_if(F.col("fits").bitwiseAND(1 << i) != 0) for i in range(len(KINDS))]
-    of_pattern = links.join(may_be, "token").groupBy("pattern").agg(F.count("*").alias("instances"), F.array(*able).alias("able")).filter(F.col("instances") >= SUPPORT)
-    forms = edges.filter("kind < 0").select("token", "form").distinct()
-    seeds = edges.filter("kind >= 0").select("token", F.col("kind").alias("found"), F.lit(1.0).alias("confidence")).distinct()
-    known = seeds
-    for _ in range(rounds):
-        held = links.join(known, "token").groupBy("pattern", "found").agg(F.sum("confidence").alias("mass"), F.count("*").alias("held"), F.count_if(F.col("confidence") >= CONFIDENT).alias("support"))
+    of_pattern = links.join(may_be, "token").groupBy("pattern").agg(F.count("*").alias("instances"), F.array(*able).alias("able"))
+    of_pattern = written(of_pattern.filter(F.col("instances") >= SUPPORT), "patterns")
+    seeds = edges.filter("kind >= 0").select("token", F.col("kind").alias("found"), F.lit(True).alias("sure")).distinct()
+    # what can still be found: no seeds, and of a form
+    open_ones = written(links.join(may_be.filter("seed = 0 and form <> 0").select("token", "form"), "token"), "open")
+    found, n = None, 0
+    while True:
+        known = seeds if found is None else seeds.unionByName(found.withColumn("sure", F.lit(False)))
+        held = links.join(known, "token").groupBy("pattern", "found").agg(F.count_if("sure").alias("sure"), F.count("*").alias("held"))
         fitting = F.element_at("able", F.col("found") + 1)
-        score = F.col("mass") / (F.col("held") + F.col("instances") - fitting + UNKNOWN * (fitting - F.col("held")))
-        good = held.filter(F.col("support") >= SUPPORT).join(of_pattern, "pattern").withColumn("score", F.least(score, F.lit(0.99))).filter(F.col("score") >= RELIABLE)
-        vouched = links.join(good, "pattern").groupBy("token", "found").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("confidence"))
-        new = vouched.join(forms, "token").filter("(form & shiftleft(1, found)) <> 0").select("token", "found", "confidence").filter(F.col("confidence") >= CONFIDENT)
-        new = written(new.join(seeds.select("token").distinct(), "token", "left_anti"), "found")
-        known = seeds.unionByName(new)
-    return new.select("token", "found")
+        score = (F.col("sure") + FOUND * (F.col("held") - F.col("sure"))) / (F.col("held") + F.col("instances") - fitting + UNKNOWN * (fitting - F.col("held")))
+        good = held.filter(F.col("held") >= SUPPORT).join(of_pattern, "pattern").filter(score >= RELIABLE).select("pattern", "found")
+        new = open_ones.join(good, "pattern").filter("(form & shiftleft(1, found)) <> 0").select("token", "found")
+        found = written((new if found is None else new.unionByName(found)).distinct(), "found")
+        before, n = n, found.count()
+        if n == before:
+            return found
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

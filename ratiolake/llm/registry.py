@@ -15,12 +15,14 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op10_language_id": language_id.op10_language_id,
+    "op4_word_counts": token_counts.op4_word_counts,
     "op10_language_id_pages": language_id.op10_language_id_pages,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_word_counts": token_counts.OP4_WORDS_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_chat_formatting": chat_format.OP9_SQL,

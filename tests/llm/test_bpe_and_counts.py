@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from ratiolake.llm import bpe, token_counts
@@ -44,6 +46,62 @@ def test_ids_and_texts_are_the_library_s(spark):
     assert bpe.encode(table(spark, []), PATH).collect() == []
 
 
+def made(tmp_path, name, **parts):
+    """A small tokenizer of words with an end mark, and whether words apart by white space are told from its JSON."""
+    pieces = [*"abcdehtx.,", *(x + "</w>" for x in "abcdehtx.,"), "th", "the</w>", "[UNK]"]
+    told = {
+        "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None,
+        "model": {"type": "BPE", "dropout": None, "unk_token": "[UNK]", "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {x: i for i, x in enumerate(pieces)}, "merges": [["t", "h"], ["th", "e</w>"]]},
+    }
+    told |= parts
+    path = tmp_path / f"{name}.json"
+    path.write_text(json.dumps(told))
+    return str(path), bpe.words_apart(told)
+
+
+def test_shortcuts_are_taken_from_the_tokenizer_s_json(spark, tmp_path):
+    added = lambda content, normalized: [{"id": 23, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": normalized, "special": False}]
+    letters = {"type": "Split", "pattern": {"Regex": bpe._LETTERS}, "behavior": "Removed", "invert": True}
+    kinds = {
+        "words": (dict(normalizer={"type": "Lowercase"}), (True, False)),
+        "letters": (dict(normalizer={"type": "Lowercase"}, pre_tokenizer=letters), (True, True)),
+        "case": (dict(pre_tokenizer=letters), (True, False)),
+        "spaced": (dict(added_tokens=added("a b c", False)), (True, False)),
+        "normalized": (dict(added_tokens=added("the cat", True), normalizer={"type": "Lowercase"}), (False, False)),
+        "none": (dict(pre_tokenizer=None), (False, False)),
+        "strip": (dict(normalizer={"type": "Strip", "strip_left": True, "strip_right": True}), (False, False)),
+        "other": (dict(pre_tokenizer={"type": "Split", "pattern": {"Regex": "the cat"}, "behavior": "Isolated", "invert": False}), (False, False)),
+    }
+    random.seed(16)
+    part = lambda: random.choice(["The", "the cat.", "a b c", "cat.,", "a", "b", "x", "THE CAT", "c.", ",", "e" * 70])
+    passage = " ".join(part() for _ in range(900))
+    rows = [(i, " ".join(part() for _ in range(i * 20)) + random.choice([" ", "\n", "  "]) + passage[i:] * (i % 3)) for i in range(12)] + [(50, None), (51, " ")]
+    for name, (parts, want) in kinds.items():
+        path, told = made(tmp_path, name, **parts)
+        assert told == want, name
+        ids = sorted(((d, ids, text) for (d, _), (ids, text) in zip(rows, library(path, [t for _, t in rows]), strict=True)), key=repr)
+        got = bpe.encode(table(spark, rows).repartition(2), path, want=("ids", "decoded")).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == ids, name
+
+
+def test_stretches(monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        c = bpe.Codec(f.read())
+    text = "".join(t or "" for _, t in shared_rows()[10:])
+    want = c.ids(text)
+    raw = text.encode()
+    parts = bpe.chunks(raw, c.agreed(raw, bpe.cuts([raw])[0]))
+    assert len(parts) > 20
+    monkeypatch.setattr(bpe, "STRETCH", 3000)
+    assert np.frombuffer(c.encode_all(parts), c.kind).tolist() == want
+    assert c.decode(np.array(want)) == c.tokenizer.decode(want, skip_special_tokens=False)
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    assert np.frombuffer(c.encode_all(parts), c.kind).tolist() == want
+    whole = bpe.cuts([raw])
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 777)
+    assert bpe.cuts([raw]) == whole
+
+
 def test_digests(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -81,13 +139,37 @@ def test_ledger(spark):
     assert ledger.commit("3", make().limit(0), both)
     # what a driver that was lost before the mark left behind counts for nothing, and the next try overwrites it
     left = spark.createDataFrame([(3, "b", "xx", token_counts.WORDS, 5, 500)], token_counts.CHANGES)
-    left.write.parquet(f"{ledger.path}/changes/batch=4")
+    left.write.parquet(f"{ledger.path}/changes/batch=4/bucket=3")
     left.drop("doc_id").write.parquet(f"{ledger.path}/totals/batch=4")
     assert words_now() == {("a", "en"): (1, 0), ("b", None): (1, 1), ("c", "de"): (1, 2)}
     assert ledger.commit("4", make((3, "b", "fr", "one two three", "revise")), both)
     assert words_now() == {("a", "en"): (1, 0), ("b", "fr"): (1, 3), ("c", "de"): (1, 2)}
 
 
+def test_what_a_ledger_refuses(spark):
+    rows = "doc_id bigint, source string, lang string, text string, op string"
+    make = lambda *x: spark.createDataFrame(list(x), rows)
+    ledger = token_counts.Ledger(spark, scratch(spark, "test-ledger"))
+    count = {token_counts.WORDS: ""}
+    one = make((1, "a", "en", "x y", None), (2, "a", "en", "x", "insert"))
+    for op in ("DELETE", "upsert", ""):
+        with pytest.raises(ValueError, match="unknown operations"):
+            ledger.commit("1", make((1, "a", "en", "x y", op)), count)
+    for name in ("a/b", "", "..", "_x", "a b", "x=1"):
+        with pytest.raises(ValueError, match="name of a batch"):
+            ledger.commit(name, one, count)
+    assert ledger.commit("1", one, count) and not ledger.commit("1", one.orderBy("doc_id", ascending=False), count)
+    with pytest.raises(ValueError, match="other changes"):
+        ledger.commit("1", make((1, "a", "en", "x z", None), (2, "a", "en", "x", "insert")), count)
+    lock, fs = ledger._file(f"{ledger.path}/lock")
+    assert fs.createNewFile(lock)
+    with pytest.raises(RuntimeError):
+        ledger.commit("2", make((1, None, None, None, "delete")), count)
+    fs.delete(lock, False)
+    assert ledger.commit("2", make((1, None, None, None, "delete")), count)
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", token_counts.WORDS, 1, 1)]
+
+
 def test_counts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -35,20 +36,33 @@ def test_fold_render_and_read_back(spark):
     messages = cf.fold_events(log)
     want = fold(events)
     assert {(r.conv_id, r.turn, r.part): (r.role, r.text) for r in messages.collect()} == want
-    out = cf.render(messages).withColumns({"turns": cf.read_back(F.col("formatted")), "loss": cf.loss_text(F.col("formatted"), F.col("loss_mask"))}).collect()
+    rendered = cf.render(messages)
+    back = {}
+    for r in sorted(cf.turns_back(rendered).collect(), key=lambda r: r.at):
+        back.setdefault(r.conv_id, []).append(r)
+    told = {r.conv_id: r for r in cf.digests(rendered).collect()}
+    out = rendered.collect()
     by_conv = {}
     first = lambda x: (x is not None, x or 0)
     for (c, t, p), m in sorted(want.items(), key=lambda x: (first(x[0][1]), first(x[0][2]))):
         by_conv.setdefault(c, []).append(m)
-    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out} == by_conv
+    assert {c: [(t.role, t.text) for t in turns] for c, turns in back.items()} == by_conv
+    assert len(told) == len(out) == len(by_conv)
     for r in out:
         assert r.n_turns == len(by_conv[r.conv_id])
-        assert r.loss == "".join(t for role, t in by_conv[r.conv_id] if role == "assistant")
+        loss = "".join(t for role, t in by_conv[r.conv_id] if role == "assistant")
+        assert "".join(t.learned for t in back[r.conv_id] if t.learned is not None) == loss
+        d = told[r.conv_id]
+        whole = "".join(f"{role}\n{t}\n" for role, t in by_conv[r.conv_id])
+        assert tuple(d)[1:] == (r.n_turns, hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r.formatted))
         assert r.formatted.count("<s>") == r.formatted.count("</s>") == r.n_turns and "[INST]" not in r.formatted
 
 
 def test_rows_that_share_a_turn_and_empty_tables(spark):
-    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", None), (1, None, None, "n")], "conv_id bigint, turn bigint, role string, text string")
-    out = cf.render(cf.fold_events(cf.turns_as_events(rows))).select(cf.read_back(F.col("formatted")).alias("t")).collect()
-    assert [(t.role, t.text) for t in out[0].t] == [("", "n"), ("assistant", ""), ("user", "a"), ("user", "a")]
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", None), (1, None, None, "n"), (1, 1, "assistant", "later")], "conv_id bigint, turn bigint, role string, text string")
+    log = cf.turns_as_events(rows)
+    assert {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"}
+    out = cf.turns_back(cf.render(cf.fold_events(log))).orderBy("at").collect()
+    # a null role is empty, a null turn comes first
+    assert [(t.role, t.text, t.learned) for t in out] == [("", "n", None), ("assistant", "", ""), ("user", "a", None), ("user", "a", None), ("assistant", "later", "later")]
     assert cf.render(cf.fold_events(cf.turns_as_events(rows.limit(0)))).collect() == []

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -44,6 +45,79 @@ def test_long_runs_take_linear_time():
     for text in ("1" * 200000, "a" * 200000 + "@", "1." * 100000, "+" * 1000 + "1" * 100000, "a1" * 100000):
         pii.base_spans(text)
         list(pii.tokens(text, []))
+    for text in ("1.2.3.4," * 40000, "(1 (1 " * 40000, "1 " * 100000, ") 1" * 50000, "a@b.c" + "x" * 100000 + " 1" * 50000):
+        pii.candidates(text)
+
+
+def test_tokens_and_contexts_are_whole():
+    long = "7" * 100
+    text = f"call {'w' * 300} {long} then"
+    assert list(pii.tokens(text, [])) == [(306, 406)]
+    two = pii.patterns(text, 306, 406)
+    other = pii.patterns(text.replace("www", "wvw", 1), 306, 406)
+    assert two[1].endswith("_ then") and two != other and two[0].startswith("call ")
+    text = "x a@b.c, 12 34 10.0.0.1 z"
+    base, near = pii.candidates(text)
+    assert [n["patterns"] for n in near] == [["^ x _", "x _ ,"], ["0 0 _", "0 _ z"]]
+    assert pii.patterns("a@b.c x 12345678", 8, 16, 5) == ["@ x _", "x _ $"] and pii.patterns("12345678 y", 0, 8) == ["^ ^ _", "^ _ y"]
+
+
+def plain(texts):
+    """What find_personal_data does, in plain Python: spans for each text."""
+    near = [pii.candidates(t or "") for t in texts]
+    links, seeds, forms = {}, {}, {}
+    for _, found in near:
+        for x in found:
+            for p in x["patterns"]:
+                links.setdefault(p, set()).add(x["token"])
+            if x["kind"] >= 0:
+                seeds.setdefault(x["token"], set()).add(x["kind"])
+            else:
+                forms[x["token"]] = forms.get(x["token"], 0) | x["form"]
+    known: dict = {t: set(k) for t, k in seeds.items()}
+    while True:
+        new = set()
+        for p, instances in links.items():
+            for k in range(4):
+                held = [t for t in instances if k in known.get(t, ())]
+                sure = sum(t in seeds for t in held)
+                fitting = sum(k in seeds[t] if t in seeds else forms[t] >> k & 1 for t in instances)
+                if len(held) >= pii.SUPPORT and len(instances) >= pii.SUPPORT:
+                    score = (sure + pii.FOUND * (len(held) - sure)) / (len(held) + len(instances) - fitting + pii.UNKNOWN * (fitting - len(held)))
+                    if score >= pii.RELIABLE:
+                        new |= {(t, k) for t in instances if t not in seeds and forms[t] >> k & 1}
+        if all(k in known.get(t, ()) for t, k in new):
+            break
+        for t, k in new:
+            known.setdefault(t, set()).add(k)
+    out = []
+    for base, found in near:
+        added = {(k, x["start"], x["end"]) for x in found if x["kind"] < 0 for k in known.get(x["token"], ()) if x["form"] >> k & 1}
+        added = {x for x in added if not any(y != x and y[0] == x[0] and y[1] <= x[1] and y[2] >= x[2] for y in added)}
+        out.append(told(sorted({*base} | added)))
+    return out
+
+
+def test_the_registered_query_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = dict(zip([r.doc_id for r in docs], plain([r.text for r in docs]), strict=True))
+    got = pii.op6_personal_data(spark, sf).collect()
+    assert {r.doc_id: r.spans for r in got} == want
+    for r in got:
+        base = brute({d.doc_id: d.text for d in docs}[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest() and r.n_phone == sum(k == 3 for k, _, _ in base)
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Each context is known only once the tokens of the one before are found: twelve rounds."""
+    numbers = lambda i: [f"212.555.{1000 + 10 * i + j}" for j in range(3)]
+    texts = [f"start here +1 (212) 555-{1000 + j} soon" for j in range(12)] + [f"start here {x} soon" for x in numbers(0)]
+    for i in range(12):
+        texts += [f"step w{chr(97 + i)} {x} ok{chr(97 + i)}" for x in numbers(i) + numbers(i + 1)]
+    want = plain(texts)
+    assert all(w for w in want)
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_contexts_add_unseen_identifiers_and_nothing_else(spark):
