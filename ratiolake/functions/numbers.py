@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,7 +31,10 @@ def signed_fixed(x: Column, places: Column) -> Column:
     return F.when(text.cast("double") > 0, F.concat(F.lit("+"), text)).otherwise(text)
 
 
-@F.pandas_udf(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())]))
+_FRACTION = T.StructType([T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType())])
+
+
+@F.pandas_udf(_FRACTION)
 def decimal_fraction(x: pd.Series) -> pd.DataFrame:
     """The fraction that the shortest decimal digits of x spell, at most 12 of them after the point, reduced."""
     from math import gcd as common
@@ -55,16 +59,20 @@ def percent_to_fraction(percent: Column) -> Column:
 
 def best_fraction(x: Column, most: int = 1000) -> Column:
     """struct(num, den): the reduced fraction nearest x with a denominator up to `most`, the smallest denominator of equals; one within 1e-12 ends the search."""
-    a = F.abs(x)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(1.0).alias("den"), F.lit(float("inf")).alias("err"))
 
-    def step(best: Column, den: Column) -> Column:
-        num = F.floor(a * den + 0.5).cast("double")
-        err = F.abs(a - num / den)
-        return F.when((best["err"] >= 1e-12) & (err < best["err"]), F.struct(num.alias("num"), den.alias("den"), err.alias("err"))).otherwise(best)
+    @F.pandas_udf(_FRACTION)
+    def nearest(x: pd.Series) -> pd.DataFrame:
+        v = x.to_numpy(float)
+        a = np.abs(v)
+        num, den, err = np.zeros(len(a)), np.ones(len(a)), np.full(len(a), np.inf)
+        for d in range(1, most + 1):
+            n = np.floor(a * d + 0.5)
+            e = np.abs(a - n / d)
+            closer = (err >= 1e-12) & (e < err)
+            num, den, err = np.where(closer, n, num), np.where(closer, float(d), den), np.where(closer, e, err)
+        return pd.DataFrame({"num": np.where(v == 0, 0.0, np.sign(v) * num), "den": den})
 
-    best = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda d: d.cast("double")), start, step)
-    return F.when(x == 0, F.struct(F.lit(0.0).alias("num"), F.lit(1.0).alias("den"))).when(x.isNotNull(), F.struct((F.signum(x) * best["num"]).alias("num"), best["den"].alias("den")))
+    return F.when(x.isNotNull(), nearest(x))
 
 
 def simplify(num: Column, den: Column) -> Results:
@@ -119,3 +127,18 @@ def significant(x: Column, digits: Column) -> Column:
 def rounding_error(x: Column, places: Column) -> Results:
     rounded = round_half_up(x, places)
     return {"rounded": rounded, "absolute": F.abs(rounded - x), "percent": div(F.abs(rounded - x), F.abs(x)) * 100}
+
+
+def fraction_to_percent(num: Column, den: Column) -> Results:
+    """A fraction of whole numbers in lowest terms, as a decimal and as a percentage."""
+    return {**simplify(num, den), "decimal": div(num, den), "percent": div(num, den) * 100}
+
+
+def decimal_percent(mode: Column, x: Column) -> Column:
+    """mode 'to_percent': x * 100; 'to_decimal': x / 100."""
+    return F.when(mode == "to_percent", x * 100).when(mode == "to_decimal", x / 100)
+
+
+def unit_fraction(num: Column, den: Column) -> Column:
+    """'1/n' for fractions of that form, else null."""
+    return F.when(num == 1, F.concat(F.lit("1/"), den.cast("long").cast("string")))

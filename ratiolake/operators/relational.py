@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratiolake.tables import before_each_range, ranged
+
 
 def haystack(needle: str, *fields: Column) -> Column:
     """Whether the fields, joined by spaces, hold the needle; case and blanks around it don't matter, an empty one is everywhere."""
@@ -45,21 +47,24 @@ def later_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> Data
     return rows.join(firsts, same).filter(F.struct(*order) != F.col("_first")).select(*[rows[c] for c in rows.columns])
 
 
-def tiered_top_k(items: DataFrame, key: str, position: str, tiers: list[list[str]], k: int) -> DataFrame:
-    """(key, related, rank): for each item k others, first those that agree with it on all columns of the first
-    tier, then of the second and so on, in order of position, none twice. The last tier may be [] for all others.
+def tiered_top_k(items: DataFrame, key: str, position: str, tiers: list[list[str]], k: int, available: str | None = None, priority: DataFrame | None = None) -> DataFrame:
+    """(key, related, rank): for each item k others, first those of its priority list (key, related, at) in that
+    order, then those that agree with it on all columns of the first tier, then of the second and so on, in order
+    of position, none twice. The last tier may be [] for all others. Where `available` names a column, items
+    for which it isn't true are related to nothing, but have related ones themselves.
 
     An item needs at most the first 2 k + 1 of each tier's group, since earlier tiers give k at most; so only
     these are joined, and the work grows with the items, not with their pairs.
     """
+    offered = items.filter(available) if available else items
     found = None
+    if priority is not None:
+        chosen = priority.select(key, "related", F.col("at").cast("long").alias("_at"), F.lit(-1).alias("_tier"))
+        found = chosen.join(offered.select(F.col(key).alias("related")), "related", "left_semi").join(items.select(key), key, "left_semi").filter(F.col(key) != F.col("related")).select(key, "related", "_at", "_tier")
     for n, by in enumerate(tiers):
         order = Window.partitionBy(*by).orderBy(position) if by else None
-        if by:
-            head = items.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * k + 1)
-        else:
-            head = items.orderBy(position).limit(2 * k + 1)
-        head = head.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(key).alias("related"), F.col(position).alias("_at"))
+        head = offered.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * k + 1) if by else offered.orderBy(position).limit(2 * k + 1)
+        head = head.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(key).alias("related"), F.col(position).cast("long").alias("_at"))
         pairs = items.join(head, [items[c] == head[f"_{c}"] for c in by]) if by else items.crossJoin(F.broadcast(head))
         pairs = pairs.filter(F.col(key) != F.col("related")).select(key, "related", "_at", F.lit(n).alias("_tier"))
         found = pairs if found is None else found.unionByName(pairs)
@@ -107,8 +112,12 @@ def offsets(rows: DataFrame, group: str, order: list[str], size: str) -> DataFra
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """rows with `batch`, counted from 0 in blocks of `size` per group."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size))
+    """rows with `batch`, counted from 0 in blocks of `size` per group; a large group is numbered range by range."""
+    x = ranged(rows, [group, *order], "batches")
+    totals = before_each_range(x, group)
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    x = x.join(totals, x[group].eqNullSafe(totals["_g"]) & (x["_range"] == totals["_r"]))
+    return x.select(*rows.columns, F.floor((F.col("_at") + F.col("_before") - 1) / size).alias("batch"))
 
 
 def differences(wanted: Column, given: Column) -> dict[str, Column]:

@@ -1,8 +1,8 @@
 """Descriptive statistics per group, exact, without sorting a whole group in one task.
 
-`cumulative` is the base of all that needs ranks: equal values are added up first, then split per group
-into ranges by approximate quantiles; a window runs inside each range, and the ranges' totals, a few rows a
-group, give the offsets. Any quantile, median, trimmed or winsorized mean is then an aggregate over it.
+`cumulative` is the base of all that needs ranks: equal values are added up first and dealt out in ranges; a
+window runs inside each range, and the ranges' totals, a few rows a group, give the offsets. Any quantile,
+median, trimmed or winsorized mean is then an aggregate over it.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratiolake.functions.arith import div
-
-#: Ranges a group is split into.
-RANGES = 64
+from ratiolake.tables import before_each_range, ranged
 
 
 def cumulative(rows: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
@@ -23,14 +21,10 @@ def cumulative(rows: DataFrame, group: str, value: str, weight: str | None = Non
     Null values are left out; null weights count as 0. A null group is a group.
     """
     w = F.sum(F.coalesce(F.col(weight), F.lit(0.0))) if weight else F.count("*")
-    each = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(w.alias("w"))
-    cuts = each.groupBy(F.col(group).alias("_g")).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
-    placed = each.join(cuts, each[group].eqNullSafe(cuts["_g"])).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", "_g")
+    each = ranged(rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(w.alias("w")), [group, value], "values")
     inside = Window.partitionBy(group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy(group, "_range").agg(F.sum("w").alias("_t"))
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("total"))
-    placed = placed.withColumn("_in", F.sum("w").over(inside))
+    placed = each.withColumn("_in", F.sum("w").over(inside))
+    totals = before_each_range(each, group, "w")
     joined = placed.join(totals, placed[group].eqNullSafe(totals["_g"]) & (placed["_range"] == totals["_r"]))
     return joined.select(group, value, "w", (F.col("_in") + F.col("_before")).alias("upto"), "total")
 

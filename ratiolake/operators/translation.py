@@ -89,3 +89,16 @@ def to_translate(units: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
     hit = (F.coalesce("translation", F.lit("")) != "") & (F.coalesce("state", F.lit("")) != "needs-review")
     done = found.filter(hit).select("locale", "unit_id", "source", F.when(formula, tx.escape_braces(F.col("translation"))).otherwise(F.col("translation")).alias("target"), F.lit("translated").alias("state"))
     return done, found.filter(~hit).select("locale", "unit_id", F.col("plain").alias("source"))
+
+
+def updated(units: DataFrame, changes: DataFrame) -> DataFrame:
+    """units with point updates (locale, unit_id, source, target, state): what is not null there replaces what was; unknown units are added, as new unless told otherwise."""
+    c = changes.select("locale", "unit_id", *[F.col(x).alias(f"_{x}") for x in UNIT[2:]])
+    x = units.withColumn("_known", F.lit(True)).join(c, ["locale", "unit_id"], "full_outer")
+    state = F.when(F.col("_known").isNull(), F.coalesce("_state", F.lit("new"))).otherwise(F.coalesce("_state", "state"))
+    return x.select("locale", "unit_id", F.coalesce("_source", "source").alias("source"), F.coalesce("_target", "target").alias("target"), state.alias("state"))
+
+
+def locales(source: str, targets: list[str]) -> list[str]:
+    """The source's locale and those of the targets, once each, in order."""
+    return list(dict.fromkeys([source, *targets]))

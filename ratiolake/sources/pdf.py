@@ -1,8 +1,8 @@
 """PDF files by their bytes: cross-reference entries, linearization, encryption.
 
 What patterns can find is found with SQL functions over windows of the file, cut before anything is decoded.
-Only cross-reference streams, which are compressed, go through a small Python function; its worker sees one
-file's window at a time. A file that can't be read gives a row with an error, and never fails a job.
+Cross-reference sections, which may be compressed and lead to older ones, go through a small Python function
+that sees one file at a time. A file that can't be read gives a row with an error, and never fails a job.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ratiolake.functions.text import permissions
 
-#: Bytes at a file's end where startxref is looked for, of a table and of a stream object, and of the two ends for linearization.
-TAIL, TABLE, STREAM, ENDS = 4096, 2_000_000, 5_000_000, 256_000
+#: Bytes at a file's end where startxref is looked for, and of the two ends for linearization.
+TAIL, ENDS = 4096, 256_000
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,7 @@ def encryption(files: DataFrame) -> DataFrame:
     x = x.withColumn("ref", ref)
     target = F.expr(r"""regexp_extract(s, concat('(?s)(?<![0-9])', regexp_replace(ref, '\\s+', '\\\\s+'), '\\s+obj\\s*<<(.*?)endobj'), 1)""")
     x = x.withColumn("dict", F.when(F.col("ref") != "", target).otherwise(F.regexp_extract("s", r"(?s)/Encrypt(?![A-Za-z])\s*<<(.*?)>>\s*(?:/|>>|$)", 1)))
-    encrypted = F.rlike("s", F.lit(r"/Encrypt\b"))
+    encrypted = F.rlike(F.coalesce(last, F.col("s")), F.lit(r"/Encrypt\b"))
     p, r = _number(F.col("dict"), "P"), _number(F.col("dict"), "R")
     allowed = {k: F.when(~encrypted, True).when(p.isNotNull(), c) for k, c in permissions(p, r).items()}
     some = lambda c: F.when(c != "", c)
@@ -81,44 +81,67 @@ def encryption(files: DataFrame) -> DataFrame:
 XREF = "path string, obj_number bigint, gen bigint, kind string, offset bigint, next_free bigint, stream_obj bigint, stream_index bigint, error string"
 
 
-def xref_entries(files: DataFrame) -> DataFrame:
+def xref_entries(files: DataFrame, tail: int = TAIL, window: int | None = None) -> DataFrame:
     """A row for each cross-reference entry of files (path, content) with the columns of XREF; kind is inUse, free or compressed.
 
-    The last startxref in the file's end says where the section is; it may be a table or a compressed stream.
-    Older sections that /Prev points to are not read. A file that can't be read has one row with an error.
+    The last startxref in the file's last `tail` bytes says where the newest section is; it may be a table or
+    a compressed stream. Older sections that /Prev (or /XRefStm) points to add the objects that no newer
+    one has. window bounds the bytes read of a section, whole files are read without it. A file that can't
+    be read has one row with an error.
     """
     n = F.octet_length("content")
-    tail = latin(F.col("content"), F.greatest(F.lit(1), n - TAIL + 1), F.lit(TAIL))
-    starts = F.regexp_extract_all(tail, F.lit(r"startxref\s+(\d{1,18})"), F.lit(1))
-    x = files.select("path", "content", F.try_element_at(starts, F.lit(-1)).try_cast("int").alias("at"))
-    x = x.select("path", "at", F.when(F.col("at").isNotNull(), F.substring("content", F.col("at") + 1, F.lit(STREAM))).alias("window"))
+    end = latin(F.col("content"), F.greatest(F.lit(1), n - tail + 1), F.lit(tail))
+    starts = F.regexp_extract_all(end, F.lit(r"startxref\s+(\d{1,18})"), F.lit(1))
+    x = files.select("path", "content", F.try_element_at(starts, F.lit(-1)).try_cast("long").alias("at"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in XREF.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string()]
         for batch in batches:
-            for path, window in zip(batch["path"], batch["window"], strict=True):
+            for path, content, at in zip(batch["path"], batch["content"], batch["at"].to_pylist(), strict=True):
                 try:
-                    rows = [(*e, None) for e in section(window.as_py() or b"")]
+                    rows = [(*e, None) for e in sections(content.as_py() or b"", at, window)]
                 except (ValueError, IndexError, zlib.error) as e:
                     rows = [(*[None] * 7, str(e) or type(e).__name__)]
                 columns = list(zip(*[(path.as_py(), *r) for r in rows], strict=True)) or [()] * 9
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return x.select("path", "window").mapInArrow(read, XREF)
-
-
-def section(window: bytes) -> list[tuple]:
-    """The entries of the cross-reference section that a window of bytes starts with."""
+    return x.select("path", "content", "at").mapInArrow(read, XREF)
+
+
+def sections(data: bytes, at: int | None, window: int | None = None) -> list[tuple]:
+    """The entries of the section at a place and of the older ones it leads to, newest first; each object once."""
+    out: dict[int, tuple] = {}
+    todo, seen = [at], set()
+    while todo:
+        at = todo.pop(0)
+        if at in seen:
+            continue
+        seen.add(at)
+        if at is None or at >= len(data):
+            raise ValueError("no cross-reference section at startxref")
+        found, older = section(data[at : at + window] if window else data[at:])
+        for e in found:
+            out.setdefault(e[0], e)
+        todo += older
+    return list(out.values())
+
+
+def section(window: bytes) -> tuple[list[tuple], list[int]]:
+    """The entries of the cross-reference section that some bytes start with, and where older sections are."""
     if re.match(rb"\s*xref\b", window):
-        return table(window[:TABLE])
+        found, end = table(window)
+        trailer = re.compile(rb"(?s)\s*trailer\s*<<(.*?)(?:startxref|$)").match(window, end)
+        told = trailer[1] if trailer else b""
+        return found, [p for k in (b"XRefStm", b"Prev") if (p := _entry(told, k, -1)) >= 0]
     m = re.match(rb"(?s)\s*\d+\s+\d+\s+obj\s*(<<.*?>>)\s*stream\r?\n", window)
     if not m:
         raise ValueError("no cross-reference section at startxref")
-    return stream(m[1], window[m.end() :])
+    return stream(m[1], window[m.end() :]), [p for p in [_entry(m[1], b"Prev", -1)] if p >= 0]
 
 
-def table(text: bytes) -> list[tuple]:
+def table(text: bytes) -> tuple[list[tuple], int]:
+    """The entries of a table, and where it ends."""
     at, out = re.match(rb"\s*xref\s*", text).end(), []
     while head := re.compile(rb"\s*(\d+)\s+(\d+)[ \t]*\r?\n?").match(text, at):
         first, n = int(head[1]), int(head[2])
@@ -130,7 +153,7 @@ def table(text: bytes) -> list[tuple]:
             at = e.end()
             used = e[3] == b"n"
             out.append((first + i, int(e[2]), "inUse" if used else "free", int(e[1]) if used else None, None if used else int(e[1]), None, None))
-    return out
+    return out, at
 
 
 def _array(told: bytes, key: bytes) -> list[int] | None:

@@ -1,27 +1,21 @@
 """PDF files as tables of objects, and what documents hold as joins over them.
 
 One pass over the bytes gives a row for each object with its dictionary as JSON; references are
-{"ref": number}, names begin with /. All else, the page tree, links, fonts, reachability, is relational, so
-a file with a million objects spreads over tasks like any other rows. Encrypted files have one error row.
+{"ref": number}, names begin with /. All else is relational and lies in `pdf_reports`, so a file with a million
+objects spreads over tasks like any other rows. Encrypted files have one error row.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import tempfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame
 
-from ratiolake.functions import text as tx
-from ratiolake.functions.numbers import round_half_up
-
-OBJECTS = "path string, obj bigint, gen bigint, dict string, stream_length bigint, refs array<bigint>, error string"
+OBJECTS = "path string, obj bigint, gen bigint, dict string, stream_start bigint, stream_length bigint, refs array<bigint>, error string"
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|/[^\s()<>\[\]{}/%]*|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|(\d+)\s+(\d+)\s+R\b|[^\s()<>\[\]{}/%]+", re.S)
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -72,22 +66,22 @@ def parse(text: bytes, at: int, refs: list[int]):
 
 
 def objects_in(data: bytes) -> Iterator[tuple]:
-    """(obj, gen, dict, stream_length, refs) of a file; its trailer is object 0. Of objects that repeat a number, the last."""
-    if re.search(rb"/Encrypt\b", data):
-        raise ValueError("encrypted")
+    """(obj, gen, dict, stream_start, stream_length, refs) of a file; its trailer is object 0. Of objects that repeat a number, the last."""
     found: dict[int, tuple] = {}
     trailer: dict = {}
-    at = 0
+    at, gaps = 0, []
     while m := _OBJECT.search(data, at):
+        gaps.append((at, m.start()))
         refs: list[int] = []
         value, at = parse(data, m.end(), refs)
-        length = None
+        start = length = None
         if isinstance(value, dict) and (s := re.compile(rb"\s*stream\r?\n").match(data, at)):
             end = data.find(b"endstream", s.end())
             declared = value.get("Length")
-            length = declared if isinstance(declared, int) and data[s.end() + declared : s.end() + declared + 20].lstrip().startswith(b"endstream") else max(0, end - s.end())
-            body = data[s.end() : s.end() + length]
-            at = s.end() + length
+            start = s.end()
+            length = declared if isinstance(declared, int) and data[start + declared : start + declared + 20].lstrip().startswith(b"endstream") else max(0, end - start)
+            body = data[start : start + length]
+            at = start + length
             if value.get("Type") == "/XRef":
                 trailer |= value
             if value.get("Type") == "/ObjStm" and value.get("Filter", "/FlateDecode") in ("/FlateDecode", ["/FlateDecode"]):
@@ -95,12 +89,15 @@ def objects_in(data: bytes) -> Iterator[tuple]:
                 numbers = [int(x) for x in inner[: value["First"]].split()]
                 for n, offset in zip(numbers[::2], numbers[1::2], strict=True):
                     own: list[int] = []
-                    found[n] = (n, 0, parse(inner, value["First"] + offset, own)[0], None, own)
-        found[int(m[1])] = (int(m[1]), int(m[2]), value, length, refs)
-    for m in re.finditer(rb"trailer\s*(?=<<)", data):
-        trailer |= parse(data, m.end(), [])[0]
+                    found[n] = (n, 0, parse(inner, value["First"] + offset, own)[0], None, None, own)
+        found[int(m[1])] = (int(m[1]), int(m[2]), value, start, length, refs)
+    for a, b in [*gaps, (at, len(data))]:  # outside of objects
+        for m in re.compile(rb"trailer\s*(?=<<)").finditer(data, a, b):
+            trailer |= parse(data, m.end(), [])[0]
+    if "Encrypt" in trailer:
+        raise ValueError("encrypted")
     told = {k: v for k, v in trailer.items() if k in ("Root", "Info", "ID", "Size")}
-    found[0] = (0, 65535, told, None, [v["ref"] for k, v in told.items() if isinstance(v, dict) and "ref" in v])
+    found[0] = (0, 65535, told, None, None, [v["ref"] for k, v in told.items() if isinstance(v, dict) and "ref" in v])
     yield from found.values()
 
 
@@ -108,154 +105,14 @@ def objects(files: DataFrame) -> DataFrame:
     """A row for each object of files (path, content), with the columns of OBJECTS; dict is JSON of any value."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
         names = [c.rsplit(" ", 1)[0].split()[0] for c in OBJECTS.split(", ")]
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 try:
-                    rows = [(path, o, g, json.dumps(d), n, sorted(set(r)), None) for o, g, d, n, r in objects_in(content.as_py() or b"")]
+                    rows = [(path, o, g, json.dumps(d), at, n, sorted(set(r)), None) for o, g, d, at, n, r in objects_in(content.as_py() or b"")]
                 except (ValueError, KeyError, TypeError, IndexError, zlib.error) as e:
-                    rows = [(path, *[None] * 5, str(e) or type(e).__name__)]
+                    rows = [(path, *[None] * 6, str(e) or type(e).__name__)]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(read, OBJECTS)
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a checkpoint in the folder the session names; in one of our own where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ratiolake-"))
-    return df.checkpoint()
-
-
-def _get(key: str, of: str = "dict") -> Column:
-    return F.get_json_object(of, f"$.{key}")
-
-
-def _ref(key: str, of: str = "dict") -> Column:
-    return F.get_json_object(of, f"$.{key}.ref").cast("long")
-
-
-def _name(key: str, of: str = "dict") -> Column:
-    return F.regexp_replace(_get(key, of), "^/", "")
-
-
-def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """(path, obj) of what the roots reach over edges (path, a, b), one step a round; each round is written once and read on."""
-    seen = roots.select("path", "obj").distinct()
-    frontier, to = seen, edges.select(F.col("path").alias("_p"), "a", "b")
-    for _ in range(most):
-        step = frontier.join(to, (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("a"))).select("path", F.col("b").alias("obj")).distinct()
-        frontier = _cut(step.join(seen, ["path", "obj"], "left_anti").join(nodes.select("path", "obj"), ["path", "obj"], "left_semi"))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(frontier))
-    return seen
-
-
-def pages(objs: DataFrame, depth: int = 64) -> DataFrame:
-    """(path, page, obj, width, height, rotation, mm, names of size and orientation) in page order, boxes and rotation inherited from the tree."""
-    each = objs.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("dict").alias("_d"))
-    own = (F.col("path") == F.col("_p")) & (F.col("node") == F.col("_o"))
-    root = objs.filter("obj = 0").select("path", _ref("Root").alias("node"))
-    top = root.join(each, own).select("path", _ref("Pages", "_d").alias("node"))
-    number = F.array().cast("array<int>")
-    level = top.select("path", "node", number.alias("place"), F.lit(None).cast("string").alias("box"), F.lit(None).cast("string").alias("turn"))
-    leaves = None
-    for _ in range(depth):
-        x = _cut(level.join(each, own).select("path", "node", "place", F.coalesce(_get("MediaBox", "_d"), "box").alias("box"), F.coalesce(_get("Rotate", "_d"), "turn").alias("turn"), _name("Type", "_d").alias("type"), F.from_json(_get("Kids", "_d"), "array<struct<ref:bigint>>").alias("kids")))
-        ends = x.filter("kids is null or type = 'Page'").select("path", "node", "place", "box", "turn")
-        leaves = ends if leaves is None else leaves.unionByName(ends)
-        level = x.filter("kids is not null and coalesce(type, '') <> 'Page'").select("path", F.posexplode("kids").alias("i", "kid"), "place", "box", "turn")
-        level = level.select("path", F.col("kid.ref").alias("node"), F.concat("place", F.array("i")).alias("place"), "box", "turn")
-        if level.isEmpty():
-            break
-    b = F.from_json("box", "array<double>")
-    w, h = F.abs(F.get(b, 2) - F.get(b, 0)), F.abs(F.get(b, 3) - F.get(b, 1))
-    two = F.lit(2)
-    x = leaves.withColumns({"page": F.row_number().over(Window.partitionBy("path").orderBy("place")), "width": w, "height": h})
-    return x.select(
-        "path", "page", F.col("node").alias("obj"), "width", "height", F.pmod(F.coalesce(F.col("turn").cast("int"), F.lit(0)), F.lit(360)).alias("rotation"),
-        round_half_up(F.col("width") / 72 * 25.4, two).alias("width_mm"), round_half_up(F.col("height") / 72 * 25.4, two).alias("height_mm"),
-        tx.paper_name(F.col("width"), F.col("height")).alias("size_name"), tx.orientation(F.col("width"), F.col("height")).alias("orientation"),
-    )
-
-
-#: The keys of the information dictionary.
-INFO = ["Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate"]
-
-
-def metadata(objs: DataFrame) -> DataFrame:
-    """path and the keys of INFO, trimmed; blank ones are null."""
-    info = objs.filter("obj = 0").select("path", _ref("Info").alias("info"))
-    x = info.join(objs.select(F.col("path").alias("_p"), "obj", "dict"), (F.col("path") == F.col("_p")) & (F.col("info") == F.col("obj")), "left")
-    return x.select("path", *[F.when(F.trim(_get(k)) != "", F.trim(_get(k))).alias(k) for k in INFO])
-
-
-def annotations(objs: DataFrame, in_pages: DataFrame) -> DataFrame:
-    """(path, page, obj, subtype, rect, contents, uri, action, target_obj): annotations of pages, but widgets; a page's list may be an object of its own."""
-    p = in_pages.select("path", "page", F.col("obj").alias("page_obj"))
-    p = p.join(objs.select(F.col("path").alias("_p"), "obj", "dict"), (F.col("path") == F.col("_p")) & (F.col("page_obj") == F.col("obj"))).select("path", "page", _get("Annots").alias("list"), _ref("Annots").alias("list_ref"))
-    p = p.join(objs.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("dict").alias("_d")), (F.col("path") == F.col("_p")) & (F.col("list_ref") == F.col("_o")), "left")
-    refs = F.from_json(F.coalesce("_d", "list"), "array<struct<ref:bigint>>")
-    each = p.select("path", "page", F.explode(refs).alias("r")).select("path", "page", F.col("r.ref").alias("annot"))
-    a = each.join(objs.select(F.col("path").alias("_p"), "obj", "dict"), (F.col("path") == F.col("_p")) & (F.col("annot") == F.col("obj")))
-    return a.select("path", "page", "obj", F.coalesce(_name("Subtype"), F.lit("Unknown")).alias("subtype"), _get("Rect").alias("rect"), _get("Contents").alias("contents"), _get("A.URI").alias("uri"), _name("A.S").alias("action"), F.coalesce(F.get_json_object("dict", "$.A.D[0].ref"), F.get_json_object("dict", "$.Dest[0].ref")).cast("long").alias("target_obj")).filter("subtype <> 'Widget'")
-
-
-def links(objs: DataFrame, in_pages: DataFrame) -> DataFrame:
-    """(path, page, kind, url, target_page) of link annotations: url, internal or unknown; those without action and target are left out."""
-    a = annotations(objs, in_pages).filter("subtype = 'Link' and (action is not null or target_obj is not null or uri is not null)")
-    to = in_pages.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("page").alias("target_page"))
-    a = a.join(to, (F.col("path") == F.col("_p")) & (F.col("target_obj") == F.col("_o")), "left")
-    kind = F.when(F.col("uri").isNotNull(), "url").when((F.col("action") == "GoTo") | F.col("target_obj").isNotNull(), "internal").otherwise("unknown")
-    return a.select("path", "page", kind.alias("kind"), F.col("uri").alias("url"), "target_page")
-
-
-def fonts(objs: DataFrame) -> DataFrame:
-    """(path, obj, base_font, subtype, encoding, embedded, to_unicode, and the parts of the name) of all font objects; embedded is null where no descriptor says."""
-    f = objs.filter(_name("Type") == "Font").select("path", "obj", _name("BaseFont").alias("base_font"), _name("Subtype").alias("subtype"), _name("Encoding").alias("encoding"), _ref("FontDescriptor").alias("descriptor"), _ref("ToUnicode").isNotNull().alias("to_unicode"))
-    d = objs.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.coalesce(_ref("FontFile"), _ref("FontFile2"), _ref("FontFile3")).alias("file"))
-    f = f.join(d, (F.col("path") == F.col("_p")) & (F.col("descriptor") == F.col("_o")), "left")
-    parts = {f"name_{k}": v for k, v in tx.font_name(F.col("base_font")).items()}
-    return f.select("path", "obj", "base_font", "subtype", "encoding", F.when(F.col("_o").isNotNull(), F.col("file").isNotNull()).alias("embedded"), "to_unicode", *[c.alias(k) for k, c in parts.items()])
-
-
-def images(objs: DataFrame) -> DataFrame:
-    """(path, obj, width, height, bits, colorspace, filters, ext, length) of image streams."""
-    f = F.coalesce(F.array_join(F.transform(F.from_json(_get("Filter"), "array<string>"), lambda x: F.regexp_replace(x, "^/", "")), "+"), _name("Filter"))
-    x = objs.filter((_name("Subtype") == "Image") & F.col("stream_length").isNotNull())
-    return x.select("path", "obj", _get("Width").cast("int").alias("width"), _get("Height").cast("int").alias("height"), _get("BitsPerComponent").cast("int").alias("bits"), _name("ColorSpace").alias("colorspace"), f.alias("filters"), F.when(F.contains(f, F.lit("DCTDecode")), "jpg").when(F.contains(f, F.lit("JPXDecode")), "jp2").otherwise("bin").alias("ext"), F.col("stream_length").alias("length"))
-
-
-def form_fields(objs: DataFrame) -> DataFrame:
-    """(path, obj, name, type, value, tooltip, read_only, required, max_length) of form fields, by name."""
-    flags = F.coalesce(_get("Ff").cast("long"), F.lit(0))
-    kind = F.when(_name("FT") == "Tx", "text").when(_name("FT") == "Btn", "button").when(_name("FT") == "Ch", "choice").when(_name("FT") == "Sig", "signature")
-    x = objs.filter(_name("FT").isNotNull() & _get("T").isNotNull())
-    return x.select("path", "obj", _get("T").alias("name"), kind.alias("type"), _get("V").alias("value"), _get("TU").alias("tooltip"), (flags.bitwiseAND(F.lit(1)) != 0).alias("read_only"), (flags.bitwiseAND(F.lit(2)) != 0).alias("required"), _get("MaxLen").cast("int").alias("max_length"))
-
-
-def signatures(objs: DataFrame) -> DataFrame:
-    """(path, obj, filter, sub_filter, byte_range, signed_at, name) of signature dictionaries."""
-    x = objs.filter(_get("ByteRange").isNotNull())
-    return x.select("path", "obj", _name("Filter").alias("filter"), _name("SubFilter").alias("sub_filter"), F.from_json(_get("ByteRange"), "array<bigint>").alias("byte_range"), _get("M").alias("signed_at"), _get("Name").alias("name"))
-
-
-def attachments(objs: DataFrame) -> DataFrame:
-    """(path, obj, name, mime, size) of embedded files; size is that of the stream as stored."""
-    s = objs.filter(_get("EF").isNotNull()).select("path", "obj", F.coalesce(_get("UF"), _get("F")).alias("name"), F.coalesce(_ref("EF.F"), _ref("EF.UF")).alias("file"))
-    d = objs.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), _name("Subtype").alias("mime"), F.col("stream_length").alias("size"))
-    return s.join(d, (F.col("path") == F.col("_p")) & (F.col("file") == F.col("_o")), "left").select("path", "obj", "name", "mime", "size")
-
-
-def inventory(objs: DataFrame) -> DataFrame:
-    """(path, obj, kind, type, subtype, n_keys, stream_length, has_js, reached) of all objects; reached: from the trailer's Root and Info."""
-    good = objs.filter("obj is not null")
-    edges = good.select("path", F.col("obj").alias("a"), F.explode("refs").alias("b"))
-    got = reachable(good, edges, good.filter("obj = 0")).withColumn("reached", F.lit(True))
-    first = F.left("dict", F.lit(1))
-    kind = F.when(F.col("stream_length").isNotNull(), "stream").when(first == "{", "dict").when(first == "[", "array").when(first == '"', F.when(F.rlike("dict", F.lit('^"/')), "name").otherwise("string")).when(F.rlike("dict", F.lit("^[-0-9]")), "number").otherwise("other")
-    x = good.filter("obj <> 0").join(got, ["path", "obj"], "left")
-    return x.select("path", "obj", kind.alias("kind"), _name("Type").alias("type"), _name("Subtype").alias("subtype"), F.when(first == "{", F.size(F.json_object_keys("dict"))).alias("n_keys"), "stream_length", (_get("JS").isNotNull() | (_name("S") == "JavaScript")).alias("has_js"), F.coalesce("reached", F.lit(False)).alias("reached"))

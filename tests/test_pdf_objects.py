@@ -1,6 +1,9 @@
 import zlib
 
-from ratiolake.sources import pdf, pdf_objects as po
+from ratiolake.sources import pdf
+from ratiolake.sources import pdf_objects as po
+from ratiolake.sources import pdf_reports as rep
+from ratiolake.tables import written
 
 
 def make():
@@ -25,26 +28,60 @@ def make():
 
 
 def test_tables_of_objects(spark, tmp_path):
-    for name, content in {"a.pdf": make(), "b.pdf": b"1 0 obj << /Encrypt 2 0 R >> endobj", "c.pdf": b"5 0 obj << /A [ endobj"}.items():
+    noisy = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Note (see /Encrypt) >> endobj\n2 0 obj << /Length 22 >> stream\n/Encrypt trailer << >>\n\nendstream endobj\ntrailer << /Root 1 0 R >>\n"
+    files = {"a.pdf": make(), "b.pdf": b"1 0 obj << /A 1 >> endobj trailer << /Encrypt 2 0 R >>", "c.pdf": b"5 0 obj << /A [ endobj", "d.pdf": noisy}
+    for name, content in files.items():
         (tmp_path / name).write_bytes(content)
-    objs = po.objects(pdf.read_files(spark, str(tmp_path))).cache()
+    objs = written(po.objects(pdf.read_files(spark, str(tmp_path))), "test-objects")
     errors = {r.path[-5:]: r.error for r in objs.filter("error is not null").collect()}
     assert set(errors) == {"b.pdf", "c.pdf"} and errors["b.pdf"] == "encrypted"
-    p = po.pages(objs.filter("error is null")).cache()
+    objs = objs.filter("error is null and path like '%a.pdf'")
+    nodes = rep.page_nodes(objs)
+    p = rep.pages(nodes)
     assert [(r.page, r.obj, r.width, r.rotation, r.size_name, r.orientation, r.width_mm) for r in p.orderBy("page").collect()] == [(1, 3, 595.28, 270, "A4", "portrait", 210.0), (2, 11, 792.0, 0, "Letter", "landscape", 279.4)]
-    m = po.metadata(objs.filter("error is null")).first()
+    m = rep.metadata(objs).first()
     assert (m.Title, m.Author, m.Producer, m.Creator) == ("Té", None, "é", None)
-    assert sorted((r.page, r.kind, r.url, r.target_page) for r in po.links(objs, p).collect()) == [(1, "internal", None, 2), (1, "url", "http://a)b", None)]
-    assert {(r.page, r.subtype) for r in po.annotations(objs, p).collect()} == {(1, "Link"), (2, "Highlight")}
-    f = po.fonts(objs).first()
-    assert (f.base_font, f.embedded, f.to_unicode, f.name_family, f.name_subset, f.name_weight) == ("ABCDEF+Arial-Bold", True, True, "Arial", True, "bold")
-    i = po.images(objs).first()
-    assert (i.width, i.height, i.ext, i.length, i.filters) == (3, 2, "jpg", 4, "DCTDecode")
-    x = po.form_fields(objs).first()
-    assert (x.obj, x.name, x.type, x.value, x.read_only, x.required) == (20, "Name", "text", "x", True, True)
-    assert po.signatures(objs).first().byte_range == [0, 1, 2, 3]
-    a = po.attachments(objs).first()
-    assert (a.name, a.size) == ("a.txt", 3)
-    inv = {r.obj: r for r in po.inventory(objs).collect()}
+    notes = rep.annotations(rep.page_annotations(objs, nodes))
+    assert sorted((r.page, r.kind, r.url, r.target_page) for r in rep.links(notes, nodes).collect()) == [(1, "internal", None, 2), (1, "url", "http://a)b", None)]
+    assert {(r.page, r.subtype) for r in notes.collect()} == {(1, "Link"), (2, "Highlight")}
+    f = rep.fonts(objs, nodes).first()
+    assert (f.base_font, f.embedded, f.status, f.file, f.to_unicode, f.name_family, f.name_subset, f.name_weight, f.pages) == ("ABCDEF+Arial-Bold", True, "subset", "FontFile2", True, "Arial", True, "bold", [1])
+    inv = {r.obj: r for r in rep.inventory(objs).collect()}
     assert inv[17].has_js and not inv[17].reached and not inv[21].reached and inv[20].reached and inv[12].reached and inv[15].reached
     assert inv[14].kind == "array" and inv[8].kind == "stream" and inv[2].n_keys == 4
+
+
+def chain(n, last):
+    """A page tree that is n levels deep; its last node has one page and the object `last`."""
+    body = b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n"
+    for i in range(2, n + 2):
+        kids = b"%d 0 R" % (i + 1) if i < n + 1 else b"9000 0 R %d 0 R" % last
+        body += b"%d 0 obj << /Type /Pages /Kids [%s] >> endobj\n" % (i, kids)
+    return body + b"9000 0 obj << /Type /Page /MediaBox [0 0 9 9] >> endobj\ntrailer << /Root 1 0 R >>\n"
+
+
+def test_deep_and_cyclic_trees(spark):
+    files = spark.createDataFrame([("deep", chain(12, 9000)), ("cycle", chain(3, 2))], "path string, content binary")
+    nodes = rep.page_nodes(written(po.objects(files), "test-objects"))
+    assert sorted((r.path, r.page, r.error) for r in rep.pages(nodes).filter("page is not null").collect()) == [("cycle", 1, None), ("deep", 1, None), ("deep", 2, None)]
+    assert [(r.path, r.error) for r in rep.pages(nodes).filter("page is null").collect()] == [("cycle", "page tree enters an object again")]
+
+
+def test_long_chains_are_reached_to_the_end(spark):
+    nodes = spark.range(30).selectExpr("'p' as path", "id as obj")
+    edges = spark.range(29).selectExpr("'p' as path", "id as a", "id + 1 as b").unionByName(spark.createDataFrame([("p", 29, 3)], "path string, a long, b long"))
+    assert rep.reachable(nodes, edges, nodes.filter("obj = 5")).count() == 27
+
+
+def test_large_tables_and_older_sections():
+    n = 120_000  # more than the 2 MB that a window once had
+    table = b"xref\n0 %d\n" % n + b"".join(b"%010d 00000 n \n" % i for i in range(n)) + b"trailer << /Prev 0 >>\nstartxref\n"
+    old = b"xref\n0 1\n0000000000 65535 f \n%d 1\n0000000077 00000 n \ntrailer << /Size 1 >>\nstartxref\n" % (n + 5)
+    found = pdf.sections(old + table, len(old))
+    assert len(found) == n + 1 and found[0][3] == 0 and found[-1][:4] == (n + 5, 0, "inUse", 77)
+
+
+def test_content_operators():
+    data = b"q (a (b) \\) c) Tj % no Tj\n[1 (x)] TJ << /A 1 >> BDC /Im1 Do BI /W 1 ID Tj EI -1.5 .5 m Q"
+    assert list(rep.content_ops(data)) == [("q", ""), ("Tj", "(a (b) \\) c)"), ("TJ", "[ 1 (x) ]"), ("BDC", "<< /A 1 >>"), ("Do", "/Im1"), ("INLINE_IMAGE", "/W 1"), ("m", "-1.5 .5"), ("Q", "")]
+    assert len(list(rep.content_ops(data, 2))) == 2
