@@ -1,16 +1,20 @@
 """The pipeline against plain Python, stage by stage, on its own documents."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 
-from ratiolake.llm import bpe, decontaminate  # noqa: E402
+from ratiolake.llm import bpe  # noqa: E402
 
 from .cases import DOCS, lower  # noqa: E402
 from .test_bpe_and_counts import library  # noqa: E402
+from .test_decontaminate import brute as holds_items  # noqa: E402
+from .test_language_id import plain  # noqa: E402
 from .test_near_dedup import brute  # noqa: E402
 
 
@@ -31,21 +35,27 @@ def folder(spark, tmp_path_factory):
 
 
 def test_run(spark, folder):
+    """Each stage in plain Python, on what its predecessor kept; the rows, ids and digests of run()."""
     path, rows, items = folder
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "bpe"]
-    got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, path).collect()}
-    kept = {d: t for d, t, *_ in rows if d not in (204, 205, 206)}  # what has no language
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, path).collect()}
+    spoken = plain([(d, t, lang, None, source, None) for d, t, lang, source, _ in rows], [(t, lang) for _, t, lang, *_ in rows])
+    kept = {r[0]: r[1] for r, (_, _, accepted) in zip(rows, spoken, strict=True) if accepted}
+    assert not kept.keys() & {204, 205, 206}
     last = {}
     for d, t in sorted(kept.items()):
         last[lower(t)] = d
     kept = {d: kept[d] for d in last.values()}
     groups = brute(list(kept.items()), 5)
     kept = {d: t for d, t in kept.items() if groups[d] == d}
-    matcher = decontaminate.Matcher([(i, decontaminate.normal(t.encode())) for i, t in items])
-    kept = {d: t for d, t in kept.items() if not matcher.items_in(decontaminate.normal(t.encode()))}
-    assert 203 not in kept and 202 not in kept and 201 in kept and 200 not in kept and 5 not in kept
-    want = dict(zip(kept, library(bpe.tokenizer_file(), kept.values()), strict=True))
-    assert {d: r[0] for d, r in got.items()} == {d: len(ids) for d, (ids, _) in want.items()}
+    held = {r[0] for r in holds_items(list(kept.items()), items) if r[3]}
+    kept = {d: t for d, t in kept.items() if d not in held}
+    assert 203 in held and 202 not in kept and 201 in kept and 200 not in kept and 5 not in kept
+    assert got.keys() == kept.keys()
+    for d, (ids, text) in zip(kept, library(bpe.tokenizer_file(), kept.values()), strict=True):
+        r = got[d]
+        assert (r.n_tokens, r.ids) == (len(ids), ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_columns_stay_and_empty_tables_pass(spark, folder, tmp_path):
