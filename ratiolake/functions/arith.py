@@ -116,20 +116,20 @@ def part_of_total(mode: Column, part: Column, percent: Column, total: Column) ->
     return {"result": result, "rest": rest, "warning": warning}
 
 
+#: The codes of a variation's limits, and from and to which percentage it is usual.
+LIMITS = {"zero": "initial_zero", "below": "negative_final", "both": "both_zero", "from": "from_zero", "gone": "minus_100", "huge": "huge", "under": "below_minus_100", "usual": "ok", "else": "generic"}
+USUAL = (-100, 1000)
+
+
 def limits(a: Column, b: Column) -> Results:
+    """A variation with a warning and what it means; both are null for null inputs."""
     v = div(b - a, a) * 100
-    warning = F.when((a == 0) & (b != 0), "initial_zero").when((a > 0) & (b < 0), "negative_final")
-    meaning = (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("string"))
-        .when((a == 0) & (b == 0), "both_zero")
-        .when(a == 0, "from_zero")
-        .when((a > 0) & (b == 0), "minus_100")
-        .when((a > 0) & (b > 0) & (v > 1000), "huge")
-        .when((a > 0) & (b > 0) & (v < -100), "below_minus_100")
-        .when((a > 0) & (b > 0), "ok")
-        .otherwise("generic")
-    )
-    return {"delta": b - a, "coefficient": div(b, a), "percent": v, "warning": warning, "meaning": meaning}
+    code = lambda cond, name: F.when(cond, LIMITS[name])
+    from_zero, positive = a == 0, a > 0
+    usual = F.coalesce(code(v > USUAL[1], "huge"), code(v < USUAL[0], "under"), F.lit(LIMITS["usual"]))
+    meaning = F.when(from_zero, F.coalesce(code(b == 0, "both"), F.lit(LIMITS["from"]))).when(positive & (b == 0), LIMITS["gone"]).when(positive & (b > 0), usual).otherwise(LIMITS["else"])
+    warning = F.coalesce(code(from_zero & (b != 0), "zero"), code(positive & (b < 0), "below"))
+    return {"delta": b - a, "coefficient": div(b, a), "percent": v, "warning": warning, "meaning": F.when(a.isNotNull() & b.isNotNull(), meaning)}
 
 
 @F.pandas_udf(T.LongType())

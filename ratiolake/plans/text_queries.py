@@ -9,15 +9,13 @@ from ratiolake.functions import text as tx
 from ratiolake.operators import translation as tr
 
 LOCALES = ["fr", "en", "de", "es"]
-_PER = ["sentence_length", "word_length", "long", "very_long", "paragraphs", "words", "density"]
 
 
 def t10_readability(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     x = tx.readability(docs, "text").drop("text")
-    per = [F.col(c) for c in _PER]
-    s = tx.score(*per)
-    found = tx.issues(*per)
+    m = {c: F.col(c) for c in tx.COUNTS.names}
+    s, found = tx.score(m), tx.issues(m)
     return x.select(
         "doc_id", "chars", "chars_no_spaces", "words", "sentences", "paragraphs", *[F.round(c, 9).alias(c) for c in ("word_length", "sentence_length", "long", "very_long", "density")], s.alias("score"), tx.level(s).alias("level"), F.array_join(found, ",").alias("issues"), F.array_join(tx.tips(found), ",").alias("tips")
     )
@@ -80,7 +78,17 @@ _TARGETS = f"SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'fr' ELSE 'de' END AS loc
 _ESC = "replace(replace({}, '{{', '&#123;'), '}}', '&#125;')"
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{N}}]+)*')"
 
+_UP = "CASE {0} WHEN 'ß' THEN 'SS' ELSE upper({0}) END"
+_START = f"""regexp_extract(z, '^[^\\p{{L}}]*') || {_UP.format("substr(z, length(regexp_extract(z, '^[^\\p{L}]*')) + 1, 1)")} || substr(z, length(regexp_extract(z, '^[^\\p{{L}}]*')) + 2)"""
+
 ORACLE_SQL = {
+    "t02_casing": rf"""
+SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = {_UP.format("c")} AND c <> lower(c) THEN lower(c) WHEN c = lower(c) AND c <> {_UP.format("c")} THEN {_UP.format("c")} ELSE c END), '')) AS inverted,
+  md5(array_to_string(list_transform(regexp_extract_all(lower(text), '[^.!?…
+]*[.!?…
+]|[^.!?…
+]+$'), lambda z: {_START}), '')) AS sentence,
+  md5(array_to_string(list_transform(regexp_extract_all(lower(text), '[\s\-’''("]+|[^\s\-’''("]+'), lambda z: CASE WHEN regexp_matches(z, '^\p{{L}}') THEN {_UP.format("z[1]")} || substr(z, 2) ELSE z END), '')) AS title, upper(text) = lower(text) AS no_case FROM documents""",
     "t10_readability": rf"""
 WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
 x AS (SELECT doc_id, t, {_WORDS.format("t")} AS w, list_filter(list_transform(string_split(regexp_replace(t, '([.!?。！？…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9))), lambda s: s <> '') AS s,

@@ -29,12 +29,20 @@ def parse_units(files: DataFrame) -> DataFrame:
     return last.select("path", "unit_id", "u.*")
 
 
-def to_xliff(units: DataFrame) -> DataFrame:
-    """(locale, content): one document per locale of (locale, unit_id, source, target, state), units by id."""
-    tag = F.concat(
+def xliff_lines(units: DataFrame) -> DataFrame:
+    """(locale, part, unit_id, line): the lines of a document per locale of (locale, unit_id, source, target, state); part is 0 for the head, 1 for units, 2 for the end."""
+    unit = F.concat(
         F.lit('  <unit id="'), F.col("unit_id"), F.lit('"><segment><source>'), F.coalesce("source", F.lit("")), F.lit("</source><target"),
         F.when(F.coalesce("state", F.lit("")) != "", F.concat(F.lit(' state="'), F.col("state"), F.lit('"'))).otherwise(""),
-        F.lit(">"), F.coalesce("target", F.lit("")), F.lit("</target></segment></unit>\n"),
+        F.lit(">"), F.coalesce("target", F.lit("")), F.lit("</target></segment></unit>"),
     )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", tag.alias("tag")))), lambda x: x["tag"]), "")
-    return units.groupBy("locale").agg(body.alias("body")).select("locale", F.concat(F.lit('<xliff version="2.0" trgLang="'), F.col("locale"), F.lit('">\n'), F.col("body"), F.lit("</xliff>\n")).alias("content"))
+    head = F.concat(F.lit('<xliff version="2.0" trgLang="'), F.col("locale"), F.lit('">'))
+    around = units.select("locale").distinct().select("locale", F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("line")), F.struct(F.lit(2).alias("part"), F.lit("</xliff>").alias("line")))).alias("x"))
+    around = around.select("locale", "x.part", F.lit("").alias("unit_id"), "x.line")
+    return units.select("locale", F.lit(1).alias("part"), "unit_id", unit.alias("line")).unionByName(around)
+
+
+def write_xliff(units: DataFrame, path: str) -> None:
+    """A folder locale=... of text files for each locale, its lines in order over the files by their names; no task has a whole locale to hold."""
+    lines = xliff_lines(units).repartitionByRange("locale", "part", "unit_id").sortWithinPartitions("locale", "part", "unit_id")
+    lines.select("locale", "line").write.partitionBy("locale").text(path)

@@ -19,6 +19,17 @@ def con(sf):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def read_once():
+    """The files that the PDF queries make and read, once for all of them."""
+    from ratiolake.plans import pdf_queries
+
+    read, made = pdf_queries._read, {}
+    pdf_queries._read = lambda spark, d: made.setdefault(d, None) or made.update({d: read(spark, d)}) or made[d]
+    yield
+    pdf_queries._read = read
+
+
 def plain(v):
     return f"{v:.9g}" if isinstance(v, float) and not math.isnan(v) else repr(v)
 

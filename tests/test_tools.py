@@ -95,7 +95,10 @@ def test_casing(spark, sf):
     for r in df.select("t", tx.invert_case(t).alias("invert"), tx.sentence_case(t).alias("sentence"), tx.title_case(t).alias("title")).collect():
         for mode in ("invert", "sentence", "title"):
             assert r[mode] == casing(r.t, mode), (mode, r.t[:80])
-    assert df.limit(1).select(tx.upper(F.lit("istanbul I i"), "tr")).first()[0] == "İSTANBUL I İ"
+    local = {"tr": ("istanbul I i", "İSTANBUL I İ"), "el": ("Ελλάδα ίσως ϋ", "ΕΛΛΑΔΑ ΙΣΩΣ Ϋ"), "lt": ("i\u0307\u0300 x", "I\u0300 X")}
+    for locale, (text, want) in local.items():
+        assert df.limit(1).select(tx.upper(F.lit(text), locale)).first()[0] == want
+    assert df.limit(1).select(tx.lower(F.lit("Ì J\u0301 IX"), "lt")).first()[0] == "i\u0307\u0300 j\u0307\u0301 ix"
 
 
 def test_small_formats(spark):
@@ -110,8 +113,9 @@ def test_translation(spark, tmp_path):
     assert [tuple(r) for r in done.collect()] == [("fr", "b", "same", "pareil", "translated")]
     assert {r.unit_id for r in rest.collect()} == {"c_katex", "d"}
     assert {(r.unit_id, r.severity) for r in translation.problems(units).collect()} == {("a", "error"), ("c_katex", "error")}
-    xliff.to_xliff(units).select("content").write.text(str(tmp_path / "x"))
-    text = xliff.to_xliff(units).first().content
+    xliff.write_xliff(units.repartition(3), str(tmp_path / "x"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "x" / "locale=fr").glob("part-*")))
+    assert text.startswith("<xliff ") and text.endswith("</xliff>\n")
     (tmp_path / "fr.xlf").write_text(text)
     back = {r.unit_id: (r.source, r.target, r.state) for r in xliff.read_units(spark, str(tmp_path / "fr.xlf")).collect()}
     assert back["a"] == ("x {{v}}", "y", "translated") and len(back) == 4
