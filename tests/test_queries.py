@@ -38,8 +38,9 @@ def plain(v):
 def test_rows_are_those_of_the_sql(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())
-    want = sorted(tuple(map(plain, r)) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall())
+    want = sorted(tuple(map(plain, r)) for r in con.execute(f"SELECT {quoted} FROM ({registry.ORACLE_SQL[name]})").fetchall())
     assert got == want
 
 
