@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, exact_dedup, filter_audit, language_id, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts
+from . import bpe, chat_format, collocations, decontaminate, exact_dedup, filter_audit, language_id, line_dedup, near_dedup, pii, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op10_language_id": language_id.op10_language_id,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
     "op13_quality": quality.op13_quality,
     "op4_word_counts": token_counts.op4_word_counts,
     "op10_language_id_pages": language_id.op10_language_id_pages,
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_chat_formatting": chat_format.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
