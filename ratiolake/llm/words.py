@@ -7,12 +7,15 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 from .sketch import mix
 
 _BASE, _STEP = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D | 1
 #: Bytes of text that are hashed together; a longer text is taken in parts of about so many.
 BLOCK_BYTES = 1 << 19
+#: Bytes of a word beyond which it is hashed by itself: sums of powers modulo 2**64 can't tell some long words of two letters apart, whatever the base.
+LONG_WORD = 16
 #: Numbers that one prefix sum covers.
 _SUM = 1 << 19
 _WORD = re.compile(rb"[^ \t-\r]+")
@@ -65,6 +68,8 @@ class Words:
         self.end = np.flatnonzero(a == 32)[: self.first[-1]]
         self.start = np.concatenate(([0], self.end[:-1] + 1)) if len(self.end) else self.end
         self.hash = mix(_spans(a, _BYTES, self.start, self.end, 1))
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            self.hash[i] = xxh3_64_intdigest(self.text[self.start[i] : self.end[i]])
 
     def runs(self, k: int) -> np.ndarray:
         """Hashes of all runs of k words; those at a text's last words reach into the next text."""
