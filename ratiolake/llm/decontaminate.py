@@ -3,7 +3,8 @@
 Test items are normalised and taken in passages. A passage with an error budget of k is split into k + 1
 pieces: text within k edits of the passage has at least one piece unchanged. All pieces are found in one
 walk over each text (Aho-Corasick); around each hit, Myers' bit-parallel algorithm measures the least
-edit distance between the passage and any stretch of the text there.
+edit distance between the passage and any stretch of the text there. Where a passage begins or ends at the edge of a
+word of its item, that edge is part of it: a letter or digit of the text that runs on there is an edit like any other.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from .common import map_rows, placed, raw_texts, written
 
 #: Code points of a passage (an item under two of them is one passage), and of each edit allowed.
 PASSAGE, PER_EDIT = 160, 20
-#: Passages of fewer code points must stand as whole words: they are matched exactly, and would be found inside others.
-WHOLE_WORDS = 20
 #: Code points of passages that one walk over the texts looks for (some 60 bytes each in a worker); more take more walks.
 AT_ONCE = 4_000_000
 
@@ -33,11 +32,12 @@ def normal(raw: bytes) -> str:
     return b" ".join(raw.split()).decode().lower()
 
 
-def passages(item: str, size: int = PASSAGE) -> list[str]:
-    """The item in parts of `size` code points, the last one with what is left over."""
+def passages(item: str, size: int = PASSAGE) -> list[tuple[str, bool, bool]]:
+    """The item in parts of `size` code points, the last one with what is left over, each with whether it begins and ends at the edge of a word."""
     n = max(1, len(item) // size)
     at = [i * size for i in range(n)] + [len(item)]
-    return [item[a:b] for a, b in zip(at, at[1:], strict=False)]
+    edge = [not (item[a - 1 : a].isalnum() and item[a : a + 1].isalnum()) for a in at]
+    return [(item[a:b], first, last) for a, b, first, last in zip(at, at[1:], edge, edge[1:], strict=False)]
 
 
 def pieces(passage: str, per_edit: int = PER_EDIT) -> list[tuple[int, str]]:
@@ -47,18 +47,24 @@ def pieces(passage: str, per_edit: int = PER_EDIT) -> list[tuple[int, str]]:
     return [(a, passage[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
-def least_distance(pattern: str, text: str) -> int:
-    """The least edit distance between pattern and any substring of text (Myers 1999, on one long integer)."""
-    m = len(pattern)
+def least_distance(pattern: str, text: str, first: bool = False, last: bool = False) -> int:
+    """The least edit distance between pattern and any substring of text (Myers 1999, on one long integer).
+
+    first and last put an edge of a word before and after the pattern: a sign of its own that any code point is equal to but letters and digits.
+    """
+    m = len(pattern) + first + last
     if not m:
         return 0
     where: dict[str, int] = {}
-    for i, ch in enumerate(pattern):
+    for i, ch in enumerate(pattern, first):
         where[ch] = where.get(ch, 0) | 1 << i
+    edge = (1 if first else 0) | (1 << m - 1 if last else 0)
     mask, top = (1 << m) - 1, 1 << m - 1
     pv, mv, score, best = mask, 0, m, m
     for ch in text:
         eq = where.get(ch, 0)
+        if edge and not ch.isalnum():
+            eq |= edge
         xv = eq | mv
         xh = ((eq & pv) + pv ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & mask, pv & xh
@@ -73,19 +79,19 @@ def least_distance(pattern: str, text: str) -> int:
 
 
 class Matcher:
-    """Finds the passages of a list (item_ids, passage) that a text holds within their budgets."""
+    """Finds the passages of a list (item_ids, passage, first, last) that a text holds within their budgets."""
 
-    def __init__(self, listed: list[tuple[list[int | None], str]], per_edit: int = PER_EDIT):
+    def __init__(self, listed: list[tuple[list[int | None], str, bool, bool]], per_edit: int = PER_EDIT):
         import ahocorasick
 
         self.found = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
-        self.passages: list[tuple[list[int | None], str, int]] = []
-        for ids, p in listed:
+        self.passages: list[tuple[list[int | None], str, bool, bool, int]] = []
+        for ids, p, first, last in listed:
             cut = pieces(p, per_edit)
             for at, x in cut:
                 where.setdefault(x, []).append((len(self.passages), at))
-            self.passages.append((ids, p, len(cut) - 1))
+            self.passages.append((ids, p, first, last, len(cut) - 1))
         for x, places in where.items():
             self.found.add_word(x, (len(x), places))
         if where:
@@ -104,14 +110,17 @@ class Matcher:
                 if k in exact or (k, start) in tried:
                     continue
                 tried.add((k, start))
-                ids, p, budget = self.passages[k]
-                if start >= 0 and text.startswith(p, start):
-                    if len(p) < WHOLE_WORDS and (text[start - 1 : start].isalnum() or text[start + len(p) : start + len(p) + 1].isalnum()):
-                        continue
+                ids, p, first, last, budget = self.passages[k]
+                here = start >= 0 and text.startswith(p, start)
+                if here and not (first and text[max(0, start - 1) : start].isalnum()) and not (last and text[start + len(p) : start + len(p) + 1].isalnum()):
                     exact.add(k)
                     d = 0
+                elif budget:
+                    a, b = start - budget - 1, start + len(p) + budget + 1
+                    # the ends of the text are edges of words
+                    d = least_distance(p, " " * (a < 0) + text[max(0, a) : b] + " " * (b > len(text)), first, last)
                 else:
-                    d = least_distance(p, text[max(0, start - budget) : start + len(p) + budget]) if budget else 1
+                    d = 1
                 if d <= budget:
                     for i in ids:
                         out[i] = min(d, out.get(i, d))
@@ -123,7 +132,7 @@ _MATCHER: dict[tuple[str, int], Matcher] = {}
 
 @dataclass
 class Block:
-    """Passages that one walk looks for: a broadcast list of (item_ids, passage) under a name, one of so many."""
+    """Passages that one walk looks for: a broadcast list of (item_ids, passage, first, last) under a name, one of so many."""
 
     name: str
     listed: Broadcast
@@ -144,24 +153,27 @@ def passage_blocks(items: DataFrame, size: int = PASSAGE, at_once: int = AT_ONCE
     Passages that several items share are one. The driver holds one block at a time.
     """
 
+    edged = ["passage", "first", "last"]
+
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, found = [], []
         for i, raw in zip(batch["item_id"].to_pylist(), raw_texts(batch["text"]), strict=True):
-            own = [p for p in passages(normal(raw), size) if p]
+            own = [x for x in passages(normal(raw), size) if x[0]]
             ids += [i] * len(own)
             found += own
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["item_id", "passage"])
+        columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.bool_()))]
+        yield pa.record_batch([pa.array(ids, pa.int64()), *columns], names=["item_id", *edged])
 
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    each = map_rows(known, lambda: cut, "item_id bigint, passage string").distinct()
+    each = map_rows(known, lambda: cut, "item_id bigint, passage string, first boolean, last boolean").distinct()
     # collect_set leaves null ids out; they are told by a flag
-    each = each.groupBy("passage").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed"))
+    each = each.groupBy(*edged).agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.bool_or(F.col("item_id").isNull()).alias("unnamed"))
     each = written(each, "passages")
     n = -(-(each.agg(F.sum(F.length("passage"))).first()[0] or 0) // at_once) or 1
     sc = items.sparkSession.sparkContext
     for k in range(n):
         part = each if n == 1 else each.filter(F.pmod(F.xxhash64("passage"), F.lit(n)) == k)
-        yield Block(uuid.uuid4().hex, sc.broadcast(sorted(((r.ids + [None] * r.unnamed, r.passage) for r in part.toLocalIterator()), key=lambda x: x[1])), n)
+        yield Block(uuid.uuid4().hex, sc.broadcast(sorted(((r.ids + [None] * r.unnamed, r.passage, r["first"], r["last"]) for r in part.toLocalIterator()), key=lambda x: x[1:])), n)
 
 
 def find_items(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, per_edit: int = PER_EDIT, at_once: int = AT_ONCE) -> DataFrame:
@@ -169,8 +181,7 @@ def find_items(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, per_ed
 
     Both are compared in lower case with single spaces. An item counts as held if some passage of it
     occurs within len(passage) // per_edit - 1 edits (insertions, deletions, changes of a code point).
-    Passages of fewer than WHOLE_WORDS code points, exact as they are, count only where no letter or digit
-    stands at either side. Null and empty items are held by nothing; a null item_id is one of its own, last
+    A letter or digit that runs on where a passage begins or ends at the edge of a word is one more edit. Null and empty items are held by nothing; a null item_id is one of its own, last
     in item_ids; items that repeat an id are one item. Null and empty texts hold nothing. Rows that repeat a
     doc_id are rows like others. Items are a stated query set: they go to all texts, in blocks of about
     at_once code points; each block is one walk over docs, a job of its own.

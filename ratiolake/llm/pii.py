@@ -158,7 +158,8 @@ def patterns(text: str, start: int, end: int, floor: int = 0, ceiling: int | Non
     ceiling = len(text) if ceiling is None else ceiling
     before = [*_near(text, start, floor, 2), *["@" if floor else "^"] * 2][:2]
     after = [*_near(text, end, ceiling, 1), "@" if ceiling < len(text) else "$"][0]
-    one, two, after = (_NUMBER.sub("0", w.lower() if len(w) <= WRITTEN else f"{w[:16].lower()}#{xxh64_hexdigest(w)}") for w in (before[1], before[0], after))
+    folded = (_NUMBER.sub("0", w.lower()) for w in (before[1], before[0], after))
+    one, two, after = (w if len(w) <= WRITTEN else f"{w[:16]}#{xxh64_hexdigest(w)}" for w in folded)
     return [f"{one} {two} _", f"{two} _ {after}"]
 
 

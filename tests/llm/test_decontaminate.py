@@ -5,12 +5,14 @@ from ratiolake.llm import decontaminate as dc
 from .cases import ODD, table, with_clashes
 
 
-def distance(p, t):
+def distance(p, t, first=False, last=False):
+    """None in p is the edge of a word."""
+    p, t = [None] * first + list(p) + [None] * last, f" {t} "
     before = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
         now = [i]
         for j, b in enumerate(t, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (a != b)))
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (b.isalnum() if a is None else a != b)))
         before = now
     return min(before)
 
@@ -18,14 +20,9 @@ def distance(p, t):
 def test_myers():
     random.seed(11)
     for _ in range(3000):
-        p, t = ("".join(random.choice("abé") for _ in range(random.randint(0, n))) for n in (12, 25))
-        assert dc.least_distance(p, t) == distance(p, t)
-
-
-def stands(p, text):
-    """Whether p stands in text with no letter or digit at either side."""
-    at = [i for i in range(len(text)) if text.startswith(p, i)]
-    return any(not text[i - 1 : i].isalnum() and not text[i + len(p) : i + len(p) + 1].isalnum() for i in at)
+        p, t = ("".join(random.choice("abé ") for _ in range(random.randint(0, n))) for n in (12, 25))
+        for first, last in ((False, False), (True, False), (False, True), (True, True)):
+            assert dc.least_distance(p, f" {t} ", first, last) == distance(p, t, first, last)
 
 
 def brute(rows, items):
@@ -34,9 +31,9 @@ def brute(rows, items):
         text, found = dc.normal((t or "").encode()), {}
         for item_id, item in items:
             item = dc.normal((item or "").encode())
-            for p in dc.passages(item):
-                n = distance(p, text)
-                if p and n <= max(1, len(p) // dc.PER_EDIT) - 1 and (len(p) >= dc.WHOLE_WORDS or stands(p, text)):
+            for p, first, last in dc.passages(item):
+                n = distance(p, text, first, last)
+                if p and n <= max(1, len(p) // dc.PER_EDIT) - 1:
                     key = no_id if item_id is None else item_id
                     found[key] = min(n, found.get(key, n))
         out.append((d, [None if i == no_id else i for i in sorted(found)], min(found.values(), default=None), bool(found)))
@@ -83,7 +80,7 @@ def test_the_registered_query_against_brute_force(spark, sf):
     for d, t in docs:
         text, found = dc.normal((t or "").encode()), {}
         for item_id, item in items:
-            for p in dc.passages(dc.normal((item or "").encode())):
+            for p, first, last in dc.passages(dc.normal((item or "").encode())):
                 budget = len(p) // dc.PER_EDIT - 1
                 third = [p[i : i + dc.PER_EDIT // 2] for i in range(0, len(p), dc.PER_EDIT // 2)]
                 # budget edits leave at least one whole tenth-part of the passage in place
@@ -91,10 +88,25 @@ def test_the_registered_query_against_brute_force(spark, sf):
                     at = text.find(x)
                     while at >= 0:
                         start = at - i * (dc.PER_EDIT // 2)
-                        n = dc.least_distance(p, text[max(0, start - budget) : start + len(p) + budget])
+                        a, b = start - budget - 1, start + len(p) + budget + 1
+                        n = dc.least_distance(p, " " * (a < 0) + text[max(0, a) : b] + " " * (b > len(text)), first, last)
                         if n <= budget:
                             found[item_id] = min(n, found.get(item_id, n))
                         at = text.find(x, at + 1)
         want[d] = (sorted(found), min(found.values(), default=None), bool(found))
     got = {r.doc_id: (r.item_ids, r.distance, r.contaminated) for r in dc.op8_decontaminate(spark, sf).collect()}
     assert got == want and any(w[2] for w in want.values())
+
+
+def test_one_rule_for_passages_of_all_lengths(spark):
+    """Items of 5 to 300 code points, inside words, at edges, and in a very long text."""
+    items = [(n, ("abcde fghij " * 30)[:n].strip()) for n in (5, 19, 21, 39, 41, 59, 62, 170, 300)]
+    rows = []
+    for n, item in items:
+        rows += [(n, f"x {item}, y"), (1000 + n, f"x{item} y"), (2000 + n, f"x{item}y")]
+    rows.append((3, "lorem ipsum " * 20000 + "abcde"))
+    got = {r.doc_id: (r.item_ids, r.distance) for r in dc.find_items(table(spark, rows), table(spark, items, "item_id bigint, text string")).collect()}
+    for d, text in rows[:-1]:
+        want = brute([(d, text)], items)[0]
+        assert got[d] == (want[1], want[2])
+    assert got[3] == ([5], 0) and got[1019] == ([5], 0) and 21 not in got[1021][0] and got[1062][0][-1] >= 41

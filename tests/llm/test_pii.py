@@ -175,3 +175,10 @@ def test_half_of_a_context_unseen(spark):
     got = {r.doc_id: r.spans for r in pii.find_personal_data(table(spark, rows)).collect()}
     assert all(got[100 + i] == "phone:12:24" for i in range(12))
     assert got[400] == ""
+
+
+def test_long_context_words_are_folded_like_short_ones():
+    for n in (60, 70, 5000):
+        one, other = (pii.patterns(f"to {w} 12345678 x", len(w) + 4, len(w) + 12) for w in ("Ab1" * n, "aB7" * n))
+        assert one == other and max(map(len, one)) < 200
+    assert pii.patterns("to " + "a" * 70 + " 1", 74, 75) != pii.patterns("to " + "a" * 69 + "b 1", 74, 75)
