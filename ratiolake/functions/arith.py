@@ -8,6 +8,8 @@ for the greatest common divisor, which is no function of Spark: Arrow batches go
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -116,19 +118,33 @@ def part_of_total(mode: Column, part: Column, percent: Column, total: Column) ->
     return {"result": result, "rest": rest, "warning": warning}
 
 
-#: The codes of a variation's limits, and from and to which percentage it is usual.
-LIMITS = {"zero": "initial_zero", "below": "negative_final", "both": "both_zero", "from": "from_zero", "gone": "minus_100", "huge": "huge", "under": "below_minus_100", "usual": "ok", "else": "generic"}
-USUAL = (-100, 1000)
+#: What a variation means, by the signs of both values and where its percentage lies (above, below). The first row that fits counts; None fits all.
+MEANINGS = [
+    # first, second, above, below, code
+    (0, 0, None, None, "both_zero"),
+    (0, None, None, None, "from_zero"),
+    (1, 0, None, None, "minus_100"),
+    (1, 1, 1000, None, "huge"),
+    (1, 1, None, -100, "below_minus_100"),
+    (1, 1, None, None, "ok"),
+    (None, None, None, None, "generic"),
+]
+#: Warnings by the signs of both values.
+WARNINGS = [(0, 1, "initial_zero"), (0, -1, "initial_zero"), (1, -1, "negative_final")]
 
 
 def limits(a: Column, b: Column) -> Results:
     """A variation with a warning and what it means; both are null for null inputs."""
     v = div(b - a, a) * 100
-    code = lambda cond, name: F.when(cond, LIMITS[name])
-    from_zero, positive = a == 0, a > 0
-    usual = F.coalesce(code(v > USUAL[1], "huge"), code(v < USUAL[0], "under"), F.lit(LIMITS["usual"]))
-    meaning = F.when(from_zero, F.coalesce(code(b == 0, "both"), F.lit(LIMITS["from"]))).when(positive & (b == 0), LIMITS["gone"]).when(positive & (b > 0), usual).otherwise(LIMITS["else"])
-    warning = F.coalesce(code(from_zero & (b != 0), "zero"), code(positive & (b < 0), "below"))
+
+    def fits(first: int | None, second: int | None, above: float | None = None, below: float | None = None) -> Column:
+        rules = [F.signum(c) == sign for c, sign in ((a, first), (b, second)) if sign is not None]
+        rules += [v > above] if above is not None else []
+        rules += [v < below] if below is not None else []
+        return reduce(Column.__and__, rules, F.lit(True))
+
+    meaning = F.coalesce(*[F.when(fits(*row[:-1]), row[-1]) for row in MEANINGS])
+    warning = F.coalesce(*[F.when(fits(*row[:-1]), row[-1]) for row in WARNINGS])
     return {"delta": b - a, "coefficient": div(b, a), "percent": v, "warning": warning, "meaning": F.when(a.isNotNull() & b.isNotNull(), meaning)}
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .text import fnv1a
 
 #: The steps of the generator (mulberry32).
 STEP, MASK = 0x6D2B79F5, 0xFFFFFFFF
@@ -27,15 +32,41 @@ def random(seed: Column, nth: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(float(1 << 32))
 
 
+def randoms(seed: int, n: int) -> np.ndarray:
+    """The first n numbers of a seed, as `random` gives them."""
+    m = np.uint64(MASK)
+    a = (np.uint64(seed & MASK) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP)) & m
+    t = (a ^ a >> np.uint64(15)) * (a | np.uint64(1)) & m
+    t ^= (t + ((t ^ t >> np.uint64(7)) * (t | np.uint64(61)) & m)) & m
+    return (t ^ t >> np.uint64(14)) / float(1 << 32)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _orders(size: pd.Series, seed: pd.Series) -> pd.Series:
+    def one(n: int, seed: int) -> list[int]:
+        order = list(range(n))
+        with np.errstate(over="ignore"):
+            places = (randoms(seed, n - 1) * np.arange(n, 1, -1)).astype(np.int64).tolist()
+        for i, j in zip(range(n - 1, 0, -1), places, strict=True):
+            order[i], order[j] = order[j], order[i]
+        return order
+
+    return pd.Series([one(int(n), int(s)) if n > 1 else list(range(max(0, int(n)))) for n, s in zip(size, seed, strict=True)], dtype=object)
+
+
 def shuffled(values: Column, seed: Column) -> Column:
-    """An array in an order that follows from the seed: from the last place down, each is exchanged with one at or before it."""
+    """An array in an order that follows from the seed: from the last place down, each is exchanged with one at or before it; null for a null array or seed.
+
+    The order is made of numbers, a step for each, in Arrow batches; the values stay in the JVM.
+    """
+    known = values.isNotNull() & seed.isNotNull()
+    order = _orders(F.coalesce(F.size(values), F.lit(0)), F.coalesce(seed.cast("long"), F.lit(0)))
+    return F.when(known, F.transform(order, lambda i: F.get(values, i)))
 
-    def step(got: Column, i: Column) -> Column:
-        j = (F.floor(random(seed, F.size(values) - i + 1) * i) + 1).cast("int")
-        return F.transform(got, lambda x, at: F.when(at + 1 == i, F.get(got, j - 1)).when(at + 1 == j, F.get(got, i - 1)).otherwise(x))
 
-    places = F.when(F.size(values) > 1, F.sequence(F.size(values), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, values, step)
+def seed_of(seed: Column, name: Column) -> Column:
+    """A seed of its own for each name: the seed and the name's FNV-1a hash, bit by bit different."""
+    return _u32(seed.cast("long")).bitwiseXOR(fnv1a(name).cast("long"))
 
 
 def pick(weights: Column, chance: Column) -> Column:

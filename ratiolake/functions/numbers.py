@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+from math import gcd as gcd_of
 
 import numpy as np
 import pandas as pd
@@ -142,3 +144,64 @@ def decimal_percent(mode: Column, x: Column) -> Column:
 def unit_fraction(num: Column, den: Column) -> Column:
     """'1/n' for fractions of that form, else null."""
     return F.when(num == 1, F.concat(F.lit("1/"), den.cast("long").cast("string")))
+
+
+_PERIODIC = T.StructType([T.StructField("whole", T.LongType()), T.StructField("before", T.StringType()), T.StructField("period", T.StringType()), T.StructField("length", T.LongType())])
+
+
+def _primes(n: int) -> list[int]:
+    """The distinct prime factors of n."""
+    found, d = [], 2
+    while d * d <= n:
+        if n % d == 0:
+            found.append(d)
+            while n % d == 0:
+                n //= d
+        d += 1
+    return found + ([n] if n > 1 else [])
+
+
+@lru_cache(1 << 14)
+def period_length(n: int) -> tuple[int, int]:
+    """How many digits of 1/n come before its period, and how many the period has: what 2 and 5 take, and the order of 10 modulo the rest."""
+    powers = []
+    for p in (2, 5):
+        powers.append(0)
+        while n % p == 0:
+            n, powers[-1] = n // p, powers[-1] + 1
+    if n == 1:
+        return max(powers), 0
+    order = n
+    for p in _primes(n):
+        order = order // p * (p - 1)
+    for p in _primes(order):
+        while order % p == 0 and pow(10, order // p, n) == 1:
+            order //= p
+    return max(powers), order
+
+
+def periodic(num: Column, den: Column, most: int = 10_000) -> Column:
+    """struct(whole, before, period, length): a fraction of whole numbers as a decimal, the digits after the point before and in the period, and how many the period has.
+
+    whole is the absolute value's; period is empty where the decimal ends, and null where it has more than `most` digits.
+    Null for a null number or a denominator of 0.
+    """
+
+    @F.pandas_udf(_PERIODIC)
+    def told(num: pd.Series, den: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(num, den, strict=True):
+            if pd.isna(a) or pd.isna(b) or b == 0:
+                rows.append((None,) * 4)
+                continue
+            a, b = abs(int(a)), abs(int(b))
+            g = gcd_of(a, b)
+            a, b = a // g, b // g
+            first, length = period_length(b)
+            head, rest = divmod(a % b * 10**first, b)
+            period = None if length > most else str(rest * (10**length - 1) // b).zfill(length) if length else ""
+            rows.append((a // b, str(head).zfill(first) if first else "", period, length))
+        return pd.DataFrame(rows, columns=["whole", "before", "period", "length"]).astype({"whole": "Int64", "length": "Int64"})
+
+    known = num.isNotNull() & den.isNotNull() & (den != 0)
+    return F.when(known, told(num.cast("long"), den.cast("long")))

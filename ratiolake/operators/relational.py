@@ -74,13 +74,21 @@ def tiered_top_k(items: DataFrame, key: str, position: str, tiers: list[list[str
 
 
 def merge_intervals(rows: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """(group, first, last): intervals of integers that overlap or touch (start <= end before + 1) become one; ends may be swapped."""
-    a, b = F.least(start, end), F.greatest(start, end)
-    w = Window.partitionBy(group).orderBy("_a", "_b")
-    x = rows.select(group, a.alias("_a"), b.alias("_b"))
-    x = x.withColumn("_reach", F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("_island", F.sum(F.when(F.col("_a") <= F.col("_reach") + 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(group, "_island").agg(F.min("_a").alias("first"), F.max("_b").alias("last")).select(group, "first", "last")
+    """(group, first, last): intervals of integers that overlap or touch (start <= end before + 1) become one; ends may be swapped.
+
+    A large group is merged range by range: each knows how far the intervals of earlier ranges reach, and how many islands begin there.
+    """
+    x = ranged(rows.select(F.col(group).alias("_g"), F.least(start, end).alias("_a"), F.greatest(start, end).alias("_b")), ["_g", "_a", "_b"], "intervals")
+    earlier = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = x.groupBy("_g", "_range").agg(F.max("_b").alias("_top")).select(F.col("_g").alias("_rg"), F.col("_range").alias("_rr"), F.max("_top").over(earlier).alias("_reached"))
+    x = x.join(reach, F.col("_g").eqNullSafe(F.col("_rg")) & (F.col("_range") == F.col("_rr"))).drop("_rg", "_rr")
+    w = Window.partitionBy("_g", "_range").orderBy("_a", "_b")
+    x = x.withColumn("_reach", F.greatest("_reached", F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    x = x.withColumn("_new", F.when(F.col("_a") <= F.col("_reach") + 1, 0).otherwise(1))
+    begun = before_each_range(x.select(F.col("_g").alias("_group"), "_range", "_new"), "_group", "_new").select(F.col("_g").alias("_rg"), F.col("_r").alias("_rr"), "_before")
+    x = x.withColumn("_here", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(begun, F.col("_g").eqNullSafe(F.col("_rg")) & (F.col("_range") == F.col("_rr")))
+    islands = x.groupBy("_g", (F.col("_here") + F.col("_before")).alias("_island")).agg(F.min("_a").alias("first"), F.max("_b").alias("last"))
+    return islands.select(F.col("_g").alias(group), "first", "last")
 
 
 def page_ranges(text: Column, most: Column) -> Column:
@@ -106,9 +114,12 @@ def page_ranges(text: Column, most: Column) -> Column:
 
 
 def offsets(rows: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
-    """rows with `first`, where each starts when sizes are laid end to end from 1."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("first", F.sum(size).over(w) - F.col(size) + 1)
+    """rows with `first`, where each starts when sizes are laid end to end from 1; a large group is laid out range by range."""
+    x = ranged(rows, [group, *order], "offsets")
+    before = before_each_range(x, group, size)
+    w = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_upto", F.sum(size).over(w)).join(before, x[group].eqNullSafe(before["_g"]) & (x["_range"] == before["_r"]))
+    return x.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_upto") - F.col(size) + 1).alias("first"))
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:

@@ -140,13 +140,25 @@ def g11_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_orderkey", F.array_join(chance.shuffled(F.col("l"), F.col("l_orderkey")).cast("array<string>"), ",").alias("shuffled"))
 
 
+def g11_named_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers from a seed of its own for each part, after its name."""
+    own = chance.seed_of(F.col("p_partkey"), F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", own.alias("seed"), chance.random(own, F.lit(1)).alias("first"))
+
+
+def k02_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of lines as parts of their order's number, as decimals with a period."""
+    x = _t(spark, d, "lineitem").select(*LINE, "l_partkey", F.col("l_quantity").cast("long").alias("q"))
+    return x.select(*LINE, nu.periodic(F.col("l_partkey"), F.col("q")).alias("p")).select(*LINE, "p.*")
+
+
 def g14_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     weights = F.array(F.col("l_quantity"), F.lit(0.0), F.col("l_linenumber").cast("double"), F.lit(7.0))
     r = chance.random(F.col("l_orderkey") - 5, F.col("l_linenumber"))
     return _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), chance.pick(weights, r).alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g14_weighted_pick)}
+QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, g14_weighted_pick)}
 
 _ITEMS = "i AS (SELECT *, p_partkey % 3 <> 0 AS available, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS number FROM part)"
 
@@ -195,5 +207,13 @@ r AS (SELECT k, n, {_random("k", "n")} AS r FROM (SELECT DISTINCT l_orderkey AS
 rs AS (SELECT k, list(r ORDER BY n) AS rs FROM r GROUP BY 1),
 j AS (SELECT l.k, l, list_transform(range(len(l), 1, -1), lambda i: [i::INTEGER, floor(rs[len(l) - i + 1] * i)::INTEGER + 1]) AS swaps FROM l JOIN rs ON rs.k = l.k)
 SELECT k AS l_orderkey, array_to_string(list_reduce(list_prepend(l, swaps), lambda acc, e: list_transform(range(1, len(acc) + 1), lambda x: CASE x WHEN e[1] THEN acc[e[2]] WHEN e[2] THEN acc[e[1]] ELSE acc[x] END)), ',') AS shuffled FROM j""",
+    "g11_named_seeds": f"""WITH RECURSIVE h AS (SELECT p_partkey, p_name, 0 AS i, 2166136261::HUGEINT AS h FROM part UNION ALL
+  SELECT p_partkey, p_name, i + 1, (xor(h::BIGINT, ascii(substr(p_name, i + 1, 1))::BIGINT)::HUGEINT * 16777619) % 4294967296 FROM h WHERE i < length(p_name)),
+s AS (SELECT p_partkey, xor(h::BIGINT, p_partkey) AS seed FROM h WHERE i = length(p_name)) SELECT p_partkey, seed, {_random("seed", "1")} AS first FROM s""",
+    "k02_periods": """WITH RECURSIVE q AS (SELECT l_orderkey, l_linenumber, l_partkey AS a, l_quantity::BIGINT AS b FROM lineitem), d AS (SELECT DISTINCT a % b AS r0, b FROM q),
+s AS (SELECT r0, b, r0 AS r, [r0] AS seen, '' AS digits FROM d UNION ALL
+  SELECT r0, b, (r * 10) % b, list_append(seen, (r * 10) % b), digits || (r * 10 // b)::VARCHAR FROM s WHERE r <> 0 AND NOT list_contains(seen[:len(seen) - 1], r)),
+e AS (SELECT r0, b, digits, CASE WHEN r = 0 THEN length(digits) ELSE list_position(seen, r) - 1 END AS n FROM s WHERE r = 0 OR list_contains(seen[:len(seen) - 1], r))
+SELECT l_orderkey, l_linenumber, a // q.b AS whole, digits[1 : n] AS before, digits[n + 1 :] AS period, length(digits) - n AS length FROM q JOIN e ON e.r0 = q.a % q.b AND e.b = q.b""",
     "g14_weighted_pick": f"WITH r AS (SELECT *, {_random('l_orderkey - 5', 'l_linenumber')} AS chance FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, chance, CASE WHEN chance * (l_quantity + l_linenumber + 7) <= l_quantity THEN 0 WHEN chance * (l_quantity + l_linenumber + 7) <= l_quantity + l_linenumber THEN 2 ELSE 3 END AS picked FROM r",
 }

@@ -100,11 +100,11 @@ z AS (SELECT *, coalesce(len(list_filter(per, lambda k: k > 25))::DOUBLE / nulli
 c AS (SELECT *, greatest(0, least(100, floor(100 - greatest(0, least(40, sentence_length - 14)) * 1.6e0 - long * 28 - very_long * 22 - greatest(0, least(3.5e0, word_length - 4.6e0)) * 10
   - CASE WHEN words >= 120 THEN greatest(0, least(6, greatest(2, floor(words / 90 + 0.5e0)) - paragraphs)) * 6 ELSE 0 END
   - CASE WHEN words >= 40 AND density < 0.02e0 THEN 6 ELSE 0 END - CASE WHEN words >= 40 AND density > 0.18e0 THEN 6 ELSE 0 END + 0.5e0)))::BIGINT AS score,
-  list_filter([CASE WHEN sentence_length > 22 OR long > 0.25e0 THEN 'long_sentences' END, CASE WHEN very_long > 0.12e0 THEN 'very_long_sentences' END, CASE WHEN word_length > 6.2e0 THEN 'long_words' END, CASE WHEN words >= 120 AND paragraphs <= 1 THEN 'no_paragraphs' END, CASE WHEN words >= 60 AND density < 0.02e0 THEN 'low_punctuation' END, CASE WHEN words >= 60 AND density > 0.18e0 THEN 'high_punctuation' END], lambda i: i IS NOT NULL) AS i FROM z)
+  list_filter([CASE WHEN sentence_length > 22 OR long > 0.25e0 THEN 'readability_issue_long_sentences' END, CASE WHEN very_long > 0.12e0 THEN 'readability_issue_very_long_sentences' END, CASE WHEN word_length > 6.2e0 THEN 'readability_issue_long_words' END, CASE WHEN words >= 120 AND paragraphs <= 1 THEN 'readability_issue_no_paragraphs' END, CASE WHEN words >= 60 AND density < 0.02e0 THEN 'readability_issue_low_punctuation' END, CASE WHEN words >= 60 AND density > 0.18e0 THEN 'readability_issue_high_punctuation' END], lambda i: i IS NOT NULL) AS i FROM z)
 SELECT doc_id, chars, chars_no_spaces, words, sentences, paragraphs, round(word_length, 9) AS word_length, round(sentence_length, 9) AS sentence_length, round(long, 9) AS long, round(very_long, 9) AS very_long, round(density, 9) AS density, score,
   CASE WHEN score >= 85 THEN 'very_easy' WHEN score >= 70 THEN 'easy' WHEN score >= 50 THEN 'medium' WHEN score >= 30 THEN 'hard' ELSE 'very_hard' END AS level,
-  CASE WHEN len(i) = 0 THEN 'none' ELSE array_to_string(i, ',') END AS issues,
-  CASE WHEN len(i) = 0 THEN 'keep_it_up' ELSE array_to_string(list_transform(i, lambda k: CASE k WHEN 'long_sentences' THEN 'shorten_sentences' WHEN 'very_long_sentences' THEN 'split_sentences' WHEN 'long_words' THEN 'simpler_words' WHEN 'no_paragraphs' THEN 'add_paragraphs' WHEN 'low_punctuation' THEN 'add_punctuation' ELSE 'reduce_punctuation' END), ',') END AS tips
+  CASE WHEN len(i) = 0 THEN 'readability_issue_none' ELSE array_to_string(i, ',') END AS issues,
+  CASE WHEN len(i) = 0 THEN 'readability_tip_keep_it_up' ELSE array_to_string(list_transform(i, lambda k: CASE k WHEN 'readability_issue_long_sentences' THEN 'readability_tip_shorten_sentences' WHEN 'readability_issue_very_long_sentences' THEN 'readability_tip_split_sentences' WHEN 'readability_issue_long_words' THEN 'readability_tip_simpler_words' WHEN 'readability_issue_no_paragraphs' THEN 'readability_tip_add_paragraphs' WHEN 'readability_issue_low_punctuation' THEN 'readability_tip_add_punctuation' ELSE 'readability_tip_reduce_punctuation' END), ',') END AS tips
 FROM c""",
     "t16_paths": r"SELECT page_id, n AS normal, b AS bare, CASE WHEN b = '/' THEN '/fr' ELSE '/fr' || b END AS french FROM (SELECT *, CASE WHEN regexp_matches(n, '^/(fr|en|de|es)(/|$)') THEN CASE WHEN length(n) <= 4 THEN '/' ELSE substr(n, 4) END ELSE n END AS b FROM (SELECT page_id, CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/$', '') END AS n FROM (SELECT page_id, regexp_replace('/' || regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[?#].*$', ''), '/{2,}', '/', 'g') AS p FROM pages)))",
     "t26_hash": "SELECT page_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM pages",

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratiolake.functions.text import permissions
+from ratiolake.sources.pdf_filters import decoded
+from ratiolake.sources.pdf_objects import parse
 
 #: Bytes at a file's end where startxref is looked for, and of the two ends for linearization.
 TAIL, ENDS = 4096, 256_000
@@ -41,8 +43,11 @@ def linearization(files: DataFrame, ends: int = ENDS) -> DataFrame:
     n = F.octet_length("content")
     x = files.select("path", latin(F.col("content"), F.lit(1), F.lit(ends)).alias("head"), latin(F.col("content"), F.greatest(F.lit(1), n - ends + 1), F.lit(ends)).alias("tail"))
     keyword = F.rlike("head", F.lit(r"/Linearized\s+1\b"))
-    told = F.regexp_extract("head", r"(?s)<<((?:(?!>>).){0,2000}?/Linearized\s+1\b(?:(?!>>).){0,6000}?)>>", 1)
-    x = x.withColumn("dict", told)
+    # what lies between one >> and the next, from its first <<; what is after the last is not closed
+    pieces = F.split("head", ">>")
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    told = F.get(F.filter(closed, lambda p: F.rlike(p, F.lit(r"(?s)<<.*/Linearized\s+1\b"))), 0)
+    x = x.withColumn("dict", F.coalesce(F.regexp_extract(told, r"(?s)<<(.*)", 1), F.lit("")))
     hint = lambda i: F.regexp_extract("dict", r"/H(?![A-Za-z])\s*\[\s*([+-]?\d+)\s+([+-]?\d+)", i).try_cast("long")
     some = lambda c: F.when(c != "", c)
     return x.select(
@@ -156,35 +161,25 @@ def table(text: bytes) -> tuple[list[tuple], int]:
     return out, at
 
 
-def _array(told: bytes, key: bytes) -> list[int] | None:
-    m = re.search(rb"/" + key + rb"\s*\[([^\]]*)\]", told)
-    return [int(x) for x in m[1].split()] if m else None
-
-
 def _entry(told: bytes, key: bytes, default: int) -> int:
     m = re.search(rb"/" + key + rb"(?![A-Za-z])\s*(\d+)", told)
     return int(m[1]) if m else default
 
 
 def stream(told: bytes, body: bytes) -> list[tuple]:
-    if b"/FlateDecode" in told:
-        data = zlib.decompressobj().decompress(body)
-    elif b"/Filter" in told:
-        raise ValueError("unsupported filter of a cross-reference stream")
-    else:
-        data = body[: _entry(told, b"Length", len(body))]
-    widths = _array(told, b"W")
-    if not widths or len(widths) != 3:
+    """The entries of a cross-reference stream with its dictionary and what follows it; its filters are undone."""
+    value = parse(told, 0, [])[0]
+    size_told = value.get("Length")
+    if isinstance(size_told, int) and body[size_told : size_told + 20].lstrip().startswith(b"endstream"):
+        body = body[:size_told]
+    elif b"endstream" in body:
+        body = body[: body.index(b"endstream")]
+    data = decoded(body, value.get("Filter"), value.get("DecodeParms"))
+    widths = value.get("W")
+    if not isinstance(widths, list) or len(widths) != 3:
         raise ValueError("cross-reference stream without /W")
     size = sum(widths)
-    if _entry(told, b"Predictor", 1) >= 10:  # of PNG: each row has a byte for its filter; files use 'up' here
-        rows, before = [], bytes(size)
-        for i in range(0, len(data) - size, size + 1):
-            row = data[i + 1 : i + 1 + size]
-            before = bytes((a + b) & 255 for a, b in zip(row, before, strict=True)) if data[i] == 2 else row
-            rows.append(before)
-        data = b"".join(rows)
-    index = _array(told, b"Index") or [0, _entry(told, b"Size", 0)]
+    index = value.get("Index") or [0, value.get("Size", 0)]
     numbers = [k for a, n in zip(index[::2], index[1::2], strict=True) for k in range(a, a + n)]
     out = []
     for k, i in zip(numbers, range(0, len(data) - size + 1, size), strict=False):

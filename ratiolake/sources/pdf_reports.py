@@ -7,9 +7,10 @@ again, so cyclic files end; where a page tree repeats an object, its file has a
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ratiolake.functions import text as tx
 from ratiolake.functions.numbers import round_half_up
+from ratiolake.sources.pdf_filters import decoded
 from ratiolake.tables import written
 
 
@@ -39,6 +41,31 @@ def _resolved(rows: DataFrame, key: str, objs: DataFrame, name: str, *more: str)
     return rows.join(other, (F.col("path") == F.col("_p")) & (F.col(key) == F.col("_o")), "left").drop("_p", "_o")
 
 
+def followed(rows: DataFrame, by: list[str], keys: dict[str, str], objs: DataFrame, of: str = "dict") -> DataFrame:
+    """rows with the values of keys (column: path in the dictionary `of`) as JSON columns; a reference gives the value of the object it names, null if there is none.
+
+    by are columns, path among them, that tell the rows apart. Only references are moved, all of them in one join.
+    """
+    entry = [F.struct(F.lit(c).alias("k"), F.get_json_object(of, f"$.{at}").alias("v")) for c, at in keys.items()]
+    x = rows.withColumn("_all", F.map_from_entries(F.array(*entry)))
+    number = lambda v: F.regexp_extract(v, r'^\{"ref":(?: )?(\d+)\}$', 1).try_cast("long")
+    asked = x.select(*by, F.explode("_all").alias("_k", "_v")).withColumn("_to", number(F.col("_v"))).filter("_to is not null")
+    # as get_json_object gives it: text without quotes
+    told = _resolved(asked, "_to", objs, "_d").withColumn("_d", F.get_json_object(F.concat(F.lit("["), "_d", F.lit("]")), "$[0]")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_d"))).alias("_told"))
+    told = told.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_told")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    x = x.join(told, same, "left").drop(*[f"_by_{c}" for c in by])
+    value = lambda c: F.when(number(F.col("_all")[c]).isNotNull(), F.try_element_at("_told", F.lit(c))).otherwise(F.col("_all")[c])
+    return x.withColumns({c: value(c) for c in keys}).drop("_all", "_told")
+
+
+def resolved_value(rows: DataFrame, column: str, objs: DataFrame, arrays_only: bool = False) -> DataFrame:
+    """rows whose JSON value in `column` is that of the object it refers to, if it is a reference; arrays_only leaves references to other values."""
+    x = _resolved(rows.withColumn("_to", F.get_json_object(column, "$.ref").cast("long")), "_to", objs, "_told")
+    follow = F.col("_to").isNotNull() & (F.startswith("_told", F.lit("[")) if arrays_only else F.lit(True))
+    return x.withColumn(column, F.when(follow, F.col("_told")).otherwise(F.col(column))).drop("_to", "_told")
+
+
 def catalog(objs: DataFrame) -> DataFrame:
     """(path, root, dict) of each file's catalogue."""
     return _resolved(objs.filter("obj = 0").select("path", _ref("Root").alias("root")), "root", objs, "dict")
@@ -59,33 +86,39 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
 # -- pages ----------------------------------------------------------------------------------------------
 
 
+#: What a page has from the nodes above it if not itself, and the column for it.
+INHERITED = {"MediaBox": "box", "CropBox": "crop", "Rotate": "turn", "Resources": "resources"}
+
+
 def page_nodes(objs: DataFrame) -> DataFrame:
-    """(path, page, obj, box, turn, resources, contents, annots, error): pages in order, as JSON what they have or inherit.
+    """(path, page, obj, box, crop, turn, resources, contents, annots, error): pages in order, as JSON what they have or inherit.
 
-    error is null, but for one row of each file whose page tree enters an object again.
+    error is null, but for one row of each file whose page tree enters an object again: of several places of an
+    object the first counts, in its level and of all levels. Each level is written once.
     """
-    level = catalog(objs).select("path", _ref("Pages").alias("node"), F.array().cast("array<int>").alias("place"), *[F.lit(None).cast("string").alias(c) for c in ("box", "turn", "resources")])
-    level = written(level.filter("node is not null"), "level")
-    seen, leaves, faults = level.select("path", "node"), [], []
-    while not level.isEmpty():
+    inherited = list(INHERITED.values())
+    level = catalog(objs).select("path", _ref("Pages").alias("node"), F.array().cast("array<int>").alias("place"), *[F.lit(None).cast("string").alias(c) for c in inherited], F.lit(False).alias("again"), F.lit(False).alias("met"))
+    level, levels = level.filter("node is not null"), []
+    while True:
         x = _resolved(level, "node", objs, "_d").filter("_d is not null")
-        x = x.select("path", "node", "place", *[F.coalesce(_get(k, "_d"), c).alias(c) for c, k in (("box", "MediaBox"), ("turn", "Rotate"), ("resources", "Resources"))], _get("Contents", "_d").alias("contents"), _get("Annots", "_d").alias("annots"), _name("Type", "_d").alias("type"), F.from_json(_get("Kids", "_d"), "array<struct<ref:bigint>>").alias("kids"))
-        x = written(x, "tree")
-        leaves.append(x.filter("kids is null or type = 'Page'").drop("type", "kids"))
-        below = x.filter("kids is not null and coalesce(type, '') <> 'Page'").select("path", F.posexplode("kids").alias("i", "kid"), "place", "box", "turn", "resources")
-        below = below.select("path", F.col("kid.ref").alias("node"), F.concat("place", F.array("i")).alias("place"), "box", "turn", "resources")
-        faults.append(written(below.join(seen, ["path", "node"], "left_semi").select("path").distinct(), "faults"))
-        level = written(below.join(seen, ["path", "node"], "left_anti"), "level")
-        seen = written(seen.unionByName(level.select("path", "node")).distinct(), "seen")
-    if not leaves:
-        return objs.limit(0).select("path", F.lit(0).alias("page"), "obj", *[F.lit("").alias(c) for c in ("box", "turn", "resources", "contents", "annots", "error")])
-    found, again = leaves[0], faults[0]
-    for more, fault in zip(leaves[1:], faults[1:], strict=True):
-        found, again = found.unionByName(more), again.unionByName(fault)
+        x = followed(x, ["path", "node"], {"_kids": "Kids", "_box": "MediaBox", "_crop": "CropBox", "_turn": "Rotate"}, objs, "_d").withColumn("_resources", _get("Resources", "_d"))
+        x = x.select(
+            "path", "node", "place", "again", "met", *[F.coalesce(f"_{c}", c).alias(c) for c in inherited], _get("Contents", "_d").alias("contents"), _get("Annots", "_d").alias("annots"),
+            F.when((_name("Type", "_d") == "Page") | F.col("met"), None).otherwise(F.from_json("_kids", "array<struct<ref:bigint>>")).alias("kids"),
+        )
+        levels.append(written(x, "tree"))
+        if levels[-1].filter("kids is not null").isEmpty():
+            break
+        seen = reduce(DataFrame.unionByName, [t.select("path", "node") for t in levels]).distinct().withColumn("met", F.lit(True))
+        below = levels[-1].filter("kids is not null").select("path", F.posexplode("kids").alias("i", "kid"), "place", *inherited)
+        below = below.select("path", F.col("kid.ref").alias("node"), F.struct(F.concat("place", F.array("i")).alias("place"), *inherited).alias("x")).filter("node is not null")
+        below = below.groupBy("path", "node").agg(F.min("x").alias("x"), F.count("*").alias("n")).join(seen, ["path", "node"], "left")
+        level = below.select("path", "node", "x.*", (F.col("n") > 1).alias("again"), F.coalesce("met", F.lit(False)).alias("met"))
+    found = reduce(DataFrame.unionByName, levels)
     page = F.row_number().over(Window.partitionBy("path").orderBy("place"))
-    found = found.select("path", page.alias("page"), F.col("node").alias("obj"), "box", "turn", "resources", "contents", "annots", F.lit(None).cast("string").alias("error"))
-    told = again.distinct().select("path", F.lit("page tree enters an object again").alias("error"))
-    return written(found.unionByName(told, allowMissingColumns=True), "pages")
+    leaves = found.filter("kids is null and not met").select("path", page.alias("page"), F.col("node").alias("obj"), *inherited, "contents", "annots", F.lit(None).cast("string").alias("error"))
+    told = found.filter("again or met").select("path").distinct().select("path", F.lit("page tree enters an object again").alias("error"))
+    return written(leaves.unionByName(told, allowMissingColumns=True), "pages")
 
 
 def pages(nodes: DataFrame) -> DataFrame:
@@ -134,26 +167,40 @@ def page_annotations(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     return p.select("path", "page", "at", "annot", F.when(F.col("annot").isNull(), F.col("entry")).otherwise(F.col("_d")).alias("dict")).filter("dict is not null")
 
 
-def annotations(of_pages: DataFrame) -> DataFrame:
-    """(path, page, at, obj, subtype, rect, quad_points, color, flags, contents, uri, action, target) of page_annotations, but widgets."""
+def annotations(of_pages: DataFrame, objs: DataFrame) -> DataFrame:
+    """(path, page, at, obj, subtype, rect, quad_points, color, flags, contents, author, modified, name, uri, action, to, target) of page_annotations, but widgets.
+
+    Values may be references. action is the name of the action, to whether a destination is told, target the page object it names.
+    """
     kind = _name("Subtype")
-    c = F.from_json(_get("C"), "array<double>")
-    color = F.when(F.size(c) == 3, c).when(F.size(c) == 1, F.array(F.get(c, 0), F.get(c, 0), F.get(c, 0)))
-    target = F.coalesce(F.get_json_object("dict", "$.A.D[0].ref"), F.get_json_object("dict", "$.Dest[0].ref")).cast("long")
+    by = ["path", "page", "at"]
     x = of_pages.filter(F.coalesce(kind, F.lit("")) != "Widget")
+    keys = {"_rect": "Rect", "_quads": "QuadPoints", "_c": "C", "_flags": "F", "_contents": "Contents", "_author": "T", "_modified": "M", "_nm": "NM", "_a": "A", "_dest": "Dest"}
+    x = followed(x, by, keys, objs)
+    x = followed(x, by, {"_s": "S", "_uri": "URI", "_d": "D"}, objs, "_a")
+    c = F.from_json("_c", "array<double>")
+    color = F.when(F.size(c) == 3, c).when(F.size(c) == 1, F.array(F.get(c, 0), F.get(c, 0), F.get(c, 0)))
+    action = F.when(F.startswith("_s", F.lit("/")), F.regexp_replace("_s", "^/", ""))
+    to = F.when(action == "GoTo", F.col("_d")).when(action.isNull(), F.col("_dest"))
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
     return x.select(
-        "path", "page", "at", F.col("annot").alias("obj"), F.when(kind.isin(*SUBTYPES), kind).otherwise("Unknown").alias("subtype"), F.from_json(_get("Rect"), "array<double>").alias("rect"),
-        F.from_json(_get("QuadPoints"), "array<double>").alias("quad_points"), color.alias("color"), F.coalesce(_get("F").cast("int"), F.lit(0)).alias("flags"), _get("Contents").alias("contents"),
-        _get("A.URI").alias("uri"), _name("A.S").alias("action"), target.alias("target"),
+        "path", "page", "at", F.col("annot").alias("obj"), F.when(kind.isin(*SUBTYPES), kind).otherwise("Unknown").alias("subtype"), F.from_json("_rect", "array<double>").alias("rect"),
+        F.from_json("_quads", "array<double>").alias("quad_points"), color.alias("color"), F.coalesce(F.col("_flags").try_cast("int"), F.lit(0)).alias("flags"), F.col("_contents").alias("contents"),
+        F.col("_author").alias("author"), F.col("_modified").alias("modified"), F.col("_nm").alias("name"), F.when(action == "URI", some(F.col("_uri"))).alias("uri"), action.alias("action"),
+        ((action == "GoTo") | (action.isNull() & F.col("_dest").isNotNull())).alias("to"), F.get_json_object(to, "$[0].ref").cast("long").alias("target"),
     )
 
 
 def links(notes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, page, at, kind, url, target_page) of link annotations: url, internal or unknown; those without action and target are left out."""
-    a = notes.filter("subtype = 'Link' and (action is not null or target is not null or uri is not null)")
+    """(path, page, at, kind, url, target_page) of link annotations: url, internal or unknown; those without action and destination are left out.
+
+    A url may be without address; an internal link has no page where its destination is a name or no page of the file.
+    """
+    told = F.coalesce("to", F.lit(False))
+    a = notes.filter((F.col("subtype") == "Link") & (F.col("action").isNotNull() | told))
     to = nodes.filter("page is not null").select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("page").alias("target_page"))
     a = a.join(to, (F.col("path") == F.col("_p")) & (F.col("target") == F.col("_o")), "left")
-    kind = F.when(F.col("uri").isNotNull(), "url").when((F.col("action") == "GoTo") | F.col("target").isNotNull(), "internal").otherwise("unknown")
+    kind = F.when(F.col("action") == "URI", "url").when(told, "internal").otherwise("unknown")
     return a.select("path", "page", "at", kind.alias("kind"), F.col("uri").alias("url"), "target_page")
 
 
@@ -184,7 +231,7 @@ def fonts(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     composite font is its first descendant's.
     """
     used = page_resources(objs, nodes, "Font").groupBy("path", "obj").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    f = _resolved(used, "obj", objs, "dict").filter("dict is not null").withColumn("below", F.get_json_object("dict", "$.DescendantFonts[0].ref").cast("long"))
+    f = followed(_resolved(used, "obj", objs, "dict").filter("dict is not null"), ["path", "obj"], {"_below": "DescendantFonts"}, objs).withColumn("below", F.get_json_object("_below", "$[0].ref").cast("long"))
     f = _resolved(f, "below", objs, "_b").withColumn("descriptor", F.coalesce(_ref("FontDescriptor"), _ref("FontDescriptor", "_b")))
     f = _resolved(f, "descriptor", objs, "_d")
     file = F.coalesce(*[F.when(_ref(k, "_d").isNotNull(), F.lit(k)) for k in ("FontFile", "FontFile2", "FontFile3")])
@@ -211,9 +258,10 @@ def images(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Images of pages: (path, obj, width, height, bits, colorspace, filters, ext, length, occurrences, pages)."""
     used = page_resources(objs, nodes, "XObject").groupBy("path", "obj").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("page")).alias("pages"))
     x = _resolved(used, "obj", objs, "dict", "stream_length").filter((_name("Subtype") == "Image") & F.col("stream_length").isNotNull())
-    f = F.coalesce(F.array_join(F.transform(F.from_json(_get("Filter"), "array<string>"), lambda n: F.regexp_replace(n, "^/", "")), "+"), _name("Filter"))
+    x = followed(x, ["path", "obj"], {k: k for k in ("Width", "Height", "BitsPerComponent", "ColorSpace", "Filter")}, objs)
+    f = F.coalesce(F.array_join(F.transform(F.from_json("Filter", "array<string>"), lambda n: F.regexp_replace(n, "^/", "")), "+"), F.regexp_replace("Filter", "^/", ""))
     ext = F.when(F.contains(f, F.lit("DCTDecode")), "jpg").when(F.contains(f, F.lit("JPXDecode")), "jp2").otherwise("bin")
-    return x.select("path", "obj", *[_get(k).cast("int").alias(n) for k, n in (("Width", "width"), ("Height", "height"), ("BitsPerComponent", "bits"))], _name("ColorSpace").alias("colorspace"), f.alias("filters"), ext.alias("ext"), F.col("stream_length").alias("length"), "occurrences", "pages")
+    return x.select("path", "obj", *[F.col(k).try_cast("int").alias(n) for k, n in (("Width", "width"), ("Height", "height"), ("BitsPerComponent", "bits"))], F.regexp_replace("ColorSpace", "^/", "").alias("colorspace"), f.alias("filters"), ext.alias("ext"), F.col("stream_length").alias("length"), "occurrences", "pages")
 
 
 def unique_images(found: DataFrame) -> DataFrame:
@@ -254,7 +302,12 @@ def form_fields(objs: DataFrame, of_pages: DataFrame) -> DataFrame:
         x = x.select("path", "obj", F.concat_ws(".", _get("T"), "name").alias("name"), "partial", "rect", F.when(F.array_contains("been", F.coalesce("up", F.lit(-1))), F.lit(None)).otherwise(_ref("Parent")).alias("next"), F.concat("been", F.array("up")).alias("been"), *[F.coalesce(k, c).alias(k) for k, c in keys.items()])
         x = written(x.withColumnRenamed("next", "up"), "fields")
         done, left = done.unionByName(x.filter("up is null"), allowMissingColumns=True), x.filter("up is not null")
-    flags = F.coalesce(F.col("ff").cast("long"), F.lit(0))
+    # a signature's value is told as its reference, all else as what it names
+    for k in ("v", "dv", "rect"):
+        done = _resolved(done.withColumn("_to", F.get_json_object(k, "$.ref").cast("long")), "_to", objs, "_value")
+        done = done.withColumn("_value", F.get_json_object(F.concat(F.lit("["), "_value", F.lit("]")), "$[0]"))
+        done = done.withColumn(k, F.when(F.col("_to").isNotNull() & ((F.col("ft") != "Sig") | F.lit(k != "v")), F.col("_value")).otherwise(F.col(k))).drop("_to", "_value")
+    flags = F.coalesce(F.col("ff").try_cast("long"), F.lit(0))
     bit = lambda n: flags.bitwiseAND(F.lit(1 << (n - 1))) != 0
     kind = F.when(F.col("ft") == "Tx", "text").when(F.col("ft") == "Btn", F.when(bit(17), "button").when(bit(16), "radio").otherwise("checkbox")).when(F.col("ft") == "Ch", F.when(bit(18), "dropdown").otherwise("list")).when(F.col("ft") == "Sig", "signature").otherwise("unknown")
     q = F.when(F.col("q").cast("int") == 1, "center").when(F.col("q").cast("int") == 2, "right").otherwise("left")
@@ -276,8 +329,9 @@ def filled_fields(fields: DataFrame) -> DataFrame:
 def signatures(objs: DataFrame, fields: DataFrame) -> DataFrame:
     """(path, obj, name, page, filter, sub_filter, byte_range, contents_length, signed_at, signer, reason) of signature fields that are signed."""
     s = fields.filter("type = 'signature' and value is not null").select("path", "obj", "name", "page", "value", F.get_json_object("value", "$.ref").cast("long").alias("own"))
-    s = _resolved(s, "own", objs, "_s").withColumn("dict", F.coalesce("_s", "value"))
-    return s.select("path", "obj", "name", "page", _name("Filter").alias("filter"), _name("SubFilter").alias("sub_filter"), F.from_json(_get("ByteRange"), "array<bigint>").alias("byte_range"), F.length(_get("Contents")).cast("long").alias("contents_length"), _get("M").alias("signed_at"), _get("Name").alias("signer"), _get("Reason").alias("reason"))
+    s = followed(_resolved(s, "own", objs, "_s").withColumn("dict", F.coalesce("_s", "value")), ["path", "obj"], {f"_{k}": k for k in ("Filter", "SubFilter", "ByteRange", "Contents", "M", "Name", "Reason")}, objs)
+    plain = lambda k: F.regexp_replace(f"_{k}", "^/", "")
+    return s.select("path", "obj", "name", "page", plain("Filter").alias("filter"), plain("SubFilter").alias("sub_filter"), F.from_json("_ByteRange", "array<bigint>").alias("byte_range"), F.length("_Contents").cast("long").alias("contents_length"), F.col("_M").alias("signed_at"), F.col("_Name").alias("signer"), F.col("_Reason").alias("reason"))
 
 
 def signature_counts(found: DataFrame) -> DataFrame:
@@ -286,28 +340,24 @@ def signature_counts(found: DataFrame) -> DataFrame:
 
 
 def attachments(objs: DataFrame) -> DataFrame:
-    """(path, obj, name, description, mime, size, checksum, created, modified) of files in the tree of names; size is that of the stream as stored."""
-    c = catalog(objs)
-    c = _resolved(c.withColumn("own", _ref("Names")), "own", objs, "_n").select("path", F.coalesce("_n", _get("Names")).alias("names"))
-    level = written(c.select("path", F.coalesce(F.get_json_object("names", "$.EmbeddedFiles"), F.lit("{}")).alias("node")), "names")
-    found, seen = [], None
+    """(path, obj, name, description, mime, size, checksum, created, modified) of files in the tree of names; size is that of the stream as stored. Any value may be a reference."""
+    names = followed(catalog(objs), ["path"], {"names": "Names"}, objs).select("path", F.coalesce(F.get_json_object("names", "$.EmbeddedFiles"), F.lit("{}")).alias("node"))
+    level, levels = names, []
     while True:
-        ref = F.get_json_object("node", "$.ref").cast("long")
-        x = _resolved(level.withColumn("own", ref), "own", objs, "_d").select("path", F.coalesce("_d", "node").alias("node"))
-        pairs = F.from_json(F.get_json_object("node", "$.Names"), "array<string>")
-        found.append(x.filter(pairs.isNotNull()).select("path", F.posexplode(pairs).alias("at", "key"), F.get(pairs, F.col("at") + 1).alias("spec")).filter("at % 2 = 0"))
-        kids = x.select("path", F.explode(F.from_json(F.get_json_object("node", "$.Kids"), "array<string>")).alias("node"))
-        level = written(kids if seen is None else kids.join(seen, ["path", "node"], "left_anti"), "names")
-        if level.isEmpty():
+        x = _resolved(level.withColumn("own", F.get_json_object("node", "$.ref").cast("long")), "own", objs, "_d").withColumn("_d", F.coalesce("_d", "node"))
+        levels.append(written(followed(x, ["path", "node"], {"names": "Names", "kids": "Kids"}, objs, "_d").select("path", "node", "names", F.from_json("kids", "array<string>").alias("kids")), "names"))
+        if levels[-1].filter("kids is not null").isEmpty():
             break
-        seen = written(level if seen is None else seen.unionByName(level).distinct(), "seen")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        seen = reduce(DataFrame.unionByName, [t.select("path", "node") for t in levels])
+        level = levels[-1].select("path", F.explode("kids").alias("node")).distinct().join(seen, ["path", "node"], "left_anti")
+    pairs = F.from_json("names", "array<string>")
+    every = reduce(DataFrame.unionByName, levels).filter("names is not null").select("path", "node", F.posexplode(pairs).alias("at", "key"), F.get(pairs, F.col("at") + 1).alias("spec")).filter("at % 2 = 0")
     s = _resolved(every.withColumn("obj", F.get_json_object("spec", "$.ref").cast("long")), "obj", objs, "_s").withColumn("dict", F.coalesce("_s", "spec"))
-    s = s.select("path", "obj", F.coalesce(_get("UF"), _get("F"), "key").alias("name"), _get("Desc").alias("description"), F.coalesce(_ref("EF.F"), _ref("EF.UF")).alias("file"))
-    f = _resolved(s, "file", objs, "dict", F.col("stream_length").alias("size"))
-    return f.select("path", "obj", "name", "description", _name("Subtype").alias("mime"), "size", F.hex(F.encode(_get("Params.CheckSum"), "ISO-8859-1")).alias("checksum"), _get("Params.CreationDate").alias("created"), _get("Params.ModDate").alias("modified"))
+    by = ["path", "node", "at"]
+    s = followed(s, by, {"uf": "UF", "f": "F", "description": "Desc", "ef": "EF"}, objs)
+    s = s.select(*by, "obj", F.coalesce("uf", "f", "key").alias("name"), "description", F.coalesce(_ref("F", "ef"), _ref("UF", "ef")).alias("file"))
+    f = followed(_resolved(s, "file", objs, "dict", F.col("stream_length").alias("size")), by, {"mime": "Subtype", "params": "Params"}, objs)
+    return f.select("path", "obj", "name", "description", F.regexp_replace("mime", "^/", "").alias("mime"), "size", F.hex(F.encode(_get("CheckSum", "params"), "ISO-8859-1")).alias("checksum"), _get("CreationDate", "params").alias("created"), _get("ModDate", "params").alias("modified"))
 
 
 def attachment_totals(found: DataFrame) -> DataFrame:
@@ -428,33 +478,58 @@ def content_ops(data: bytes, most: int | None = None) -> Iterator[tuple[str, str
                 return
 
 
-def page_ops(files: DataFrame, objs: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
-    """The operators of each page's content, in order: OPS. Streams of a page are joined by a line feed; those that can't be decoded are taken as they are."""
+def _content_streams(objs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, page, i, obj, start, length, filters, parms): the content streams of pages, in order, with JSON of their filters."""
     p = nodes.filter("contents is not null").select("path", "page", "contents", F.get_json_object("contents", "$.ref").cast("long").alias("own"))
     p = _resolved(p, "own", objs, "_c", "stream_length")
     several = F.from_json(F.when(F.col("stream_length").isNotNull(), F.concat(F.lit("["), "contents", F.lit("]"))).otherwise(F.coalesce("_c", "contents")), "array<struct<ref:bigint>>")
     p = p.select("path", "page", F.posexplode(several).alias("i", "r")).select("path", "page", "i", F.col("r.ref").alias("obj"))
     p = _resolved(p, "obj", objs, "dict", "stream_start", "stream_length").filter("stream_start is not null")
-    flate = F.rlike(F.coalesce(_get("Filter"), F.lit("")), F.lit("FlateDecode"))
-    listed = p.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "i", F.col("stream_start").alias("start"), F.col("stream_length").alias("length"), flate.alias("flate")))).alias("streams"))
+    p = followed(p, ["path", "page", "i"], {"filters": "Filter", "parms": "DecodeParms"}, objs)
+    return p.select("path", "page", "i", "obj", F.col("stream_start").alias("start"), F.col("stream_length").alias("length"), "filters", "parms")
+
+
+CONTENT = "path string, page int, i int, obj bigint, data binary, error string"
+
+
+def page_content(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """CONTENT: the content streams of pages, in order, decoded; those with an unknown filter or broken bytes as they are, with the reason."""
+    listed = _content_streams(objs, nodes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "i", "obj", "start", "length", "filters", "parms"))).alias("streams"))
+
+    def value(told: str | None):
+        return None if told is None else json.loads(told) if told[:1] in "[{" else told
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, streams in zip(batch["path"].to_pylist(), batch["content"], batch["streams"].to_pylist(), strict=True):
                 whole = content.as_buffer()
-                of_page: dict[int, list[bytes]] = {}
                 for s in streams:
-                    data = whole[s["start"] : s["start"] + s["length"]].to_pybytes()
+                    data, error = whole[s["start"] : s["start"] + s["length"]].to_pybytes(), None
                     try:
-                        data = zlib.decompressobj().decompress(data) if s["flate"] else data
-                    except zlib.error:
-                        pass
-                    of_page.setdefault(s["page"], []).append(data)
-                for page, parts in of_page.items():
-                    ops = list(content_ops(b"\n".join(parts), most))
-                    yield pa.record_batch([pa.array([path] * len(ops), pa.string()), pa.array([page] * len(ops), pa.int32()), pa.array(range(len(ops)), pa.int32()), pa.array([o for o, _ in ops], pa.string()), pa.array([a for _, a in ops], pa.string())], names=["path", "page", "at", "op", "args"])
-
-    return files.select("path", "content").join(listed, "path").mapInArrow(read, OPS)
+                        data = decoded(data, value(s["filters"]), value(s["parms"]))
+                    except ValueError as e:
+                        error = str(e)
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip((path, s["page"], s["i"], s["obj"], data, error), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["path", "page", "i", "obj", "data", "error"])
+
+    return files.select("path", "content").join(listed, "path").mapInArrow(read, CONTENT)
+
+
+def content_notes(content: DataFrame) -> DataFrame:
+    """(path, page, obj, note): streams of page_content that could not be decoded."""
+    return content.filter("error is not null").select("path", "page", "obj", F.col("error").alias("note"))
+
+
+def page_ops(files: DataFrame, objs: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """The operators of each page's content, in order: OPS. Streams of a page are joined by a line feed; those that can't be decoded are taken as they are."""
+    of_page = page_content(files, objs, nodes).groupBy("path", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "data"))), lambda x: x["data"]).alias("parts"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, page, parts in zip(batch["path"].to_pylist(), batch["page"].to_pylist(), batch["parts"].to_pylist(), strict=True):
+                ops = list(content_ops(b"\n".join(parts), most))
+                yield pa.record_batch([pa.array([path] * len(ops), pa.string()), pa.array([page] * len(ops), pa.int32()), pa.array(range(len(ops)), pa.int32()), pa.array([o for o, _ in ops], pa.string()), pa.array([a for _, a in ops], pa.string())], names=["path", "page", "at", "op", "args"])
+
+    return of_page.mapInArrow(read, OPS)
 
 
 def page_op_counts(ops: DataFrame) -> DataFrame:

@@ -35,13 +35,14 @@ def test_tables_of_objects(spark, tmp_path):
     objs = written(po.objects(pdf.read_files(spark, str(tmp_path))), "test-objects")
     errors = {r.path[-5:]: r.error for r in objs.filter("error is not null").collect()}
     assert set(errors) == {"b.pdf", "c.pdf"} and errors["b.pdf"] == "encrypted"
+    assert objs.filter("path like '%c.pdf' and error is not null").first().obj == 5
     objs = objs.filter("error is null and path like '%a.pdf'")
     nodes = rep.page_nodes(objs)
     p = rep.pages(nodes)
     assert [(r.page, r.obj, r.width, r.rotation, r.size_name, r.orientation, r.width_mm) for r in p.orderBy("page").collect()] == [(1, 3, 595.28, 270, "A4", "portrait", 210.0), (2, 11, 792.0, 0, "Letter", "landscape", 279.4)]
     m = rep.metadata(objs).first()
     assert (m.Title, m.Author, m.Producer, m.Creator) == ("Té", None, "é", None)
-    notes = rep.annotations(rep.page_annotations(objs, nodes))
+    notes = rep.annotations(rep.page_annotations(objs, nodes), objs)
     assert sorted((r.page, r.kind, r.url, r.target_page) for r in rep.links(notes, nodes).collect()) == [(1, "internal", None, 2), (1, "url", "http://a)b", None)]
     assert {(r.page, r.subtype) for r in notes.collect()} == {(1, "Link"), (2, "Highlight")}
     f = rep.fonts(objs, nodes).first()
@@ -63,8 +64,8 @@ def chain(n, last):
 def test_deep_and_cyclic_trees(spark):
     files = spark.createDataFrame([("deep", chain(12, 9000)), ("cycle", chain(3, 2))], "path string, content binary")
     nodes = rep.page_nodes(written(po.objects(files), "test-objects"))
-    assert sorted((r.path, r.page, r.error) for r in rep.pages(nodes).filter("page is not null").collect()) == [("cycle", 1, None), ("deep", 1, None), ("deep", 2, None)]
-    assert [(r.path, r.error) for r in rep.pages(nodes).filter("page is null").collect()] == [("cycle", "page tree enters an object again")]
+    assert sorted((r.path, r.page, r.error) for r in rep.pages(nodes).filter("page is not null").collect()) == [("cycle", 1, None), ("deep", 1, None)]
+    assert sorted((r.path, r.error) for r in rep.pages(nodes).filter("page is null").collect()) == [(p, "page tree enters an object again") for p in ("cycle", "deep")]
 
 
 def test_long_chains_are_reached_to_the_end(spark):
@@ -85,3 +86,42 @@ def test_content_operators():
     data = b"q (a (b) \\) c) Tj % no Tj\n[1 (x)] TJ << /A 1 >> BDC /Im1 Do BI /W 1 ID Tj EI -1.5 .5 m Q"
     assert list(rep.content_ops(data)) == [("q", ""), ("Tj", "(a (b) \\) c)"), ("TJ", "[ 1 (x) ]"), ("BDC", "<< /A 1 >>"), ("Do", "/Im1"), ("INLINE_IMAGE", "/W 1"), ("m", "-1.5 .5"), ("Q", "")]
     assert len(list(rep.content_ops(data, 2))) == 2
+
+
+def test_kids_that_are_listed_again_do_not_multiply_pages(spark):
+    levels = b"".join(b"%d 0 obj << /Type /Pages /Kids [%d 0 R %d 0 R] >> endobj\n" % (i, i + 1, i + 1) for i in range(2, 32))
+    body = b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n" + levels + b"32 0 obj << /Type /Page >> endobj\ntrailer << /Root 1 0 R >>\n"
+    nodes = rep.page_nodes(written(po.objects(spark.createDataFrame([("p", body)], "path string, content binary")), "test-objects"))
+    assert sorted((r.page or 0, r.obj, r.error) for r in nodes.collect()) == [(0, None, "page tree enters an object again"), (1, 32, None)]
+
+
+def test_a_broken_object_leaves_the_others(spark):
+    body = b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 7 0 obj << /A [ << >> endobj 8 0 obj ( ] endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page >> endobj 9 0 obj << /Type /ObjStm /Filter /LZWDecode /First 4 >> stream\nx\nendstream endobj trailer << /Root 1 0 R >>"
+    found = {x.obj: x.error for x in po.objects_in(body)}
+    assert found[7] == "object ends inside a value" and found[9] == "unsupported filter of an object stream" and found[2] is found[3] is None
+    assert rep.page_nodes(written(po.objects(spark.createDataFrame([("p", body)], "path string, content binary")).filter("error is null"), "test-objects")).count() == 1
+
+
+def test_linearization_dictionaries_of_any_size(spark):
+    before, after = b"/Pad (" + b"x" * 9000 + b") ", b" /Pad2 (" + b"y" * 9000 + b")"
+    rows = [("big", b"%PDF-1.4\n5 0 obj << " + before + b"/Linearized 1" + after + b" /N 7 >> endobj"), ("open", b"5 0 obj << /Linearized 1 /N 7"), ("other", b"1 0 obj << /A 1 >> /Linearized 1 >> endobj")]
+    got = {r.path: (r.linearized, r.N) for r in pdf.linearization(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {"big": (True, 7), "open": (False, None), "other": (False, None)}
+
+
+def test_values_behind_references(spark):
+    body = (
+        b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids 4 0 R /MediaBox 5 0 R >> endobj 4 0 obj [3 0 R] endobj 5 0 obj [0 0 9 9] endobj\n"
+        b"3 0 obj << /Type /Page /Annots [6 0 R 7 0 R << /Subtype /Link /A << /S /URI >> >> << /Subtype /Link /Dest 10 0 R >> << /Subtype /Link /A << /S /Launch >> >> << /Subtype /Link >> << /Subtype /Link /A 99 0 R /Dest (x) >>]"
+        b" /Resources << /Font << /F 20 0 R >> >> >> endobj 6 0 obj << /Subtype /Link /A 9 0 R /C 11 0 R /Contents 12 0 R >> endobj 7 0 obj << /Subtype /Link /Dest (name) >> endobj\n"
+        b"9 0 obj << /S /URI /URI (http://a) >> endobj 10 0 obj [3 0 R /Fit] endobj 11 0 obj [0.5] endobj 12 0 obj (said) endobj\n"
+        b"20 0 obj << /Type /Font /Subtype /Type0 /BaseFont /X /DescendantFonts 21 0 R >> endobj 21 0 obj [22 0 R] endobj 22 0 obj << /FontDescriptor 23 0 R >> endobj 23 0 obj << /FontFile3 24 0 R >> endobj trailer << /Root 1 0 R >>"
+    )
+    objs = written(po.objects(spark.createDataFrame([("p", body)], "path string, content binary")), "test-objects")
+    nodes = rep.page_nodes(objs)
+    notes = rep.annotations(rep.page_annotations(objs, nodes), objs)
+    assert [tuple(r)[2:] for r in rep.links(notes, nodes).orderBy("at").collect()] == [(0, "url", "http://a", None), (1, "internal", None, None), (2, "url", None, None), (3, "internal", None, 1), (4, "unknown", None, None), (6, "internal", None, None)]
+    first = notes.filter("at = 0").first()
+    assert (first.color, first.contents) == ([0.5, 0.5, 0.5], "said")
+    assert [(r.status, r.file) for r in rep.fonts(objs, nodes).collect()] == [("full", "FontFile3")]
+    assert [(r.page, r.width) for r in rep.pages(nodes).collect()] == [(1, 9.0)]

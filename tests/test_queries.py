@@ -24,10 +24,20 @@ def read_once():
     """The files that the PDF queries make and read, once for all of them."""
     from ratiolake.plans import pdf_queries
 
-    read, made = pdf_queries._read, {}
-    pdf_queries._read = lambda spark, d: made.setdefault(d, None) or made.update({d: read(spark, d)}) or made[d]
+    before = {name: getattr(pdf_queries, name) for name in ("_read", "_merge", "_split", "_again")}
+    for name, make in before.items():
+        made = {}
+
+        def once(*args, make=make, made=made):
+            key = tuple(map(str, args[1:] if make is before["_read"] else [id(a) if not isinstance(a, str | dict) else a for a in args]))
+            if key not in made:
+                made[key] = args, make(*args)
+            return made[key][1]
+
+        setattr(pdf_queries, name, once)
     yield
-    pdf_queries._read = read
+    for name, make in before.items():
+        setattr(pdf_queries, name, make)
 
 
 def plain(v):
