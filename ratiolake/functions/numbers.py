@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from math import gcd as gcd_of
@@ -180,6 +181,14 @@ def period_length(n: int) -> tuple[int, int]:
     return max(powers), order
 
 
+def _digits(rest: int, den: int, n: int) -> Iterator[str]:
+    """The first n digits of rest/den after the point, a thousand at a time."""
+    for at in range(0, n, 1000):
+        k = min(1000, n - at)
+        some, rest = divmod(rest * 10**k, den)
+        yield str(some).zfill(k)
+
+
 def periodic(num: Column, den: Column, most: int = 10_000) -> Column:
     """struct(whole, before, period, length): a fraction of whole numbers as a decimal, the digits after the point before and in the period, and how many the period has.
 
@@ -199,8 +208,7 @@ def periodic(num: Column, den: Column, most: int = 10_000) -> Column:
             a, b = a // g, b // g
             first, length = period_length(b)
             head, rest = divmod(a % b * 10**first, b)
-            period = None if length > most else str(rest * (10**length - 1) // b).zfill(length) if length else ""
-            rows.append((a // b, str(head).zfill(first) if first else "", period, length))
+            rows.append((a // b, str(head).zfill(first) if first else "", None if length > most else "".join(_digits(rest, b, length)), length))
         return pd.DataFrame(rows, columns=["whole", "before", "period", "length"]).astype({"whole": "Int64", "length": "Int64"})
 
     known = num.isNotNull() & den.isNotNull() & (den != 0)

@@ -9,6 +9,7 @@ from ratiolake.functions import chance
 from ratiolake.functions import numbers as nu
 from ratiolake.functions import text as tx
 from ratiolake.operators import catalogue as cat
+from ratiolake.operators import exercises as ex
 from ratiolake.operators import relational as rel
 from ratiolake.operators import translation as tr
 
@@ -152,13 +153,20 @@ def k02_periods(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*LINE, nu.periodic(F.col("l_partkey"), F.col("q")).alias("p")).select(*LINE, "p.*")
 
 
+def p26_exercises(spark: SparkSession, d: str) -> DataFrame:
+    """Five exercises of two kinds for each part, medium and hard ones in turn."""
+    seeds = _t(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.when(F.col("p_partkey") % 2 == 0, "medium").otherwise("hard").alias("level"))
+    x = ex.exercises(seeds, ("shares", "traps"), 5)
+    return x.select("seed", "n", "kind", F.array_join(F.transform(F.slice("numbers", 1, 2), lambda v: v.cast("long").cast("string")), ",").alias("numbers"), F.get("numbers", 2).alias("third"), "answer")
+
+
 def g14_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     weights = F.array(F.col("l_quantity"), F.lit(0.0), F.col("l_linenumber").cast("double"), F.lit(7.0))
     r = chance.random(F.col("l_orderkey") - 5, F.col("l_linenumber"))
     return _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), chance.pick(weights, r).alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, g14_weighted_pick)}
+QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, p26_exercises, g14_weighted_pick)}
 
 _ITEMS = "i AS (SELECT *, p_partkey % 3 <> 0 AS available, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS number FROM part)"
 
@@ -215,5 +223,16 @@ s AS (SELECT r0, b, r0 AS r, [r0] AS seen, '' AS digits FROM d UNION ALL
   SELECT r0, b, (r * 10) % b, list_append(seen, (r * 10) % b), digits || (r * 10 // b)::VARCHAR FROM s WHERE r <> 0 AND NOT list_contains(seen[:len(seen) - 1], r)),
 e AS (SELECT r0, b, digits, CASE WHEN r = 0 THEN length(digits) ELSE list_position(seen, r) - 1 END AS n FROM s WHERE r = 0 OR list_contains(seen[:len(seen) - 1], r))
 SELECT l_orderkey, l_linenumber, a // q.b AS whole, digits[1 : n] AS before, digits[n + 1 :] AS period, length(digits) - n AS length FROM q JOIN e ON e.r0 = q.a % q.b AND e.b = q.b""",
+    "p26_exercises": f"""WITH RECURSIVE r AS (SELECT p_partkey AS seed, p_partkey % 2 = 1 AS hard, list({_random("greatest(p_partkey, 1)", "n")} ORDER BY n) AS rs FROM part, range(1, 121) x(n) GROUP BY 1, 2),
+t AS (SELECT seed, hard, rs, 0 AS tries, 5 AS i, len(list_filter(rs[1:5], lambda r: r < 0.5)) AS q1, len(list_filter(rs[1:5], lambda r: r >= 0.5)) AS q2, []::BIGINT[][] AS found FROM r
+UNION ALL SELECT seed, hard, rs, tries + 1, i + CASE WHEN shares THEN 4 ELSE 3 END, CASE WHEN shares AND new THEN greatest(q1 - 1, 0) ELSE q1 END, CASE WHEN NOT shares AND new THEN greatest(q2 - 1, 0) ELSE q2 END, CASE WHEN new THEN list_append(found, sign) ELSE found END
+  FROM (SELECT *, NOT list_contains(found, sign) AS new FROM (SELECT *, CASE WHEN shares THEN [floor(10 + 191 * rs[i + 2])::BIGINT, floor(10 + 241 * rs[i + 3])::BIGINT, floor(10 + 291 * rs[i + 4])::BIGINT]
+      WHEN hard THEN [floor(5 + 56 * rs[i + 3])::BIGINT, [37, 58, 99, 135, 175, 260, 420, 875, 1333, 2460, 5100, 7800][1 + floor(rs[i + 2] * 12)::INTEGER]]
+      ELSE [floor(5 + 36 * rs[i + 3])::BIGINT, [18, 36, 72, 96, 125, 150, 180, 240, 360, 480, 750, 1200, 1500, 3200][1 + floor(rs[i + 2] * 14)::INTEGER]] END AS sign
+    FROM (SELECT *, CASE WHEN q1 + q2 = 0 THEN rs[i + 1] < 0.5 ELSE q1 > 0 AND (q2 = 0 OR rs[i + 1] * (q1 + q2) <= q1) END AS shares FROM t WHERE len(found) < 5 AND tries < 125)))),
+e AS (SELECT seed, unnest(found) AS s, unnest(range(1, 6)) AS n FROM t WHERE len(found) = 5),
+v AS (SELECT seed, n::INTEGER AS n, len(s) = 3 AS shares, s, s[2] * (1 + s[1] / 100e0) * (1 - s[1] / 100e0) AS last FROM e)
+SELECT seed, n, CASE WHEN shares THEN 'shares' ELSE 'traps' END AS kind, s[1] || ',' || s[2] AS numbers, CASE WHEN shares THEN s[3]::DOUBLE ELSE last END AS third,
+  CASE WHEN shares THEN s[1] / (s[1] + s[2] + s[3])::DOUBLE * 100 ELSE (last - s[2]) / s[2] * 100 END AS answer FROM v""",
     "g14_weighted_pick": f"WITH r AS (SELECT *, {_random('l_orderkey - 5', 'l_linenumber')} AS chance FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, chance, CASE WHEN chance * (l_quantity + l_linenumber + 7) <= l_quantity THEN 0 WHEN chance * (l_quantity + l_linenumber + 7) <= l_quantity + l_linenumber THEN 2 ELSE 3 END AS picked FROM r",
 }
