@@ -4,7 +4,7 @@ Growth goes to the right, one word at a time, and only frequent patterns are gro
 words are counted over all texts. Every place where two frequent pairs follow each other becomes a pointer: the
 word there, its continuation as far as pairs stay frequent, and how many equal places the task has seen. Pointers are
 dealt out by their prefix and sorted, so what a pattern occurs at is a range of rows, and a task grows each of its
-prefixes depth first by narrowing ranges. A prefix with more pointers than TASK_ROWS is not grown in one
+prefixes depth first by narrowing ranges. A prefix with more pointers than TASK_ROWS or a thousandth of all is not grown in one
 task: its extensions by one word are counted with map-side combine, and each of them is a prefix by itself.
 
 Words travel as 64-bit hashes. The count of words holds each hash against its words, and all starts again
@@ -34,8 +34,8 @@ WORDS, LEAST, TOP = 5, 100, 2000
 SCALE = 1000
 #: A phrase goes if one that holds it has this share of its occurrences, in hundredths.
 SHARE = 100
-#: Pointers of a prefix that one task grows.
-TASK_ROWS = 1 << 14
+#: Pointers of a prefix that one task grows: so many, and not more than one of so many parts of all.
+TASK_ROWS, TASK_PARTS = 1 << 14, 1000
 #: Bits of the largest bitmap: 32 MB.
 MAX_BITS = 1 << 28
 #: Bytes of text whose words are listed at a time; words, pairs and pointers that are held before they are added up.
@@ -299,19 +299,53 @@ def _patterns(some: pa.Table, starts: np.ndarray, depth: int, least: int) -> Ite
         yield pa.record_batch([lang, pa.array(found, pa.list_(pa.int64())), pa.array([f for _, _, f in out], pa.int64())], names=["lang", "words", "f"])
 
 
+def _prefixes(batch: pa.RecordBatch, depth: int) -> np.ndarray:
+    """A hash of the language and the first `depth` words of each row."""
+    lang = batch["lang"].dictionary_encode()
+    h = np.array([xxh3_64_intdigest(x) for x in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
+    for c in _COLUMNS[:depth]:
+        h = mix(h + batch[c].to_numpy().view(np.uint64))
+    return h
+
+
+def parted(rows: DataFrame, depth: int, task_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pointers whose first `depth` words have no more than task_rows of them, and the others, if there are any.
+
+    A bitmap of the hashed prefixes tells; that it takes some small ones for large costs a few counts more.
+    """
+    prefix = ["lang", *_COLUMNS[:depth]]
+    large = rows.groupBy(*prefix).agg(F.count("*").alias("size")).filter(F.col("size") > task_rows).select(*prefix)
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array(_prefixes(batch, depth).view(np.int64))], names=["h"])
+
+    large = written(map_rows(large, lambda: hashed, "h bigint"), "large")
+    if large.isEmpty():
+        return rows, None
+    bits = _bitmap(large)
+
+    def of(wanted: bool) -> DataFrame:
+        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield batch.filter(pa.array(_maybe(bits.value, _prefixes(batch, depth)) == wanted))
+
+        return map_rows(rows, lambda: some, rows.schema)
+
+    return of(False), of(True)
+
+
 def longer_patterns(rows: DataFrame, least: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """(lang, words, f): all patterns of three words and more with `least` occurrences or more among pointers."""
     found = None
+    task_rows = min(task_rows, 1 + rows.count() // TASK_PARTS)
     for depth in range(1, WORDS):
-        prefix = ["lang", *_COLUMNS[:depth]]
-        hot = written(rows.groupBy(*prefix).agg(F.count("*").alias("size")).filter(F.col("size") > task_rows).select(*prefix), "hot")
-        more = grown(rows.join(hot, prefix, "left_anti"), depth, least)
+        few, many = parted(rows, depth, task_rows)
+        more = grown(few, depth, least)
         found = more if found is None else found.unionByName(more)
-        if hot.isEmpty():
+        if many is None:
             break
-        rows = written(rows.join(hot, prefix, "left_semi").filter(F.col(_COLUMNS[depth]) != 0), "hot_pointers")
+        rows = written(many.filter(F.col(_COLUMNS[depth]) != 0), "large_pointers")
         if depth + 1 >= 3:
-            longer = [*prefix, _COLUMNS[depth]]
+            longer = ["lang", *_COLUMNS[: depth + 1]]
             counts = rows.groupBy(*longer).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
             found = found.unionByName(counts.select("lang", F.array(*longer[1:]).alias("words"), "f"))
     return found
