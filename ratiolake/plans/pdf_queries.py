@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ratiolake.sources import pdf
 from ratiolake.sources import pdf_objects as po
 from ratiolake.sources import pdf_reports as rep
+from ratiolake.sources import pdf_text as pt
 from ratiolake.sources import pdf_writer as pw
 from ratiolake.operators.relational import page_ranges
 from ratiolake.tables import written
@@ -59,6 +60,10 @@ def _page(k: Column, n: Column, i: Column) -> Column:
     )
 
 
+#: A map of space and of letters from A to z; digits have no text.
+_CMAP = "1 beginbfchar <20> <0020> endbfchar 1 beginbfrange <41> <7A> <0041> endbfrange"
+
+
 def pdf_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content): a file for each supplier; one in fifty says that it is encrypted."""
     k, name, n = F.col("k"), F.col("name"), F.col("n")
@@ -76,7 +81,7 @@ def pdf_files(spark: SparkSession, d: str) -> DataFrame:
         "23 0 obj << /Type /Font /Subtype /Type0 /BaseFont /Noto-Italic /DescendantFonts ", F.when(k % 2 == 0, "91 0 R").otherwise("[25 0 R]"), " /Encoding /Identity-H >> endobj\n",
         _if(k % 2 == 0, "91 0 obj [25 0 R] endobj\n"), _if(k % 5 == 0, "92 0 obj [3 0 R] endobj\n"), _if(k % 13 == 0, "97 0 obj << /Broken [ >> endobj\n"),
         "25 0 obj << /Type /Font /Subtype /CIDFontType2 /BaseFont /Noto-Italic /FontDescriptor 27 0 R >> endobj\n27 0 obj << /Type /FontDescriptor /FontFile3 26 0 R >> endobj\n",
-        _stream(24, "", F.lit("cmap")), _stream(26, "", F.lit("font")),
+        _stream(24, "", F.lit(_CMAP)), _stream(26, "", F.lit("font")),
         _stream(30, _text("/Type /XObject /Subtype /Image /Width ", k, " /Height 20 /BitsPerComponent ", F.when(k % 5 == 0, "1").otherwise("8"), " /ColorSpace /DeviceGray /Filter /DCTDecode"), F.lit("abcd")),
         _stream(31, F.when(k % 2 == 0, _text("/Type /XObject /Subtype /Image /Width ", k, " /Height 20 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter /DCTDecode")).otherwise(_text("/Type /XObject /Subtype /Image /Width ", k + 1, " /Height 20 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Filter [/ASCII85Decode /JPXDecode]")), F.lit("efgh")),
         "40 0 obj << /Type /Outlines /First 41 0 R >> endobj\n41 0 obj << /Title (Chapter ", k, ") /Parent 40 0 R /Next 42 0 R /First 43 0 R /Dest [100 0 R /Fit] >> endobj\n",
@@ -132,6 +137,10 @@ def _ops(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rep.page_ops(files, objs, nodes)
 
 
+def _codes(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pt.shown_codes(pt.shown_strings(_ops(files, objs, nodes)), objs, nodes)
+
+
 _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "j01_form_fields": lambda f, o, n: _fields(o, n).drop("obj"),
     "j02_metadata": lambda f, o, n: rep.metadata(o).select("path", "Title", "Author", "Producer").join(rep.metadata_filled(rep.metadata(o)), "path"),
@@ -148,6 +157,9 @@ _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "j11_findings": lambda f, o, n: rep.findings(o, rep.inventory(o)),
     "j12_xref": lambda f, o, n: pdf.xref_entries(f).select("path", "obj_number", "gen", "kind", "offset", "next_free", "error"),
     "j13_page_ops": lambda f, o, n: _ops(f, o, n),
+    "k06_font_maps": lambda f, o, n: pt.code_texts(pt.font_maps(f, o)),
+    "k06_codes_without_text": lambda f, o, n: pt.codes_without_text(_codes(f, o, n), pt.font_maps(f, o)),
+    "k06_text": lambda f, o, n: pt.text_runs(_codes(f, o, n), pt.font_maps(f, o)),
     "j13_notes": lambda f, o, n: rep.content_notes(rep.page_content(f, o, n)),
     "j14_scan": lambda f, o, n: pdf.scan_score(rep.scan_pages(o, n)),
     "j15_encryption": lambda f, o, n: pdf.encryption(f).select("path", "encrypted", "filter", "v", "r", "key_bits", "p", "print", "modify", "print_high_quality"),
@@ -309,6 +321,9 @@ UNION ALL SELECT path, 2, 'dict', 4, 'inUse', 20 FROM s UNION ALL SELECT path, 9
     "j11_findings": f"""{_S} SELECT path, 'openaction' AS kind, 1 AS obj FROM s WHERE k % 3 = 0 UNION ALL SELECT path, 'embeddedfiles', unnest([1, 62, 63, 65, 66]) FROM s UNION ALL SELECT path, 'javascript', 80 FROM s UNION ALL SELECT path, 'uri', 85 FROM s""",
     "j12_xref": f"{_XREF} SELECT * FROM e",
     "j13_page_ops": f"{_OPS} SELECT * FROM ops",
+    "k06_font_maps": f"{_S} SELECT path, 24 AS cmap, code::BIGINT AS code, chr(code::INTEGER) AS text FROM s, (SELECT 32 AS code UNION ALL SELECT unnest(range(65, 123)))",
+    "k06_codes_without_text": f"{_S} SELECT path, 20 AS font, (48 + i)::BIGINT AS code, count(*) AS n FROM p WHERE i % 2 = 0 GROUP BY ALL",
+    "k06_text": f"{_S} SELECT path, (i + 1)::INTEGER AS page, 1 AS line, 0e0 AS x, 0e0 AS y, 'Page ' || CASE WHEN i % 2 = 0 THEN chr(65533) ELSE i::VARCHAR END || 'ab' AS text FROM p",
     "j13_notes": f"{_S} SELECT path, i + 1 AS page, 105 + 10 * i AS obj, 'unsupported filter JPXDecode' AS note FROM p WHERE k % 7 = 3",
     "j14_scan": f"{_S} SELECT path, score, score >= 60 AS scanned FROM (SELECT path, greatest(0, 20 + CASE WHEN n <= 1 THEN 25 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END - 20) AS score FROM s)",
     "j15_encryption": f"WITH {_ALL} SELECT path, e AS encrypted, CASE WHEN e THEN 'Standard' END AS filter, CASE WHEN e THEN 2 END AS v, CASE WHEN e THEN 3 END AS r, CASE WHEN e THEN 128 END AS key_bits, CASE WHEN e THEN -k END AS p, CASE WHEN e THEN (u & 4) <> 0 ELSE true END AS print, CASE WHEN e THEN (u & 8) <> 0 ELSE true END AS modify, CASE WHEN e THEN (u & 2048) <> 0 ELSE true END AS print_high_quality FROM (SELECT *, k % 50 = 0 AS e, 4294967296 - k AS u FROM a)",
@@ -320,7 +335,7 @@ UNION ALL SELECT path, 2, 'dict', 4, 'inUse', 20 FROM s UNION ALL SELECT path, 9
     "a07_font_counts": f"""{_FONTS} SELECT path, count(*) AS fonts, count(*) FILTER (embedded) AS embedded, count(*) FILTER (NOT embedded) AS not_embedded, count(*) FILTER (embedded IS NULL) AS unknown, count(*) FILTER (subtype = 'Type0') AS type0, count(*) FILTER (subtype = 'TrueType') AS truetype, count(*) FILTER (subtype = 'Type1') AS type1,
   count(*) FILTER (sub) AS subsets, count(*) FILTER (status = 'full') AS full_files, count(*) FILTER (status = 'subset') AS subset_files, count(*) FILTER (status = 'none') AS none_files, count(*) FILTER (to_unicode) AS to_unicode FROM f GROUP BY 1""",
     "a09_object_totals": f"""{_S}, b AS (SELECT path, k, n, n // 2 AS odd, CASE k % 7 WHEN 1 THEN 139 WHEN 2 THEN 143 ELSE 69 END AS own FROM s)
-SELECT path, 6 + n + odd + (k % 3 = 0)::INTEGER AS streams, 3 + (n > 1)::INTEGER + (k % 2 = 0)::INTEGER + (k % 5 = 0)::INTEGER AS arrays, 24 + n * own + odd * 41 + (k % 3 = 0)::INTEGER AS stream_bytes, own AS largest, 1 AS scripts, 4 AS files, 2 + (k % 3 <> 0)::INTEGER + (k % 6 = 0)::INTEGER + (k % 2 = 1)::INTEGER AS orphans FROM b""",
+SELECT path, 6 + n + odd + (k % 3 = 0)::INTEGER AS streams, 3 + (n > 1)::INTEGER + (k % 2 = 0)::INTEGER + (k % 5 = 0)::INTEGER AS arrays, {20 + len(_CMAP)} + n * own + odd * 41 + (k % 3 = 0)::INTEGER AS stream_bytes, greatest(own, {len(_CMAP)}) AS largest, 1 AS scripts, 4 AS files, 2 + (k % 3 <> 0)::INTEGER + (k % 6 = 0)::INTEGER + (k % 2 = 1)::INTEGER AS orphans FROM b""",
     "a10_attachment_totals": f"{_S} SELECT path, 3 AS files, 2 AS with_mime, 10 AS bytes FROM s",
     "a11_signature_counts": f"{_SIGNED} SELECT path, 1 AS signatures, 1 AS with_range, (k % 4 = 0)::INTEGER AS etsi, (k % 4 <> 0)::INTEGER AS pkcs7 FROM g",
     "a12_annotation_counts": f"{_NOTES} SELECT path, count(*) AS annotations, count(*) FILTER (subtype = 'Highlight') AS highlight, count(*) FILTER (subtype = 'Text') AS text, 0 AS freetext, 0 AS ink FROM an GROUP BY 1",

@@ -26,13 +26,22 @@ _STREAM = re.compile(rb"\s*stream\r?\n")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
-def _string(raw: bytes) -> str:
+def _bytes(raw: bytes) -> bytes:
+    """The bytes of a string as it stands, in brackets or in hexadecimal."""
     if raw[:1] == b"<":
         digits = re.sub(rb"\s", b"", raw[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
-        data = re.sub(rb"\\([0-7]{1,3}|\r\n|.)", octal, raw[1:-1], flags=re.S)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", octal, raw[1:-1], flags=re.S)
+
+
+def string_bytes(operands: bytes) -> bytes:
+    """The bytes of all strings among operands, one after the other."""
+    return b"".join(_bytes(m[0]) for m in _TOKEN.finditer(operands) if m[0][:1] == b"(" or m[0][:1] == b"<" and m[0] != b"<<")
+
+
+def _string(raw: bytes) -> str:
+    data = _bytes(raw)
     return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
 
 

@@ -479,22 +479,21 @@ def content_ops(data: bytes, most: int | None = None) -> Iterator[tuple[str, str
 
 
 def _content_streams(objs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, page, i, obj, start, length, filters, parms): the content streams of pages, in order, with JSON of their filters."""
+    """(path, page, i, obj, dict, stream_start, stream_length): the content streams of pages, in order."""
     p = nodes.filter("contents is not null").select("path", "page", "contents", F.get_json_object("contents", "$.ref").cast("long").alias("own"))
     p = _resolved(p, "own", objs, "_c", "stream_length")
     several = F.from_json(F.when(F.col("stream_length").isNotNull(), F.concat(F.lit("["), "contents", F.lit("]"))).otherwise(F.coalesce("_c", "contents")), "array<struct<ref:bigint>>")
     p = p.select("path", "page", F.posexplode(several).alias("i", "r")).select("path", "page", "i", F.col("r.ref").alias("obj"))
-    p = _resolved(p, "obj", objs, "dict", "stream_start", "stream_length").filter("stream_start is not null")
-    p = followed(p, ["path", "page", "i"], {"filters": "Filter", "parms": "DecodeParms"}, objs)
-    return p.select("path", "page", "i", "obj", F.col("stream_start").alias("start"), F.col("stream_length").alias("length"), "filters", "parms")
+    return _resolved(p, "obj", objs, "dict", "stream_start", "stream_length").filter("stream_start is not null")
 
 
-CONTENT = "path string, page int, i int, obj bigint, data binary, error string"
+STREAMS = "path string, obj bigint, data binary, error string"
 
 
-def page_content(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """CONTENT: the content streams of pages, in order, decoded; those with an unknown filter or broken bytes as they are, with the reason."""
-    listed = _content_streams(objs, nodes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", "i", "obj", "start", "length", "filters", "parms"))).alias("streams"))
+def streams_of(files: DataFrame, wanted: DataFrame, objs: DataFrame) -> DataFrame:
+    """STREAMS: the streams of wanted (path, obj, dict, stream_start, stream_length), each once, decoded; those with an unknown filter or broken bytes as they are, with the reason."""
+    p = followed(wanted.filter("stream_start is not null").dropDuplicates(["path", "obj"]), ["path", "obj"], {"filters": "Filter", "parms": "DecodeParms"}, objs)
+    listed = p.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("stream_start").alias("start"), F.col("stream_length").alias("length"), "obj", "filters", "parms"))).alias("streams"))
 
     def value(told: str | None):
         return None if told is None else json.loads(told) if told[:1] in "[{" else told
@@ -509,9 +508,15 @@ def page_content(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFra
                         data = decoded(data, value(s["filters"]), value(s["parms"]))
                     except ValueError as e:
                         error = str(e)
-                    yield pa.record_batch([pa.array([x], k) for x, k in zip((path, s["page"], s["i"], s["obj"], data, error), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["path", "page", "i", "obj", "data", "error"])
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip((path, s["obj"], data, error), (pa.string(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["path", "obj", "data", "error"])
+
+    return files.select("path", "content").join(listed, "path").mapInArrow(read, STREAMS)
 
-    return files.select("path", "content").join(listed, "path").mapInArrow(read, CONTENT)
+
+def page_content(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, page, i, obj, data, error): the content streams of pages, in order, as streams_of gives them; one that several pages have is decoded once."""
+    listed = written(_content_streams(objs, nodes), "content")
+    return listed.select("path", "page", "i", "obj").join(streams_of(files, listed, objs), ["path", "obj"])
 
 
 def content_notes(content: DataFrame) -> DataFrame:
