@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -364,36 +364,48 @@ def attachment_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.count("*").alias("files"), F.count_if(F.col("mime").isNotNull()).alias("with_mime"), F.sum(F.coalesce("size", F.lit(0))).alias("bytes"))
 
 
+def _doubled(state: DataFrame, add: Callable[[Column, Column], Column], rounds: int, name: str) -> DataFrame:
+    """(path, obj, to, told) of state (path, obj, to, told, done) followed to the end: a step takes each row that isn't done to where its `to` leads, so that steps double.
+
+    told of a row on the way is put before the row's own by add(earlier, own). After so many rounds what isn't done goes in a circle, and is left out, as are rows that lead nowhere.
+    """
+    state = written(state, name)
+    for _ in range(rounds):
+        if state.filter("not done").isEmpty():
+            break
+        there = state.select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("to").alias("_to"), F.col("told").alias("_told"), F.col("done").alias("_done"))
+        on = (F.col("path") == F.col("_p")) & (F.col("to") == F.col("_o"))
+        further = state.filter("not done").join(there, on).select("path", "obj", F.col("_to").alias("to"), add(F.col("_told"), F.col("told")).alias("told"), F.col("_done").alias("done"))
+        state = written(state.filter("done").unionByName(further), name)
+    return state.filter("done").drop("done")
+
+
 def outline(objs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, place, level, title, obj, page): the tree of bookmarks, place its numbers from the top as 1.2.1; what was met before is not entered again.
+    """(path, place, level, title, obj, page): the tree of bookmarks, place its numbers from the top as 1.2.1.
 
-    The items of a file, a small part of its objects, meet in one task to be walked in order.
+    An item stands where a First leads to it, else where a Next does; of several the one with the smallest number counts. So each stands
+    once, and items in a circle that the top does not lead to are left out. Ranks in chains of Next, and then places down the tree, are
+    found for all files at once in as many rounds as the logarithms of the longest chain and of the depth.
     """
     c = _resolved(catalog(objs).withColumn("own", _ref("Outlines")), "own", objs, "_top")
-    first = c.select(F.col("path").alias("_p"), F.coalesce(_ref("First", "_top"), F.get_json_object(_get("Outlines"), "$.First.ref").cast("long")).alias("start"))
+    start = c.select("path", F.coalesce(_ref("First", "_top"), F.get_json_object(_get("Outlines"), "$.First.ref").cast("long")).alias("obj"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("by")).alias("from"))
     target = F.coalesce(F.get_json_object("dict", "$.Dest[0].ref"), F.get_json_object("dict", "$.A.D[0].ref")).cast("long")
     items = objs.filter(_get("Title").isNotNull() & F.col("obj").isNotNull()).select("path", "obj", _get("Title").alias("title"), _ref("First").alias("first"), _ref("Next").alias("next"), target.alias("target"))
-    items = items.join(first.filter("start is not null"), F.col("path") == F.col("_p")).drop("_p")
-
-    def walk(table: pa.Table) -> pa.Table:
-        rows = {r["obj"]: r for r in table.to_pylist()}
-        start = next(iter(rows.values()))["start"]
-        out, seen, stack = [], set(), [(start, ())]
-        counts: dict[tuple, int] = {}
-        while stack:
-            obj, above = stack.pop()
-            if obj in seen or obj not in rows:
-                continue
-            seen.add(obj)
-            r = rows[obj]
-            counts[above] = counts.get(above, 0) + 1
-            place = (*above, counts[above])
-            out.append((r["path"], ".".join(map(str, place)), len(place), r["title"], obj, r["target"]))
-            stack += [(r["next"], above), (r["first"], place)]
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["path", "place", "level", "title", "obj", "target"])
-
-    told = items.groupBy("path").applyInArrow(walk, "path string, place string, level int, title string, obj bigint, target bigint")
+    items = written(items, "bookmarks")
+    leads = [items.select("path", F.col(k).alias("obj"), F.struct(F.lit(i).alias("kind"), F.col("obj").alias("by")).alias("from")) for i, k in enumerate(("first", "next"))]
+    found = reduce(DataFrame.unionByName, leads, start).filter("obj is not null and obj <> from.by").groupBy("path", "obj").agg(F.min("from").alias("from"))
+    found = written(found.join(items.select("path", "obj"), ["path", "obj"], "left_semi").select("path", "obj", "from.*"), "leads")
+    most = items.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+    rounds = most.bit_length() + 1
+
+    head = F.col("kind") == 0
+    ranks = _doubled(found.select("path", "obj", F.when(head, F.col("obj")).otherwise(F.col("by")).alias("to"), F.lit(1).cast("long").alias("told"), head.alias("done")), lambda a, b: a + b, rounds, "ranks")
+    heads = found.filter(head).select(F.col("path").alias("_p"), F.col("obj").alias("_o"), F.col("by").alias("up"))
+    placed = ranks.join(heads, (F.col("path") == F.col("_p")) & (F.col("to") == F.col("_o")))
+    top = F.col("up") == 0
+    places = _doubled(placed.select("path", "obj", F.col("up").alias("to"), F.col("told").cast("string").alias("told"), top.alias("done")), lambda a, b: F.concat(a, F.lit("."), b), rounds, "places")
+
+    told = places.select("path", "obj", F.col("told").alias("place"), F.size(F.split("told", r"\.")).alias("level")).join(items.select("path", "obj", "title", "target"), ["path", "obj"])
     to = nodes.filter("page is not null").select(F.col("path").alias("_p"), F.col("obj").alias("_o"), "page")
     return told.join(to, (F.col("path") == F.col("_p")) & (F.col("target") == F.col("_o")), "left").select("path", "place", "level", "title", "obj", "page")
 

@@ -125,3 +125,48 @@ def test_values_behind_references(spark):
     assert (first.color, first.contents) == ([0.5, 0.5, 0.5], "said")
     assert [(r.status, r.file) for r in rep.fonts(objs, nodes).collect()] == [("full", "FontFile3")]
     assert [(r.page, r.width) for r in rep.pages(nodes).collect()] == [(1, 9.0)]
+
+
+def bookmarks(tree, more=b""):
+    """A file with a tree of bookmarks, as lists of (title, below); objects are numbered depth first from 10."""
+    out, number = [], [10]
+
+    def chain(items):
+        first = above = None
+        for title, below in items:
+            obj = number[0]
+            number[0] += 1
+            out.append([obj, title, None, None])
+            mine = out[-1]
+            first = first or obj
+            if above is not None:
+                above[3] = obj
+            above = mine
+            mine[2] = chain(below)
+        return first
+
+    first = chain(tree)
+    body = b"".join(b"%d 0 obj << /Title (%s)%s%s >> endobj\n" % (o, t.encode(), b" /First %d 0 R" % f if f else b"", b" /Next %d 0 R" % n if n else b"") for o, t, f, n in out)
+    return b"1 0 obj << /Type /Catalog /Outlines 2 0 R >> endobj 2 0 obj << /First %d 0 R >> endobj\n" % (first or 99) + body + more + b"trailer << /Root 1 0 R >>"
+
+
+def numbered(tree, above=""):
+    for i, (title, below) in enumerate(tree, 1):
+        yield f"{above}{i}", title
+        yield from numbered(below, f"{above}{i}.")
+
+
+def test_outlines_of_any_shape(spark):
+    deep = []
+    for i in range(40):
+        deep = [(f"d{i}", deep), (f"e{i}", [])]
+    trees = {"deep": deep, "long": [(f"t{i}", [("u", [])] if i % 50 == 0 else []) for i in range(700)], "none": []}
+    ring = b"900 0 obj << /Title (r) /Next 901 0 R >> endobj 901 0 obj << /Title (s) /Next 900 0 R >> endobj 902 0 obj << /Title (self) /Next 902 0 R >> endobj\n"
+    files = [(k, bookmarks(t, ring)) for k, t in trees.items()]
+    files.append(("again", b"1 0 obj << /Type /Catalog /Outlines << /First 3 0 R >> >> endobj 3 0 obj << /Title (a) /First 4 0 R /Next 4 0 R >> endobj 4 0 obj << /Title (b) /Next 3 0 R /First 3 0 R >> endobj trailer << /Root 1 0 R >>"))
+    objs = written(po.objects(spark.createDataFrame(files, "path string, content binary")), "test-objects")
+    got = {}
+    for r in rep.outline(objs, rep.page_nodes(objs)).collect():
+        assert r.level == r.place.count(".") + 1
+        got.setdefault(r.path, set()).add((r.place, r.title))
+    assert got == {"deep": set(numbered(deep)), "long": set(numbered(trees["long"])), "again": {("1", "a"), ("1.1", "b")}}
