@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ratiolake.tables import ranked
 
 from .relational import haystack
 
@@ -27,12 +28,14 @@ def by_title(items: DataFrame, title: str, locale: str = "fr") -> DataFrame:
 def sections(items: DataFrame, declared: DataFrame) -> DataFrame:
     """items (section, at, available and more) with section_order and `rank`, their place in the section: what is available first, else by at.
 
-    declared: (section, section_order). Items of other sections, or of none, come in OTHER, which is last.
+    declared: (section, section_order). Items of other sections, or of none, come in OTHER, which is last. Ranks are counted over ranges, so no section meets in one task.
     """
     d = declared.select(F.col("section").alias("_s"), F.coalesce("section_order", F.lit(LAST)).alias("_o"))
     x = items.join(d, F.col("section") == F.col("_s"), "left")
     x = x.select(*[F.coalesce("_s", F.lit(OTHER)).alias(c) if c == "section" else c for c in items.columns], F.coalesce("_o", F.lit(UNDECLARED)).alias("section_order"))
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("available"), "at")))
+    # what is available first; where it isn't known, last
+    late = F.coalesce(1 - F.col("available").cast("int"), F.lit(2))
+    return ranked(x.withColumn("_late", late), ["section"], ["_late", "at"], "rank", "sections").drop("_late")
 
 
 def with_editorial(items: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:

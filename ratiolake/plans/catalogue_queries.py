@@ -12,6 +12,7 @@ from ratiolake.operators import catalogue as cat
 from ratiolake.operators import exercises as ex
 from ratiolake.operators import relational as rel
 from ratiolake.operators import translation as tr
+from ratiolake.sources import xliff
 
 from .form_queries import LINE, _lines, _named
 from .text_queries import _TARGETS, _units
@@ -153,6 +154,32 @@ def k02_periods(spark: SparkSession, d: str) -> DataFrame:
     return x.select(*LINE, nu.periodic(F.col("l_partkey"), F.col("q")).alias("p")).select(*LINE, "p.*")
 
 
+def i01_parse_xliff(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each brand, with a unit for each part; every tenth is told twice, the second time without target."""
+    t = lambda *some: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in some])
+    k = F.col("p_partkey")
+    unit = t('<unit id="', k, '">\n<segment><source>', F.col("p_name"), "</source><target", F.when(k % 2 == 0, ' state="translated"').otherwise(""), ">", F.col("p_type"), "</target></segment></unit>\n")
+    unit = t(unit, F.when(k % 10 == 0, t('<unit note="x" id="', k, '"><segment state="initial"><source xml:space="preserve">', F.col("p_brand"), "</source></segment></unit>")).otherwise(""))
+    files = _t(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(t('<xliff version="2.0" trgLang="fr"><file id="f">', F.array_join(F.array_sort(F.collect_list(unit)), "\n"), "</file></xliff>").alias("content"))
+    return xliff.parse_units(files)
+
+
+def i07_to_translate(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts as units, a third of them translated; every fourth has an entry in the cache, and every eighth one of an older source."""
+    k = F.col("p_partkey")
+    unit = _t(spark, d, "part").select(k, F.lit("fr").alias("locale"), F.concat(F.lit("part."), k.cast("string")).alias("unit_id"), F.col("p_name").alias("source"), F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, "TODO").alias("target"), F.when(k % 5 == 0, "needs-review").otherwise("").alias("state"))
+    old = F.when(k % 8 == 0, F.concat("source", F.lit("!"))).otherwise(F.col("source"))
+    cache = unit.filter(k % 4 == 0).select("locale", F.concat_ws(":", "unit_id", tx.fnv1a(old).cast("string")).alias("key"), F.concat(F.lit("fr "), "source").alias("translation"))
+    done, rest = tr.to_translate(unit.drop("p_partkey"), cache)
+    return done.select("unit_id", "source", "target", "state").unionByName(rest.select("unit_id", "source"), allowMissingColumns=True)
+
+
+def t01_locale_casing(spark: SparkSession, d: str) -> DataFrame:
+    """Names with dotted and dotless i, in upper and lower case by the rules of Turkish and of no language."""
+    name = F.concat("p_name", F.lit(" ıiİI ß"))
+    return _t(spark, d, "part").select("p_partkey", *[f(name, loc).alias(f"{f.__name__}_{loc or 'root'}") for f in (tx.upper, tx.lower) for loc in ("", "tr")])
+
+
 def p26_exercises(spark: SparkSession, d: str) -> DataFrame:
     """Five exercises of two kinds for each part, medium and hard ones in turn."""
     seeds = _t(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.when(F.col("p_partkey") % 2 == 0, "medium").otherwise("hard").alias("level"))
@@ -166,7 +193,7 @@ def g14_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), chance.pick(weights, r).alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, p26_exercises, g14_weighted_pick)}
+QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, i01_parse_xliff, i07_to_translate, t01_locale_casing, p26_exercises, g14_weighted_pick)}
 
 _ITEMS = "i AS (SELECT *, p_partkey % 3 <> 0 AS available, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS number FROM part)"
 
@@ -223,6 +250,12 @@ s AS (SELECT r0, b, r0 AS r, [r0] AS seen, '' AS digits FROM d UNION ALL
   SELECT r0, b, (r * 10) % b, list_append(seen, (r * 10) % b), digits || (r * 10 // b)::VARCHAR FROM s WHERE r <> 0 AND NOT list_contains(seen[:len(seen) - 1], r)),
 e AS (SELECT r0, b, digits, CASE WHEN r = 0 THEN length(digits) ELSE list_position(seen, r) - 1 END AS n FROM s WHERE r = 0 OR list_contains(seen[:len(seen) - 1], r))
 SELECT l_orderkey, l_linenumber, a // q.b AS whole, digits[1 : n] AS before, digits[n + 1 :] AS period, length(digits) - n AS length FROM q JOIN e ON e.r0 = q.a % q.b AND e.b = q.b""",
+    "i01_parse_xliff": """SELECT p_brand AS path, p_partkey::VARCHAR AS unit_id, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE p_name END AS source, CASE WHEN p_partkey % 10 <> 0 THEN p_type END AS target,
+  CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 2 = 0 THEN 'translated' ELSE '' END AS state FROM part""",
+    "i07_to_translate": """WITH u AS (SELECT p_partkey AS k, 'part.' || p_partkey AS unit_id, p_name AS source FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 = 0)
+SELECT unit_id, source, CASE WHEN k % 8 = 4 AND k % 5 <> 0 THEN 'fr ' || source END AS target, CASE WHEN k % 8 = 4 AND k % 5 <> 0 THEN 'translated' END AS state FROM u""",
+    "t01_locale_casing": """WITH n AS (SELECT p_partkey, p_name AS n FROM part) SELECT p_partkey, upper(n) || ' IIİI SS' AS upper_root, replace(upper(replace(n, 'i', '#')), '#', 'İ') || ' IİİI SS' AS upper_tr,
+  lower(n) || ' ıii' || chr(775) || 'i ß' AS lower_root, replace(lower(replace(n, 'I', '#')), '#', 'ı') || ' ıiiı ß' AS lower_tr FROM n""",
     "p26_exercises": f"""WITH RECURSIVE r AS (SELECT p_partkey AS seed, p_partkey % 2 = 1 AS hard, list({_random("greatest(p_partkey, 1)", "n")} ORDER BY n) AS rs FROM part, range(1, 121) x(n) GROUP BY 1, 2),
 t AS (SELECT seed, hard, rs, 0 AS tries, 5 AS i, len(list_filter(rs[1:5], lambda r: r < 0.5)) AS q1, len(list_filter(rs[1:5], lambda r: r >= 0.5)) AS q2, []::BIGINT[][] AS found FROM r
 UNION ALL SELECT seed, hard, rs, tries + 1, i + CASE WHEN shares THEN 4 ELSE 3 END, CASE WHEN shares AND new THEN greatest(q1 - 1, 0) ELSE q1 END, CASE WHEN NOT shares AND new THEN greatest(q2 - 1, 0) ELSE q2 END, CASE WHEN new THEN list_append(found, sign) ELSE found END

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,3 +44,14 @@ def before_each_range(rows: DataFrame, group: str, amount: str | None = None) ->
     sums = rows.groupBy(group, "_range").agg((F.sum(amount) if amount else F.count("*")).alias("_t"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("total"))
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """rows with their number in their group, from 1, as `column`: a large group is numbered range by range. Null is a group like others."""
+    x = ranged(rows, [*by, *order], name)
+    counts = x.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    x = x.withColumn("_here", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_r"))
+    return x.join(counts, same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_here")).alias(column))
