@@ -180,6 +180,40 @@ def t01_locale_casing(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select("p_partkey", *[f(name, loc).alias(f"{f.__name__}_{loc or 'root'}") for f in (tx.upper, tx.lower) for loc in ("", "tr")])
 
 
+def t21_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts as ids and texts, some with commands of formulas."""
+    k = F.col("p_partkey")
+    t = F.concat("p_name", F.when(k % 4 == 0, r" \dfrac{a}{b}").when(k % 4 == 1, r" 50\% more").when(k % 4 == 2, r" \alpha % frac").otherwise(r" \ text"))
+    unit = F.concat("p_brand", F.when(k % 3 == 0, "_KaTeX").when(k % 3 == 1, "_latex").otherwise("_latex_x"))
+    return _t(spark, d, "part").select(k, tx.is_formula_id(unit).alias("formula_id"), tx.looks_like_formula(F.when(k % 7 != 0, t)).alias("formula"))
+
+
+def t24_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Placeholders of texts with single and paired marks, one of them twice, and one that is not closed."""
+    k = F.col("p_partkey").cast("string")
+    t = F.concat(F.lit('{{a}} <ph id="0" equiv="P'), k, F.lit('"/> <ph equiv="open"> <pc id="1" equivStart="S'), k, F.lit('" equivEnd="E" type="fmt">x</pc> {{a}} <ph equiv="P'), k, F.lit('" disp="x"/>'))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(tx.placeholders(t), ",").alias("marks"))
+
+
+def t27_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions for languages and time zones put together from nations."""
+    lang = F.concat(F.lower(F.left("n_name", F.lit(2))), F.lit("-X"))
+    zone = F.concat(F.lit("Asia/"), F.when(F.col("n_nationkey") % 5 == 0, "Tokyo").when(F.col("n_nationkey") % 5 == 1, "Shanghai").otherwise(F.col("n_name")))
+    return _t(spark, d, "nation").select("n_nationkey", tx.region(F.when(F.col("n_nationkey") % 4 != 3, lang).otherwise("zh-TW"), zone).alias("region"), tx.region(F.upper(lang), F.lit(None).cast("string")).alias("by_language"))
+
+
+def p24_odd_percentages(spark: SparkSession, d: str) -> DataFrame:
+    """Percentages with many decimals as fractions of at most twelve digits."""
+    f = nu.percent_to_fraction(F.col("p_retailprice") / 7)
+    return _t(spark, d, "part").select("p_partkey", f["num"].alias("num"), f["den"].alias("den"))
+
+
+def p25_odd_fractions(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest fractions of quotients that are none of small numbers."""
+    f = nu.best_fraction(F.col("p_retailprice") / (F.col("p_size") + 1234.5))
+    return _t(spark, d, "part").select("p_partkey", f["num"].alias("num"), f["den"].alias("den"))
+
+
 def p26_exercises(spark: SparkSession, d: str) -> DataFrame:
     """Five exercises of two kinds for each part, medium and hard ones in turn."""
     seeds = _t(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.when(F.col("p_partkey") % 2 == 0, "medium").otherwise("hard").alias("level"))
@@ -193,7 +227,7 @@ def g14_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), chance.pick(weights, r).alias("picked"))
 
 
-QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, i01_parse_xliff, i07_to_translate, t01_locale_casing, p26_exercises, g14_weighted_pick)}
+QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, i01_parse_xliff, i07_to_translate, t01_locale_casing, t21_formulas, t24_marks, t27_regions, p24_odd_percentages, p25_odd_fractions, p26_exercises, g14_weighted_pick)}
 
 _ITEMS = "i AS (SELECT *, p_partkey % 3 <> 0 AS available, regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER AS number FROM part)"
 
@@ -256,6 +290,15 @@ SELECT l_orderkey, l_linenumber, a // q.b AS whole, digits[1 : n] AS before, dig
 SELECT unit_id, source, CASE WHEN k % 8 = 4 AND k % 5 <> 0 THEN 'fr ' || source END AS target, CASE WHEN k % 8 = 4 AND k % 5 <> 0 THEN 'translated' END AS state FROM u""",
     "t01_locale_casing": """WITH n AS (SELECT p_partkey, p_name AS n FROM part) SELECT p_partkey, upper(n) || ' IIİI SS' AS upper_root, replace(upper(replace(n, 'i', '#')), '#', 'İ') || ' IİİI SS' AS upper_tr,
   lower(n) || ' ıii' || chr(775) || 'i ß' AS lower_root, replace(lower(replace(n, 'I', '#')), '#', 'ı') || ' ıiiı ß' AS lower_tr FROM n""",
+    "t21_formulas": "SELECT p_partkey, p_partkey % 3 <> 2 AS formula_id, p_partkey % 4 < 2 AND p_partkey % 7 <> 0 AS formula FROM part",
+    "t24_marks": "SELECT p_partkey, '{{a}},ph:P' || p_partkey || ',pc:S' || p_partkey || ',pc:E' AS marks FROM part",
+    "t27_regions": """WITH n AS (SELECT n_nationkey AS k, lower(n_name[1:2]) AS l FROM nation), r AS (SELECT k, l, CASE l WHEN 'zh' THEN 'CN' WHEN 'ja' THEN 'JP' WHEN 'ko' THEN 'KR' WHEN 'ru' THEN 'RU_CIS'
+  ELSE CASE WHEN l IN ('en', 'fr', 'de', 'es', 'it', 'nl', 'pt', 'sv', 'da', 'no', 'fi', 'pl', 'cs', 'sk', 'ro', 'hu', 'el', 'tr', 'uk', 'bg') THEN 'EU_US' ELSE 'GLOBAL' END END AS own FROM n)
+SELECT k AS n_nationkey, CASE WHEN k % 4 = 3 OR k % 5 = 1 THEN 'CN' WHEN l = 'ja' OR k % 5 = 0 THEN 'JP' ELSE own END AS region, own AS by_language FROM r""",
+    "p24_odd_percentages": """WITH x AS (SELECT p_partkey, p_retailprice / 7 / 100 AS x FROM part), d AS (SELECT *, least(12, length(split_part(x::VARCHAR, '.', 2))) AS n FROM x),
+f AS (SELECT *, floor(x * (10::BIGINT ** n) + 0.5e0)::BIGINT AS num, (10::BIGINT ** n)::BIGINT AS den FROM d) SELECT p_partkey, (num // gcd(num, den))::DOUBLE AS num, (den // gcd(num, den))::DOUBLE AS den FROM f""",
+    "p25_odd_fractions": """WITH x AS (SELECT p_partkey, p_retailprice / (p_size + 1234.5e0) AS x FROM part), e AS (SELECT p_partkey, d, floor(x * d + 0.5e0) AS n, abs(x - floor(x * d + 0.5e0) / d) AS e FROM x, range(1, 1001) r(d)),
+b AS (SELECT p_partkey, min(d) FILTER (e < 1e-12) AS exact, arg_min(d, (e, d)) AS best FROM e GROUP BY 1) SELECT p_partkey, n AS num, d::DOUBLE AS den FROM b JOIN e USING (p_partkey) WHERE d = coalesce(exact, best)""",
     "p26_exercises": f"""WITH RECURSIVE r AS (SELECT p_partkey AS seed, p_partkey % 2 = 1 AS hard, list({_random("greatest(p_partkey, 1)", "n")} ORDER BY n) AS rs FROM part, range(1, 121) x(n) GROUP BY 1, 2),
 t AS (SELECT seed, hard, rs, 0 AS tries, 5 AS i, len(list_filter(rs[1:5], lambda r: r < 0.5)) AS q1, len(list_filter(rs[1:5], lambda r: r >= 0.5)) AS q2, []::BIGINT[][] AS found FROM r
 UNION ALL SELECT seed, hard, rs, tries + 1, i + CASE WHEN shares THEN 4 ELSE 3 END, CASE WHEN shares AND new THEN greatest(q1 - 1, 0) ELSE q1 END, CASE WHEN NOT shares AND new THEN greatest(q2 - 1, 0) ELSE q2 END, CASE WHEN new THEN list_append(found, sign) ELSE found END

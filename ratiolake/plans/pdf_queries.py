@@ -102,6 +102,24 @@ def pdf_files(spark: SparkSession, d: str) -> DataFrame:
     return s.select(_text("s", k, ".pdf").alias("path"), F.encode(_text(F.col("body"), table, end), "UTF-8").alias("content"))
 
 
+def xref_stream_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a file for each supplier whose cross-reference section is a stream, in hexadecimal, that leads to an older table; one in nine has a broken one."""
+    k = F.col("s_suppkey")
+    number = lambda c, width: F.lpad(F.hex(c), width, "0")
+    rows = [_text("00", number(k % 7, 4), "00"), _text("01", number(k + 300, 4), "01"), _text("02", number(k % 9, 4), number(k % 5, 2))]
+    body = _text("%PDF-1.5\nxref\n9 1\n0000000009 00000 n \ntrailer << /Size 10 >>\n")
+    told = _text("5 0 obj << /Type /XRef /W ", F.when(k % 9 == 8, "[1 2]").otherwise("[1 2 1]"), " /Index [0 2 ", k % 3 + 3, " 1] /Size 9 /Prev 9 /Filter /ASCIIHexDecode /Length 25 >> stream\n", *rows, ">\nendstream endobj\nstartxref\n", F.length(body), "\n%%EOF\n")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(_text("x", k, ".pdf").alias("path"), F.encode(_text(body, told), "UTF-8").alias("content"))
+
+
+def j12_xref_streams(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.xref_entries(xref_stream_files(spark, d))
+
+
+def a05_compressed(spark: SparkSession, d: str) -> DataFrame:
+    return pdf.xref_totals(j12_xref_streams(spark, d).filter("error is null"))
+
+
 def _read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = written(pdf_files(spark, d), "pdf")
     objs = written(po.objects(files), "objects")
@@ -273,7 +291,7 @@ _MAKE |= {
     "j21_rebuild": lambda f, o, n: _clean(f, o, n, rebuild=True),
 }
 
-QUERIES = {name: _query(make, name) for name, make in _MAKE.items()} | {"j15_unreadable": unreadable}
+QUERIES = {name: _query(make, name) for name, make in _MAKE.items()} | {"j15_unreadable": unreadable, "j12_xref_streams": j12_xref_streams, "a05_compressed": a05_compressed}
 
 _ALL = "a AS (SELECT s_suppkey AS k, s_name AS name, 's' || s_suppkey || '.pdf' AS path, 1 + s_suppkey % 4 AS n FROM supplier)"
 _S = f"WITH {_ALL}, s AS (SELECT * FROM a WHERE k % 50 <> 0), p AS (SELECT *, unnest(range(n)) AS i FROM s)"
@@ -320,6 +338,11 @@ UNION ALL SELECT path, 65, 'b', 'text/plain', 5, '0102FF', 'D:2024' FROM s UNION
 UNION ALL SELECT path, 2, 'dict', 4, 'inUse', 20 FROM s UNION ALL SELECT path, 90, 'array', NULL, NULL, NULL FROM s UNION ALL SELECT path, 100, 'dict', 5, 'inUse', k * 7 FROM s""",
     "j11_findings": f"""{_S} SELECT path, 'openaction' AS kind, 1 AS obj FROM s WHERE k % 3 = 0 UNION ALL SELECT path, 'embeddedfiles', unnest([1, 62, 63, 65, 66]) FROM s UNION ALL SELECT path, 'javascript', 80 FROM s UNION ALL SELECT path, 'uri', 85 FROM s""",
     "j12_xref": f"{_XREF} SELECT * FROM e",
+    "j12_xref_streams": """WITH s AS (SELECT s_suppkey AS k, 'x' || s_suppkey || '.pdf' AS path FROM supplier), g AS (SELECT * FROM s WHERE k % 9 <> 8)
+SELECT path, 0::BIGINT AS obj_number, 0::BIGINT AS gen, 'free' AS kind, NULL::BIGINT AS "offset", k % 7 AS next_free, NULL::BIGINT AS stream_obj, NULL::BIGINT AS stream_index, NULL::VARCHAR AS error FROM g
+UNION ALL SELECT path, 1, 1, 'inUse', k + 300, NULL, NULL, NULL, NULL FROM g UNION ALL SELECT path, 3 + k % 3, 0, 'compressed', NULL, NULL, k % 9, k % 5, NULL FROM g UNION ALL SELECT path, 9, 0, 'inUse', 9, NULL, NULL, NULL, NULL FROM g
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'cross-reference stream without /W' FROM s WHERE k % 9 = 8""",
+    "a05_compressed": "SELECT 'x' || s_suppkey || '.pdf' AS path, 2 AS inUse, 1 AS free, 1 AS compressed, s_suppkey + 300 AS max_offset FROM supplier WHERE s_suppkey % 9 <> 8",
     "j13_page_ops": f"{_OPS} SELECT * FROM ops",
     "k06_font_maps": f"{_S} SELECT path, 24 AS cmap, code::BIGINT AS code, chr(code::INTEGER) AS text FROM s, (SELECT 32 AS code UNION ALL SELECT unnest(range(65, 123)))",
     "k06_codes_without_text": f"{_S} SELECT path, 20 AS font, (48 + i)::BIGINT AS code, count(*) AS n FROM p WHERE i % 2 = 0 GROUP BY ALL",
