@@ -172,6 +172,7 @@ _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "j09_signatures": lambda f, o, n: _joined(rep.signatures(o, _fields(o, n)).drop("obj", "reason"), "byte_range"),
     "j10_attachments": lambda f, o, n: rep.attachments(o).drop("description", "created"),
     "j10_objects_and_xref": lambda f, o, n: rep.with_xref(rep.inventory(o), pdf.xref_entries(f)).select("path", "obj", "kind", "n_keys", "xref_kind", "xref_offset").filter("obj in (1, 2, 90, 100)"),
+    "j11_objects": lambda f, o, n: rep.inventory(o).drop("n_keys", "declared", "filters"),
     "j11_findings": lambda f, o, n: rep.findings(o, rep.inventory(o)),
     "j12_xref": lambda f, o, n: pdf.xref_entries(f).select("path", "obj_number", "gen", "kind", "offset", "next_free", "error"),
     "j13_page_ops": lambda f, o, n: _ops(f, o, n),
@@ -369,6 +370,32 @@ SELECT path, 6 + n + odd + (k % 3 = 0)::INTEGER AS streams, 3 + (n > 1)::INTEGER
     "f05_tree_filter": f"{_OUTLINE} SELECT path, place, title FROM t WHERE contains(name, '#00000000') AND place <> '2'",
 }
 
+#: Objects of every file: number, kind, type, subtype, action, whether scripts or files, condition to be there, condition to be reached, length of a stream.
+_KNOWN = [
+    (1, "dict", "Catalog", "", "", 0, 0, "true", "true", ""), (2, "dict", "Pages", "", "", 0, 0, "true", "true", ""), (3, "dict", "Pages", "", "", 0, 0, "true", "true", ""), (4, "dict", "", "", "", 0, 0, "true", "true", ""),
+    (5, "dict", "", "", "", 0, 0, "k % 6 = 0", "false", ""), (20, "dict", "Font", "TrueType", "", 0, 0, "true", "true", ""), (21, "dict", "Font", "Type1", "", 0, 0, "true", "true", ""), (22, "dict", "FontDescriptor", "", "", 0, 0, "true", "true", ""),
+    (23, "dict", "Font", "Type0", "", 0, 0, "true", "true", ""), (24, "stream", "", "", "", 0, 0, "true", "true", str(len(_CMAP))), (25, "dict", "Font", "CIDFontType2", "", 0, 0, "true", "true", ""), (26, "stream", "", "", "", 0, 0, "true", "true", "4"),
+    (27, "dict", "FontDescriptor", "", "", 0, 0, "true", "true", ""), (30, "stream", "XObject", "Image", "", 0, 0, "true", "true", "4"), (31, "stream", "XObject", "Image", "", 0, 0, "true", "true", "4"), (40, "dict", "Outlines", "", "", 0, 0, "true", "true", ""),
+    *[(i, "dict", "", "", "", 0, 0, "true", "true", "") for i in (41, 42, 43, 51, 53, 60, 61, 64, 70)], (52, "dict", "Annot", "Widget", "", 0, 0, "true", "true", ""), (55, "dict", "Annot", "Widget", "", 0, 0, "true", "true", ""),
+    (56, "dict", "Sig", "", "", 0, 0, "true", "k % 2 = 0", ""), (57, "stream", "XObject", "Form", "", 0, 0, "true", "true", "3"), (58, "stream", "XObject", "Form", "", 0, 0, "k % 3 = 0", "true", "1"),
+    *[(i, "dict", "Filespec", "", "", 0, 1, "true", "true", "") for i in (62, 65, 66)], (63, "stream", "EmbeddedFile", "text/plain", "", 0, 1, "true", "true", "5"), (80, "dict", "", "", "JavaScript", 1, 0, "true", "k % 3 = 0", ""),
+    (85, "dict", "", "", "URI", 0, 0, "true", "true", ""), (86, "string", "", "", "", 0, 0, "true", "true", ""), (87, "array", "", "", "", 0, 0, "true", "true", ""), (88, "array", "", "", "", 0, 0, "true", "true", ""), (89, "array", "", "", "", 0, 0, "n > 1", "true", ""),
+    (90, "array", "", "", "", 0, 0, "true", "false", ""), (91, "array", "", "", "", 0, 0, "k % 2 = 0", "true", ""), (92, "array", "", "", "", 0, 0, "k % 5 = 0", "true", ""), (99, "dict", "", "", "", 0, 0, "true", "false", ""),
+    *[(i, "dict", "", "Link", "", 0, 0, "true", "true", "") for i in (104, 107, 108, 109)],
+]
+_OBJECTS = " UNION ALL ".join(
+    f"SELECT path, {i} AS obj, '{kind}' AS kind, nullif('{type_}', '') AS type, nullif('{sub}', '') AS subtype, {length or 'NULL'} AS stream_length, nullif('{action}', '') AS action, {js} = 1 AS has_js, {file} = 1 AS has_file, {reached} AS reached FROM s WHERE {there}"
+    for i, kind, type_, sub, action, js, file, there, reached, length in _KNOWN
+)
+_PAGE_OBJECTS = " UNION ALL ".join(
+    f"SELECT path, {i} + 10 * i, '{kind}', {type_}, {sub}, {length}, NULL, false, false, true FROM p WHERE {there}"
+    for i, kind, type_, sub, length, there in [
+        (100, "dict", "'Page'", "NULL", "NULL", "true"), (101, "dict", "'Annot'", "'Link'", "NULL", "true"), (102, "dict", "NULL", "'Link'", "NULL", "true"), (103, "dict", "NULL", "['Highlight', 'Text', 'Odd'][i % 3 + 1]", "NULL", "true"),
+        (105, "stream", "NULL", "NULL", "CASE k % 7 WHEN 1 THEN 139 WHEN 2 THEN 143 ELSE 69 END", "true"), (106, "stream", "NULL", "NULL", "41", "i % 2 = 1"),
+    ]
+)
+ORACLE_SQL["j11_objects"] = f"{_S} {_OBJECTS} UNION ALL {_PAGE_OBJECTS}"
+
 # Written files: m are sources with the number of their output and of their first page there; each is a page's size.
 _MERGE = f"""{_S}, m AS (SELECT *, 'm' || k // 10 || '.pdf' AS out, k % 10 AS idx, CASE WHEN k % 50 = 0 THEN 0 ELSE n END AS pages FROM a)
 , q AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY out ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first FROM m)
