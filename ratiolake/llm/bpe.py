@@ -213,26 +213,33 @@ def _columns(c: Codec, packed: list[bytes], want: tuple[str, ...]) -> list[pa.Ar
     return [pa.array([r[w] for r in rows], _ARROW[w]) for w in want]
 
 
-def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT, most_cells: int = sketch.MAX_CELLS) -> DataFrame:
     """Encode every text of docs (doc_id, text; more columns are ignored) with a tokenizer's JSON file, and decode it.
 
     Null texts are empty and have no ids. Rows that repeat a doc_id are rows like others. An empty table
     gives no rows. Texts of any length are encoded in stretches; one single word is not cut. tokenizer is a path on the driver, read once. One row per row: doc_id and the columns
-    of KINDS that want names. The ids are those of the library for the whole text, without special tokens
+    of KINDS that want names. most_cells: a sketch of chunks that needs more cells stays distributed instead of going to every task. The ids are those of the library for the whole text, without special tokens
     added; their strings in a text are special, as in the library.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def digests(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    cells = sketch.cells_for(size // MEAN + 1)
+
+    def digests(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         texts = list(raw_texts(batch["text"]))
-        got = [xxh3_128_digest(c) for raw, at in zip(texts, cuts(texts), strict=True) for c in chunks(raw, at)]
-        yield np.frombuffer(b"".join(got), np.uint64)[::2]
+        got = [[xxh3_128_digest(c) for c in chunks(raw, at)] for raw, at in zip(texts, cuts(texts), strict=True)]
+        yield np.frombuffer(b"".join(x for some in got for x in some), np.uint64)[::2].copy(), np.repeat(np.arange(len(got)), [len(x) for x in got])
 
-    repeated = sketch.repeated_items(docs.select("text"), digests, sketch.cells_for(size // MEAN + 1))
+    if cells <= most_cells:
+        repeated = sketch.repeated_items(docs.select("text"), lambda batch: (x for x, _ in digests(batch)), cells)
+        searched = docs.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("known"))
+    else:
+        repeated = None
+        searched = docs.join(sketch.known_items(docs, digests, cells), ["d", "t"], "left").select("doc_id", "text", "known")
 
     def make():
         c, task, sent = codec(source.value), TaskContext.get().partitionId() << 40, set()
@@ -241,11 +248,12 @@ def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT) -> Dat
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal count
             texts = list(raw_texts(batch["text"]))
+            maybe = sketch.among(batch["known"]) if repeated is None else repeated.value.maybe
             whole_id, whole, rows = [], [], []
             for doc_id, raw, at in zip(batch["doc_id"].to_pylist(), texts, cuts(texts), strict=True):
                 parts = chunks(raw, c.agreed(raw, at))  # what does not agree is joined, and encoded as one
                 keys = [xxh3_128_digest(x) for x in parts]
-                shared = repeated.value.maybe(np.frombuffer(b"".join(keys), np.uint64)[::2])
+                shared = maybe(np.frombuffer(b"".join(keys), np.uint64)[::2])
                 count += 1
                 if not shared.any():
                     whole_id.append(doc_id)
@@ -273,7 +281,7 @@ def encode(docs: DataFrame, tokenizer: str, want: tuple[str, ...] = WANT) -> Dat
         return work
 
     ends = ", ".join(f"{w} {KINDS[w]}" for w in want)
-    parts = written(map_rows(docs, make, f"doc_id bigint, row bigint, at int, key binary, chunk binary, packed binary, {ends}"), "bpe")
+    parts = written(map_rows(searched, make, f"doc_id bigint, row bigint, at int, key binary, chunk binary, packed binary, {ends}"), "bpe")
     finished = parts.filter("row is null").select("doc_id", *want)
     once = parts.filter("chunk is not null").select("key", "chunk").dropDuplicates(["key"])
 

@@ -2,7 +2,8 @@
 
 Each task sketches its own partition; the partial sketches meet by blocks of cells and are added up.
 Because cells only ever over-count, whatever occurs twice is found; other items are found falsely now
-and then. The size is fixed by the caller within a bound, so that the result can be broadcast.
+and then. A sketch of up to MAX_CELLS goes to every task as bits. A larger one stays distributed: the same cells
+are counted as rows of a table, and rows learn by joins which of their items have full cells.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, map_rows, written
 
 ROWS = 2
 #: Cells are dealt out in blocks of this many.
@@ -35,8 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def cells_for(items: int) -> int:
-    """Cells of a row for so many items: 8 each, between MIN_CELLS and MAX_CELLS (2 rows of 128 MB of bits)."""
-    return max(MIN_CELLS, min(MAX_CELLS, 1 << max(0, 8 * items - 1).bit_length()))
+    """Cells of a row for so many items, 8 each; up to MAX_CELLS they go to every task (2 rows of 128 MB of bits)."""
+    return max(MIN_CELLS, 1 << max(0, 8 * items - 1).bit_length())
 
 
 def _cell(x: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -116,3 +117,32 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (row, block), n in counts.items():
         if (n > 1).any():
             yield pa.record_batch([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())], names=["row", "block", "bits"])
+
+
+def known_items(docs: DataFrame, items: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], cells: int) -> DataFrame:
+    """(d, t, known) of docs (d, t and what items() needs): the items of each (d, t) that may occur more than once, as Repeated would say, for sketches of any size.
+
+    items() yields arrays of 64-bit numbers and of the rows of the batch they are in. The counts of cells are a table; they are added
+    up with map-side combine, and only full cells are kept and joined.
+    """
+
+    def listed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        d, t = (batch[x].to_numpy(zero_copy_only=False) for x in ("d", "t"))
+        for x, row in items(batch):
+            yield pa.record_batch([pa.array(x.view(np.int64)), *(pa.array(_cell(x, r, cells)) for r in range(ROWS)), pa.array(d[row]), pa.array(t[row])], names=["item", *_AT, "d", "t"])
+
+    each = written(map_rows(docs, lambda: listed, "item bigint, " + ", ".join(f"{c} bigint" for c in _AT) + ", d bigint, t bigint"), "items")
+    cell = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.col(c).alias("cell")) for r, c in enumerate(_AT)])).alias("at")
+    full = written(each.select(cell).groupBy("at.row", "at.cell").agg(F.count("*").alias("n")).filter("n > 1").select("row", "cell"), "full-cells")
+    for r, c in enumerate(_AT):
+        each = each.join(full.filter(F.col("row") == r).select(F.col("cell").alias(c)), c)
+    return each.groupBy("d", "t").agg(F.collect_set("item").alias("known"))
+
+
+_AT = [f"cell{r}" for r in range(ROWS)]
+
+
+def among(known: pa.Array) -> Callable[[np.ndarray], np.ndarray]:
+    """Which items are among those of a batch's column known."""
+    some = np.unique(known.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    return lambda items: np.isin(items, some)

@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 20, most_cells
     row. A word goes if a window that covers it has the same words as a window that starts elsewhere, in
     the same row or another; rows that repeat a doc_id are rows like others. Null and empty texts, and
     texts shorter than a window, lose nothing; texts of any length are taken in parts. An empty table gives
-    no rows. most_cells: a sketch that needs more cells stays a table instead of going to every task.
+    no rows. most_cells: a sketch that needs more cells stays distributed instead of going to every task.
 
     One row per row: doc_id, kept_text (words joined by a space), n_words, n_removed, and removed_from,
     removed_to: the spans of word numbers that went, end exclusive.
@@ -140,24 +140,29 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 20, most_cells
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # anchors: two in width - grain + 2 words, of some six bytes each
     anchors = size // 6 * 2 // (width - grain + 2)
-    if 8 * anchors <= most_cells:
+    cells = sketch.cells_for(anchors)
+    if cells <= most_cells:
 
         def occurrences(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             for _, _, windows, *_ in Scan(list(raw_texts(batch["text"])), width, grain).blocks():
                 yield windows.occurrences
 
-        repeated = sketch.repeated_items(docs.select("text"), occurrences, sketch.cells_for(anchors))
+        repeated = sketch.repeated_items(docs.select("text"), occurrences, cells)
         searched = docs.withColumn("known", F.lit(None).cast("array<bigint>"))
     else:
+
+        def placed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for first, _, windows, *_ in Scan(list(raw_texts(batch["text"])), width, grain).blocks():
+                yield windows.occurrences, first + windows.words.doc[windows.places]
+
         repeated = None
-        known = repeated_anchors(docs, width, grain)
+        known = sketch.known_items(docs, placed, cells)
         searched = written(docs.join(known, ["d", "t"], "left"), "searched")
 
     def maybe(batch: pa.RecordBatch) -> Maybe:
         if repeated is not None:
             return repeated.value.maybe
-        known = np.unique(batch["known"].flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        return lambda anchors: np.isin(anchors, known)
+        return sketch.among(batch["known"])
 
     def suspected(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         d, t = (batch[x].to_numpy(zero_copy_only=False) for x in ("d", "t"))
@@ -179,20 +184,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, grain: int = 20, most_cells
     return map_rows(searched.join(single.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "known", "single"), lambda: removed, schema)
 
 
-def repeated_anchors(docs: DataFrame, width: int, grain: int) -> DataFrame:
-    """(d, t, known): the anchors in each of docs (d, t, text) that are hit more than once in all of them."""
-
-    def hits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        d, t = (batch[x].to_numpy(zero_copy_only=False) for x in ("d", "t"))
-        for first, _, windows, *_ in Scan(list(raw_texts(batch["text"])), width, grain).blocks():
-            doc = first + windows.words.doc[windows.places]
-            yield pa.record_batch([pa.array(windows.occurrences.view(np.int64)), pa.array(d[doc]), pa.array(t[doc])], names=["anchor", "d", "t"])
-
-    each = written(map_rows(docs.select("d", "t", "text"), lambda: hits, "anchor bigint, d bigint, t bigint"), "anchors")
-    hot = written(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "hot")
-    return each.join(hot, "anchor").groupBy("d", "t").agg(F.collect_set("anchor").alias("known"))
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

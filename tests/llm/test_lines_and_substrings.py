@@ -120,3 +120,28 @@ def test_spans_over_several_sums(monkeypatch):
     assert (word_hash._spans(a, small, start, end, 1) == want).all()
     byhand = [sum((int(a[j]) + 1) * pow(word_hash._BASE, j - i, 1 << 64) for j in range(i, e)) % (1 << 64) for i, e in zip(start[:40].tolist(), end[:40].tolist(), strict=True)]
     assert want[:40].tolist() == byhand
+
+
+def test_distributed_cells_over_count_and_never_miss(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from ratiolake.llm import sketch
+
+    rng = np.random.default_rng(8)
+    values = [rng.integers(0, 60, 5).tolist() for _ in range(30)]
+    docs = spark.createDataFrame([(i % 20, 0, v) for i, v in enumerate(values)], "d long, t long, v array<long>").repartition(4)
+
+    def items(batch):
+        yield batch["v"].flatten().to_numpy().view(np.uint64), np.repeat(np.arange(batch.num_rows), [len(x) for x in batch["v"]])
+
+    counts = np.bincount(np.concatenate(values), minlength=60)
+    for cells in (4, 64, 1 << 20):
+        known = {r.d: set(r.known) for r in sketch.known_items(docs, items, cells).collect()}
+        of = {}
+        for i, v in enumerate(values):
+            of.setdefault(i % 20, set()).update(v)
+        assert all({x for x in of[d] if counts[x] > 1} <= known.get(d, set()) <= of[d] for d in of)
+        if cells == 1 << 20:
+            assert all(known.get(d, set()) == {x for x in of[d] if counts[x] > 1} for d in of)
+    assert sketch.among(pa.array([[3, 5], None, []], pa.list_(pa.int64())))(np.array([3, 4], np.uint64)).tolist() == [True, False]
