@@ -102,4 +102,4 @@ def test_sanitize_and_flatten(spark, read):
     ops = [(r.op, r.args) for r in rep.page_ops(f3, o3, n3).filter("page = 1").orderBy("at").collect()]
     assert ops == [("q", ""), ("Q", "0"), ("q", ""), ("cm", "1 0 0 1 1 2"), ("Do", "/FlatWidget-1"), ("Q", "")]
     assert {r.name for r in rep.page_resources(o3, n3, "XObject").collect()} == {"Im", "FlatWidget-1"}
-    assert [r.dict for r in rep.page_annotations(o3, n3).collect()] == ['{"Subtype": "/Text"}'] and rep.form_fields(o3, rep.page_annotations(o3, n3)).count() == 0
+    assert [r.dict for r in rep.page_annotations(o3, n3).collect()] == ['{"Subtype":"/Text"}'] and rep.form_fields(o3, rep.page_annotations(o3, n3)).count() == 0
