@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratiolake.functions import text as tx
+from ratiolake.tables import short_list
 
 UNIT = ["locale", "unit_id", "source", "target", "state"]
 
@@ -20,9 +21,10 @@ def merge(source: DataFrame, targets: DataFrame, locales: DataFrame) -> DataFram
 
     New units are added, as TODO and new, or copied if they are formulas. Formulas get escaped braces on
     both sides. Where a source has changed but for white space, it is replaced and the unit marked
-    needs-review unless it is new. Units that only a target has stay as they are.
+    needs-review unless it is new. Units that only a target has stay as they are. locales (locale) is a list of 10,000 at most.
     """
-    wanted = source.select("unit_id", F.col("source").alias("new_source")).crossJoin(F.broadcast(locales.select("locale").distinct()))
+    listed = F.array(*map(F.lit, short_list(locales, "locale"))).cast("array<string>")
+    wanted = source.select("unit_id", F.col("source").alias("new_source"), F.explode(listed).alias("locale"))
     x = targets.withColumn("known", F.lit(True)).join(wanted, ["locale", "unit_id"], "full_outer")
     formula, escaped = tx.is_formula_id(F.col("unit_id")), tx.escape_braces(F.col("new_source"))
     now = tx.escape_braces(F.when(F.coalesce("target", F.lit("")) != "", F.col("target")).otherwise(F.col("new_source")))
@@ -99,6 +101,6 @@ def updated(units: DataFrame, changes: DataFrame) -> DataFrame:
     return x.select("locale", "unit_id", F.coalesce("_source", "source").alias("source"), F.coalesce("_target", "target").alias("target"), state.alias("state"))
 
 
-def locales(source: str, targets: list[str]) -> list[str]:
-    """The source's locale and those of the targets, once each, in order."""
-    return list(dict.fromkeys([source, *targets]))
+def locales(source: Column, targets: Column) -> Column:
+    """The source's locale and those of an array of targets, once each, in order; nulls are left out."""
+    return F.array_distinct(F.array_compact(F.concat(F.array(source), targets)))

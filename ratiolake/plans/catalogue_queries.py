@@ -72,13 +72,13 @@ def f10_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f11_flattened(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers by region and nation, nested and flattened again."""
+    """Suppliers by region and nation, a nested row for each region, flattened again."""
     s, n, r = (_t(spark, d, x) for x in ("supplier", "nation", "region"))
     pairs = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
     x = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     x = x.groupBy("r_name", "n_name").agg(F.struct(pairs(F.col("s_suppkey").cast("string"), F.col("s_name")).alias("items")).alias("g"))
     x = x.groupBy("r_name").agg(F.struct(pairs(F.col("n_name"), F.col("g")).alias("groups")).alias("c"))
-    return cat.flattened(x.agg(pairs(F.col("r_name"), F.col("c")).alias("tree")), "tree")
+    return cat.flattened(x.select(F.create_map("r_name", "c").alias("tree")), "tree")
 
 
 def a21_tag_balance(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,11 @@ def i04_point_updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i09_locales(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(tr.locales("fr", ["en", "fr", "de", "en"]))), "at long, locale string")
+    """The languages of each source's documents, in the order they first occur, French first."""
+    first = _t(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    targets = F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: x["lang"])
+    x = first.groupBy("source").agg(targets.alias("targets"))
+    return x.select("source", F.array_join(tr.locales(F.lit("fr"), F.concat("targets", F.reverse("targets"))), ",").alias("locales"))
 
 
 def t14_templates(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +263,7 @@ SELECT p_partkey, related, row_number() OVER (PARTITION BY p_partkey ORDER BY ti
     "a21_tag_balance": r"SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '(\s[^>]*)?>')) AS opened, len(regexp_extract_all(html, '</' || tag || '>')) AS closed FROM pages, (VALUES ('p'), ('ul'), ('li'), ('div'), ('html')) t(tag) WHERE opened > 0",
     "i04_point_updates": f"""WITH u AS ({_TARGETS}), c AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'fr' ELSE 'de' END AS locale, 'u' || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '_katex' ELSE '' END AS unit_id, CASE WHEN c_custkey % 2 = 0 THEN 'new source' END AS source, 'new ' || c_name AS target, CASE WHEN c_custkey % 4 = 0 THEN 'translated' END AS state FROM customer WHERE c_custkey % 3 = 0)
 SELECT coalesce(u.locale, c.locale) AS locale, coalesce(u.unit_id, c.unit_id) AS unit_id, coalesce(c.source, u.source) AS source, coalesce(c.target, u.target) AS target, coalesce(c.state, CASE WHEN u.unit_id IS NULL THEN 'new' ELSE u.state END) AS state FROM u FULL JOIN c ON u.locale = c.locale AND u.unit_id = c.unit_id""",
-    "i09_locales": "SELECT * FROM (VALUES (0, 'fr'), (1, 'en'), (2, 'de')) t(\"at\", locale)",
+    "i09_locales": "SELECT source, concat_ws(',', 'fr', string_agg(lang, ',' ORDER BY first) FILTER (lang <> 'fr')) AS locales FROM (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY 1, 2) GROUP BY 1",
     "t14_templates": r"""SELECT l_orderkey, l_linenumber, regexp_replace(printf('%.3f', floor((l_extendedprice / 7 + 2.220446049250313e-16) * 1000 + 0.5e0) / 1000), '\.?0+$', '') || ' \times ' || l_quantity::BIGINT || ' = \frac' || 'x\_y \%\\' || '{2} + \text{none}\text{empty} - 0' AS formula FROM lineitem""",
     "t15_latex": r"SELECT p_partkey, '{' || p_name || '} \frac \times \text 5\% \\other' || p_size AS latex FROM part",
     "t17_unique_names": "SELECT event_id, event_type || CASE WHEN n = 1 THEN '.a.txt' ELSE '.a (' || n || ').txt' END AS unique_name, 'a_b_' || user_id || '-part-' || lpad((event_id % 12)::VARCHAR, 2, '0') || '.pdf' AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)",

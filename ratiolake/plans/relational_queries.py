@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratiolake.operators import relational as rel
+from ratiolake.tables import short_list
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -80,9 +81,9 @@ def j11_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j12_cross(spark: SparkSession, d: str) -> DataFrame:
-    """Every route in every locale; both sides are small lists of their own."""
-    r = _t(spark, d, "region").select("r_name")
-    return r.crossJoin(F.broadcast(_t(spark, d, "nation").select("n_name"))).select(F.concat(F.lit("/"), F.lower("r_name"), F.lit("/"), F.lower("n_name")).alias("route"))
+    """Every route in every locale; the locales are a short list."""
+    names = F.array(*map(F.lit, short_list(_t(spark, d, "nation"), "n_name")))
+    return _t(spark, d, "region").select("r_name", F.explode(names).alias("n_name")).select(F.concat(F.lit("/"), F.lower("r_name"), F.lit("/"), F.lower("n_name")).alias("route"))
 
 
 def f01_haystack(spark: SparkSession, d: str) -> DataFrame:

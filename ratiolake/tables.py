@@ -55,3 +55,11 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], column: str, name:
     x = x.withColumn("_here", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_r"))
     return x.join(counts, same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_here")).alias(column))
+
+
+def short_list(rows: DataFrame, column: str, most: int = 10_000) -> list:
+    """The distinct values of a column that is a list by its meaning, in order, null last; ValueError if there are more than `most`."""
+    found = [r[0] for r in rows.select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has over {most} values, and is no list")
+    return sorted(found, key=lambda v: (v is None, v))
