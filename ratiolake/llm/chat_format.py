@@ -75,7 +75,9 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     loss_mask is an array of spans (start, end) in code points of `formatted`, in order: the texts of
     loss_role alone, without their marks. Each turn is rendered and placed on its own row; the rows of a
-    conversation meet only to become its one formatted text.
+    conversation meet only to become its one formatted text. Roles and texts are those of fold_events, which are never null: a message
+    with a null one would be counted but not written. Empty texts are turns like others, a null conv_id is a conversation. An empty
+    table gives no rows.
     """
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     m = messages.select("conv_id", "turn", "part", "role", head.alias("head"), escape(F.col("text")).alias("body"))
@@ -92,7 +94,8 @@ def turns_back(rendered: DataFrame) -> DataFrame:
     """One row per turn of what `render` gave, read from `formatted` and `loss_mask` alone: conv_id, at, role, text, learned.
 
     at counts turns from 0; learned is the unescaped text under the mask, null for turns that it leaves out.
-    A turn is taken apart by itself, so the work grows with the text and not with turns times text.
+    A turn is taken apart by itself, so the work grows with the text and not with turns times text. A null
+    conv_id is a conversation; one without turns, or with a null text, gives no rows.
     """
     parts = F.split("formatted", CLOSE, -1)
     t = rendered.select("conv_id", "loss_mask", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("at", "part"))
@@ -112,7 +115,7 @@ def turns_back(rendered: DataFrame) -> DataFrame:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """One row per conversation of what `render` gave: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back."""
+    """One row per conversation of what `render` gave: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back. A null conv_id is a conversation; one without turns has no row."""
     rows = turns_back(rendered).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "learned"))).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["learned"].isNotNull()), lambda t: t["learned"]), "")

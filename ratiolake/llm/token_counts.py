@@ -138,7 +138,7 @@ class Ledger:
 
 
 def rolled(spark: SparkSession, sf_dir: str, tokenizers: dict[str, str]) -> DataFrame:
-    """Totals of all documents through a ledger: registered without text or language, revised as their texts arrive, some withdrawn and restored, one batch repeated."""
+    """Totals of all documents through a ledger: registered without text or language, revised as their texts arrive, some withdrawn and restored, one batch repeated. Null texts count as empty, null sources, languages and doc_ids as values of their own; an empty table gives no rows."""
     ledger = Ledger(spark, scratch(spark, "ledger"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
     none = F.lit(None).cast("string")
