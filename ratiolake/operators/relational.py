@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ratiolake.tables import before_each_range, ranged
@@ -65,7 +66,11 @@ def tiered_top_k(items: DataFrame, key: str, position: str, tiers: list[list[str
         order = Window.partitionBy(*by).orderBy(position) if by else None
         head = offered.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * k + 1) if by else offered.orderBy(position).limit(2 * k + 1)
         head = head.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(key).alias("related"), F.col(position).cast("long").alias("_at"))
-        pairs = items.join(head, [items[c] == head[f"_{c}"] for c in by]) if by else items.crossJoin(F.broadcast(head))
+        if by:
+            pairs = items.join(head, [items[c] == head[f"_{c}"] for c in by])
+        else:  # the same few rows for all items
+            few = F.array(*[F.struct(F.lit(r["related"]).alias("related"), F.lit(r["_at"]).alias("_at")) for r in head.collect()])
+            pairs = items.select(*items.columns, F.explode(few.cast(T.ArrayType(T.StructType([head.schema["related"], head.schema["_at"]])))).alias("_few")).select(*items.columns, "_few.*")
         pairs = pairs.filter(F.col(key) != F.col("related")).select(key, "related", "_at", F.lit(n).alias("_tier"))
         found = pairs if found is None else found.unionByName(pairs)
     best = found.groupBy(key, "related").agg(F.min(F.struct("_tier", "_at")).alias("_b"))
