@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ratiolake.functions import text as tx
 from ratiolake.functions.numbers import round_half_up
 from ratiolake.sources.pdf_filters import decoded
-from ratiolake.tables import written
+from ratiolake.tables import united, written
 
 
 def _get(key: str, of: str = "dict") -> Column:
@@ -109,7 +109,7 @@ def page_nodes(objs: DataFrame) -> DataFrame:
         levels.append(written(x, "tree"))
         if levels[-1].filter("kids is not null").isEmpty():
             break
-        seen = reduce(DataFrame.unionByName, [t.select("path", "node") for t in levels]).distinct().withColumn("met", F.lit(True))
+        seen = united([t.select("path", "node") for t in levels]).distinct().withColumn("met", F.lit(True))
         below = levels[-1].filter("kids is not null").select("path", F.posexplode("kids").alias("i", "kid"), "place", *inherited)
         below = below.select("path", F.col("kid.ref").alias("node"), F.struct(F.concat("place", F.array("i")).alias("place"), *inherited).alias("x")).filter("node is not null")
         below = below.groupBy("path", "node").agg(F.min("x").alias("x"), F.count("*").alias("n")).join(seen, ["path", "node"], "left")
@@ -348,7 +348,7 @@ def attachments(objs: DataFrame) -> DataFrame:
         levels.append(written(followed(x, ["path", "node"], {"names": "Names", "kids": "Kids"}, objs, "_d").select("path", "node", "names", F.from_json("kids", "array<string>").alias("kids")), "names"))
         if levels[-1].filter("kids is not null").isEmpty():
             break
-        seen = reduce(DataFrame.unionByName, [t.select("path", "node") for t in levels])
+        seen = united([t.select("path", "node") for t in levels])
         level = levels[-1].select("path", F.explode("kids").alias("node")).distinct().join(seen, ["path", "node"], "left_anti")
     pairs = F.from_json("names", "array<string>")
     every = reduce(DataFrame.unionByName, levels).filter("names is not null").select("path", "node", F.posexplode(pairs).alias("at", "key"), F.get(pairs, F.col("at") + 1).alias("spec")).filter("at % 2 = 0")

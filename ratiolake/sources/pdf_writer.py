@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ratiolake.operators.relational import offsets
 from ratiolake.sources import pdf_objects as po
 from ratiolake.sources import pdf_reports as rep
-from ratiolake.tables import before_each_range, ranged, written
+from ratiolake.tables import before_each_range, ranged, united, written
 
 #: Numbers of an output's own objects; the page tree node of its source i is NODES + i.
 CATALOG, ROOT, INFO, NODES = 1, 2, 3, 4
@@ -83,7 +83,7 @@ def reached(roots: DataFrame, of: DataFrame, cut: DataFrame | None = None) -> Da
     found = [written(roots.select("out", "idx", "path", "obj").distinct(), "reached")]
     while not found[-1].isEmpty():
         step = found[-1].join(edges, (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("_a"))).select("out", "idx", "path", F.col("_b").alias("obj")).distinct()
-        found.append(written(step.join(reduce(DataFrame.unionByName, found), ["out", "idx", "path", "obj"], "left_anti"), "reached"))
+        found.append(written(step.join(united(found), ["out", "idx", "path", "obj"], "left_anti"), "reached"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -165,7 +165,7 @@ def page_edits(nodes: DataFrame, *drop: str) -> DataFrame:
 def tree_nodes(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, obj) of pages and of nodes of page trees."""
     kind = F.get_json_object("dict", "$.Type").isin("/Page", "/Pages")
-    return objs.filter(kind).select("path", "obj").unionByName(nodes.filter("page is not null").select("path", "obj")).distinct()
+    return united([objs.filter(kind).select("path", "obj"), nodes.filter("page is not null").select("path", "obj")]).distinct()
 
 
 def of_pages(files: DataFrame, objs: DataFrame, nodes: DataFrame, wanted: DataFrame, info: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:

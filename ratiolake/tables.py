@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Bytes of rows up to which a written table may be broadcast. Its files don't tell: rows that are much alike take a hundredth on disk.
+BROADCAST = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A local session that names none (as in tests) gets a new one; others must name one."""
@@ -22,11 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage, is computed once, and survives lost executors."""
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df as a table in the shared folder, read again, and about how many bytes its rows take."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/ratiolake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    weight = reduce(Column.__add__, [_weight(df[f"`{f.name}`"], f.dataType) for f in df.schema], F.lit(16))
+    df.observe(seen, F.sum(weight.cast("long")).alias("bytes")).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("bytes") or 0
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts lineage, is computed once, and survives lost executors. Rows of more than BROADCAST bytes are joined by sorting."""
+    back, size = _stored(df, name)
+    return back.hint("merge") if size > BROADCAST else back
+
+
+def _weight(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.size(c), F.lit(0)) * 24 + 16
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [_weight(c[f.name], f.dataType) for f in kind], F.lit(8))
+    return F.lit(8)
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables as one that is not broadcast: what `written` knows of its tables does not pass a union."""
+    return reduce(DataFrame.unionByName, tables).hint("merge")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly over tasks, for work that is large beside its rows: a small file would be one task, whatever comes of it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ranged(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -36,12 +69,12 @@ def ranged(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     it in the group, gives ranks and running sums without a whole group in a task.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(rows.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), name)
+    return _stored(rows.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id()), name)[0]
 
 
 def before_each_range(rows: DataFrame, group: str, amount: str | None = None) -> DataFrame:
     """(_g, _r, _before, total) for each range of each group of ranged rows: what lies before it, and all of it; rows are counted, or an amount added up."""
-    sums = rows.groupBy(group, "_range").agg((F.sum(amount) if amount else F.count("*")).alias("_t"))
+    sums = written(rows.groupBy(group, "_range").agg((F.sum(amount) if amount else F.count("*")).alias("_t")), "sums")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("total"))
 
