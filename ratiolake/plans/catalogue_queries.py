@@ -228,7 +228,9 @@ def p26_exercises(spark: SparkSession, d: str) -> DataFrame:
 def g14_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
     weights = F.array(F.col("l_quantity"), F.lit(0.0), F.col("l_linenumber").cast("double"), F.lit(7.0))
     r = chance.random(F.col("l_orderkey") - 5, F.col("l_linenumber"))
-    return _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), chance.pick(weights, r).alias("picked"))
+    # a column of its own: inside the pick it would be computed again wherever it stands
+    drawn = _t(spark, d, "lineitem").select(*LINE, "l_partkey", "l_suppkey", r.alias("chance"), weights.alias("_weights"))
+    return drawn.select(*LINE, "l_partkey", "l_suppkey", "chance", chance.pick(F.col("_weights"), F.col("chance")).alias("picked"))
 
 
 QUERIES = {f.__name__: f for f in (g01_collated, g02_sections, g03_priorities, g05_ordered_distinct, j02_editorial, f06_lesson_search, f07_availability, f10_projection, f11_flattened, a21_tag_balance, i04_point_updates, i09_locales, t14_templates, t15_latex, t17_unique_names, t20_choices, t27_share_links, p24_fraction_to_percent, p25_directions, g11_shuffle, g11_named_seeds, k02_periods, i01_parse_xliff, i07_to_translate, t01_locale_casing, t21_formulas, t24_marks, t27_regions, p24_odd_percentages, p25_odd_fractions, p26_exercises, g14_weighted_pick)}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ratiolake import tables
+from ratiolake.functions import chance
 from ratiolake.plans import registry
 
 
@@ -28,6 +29,12 @@ def test_written_tells_sizes_of_all_types_and_of_no_rows(spark):
     assert tables.written(rows.filter("id < 0"), "none").count() == 0
 
 
+def test_a_pick_does_not_draw_again(spark, sf):
+    drawn = spark.range(1).select(chance.random(F.col("id"), F.col("id")).alias("chance"))
+    step = str(chance.STEP)
+    assert plan(registry.QUERIES["g14_weighted_pick"](spark, sf)).count(step) == plan(drawn.select("chance", F.rand())).count(step) > 0
+
+
 def test_related_items_are_ranked_in_their_row(spark, sf):
     for name in ("g03_related", "g03_priorities"):
         found = plan(registry.QUERIES[name](spark, sf))
