@@ -13,6 +13,7 @@ from ratiolake.operators import exercises as ex
 from ratiolake.operators import relational as rel
 from ratiolake.operators import translation as tr
 from ratiolake.sources import xliff
+from ratiolake.tables import spread
 
 from .form_queries import LINE, _lines, _named
 from .text_queries import _TARGETS, _units
@@ -220,7 +221,7 @@ def p25_odd_fractions(spark: SparkSession, d: str) -> DataFrame:
 
 def p26_exercises(spark: SparkSession, d: str) -> DataFrame:
     """Five exercises of two kinds for each part, medium and hard ones in turn."""
-    seeds = _t(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.when(F.col("p_partkey") % 2 == 0, "medium").otherwise("hard").alias("level"))
+    seeds = spread(_t(spark, d, "part")).select(F.col("p_partkey").alias("seed"), F.when(F.col("p_partkey") % 2 == 0, "medium").otherwise("hard").alias("level"))
     x = ex.exercises(seeds, ("shares", "traps"), 5)
     return x.select("seed", "n", "kind", F.array_join(F.transform(F.slice("numbers", 1, 2), lambda v: v.cast("long").cast("string")), ",").alias("numbers"), F.get("numbers", 2).alias("third"), "answer")
 

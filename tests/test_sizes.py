@@ -29,6 +29,12 @@ def test_written_tells_sizes_of_all_types_and_of_no_rows(spark):
     assert tables.written(rows.filter("id < 0"), "none").count() == 0
 
 
+def test_files_and_exercises_are_made_by_all_tasks(spark, sf):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (registry.QUERIES["p26_exercises"](spark, sf),):
+        assert rows.rdd.getNumPartitions() == n > 1
+
+
 def test_a_pick_does_not_draw_again(spark, sf):
     drawn = spark.range(1).select(chance.random(F.col("id"), F.col("id")).alias("chance"))
     step = str(chance.STEP)
