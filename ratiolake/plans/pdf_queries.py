@@ -13,7 +13,7 @@ from ratiolake.sources import pdf_reports as rep
 from ratiolake.sources import pdf_text as pt
 from ratiolake.sources import pdf_writer as pw
 from ratiolake.operators.relational import page_ranges
-from ratiolake.tables import written
+from ratiolake.tables import spread, written
 
 
 def _text(*parts: str | Column) -> Column:
@@ -67,7 +67,7 @@ _CMAP = "1 beginbfchar <20> <0020> endbfchar 1 beginbfrange <41> <7A> <0041> end
 def pdf_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content): a file for each supplier; one in fifty says that it is encrypted."""
     k, name, n = F.col("k"), F.col("name"), F.col("n")
-    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("n"))
+    s = spread(spark.read.parquet(f"{d}/supplier.parquet")).select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("n"))
     numbers = F.sequence(F.lit(0), n - 1)
     old = "xref\n0 1\n0000000000 65535 f \n5 1\n0000000055 00002 n \ntrailer << /Size 6 >>\n"
     body = _text(
@@ -109,7 +109,7 @@ def xref_stream_files(spark: SparkSession, d: str) -> DataFrame:
     rows = [_text("00", number(k % 7, 4), "00"), _text("01", number(k + 300, 4), "01"), _text("02", number(k % 9, 4), number(k % 5, 2))]
     body = _text("%PDF-1.5\nxref\n9 1\n0000000009 00000 n \ntrailer << /Size 10 >>\n")
     told = _text("5 0 obj << /Type /XRef /W ", F.when(k % 9 == 8, "[1 2]").otherwise("[1 2 1]"), " /Index [0 2 ", k % 3 + 3, " 1] /Size 9 /Prev 9 /Filter /ASCIIHexDecode /Length 25 >> stream\n", *rows, ">\nendstream endobj\nstartxref\n", F.length(body), "\n%%EOF\n")
-    return spark.read.parquet(f"{d}/supplier.parquet").select(_text("x", k, ".pdf").alias("path"), F.encode(_text(body, told), "UTF-8").alias("content"))
+    return spread(spark.read.parquet(f"{d}/supplier.parquet")).select(_text("x", k, ".pdf").alias("path"), F.encode(_text(body, told), "UTF-8").alias("content"))
 
 
 def j12_xref_streams(spark: SparkSession, d: str) -> DataFrame:

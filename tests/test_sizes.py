@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ratiolake import tables
 from ratiolake.functions import chance
-from ratiolake.plans import registry
+from ratiolake.plans import pdf_queries, registry
 
 
 def plan(df):
@@ -31,7 +31,7 @@ def test_written_tells_sizes_of_all_types_and_of_no_rows(spark):
 
 def test_files_and_exercises_are_made_by_all_tasks(spark, sf):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for rows in (registry.QUERIES["p26_exercises"](spark, sf),):
+    for rows in (pdf_queries.pdf_files(spark, sf), pdf_queries.xref_stream_files(spark, sf), pdf_queries.unreadable(spark, sf), registry.QUERIES["p26_exercises"](spark, sf)):
         assert rows.rdd.getNumPartitions() == n > 1
 
 
