@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bytes of rows up to which a written table may be broadcast. Its files don't tell: rows that are much alike take a hundredth on disk.
+#: Bytes of rows up to which a written table may be broadcast. Its files don't tell: rows that are much alike take far less on disk.
 BROADCAST = 4 << 20
 
 
