@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +36,7 @@ GROUPS, PER = 8, 2
 MINIMA = 2 * GROUPS * PER
 #: Of MINIMA, so many are equal in rows of a loose family.
 LOOSE = 13
-#: Rows of a key outside its largest family, up to which all are tried with all rows of the key.
+#: Rows of a key outside its largest family, up to which all are tried with all rows of the key; so many travel together.
 STRAYS = 32
 #: Hashes that a split key has at most; all pairs of different families are tried there, however many.
 DEEPEST = 3
@@ -43,7 +44,7 @@ DEEPEST = 3
 SMALL, SMALL_BYTES = 32, 32 << 20
 #: Shingles hashed together.
 AT_ONCE = 1 << 16
-#: Rows of a larger family that meet what stands for the family in one task.
+#: Rows of a larger family that meet what stands for the family in one task, and of a key that meet its strays there.
 SHARE = 64
 _NO_ID = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -200,15 +201,10 @@ def loose_families(nodes: DataFrame) -> DataFrame:
             return families
         shares = placed.groupBy("key", "family").agg(F.count("*").alias("n"))
         main = shares.groupBy("key").agg(F.max(F.struct("n", "family")).alias("m"), F.sum("n").alias("size"))
-        main = main.select("key", F.col("m.family").alias("main"), (F.col("size") - F.col("m.n")).alias("strays"))
+        main = main.select("key", F.col("m.family").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("strays"))
         placed = written(placed.join(main, "key"), "placed")
         few = placed if hashes == DEEPEST else placed.filter(F.col("strays") <= STRAYS)
-        x = few.filter("family <> main").select("key", F.col("id").alias("x"), F.col("family").alias("x_family"))
-        y = few.select("key", F.col("id").alias("y"), F.col("family").alias("y_family"), "main")
-        # two strays meet twice
-        pairs = x.join(y, "key").filter("x_family <> y_family and (y_family = main or x < y)")
-        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("tables"))
-        more = written(agreeing(pairs.filter(F.col("tables") >= tables), sig), "ties")
+        more = written(strays_met(few, sig), "ties")
         found = not more.isEmpty()
         if found:
             ties.append(more)
@@ -238,6 +234,36 @@ def agreeing(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     return map_rows(both, lambda: agree, "a bigint, b bigint")
 
 
+def strays_met(placed: DataFrame, sig: DataFrame) -> DataFrame:
+    """Ties (a, b) between families: a pair for each two that have rows in a key of placed (key, id, family, main, size, strays) which share two tables and have LOOSE minima in common.
+
+    A key's rows outside its largest family `main` are packed into arrays, and each row of the key meets these: no pair of
+    rows is a row of its own, whatever a key has.
+    """
+    full = placed.join(sig, "id")
+    # both sides of a key with many rows are dealt over shares of it
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    pack = F.pmod(F.xxhash64("id"), F.ceil(F.col("strays") / STRAYS))
+    packs = full.filter("family <> main").groupBy("key", "size", pack.alias("pack")).agg(F.collect_list(F.struct("id", "family", "minima")).alias("strays"))
+    packs = packs.select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), "strays")
+    rows = full.select("key", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), "id", "family", "minima", "main")
+
+    def meet(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["strays"]).to_numpy())
+        x = batch["strays"].flatten()
+        x_id, x_family, x_minima = (x.field(c) for c in ("id", "family", "minima"))
+        y_family = batch["family"].to_numpy()[at]
+        # two strays meet twice
+        tried = np.flatnonzero((x_family.to_numpy() != y_family) & ((y_family == batch["main"].to_numpy()[at]) | (x_id.to_numpy() < batch["id"].to_numpy()[at])))
+        same = _signatures(x_minima)[tried] == _signatures(batch["minima"])[at[tried]]
+        shared = same.reshape(-1, 2 * GROUPS, PER).all(axis=2)
+        ok = tried[(same.sum(axis=1) >= LOOSE) & (shared[:, :GROUPS].sum(axis=1) * shared[:, GROUPS:].sum(axis=1) >= 2)]
+        one = ok[np.unique(np.stack((x_family.to_numpy()[ok], y_family[ok])), axis=1, return_index=True)[1]]
+        yield pa.record_batch([pa.array(x_id.to_numpy()[one]), pa.array(batch["id"].to_numpy()[at[one]])], names=["a", "b"])
+
+    return map_rows(rows.join(packs, ["key", "share"]).select("id", "family", "main", "minima", "strays"), lambda: meet, "a bigint, b bigint")
+
+
 def settled(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
     """The exact links (a, b) inside families (id, comp, bytes of the text) of docs (d, text); some that others imply are left out.
 

@@ -104,6 +104,33 @@ def test_families_among_unrelated_documents_of_a_small_vocabulary(spark):
         assert {got.get(j, j) for j in np.flatnonzero(linked).tolist()} == {got.get(i, i)}
 
 
+def test_strays_meet_a_large_family_without_a_row_for_each_pair(spark, monkeypatch):
+    """300 rows of a family and 30 strays in a key, and a key of strays alone; packs of strays and shares of rows leave no pair out."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 1 << 32, (400, near_dedup.MINIMA)).astype(np.uint32)
+    for i in range(330):  # the key's four minima and, of strays, up to 11 more as in another row
+        has = rng.random(near_dedup.MINIMA) < (0.8 if i < 300 else 0.3)
+        has[[0, 1, 16, 17]] = True
+        low[i, has] = low[399, has]
+    family = [0] * 300 + list(range(300, 330)) + [330] * 5 + list(range(335, 399))
+    low[340, :14] = low[335, :14]
+    low[341, 4:20] = low[335, 4:20]
+    placed = [(7, i, family[i], 0, 330, 30) for i in range(330)] + [(8, i, family[i], 330, 69, 64) for i in range(330, 399)]
+    placed = spark.createDataFrame(placed, "key bigint, id bigint, family bigint, main bigint, size bigint, strays bigint")
+    sig = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(low)], "id bigint, minima binary")
+    moved, before = [], near_dedup.map_rows
+    monkeypatch.setattr(near_dedup, "map_rows", lambda df, *more: moved.append(df.count()) or before(df, *more))
+    got = {frozenset((family[r.a], family[r.b])) for r in near_dedup.strays_met(placed, sig).collect()}
+    keys, want = near_dedup.table_keys(low), set()
+    for some in (range(330), range(330, 399)):
+        for i in some:
+            for j in some:
+                if family[i] != family[j] and (keys[i] == keys[j]).sum() >= 2 and (low[i] == low[j]).sum() >= near_dedup.LOOSE:
+                    want.add(frozenset((family[i], family[j])))
+    assert got == want and frozenset((335, 341)) in want and 5 < len(want) < 400
+    assert moved == [330 + 69 * 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (101, 102), (60, 50), (61, 50)]
     got = {r.id: r.comp for r in components(table(spark, edges, "a bigint, b bigint")).collect()}
