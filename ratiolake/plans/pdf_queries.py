@@ -161,7 +161,7 @@ def _codes(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "j01_form_fields": lambda f, o, n: _fields(o, n).drop("obj"),
-    "j02_metadata": lambda f, o, n: rep.metadata(o).select("path", "Title", "Author", "Producer").join(rep.metadata_filled(rep.metadata(o)), "path"),
+    "j02_metadata": lambda f, o, n: rep.metadata(o).select("path", "Title", "Author", "Producer").join(rep.metadata_filled(rep.metadata(o)).hint("merge"), "path"),
     "j03_outline": lambda f, o, n: rep.outline(o, n),
     "j04_links": lambda f, o, n: rep.links(_notes(o, n), n),
     "j05_fonts": lambda f, o, n: _joined(rep.fonts(o, n).select("path", "obj", "base_font", "subtype", "encoding", "file", "embedded", "status", "to_unicode", "name_family", "name_weight", "name_style", "pages"), "pages"),
@@ -248,7 +248,7 @@ def _fonts_of(chunks: DataFrame) -> DataFrame:
 
 def _totals(some: DataFrame, mapping: DataFrame) -> DataFrame:
     length = pw.whole(some).select(F.col("path").alias("out"), F.octet_length("content").alias("length"))
-    return pw.merge_totals(some, mapping).join(length, "out").select("out", "sources", "pages", (F.col("bytes") == F.col("length")).alias("all_bytes"))
+    return pw.merge_totals(some, mapping).join(length.hint("merge"), "out").select("out", "sources", "pages", (F.col("bytes") == F.col("length")).alias("all_bytes"))
 
 
 def _clean(f: DataFrame, o: DataFrame, n: DataFrame, rebuild: bool) -> DataFrame:
@@ -259,18 +259,18 @@ def _clean(f: DataFrame, o: DataFrame, n: DataFrame, rebuild: bool) -> DataFrame
     left = inv.groupBy("path").agg(F.count("*").alias("objects"), F.count_if(~F.col("reached")).alias("orphans"))
     found = rep.findings(o2, inv).groupBy("path").agg(F.count("*").alias("findings"))
     notes = rep.page_annotations(o2, n2).groupBy("path").agg(F.count("*").alias("annotations"))
-    x = report.join(left, "path").join(found, "path", "left").join(notes, "path", "left")
+    x = report.join(left.hint("merge"), "path").join(found.hint("merge"), "path", "left").join(notes.hint("merge"), "path", "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("findings", "annotations")})
 
 
 def _flat(f: DataFrame, o: DataFrame, n: DataFrame) -> DataFrame:
     """Operators that stand before and after a page's own, how many fields there were and are, and the annotations left."""
     f2, o2, n2 = _again(pw.flattened(f, o, n))
-    ops = _ops(f2, o2, n2).join(rep.page_resources(o2, n2, "XObject").groupBy("path", "page").agg(F.count("*").alias("drawings")), ["path", "page"], "left")
+    ops = _ops(f2, o2, n2).join(rep.page_resources(o2, n2, "XObject").groupBy("path", "page").agg(F.count("*").alias("drawings")).hint("merge"), ["path", "page"], "left")
     of_page = ops.groupBy("path", "page", "drawings").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "op", "args"))), lambda x: F.trim(F.concat_ws(" ", x["args"], x["op"]))), " ").alias("content"))
     fields = lambda a, b, name: _fields(a, b).groupBy("path").agg(F.count("*").alias(name))
     notes = rep.page_annotations(o2, n2).groupBy("path", "page").agg(F.count("*").alias("annotations"))
-    x = of_page.join(notes, ["path", "page"], "left").join(fields(o, n, "before"), "path", "left").join(fields(o2, n2, "after"), "path", "left")
+    x = of_page.join(notes.hint("merge"), ["path", "page"], "left").join(fields(o, n, "before").hint("merge"), "path", "left").join(fields(o2, n2, "after").hint("merge"), "path", "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("annotations", "before", "after", "drawings")})
 
 

@@ -2,7 +2,8 @@
 
 All take objects of any number of files and give rows with their path. Trees are walked level by level over
 all files at once, until a level is empty; each level is written once. Objects met before are not entered
-again, so cyclic files end; where a page tree repeats an object, its file has a row that says so.
+again, so cyclic files end; where a page tree repeats an object, its file has a row that says so. What joins and
+aggregates make of objects is joined by sorting: as a broadcast it would go through the driver, and grow with the files.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def followed(rows: DataFrame, by: list[str], keys: dict[str, str], objs: DataFra
     told = _resolved(asked, "_to", objs, "_d").withColumn("_d", F.get_json_object(F.concat(F.lit("["), "_d", F.lit("]")), "$[0]")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_d"))).alias("_told"))
     told = told.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_told")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
-    x = x.join(told, same, "left").drop(*[f"_by_{c}" for c in by])
+    x = x.join(told.hint("merge"), same, "left").drop(*[f"_by_{c}" for c in by])
     value = lambda c: F.when(number(F.col("_all")[c]).isNotNull(), F.try_element_at("_told", F.lit(c))).otherwise(F.col("_all")[c])
     return x.withColumns({c: value(c) for c in keys}).drop("_all", "_told")
 
@@ -276,7 +277,7 @@ def scan_pages(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     x = _resolved(page_resources(objs, nodes, "XObject"), "obj", objs, "dict").filter(_name("Subtype") == "Image")
     fax = (_get("BitsPerComponent") == "1") | F.rlike(F.coalesce(_get("Filter"), F.lit("")), F.lit("CCITTFaxDecode|JBIG2Decode"))
     x = x.groupBy("path", "page").agg(F.count("*").alias("image_count"), F.bool_or(F.coalesce(fax, F.lit(False))).alias("fax_like"))
-    p = nodes.filter("page is not null").select("path", "page").join(f, ["path", "page"], "left").join(x, ["path", "page"], "left")
+    p = nodes.filter("page is not null").select("path", "page").join(f, ["path", "page"], "left").join(x.hint("merge"), ["path", "page"], "left")
     return p.select("path", "page", F.coalesce("font_count", F.lit(0)).alias("font_count"), F.coalesce("image_count", F.lit(0)).alias("image_count"), F.coalesce("fax_like", F.lit(False)).alias("fax_like"))
 
 
@@ -313,7 +314,7 @@ def form_fields(objs: DataFrame, of_pages: DataFrame) -> DataFrame:
     q = F.when(F.col("q").cast("int") == 1, "center").when(F.col("q").cast("int") == 2, "right").otherwise("left")
     w = of_pages.filter(_name("Subtype") == "Widget").select(F.col("path").alias("_p"), "page", F.explode(F.array_compact(F.array("annot", _ref("Parent")))).alias("_o"), _get("Rect").alias("_rect"))
     w = w.groupBy("_p", "_o").agg(F.min(F.struct("page", "_rect")).alias("w"))
-    out = done.join(w, (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("_o")), "left")
+    out = done.join(w.hint("merge"), (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("_o")), "left")
     return out.select(
         "path", "obj", "name", F.col("partial").alias("partial_name"), kind.alias("type"), F.col("v").alias("value"), F.col("dv").alias("default_value"), F.col("tu").alias("tooltip"), bit(1).alias("read_only"), bit(2).alias("required"), q.alias("justification"),
         F.coalesce(F.col("most").cast("int"), F.lit(-1)).alias("max_length"), F.col("w.page").alias("page"), F.coalesce("rect", "w._rect").alias("rect"),
@@ -418,7 +419,7 @@ def tree_filter(tree: DataFrame, needle: str) -> DataFrame:
     parts = F.split("place", r"\.")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     keep = tree.filter(F.contains(F.lower("title"), F.lit(wanted))).select("path", F.explode(up).alias("place")).distinct()
-    return tree.join(keep, ["path", "place"], "left_semi")
+    return tree.join(keep.hint("merge"), ["path", "place"], "left_semi")
 
 
 # -- objects --------------------------------------------------------------------------------------------
@@ -440,7 +441,7 @@ def inventory(objs: DataFrame) -> DataFrame:
 def with_xref(inv: DataFrame, entries: DataFrame) -> DataFrame:
     """inventory with each object's cross-reference entry (xref_kind, xref_offset); null where there is none."""
     e = entries.filter("obj_number is not null").select("path", F.col("obj_number").alias("obj"), F.col("kind").alias("xref_kind"), F.col("offset").alias("xref_offset"))
-    return inv.join(e, ["path", "obj"], "left")
+    return inv.join(e.hint("merge"), ["path", "obj"], "left")
 
 
 def object_totals(inv: DataFrame, hide_other: bool = False) -> DataFrame:
@@ -528,7 +529,7 @@ def streams_of(files: DataFrame, wanted: DataFrame, objs: DataFrame) -> DataFram
 def page_content(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, page, i, obj, data, error): the content streams of pages, in order, as streams_of gives them; one that several pages have is decoded once."""
     listed = written(_content_streams(objs, nodes), "content")
-    return listed.select("path", "page", "i", "obj").join(streams_of(files, listed, objs), ["path", "obj"])
+    return listed.select("path", "page", "i", "obj").join(streams_of(files, listed, objs).hint("merge"), ["path", "obj"])
 
 
 def content_notes(content: DataFrame) -> DataFrame:

@@ -96,9 +96,9 @@ def with_texts(codes: DataFrame, maps: DataFrame) -> DataFrame:
     """codes (path, cmap, code and more) with `text`, null where no range of their map has them; joined by blocks of codes."""
     ranges = maps.select("path", "cmap", "first", "last", "text", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))).alias("block"))
     asked = codes.select("path", "cmap", "code").distinct().withColumn("block", F.floor(F.col("code") / BLOCK))
-    found = asked.join(ranges, ["path", "cmap", "block"]).filter(F.col("code").between(F.col("first"), F.col("last")))
+    found = asked.join(ranges.hint("merge"), ["path", "cmap", "block"]).filter(F.col("code").between(F.col("first"), F.col("last")))
     found = found.withColumn("text", _text_of(F.col("code"))).groupBy("path", "cmap", "code").agg(F.max_by("text", F.struct("first", "last", "text")).alias("text"))
-    return codes.join(found, ["path", "cmap", "code"], "left")
+    return codes.join(found.hint("merge"), ["path", "cmap", "code"], "left")
 
 
 SHOWN = "path string, page int, at int, run int, font string, size double, x double, y double, codes binary"
@@ -168,7 +168,7 @@ def shown_codes(strings: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFr
     """
     used = rep._resolved(rep.page_resources(objs, nodes, "Font"), "obj", objs, "dict")
     used = used.select("path", "page", F.col("name").alias("font"), F.col("obj").alias("font_obj"), rep._ref("ToUnicode").alias("cmap"), F.when(rep._name("Subtype") == "Type0", 2).otherwise(1).alias("width"))
-    x = strings.join(used, ["path", "page", "font"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
+    x = strings.join(used.hint("merge"), ["path", "page", "font"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
     count = F.floor(F.octet_length("codes") / F.col("width")).cast("int")
     x = x.withColumn("i", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     code = F.conv(F.hex(F.expr("substring(codes, i * width + 1, width)")), 16, 10).cast("long")

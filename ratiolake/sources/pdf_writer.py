@@ -58,7 +58,7 @@ def parts(files: DataFrame, edits: DataFrame | None = None, more: DataFrame | No
     if edits is None:
         rows = rows.withColumns({"drop": F.lit(None).cast("array<string>"), "add": F.lit(None).cast("map<string,string>")})
     else:
-        rows = rows.join(edits, ["path", "obj"], "left")
+        rows = rows.join(edits.hint("merge"), ["path", "obj"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,7 @@ def numbered(members: DataFrame, reserved: DataFrame) -> DataFrame:
     x = ranged(members, ["out", "idx", "obj"], "members")
     before = before_each_range(x, "out")
     here = F.row_number().over(Window.partitionBy("out", "_range").orderBy("idx", "obj"))
-    x = x.withColumn("_here", here).join(before, (F.col("out") == F.col("_g")) & (F.col("_range") == F.col("_r"))).join(reserved, "out")
+    x = x.withColumn("_here", here).join(before, (F.col("out") == F.col("_g")) & (F.col("_range") == F.col("_r"))).join(reserved.hint("merge"), "out")
     return written(x.select("out", "idx", "path", "obj", (F.col("reserved") + F.col("_before") + F.col("_here")).alias("number")), "numbers")
 
 
@@ -101,8 +101,8 @@ def serialised(numbers: DataFrame, of: DataFrame, tails: DataFrame | None = None
     x = numbers.join(of, ["path", "obj"])
     to = numbers.select("out", "idx", F.col("obj").alias("_ref"), F.col("number").alias("_to"))
     asked = x.select("out", "idx", "obj", F.explode("refs").alias("_ref")).join(to, ["out", "idx", "_ref"])
-    x = x.join(asked.groupBy("out", "idx", "obj").agg(F.collect_list(F.struct("_ref", "_to")).alias("new")), ["out", "idx", "obj"], "left")
-    x = x.withColumn("tail", F.lit(None).cast("string")) if tails is None else x.join(tails, ["out", "idx", "obj"], "left")
+    x = x.join(asked.groupBy("out", "idx", "obj").agg(F.collect_list(F.struct("_ref", "_to")).alias("new")).hint("merge"), ["out", "idx", "obj"], "left")
+    x = x.withColumn("tail", F.lit(None).cast("string")) if tails is None else x.join(tails.hint("merge"), ["out", "idx", "obj"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,7 @@ def chunks(objects: DataFrame, ends: DataFrame) -> DataFrame:
     placed = x.select("out", "number", "size", "_range", F.sum("size").over(w).alias("_upto")).join(before, (F.col("out") == F.col("_g")) & (F.col("_range") == F.col("_r")))
     entry = F.concat(F.lpad((F.lit(len(HEADER)) + F.col("_before") + F.col("_upto") - F.col("size")).cast("string"), 10, "0"), F.lit(" 00000 n \n"))
     lines = placed.select("out", "_range", F.struct("number", entry.alias("entry")).alias("e")).groupBy("out", "_range").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "").alias("text"))
-    totals = x.groupBy("out").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(ends, "out")
+    totals = x.groupBy("out").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(ends.hint("merge"), "out")
     text = lambda *some: F.concat(*[F.lit(s) if isinstance(s, str) else s.cast("string") for s in some])
     as_bytes = lambda c: F.encode(c, "ISO-8859-1")
     head = text("xref\n0 ", F.col("n") + 1, "\n0000000000 65535 f \n")
@@ -188,9 +188,9 @@ def of_pages(files: DataFrame, objs: DataFrame, nodes: DataFrame, wanted: DataFr
         serialised(numbers, of, tails),
         own(per_out, F.lit(CATALOG), "<< /Type /Catalog /Pages ", F.lit(ROOT), " 0 R >>"),
         own(per_out, F.lit(ROOT), "<< /Type /Pages /Kids [", kids(F.sequence(F.lit(NODES), F.col("last") + NODES)), "] /Count ", F.col("n"), " >>"),
-        own(per_out.join(info, "out", "left"), F.lit(INFO), F.coalesce("info", F.lit("<< >>"))),
+        own(per_out.join(info.hint("merge"), "out", "left"), F.lit(INFO), F.coalesce("info", F.lit("<< >>"))),
         # sources without pages have a node as well, so that numbers have no gaps
-        own(per_out.select("out", F.explode(F.sequence(F.lit(0), "last")).alias("idx")).join(at, ["out", "idx"], "left").join(sources, ["out", "idx"], "left"), F.col("idx") + NODES, "<< /Type /Pages /Parent ", F.lit(ROOT), " 0 R /Kids [", F.coalesce(kids(F.col("kids")["number"]), F.lit("")), "] /Count ", F.coalesce("n", F.lit(0)), " >>"),
+        own(per_out.select("out", F.explode(F.sequence(F.lit(0), "last")).alias("idx")).join(at.hint("merge"), ["out", "idx"], "left").join(sources.hint("merge"), ["out", "idx"], "left"), F.col("idx") + NODES, "<< /Type /Pages /Parent ", F.lit(ROOT), " 0 R /Kids [", F.coalesce(kids(F.col("kids")["number"]), F.lit("")), "] /Count ", F.coalesce("n", F.lit(0)), " >>"),
     ]
     return chunks(reduce(DataFrame.unionByName, some), per_out.select("out", F.lit(CATALOG).alias("root"), F.lit(INFO).alias("info")))
 
@@ -227,7 +227,7 @@ def merged(files: DataFrame, objs: DataFrame, nodes: DataFrame, sources: DataFra
     wanted = with_pages.join(nodes.filter("page is not null").select("path", "page"), "path").select("out", "idx", "path", "page", (F.col("first") + F.col("page") - 1).alias("to"))
     outs = with_pages.groupBy("out").agg(F.min_by("path", "idx").alias("path"))
     if policy == "keep-first":
-        told = outs.join(rep.metadata(objs), "path").select("out", "Title", "Author", "Subject", F.nullif(keyword_list(F.col("Keywords")), F.lit("")).alias("Keywords"))
+        told = outs.join(rep.metadata(objs).hint("merge"), "path").select("out", "Title", "Author", "Subject", F.nullif(keyword_list(F.col("Keywords")), F.lit("")).alias("Keywords"))
     elif policy == "blank":
         told = outs.select("out", *[F.lit("").alias(k) for k in TOLD])
     elif policy == "custom":
@@ -267,7 +267,7 @@ def split(files: DataFrame, objs: DataFrame, nodes: DataFrame, plan: DataFrame)
 
 def split_report(some: DataFrame, plan: DataFrame) -> DataFrame:
     """split_plan with the pages and bytes of each output."""
-    return plan.join(sizes(some), "out").withColumn("pages", F.col("last") - F.col("first") + 1)
+    return plan.join(sizes(some).hint("merge"), "out").withColumn("pages", F.col("last") - F.col("first") + 1)
 
 
 # -- files that stay, but for what is taken out -------------------------------------------------------------
@@ -278,8 +278,8 @@ def kept_catalog(files: DataFrame, objs: DataFrame, edits: DataFrame, info: Data
     of = parts(files, edits, more)
     roots = rep.catalog(objs).filter("root is not null").select(F.col("path").alias("out"), F.lit(0).alias("idx"), "path", F.col("root").alias("obj"))
     numbers = numbered(reached(roots, of), roots.select("out", F.lit(1).alias("reserved")))
-    ends = numbers.join(roots, ["out", "idx", "path", "obj"]).select("out", F.col("number").alias("root"), F.lit(1).alias("info"))
-    own = ends.select("out").join(info, "out", "left").select("out", F.lit(1).cast("long").alias("number"), F.encode(F.concat(F.lit("1 0 obj\n"), F.coalesce("info", F.lit("<< >>")), F.lit("\nendobj\n")), "UTF-8").alias("data"))
+    ends = numbers.join(roots.hint("merge"), ["out", "idx", "path", "obj"]).select("out", F.col("number").alias("root"), F.lit(1).alias("info"))
+    own = ends.select("out").join(info.hint("merge"), "out", "left").select("out", F.lit(1).cast("long").alias("number"), F.encode(F.concat(F.lit("1 0 obj\n"), F.coalesce("info", F.lit("<< >>")), F.lit("\nendobj\n")), "UTF-8").alias("data"))
     return chunks(serialised(numbers, of).unionByName(own), ends), numbers
 
 
@@ -311,7 +311,7 @@ def sanitized(files: DataFrame, objs: DataFrame, nodes: DataFrame, rebuild: bool
         some, _ = kept_catalog(files, objs, edits.withColumn("add", F.lit(None).cast("map<string,string>")), info)
     listed = _annotation_lists(objs, good)
     went = {k: F.lit(k in lost and not rebuild) & rep._get(k).isNotNull() for k in ("OpenAction", "AA", "Names", "AcroForm")}
-    report = good.groupBy("path").agg(F.count("*").alias("pages")).join(listed, "path", "left").join(has, "path")
+    report = good.groupBy("path").agg(F.count("*").alias("pages")).join(listed.hint("merge"), "path", "left").join(has.hint("merge"), "path")
     return some, report.select(
         "path", "pages", F.coalesce("annotations", F.lit(0)).alias("annotations_removed") if annotations else F.lit(0).cast("long").alias("annotations_removed"),
         went["OpenAction"].alias("open_action_removed"), went["AA"].alias("catalog_aa_removed"), went["Names"].alias("names_removed"), went["AcroForm"].alias("form_removed"), F.lit(metadata).alias("metadata_cleared"), F.lit(rebuild).alias("rebuilt"),
@@ -363,7 +363,7 @@ def flattened(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
     listed = rep.page_annotations(objs, nodes).withColumn("_widget", F.coalesce(rep._name("Subtype") == "Widget", F.lit(False)))
     rest = listed.filter("not _widget").groupBy("path", "page").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.concat(F.lit('{"ref": '), F.col("annot").cast("string"), F.lit("}")), F.col("dict")).alias("e")))).alias("rest"))
     touched = listed.filter("_widget").select("path", "page").distinct()
-    p = nodes.filter("page is not null").join(touched, ["path", "page"]).join(rest, ["path", "page"], "left").join(of_page, ["path", "page"], "left").join(last, "path")
+    p = nodes.filter("page is not null").join(touched.hint("merge"), ["path", "page"]).join(rest.hint("merge"), ["path", "page"], "left").join(of_page.hint("merge"), ["path", "page"], "left").join(last.hint("merge"), "path")
     p = rep.resolved_value(p, "resources", objs)
     p = p.withColumn("_xo", rep._get("XObject", "resources"))
     p = rep.resolved_value(p, "_xo", objs)

@@ -73,10 +73,13 @@ def ranged(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def before_each_range(rows: DataFrame, group: str, amount: str | None = None) -> DataFrame:
-    """(_g, _r, _before, total) for each range of each group of ranged rows: what lies before it, and all of it; rows are counted, or an amount added up."""
+    """(_g, _r, _before, total) for each range of each group of ranged rows: what lies before it, and all of it; rows are counted, or an amount added up.
+
+    There may be as many groups as rows, so neither side of a join with it is broadcast.
+    """
     sums = written(rows.groupBy(group, "_range").agg((F.sum(amount) if amount else F.count("*")).alias("_t")), "sums")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("total"))
+    return sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("total")).hint("merge")
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
@@ -87,7 +90,7 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], column: str, name:
     counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     x = x.withColumn("_here", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_range") == F.col("_r"))
-    return x.join(counts, same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_here")).alias(column))
+    return x.join(counts.hint("merge"), same).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_here")).alias(column))
 
 
 def short_list(rows: DataFrame, column: str, most: int = 10_000) -> list:

@@ -1,5 +1,6 @@
 """What plans do with tables that are larger than their files tell, and with work that is larger than its rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratiolake import tables
@@ -45,3 +46,14 @@ def test_related_items_are_ranked_in_their_row(spark, sf):
     for name in ("g03_related", "g03_priorities"):
         found = plan(registry.QUERIES[name](spark, sf))
         assert "windowspecdefinition(p_partkey" not in found and "Window" in found
+
+
+@pytest.mark.parametrize("name", ["a07_font_counts", "j18_fonts", "j20_flatten", "j21_sanitize", "k06_codes_without_text"])
+def test_joins_of_pdf_rows_are_never_broadcast(spark, sf, monkeypatch, name):
+    """With all written tables taken for large ones, every join of every step asks for sorting."""
+    monkeypatch.setattr(tables, "BROADCAST", -1)
+    plans, before = [], tables._stored
+    monkeypatch.setattr(tables, "_stored", lambda df, *more: plans.append(plan(df)) or before(df, *more))
+    plans.append(plan(registry.QUERIES[name](spark, sf)))
+    joins = {line.strip(" :+-") for text in plans for line in text.splitlines() if line.strip(" :+-").startswith("Join")}
+    assert joins and not [j for j in joins if "strategy=merge" not in j]
