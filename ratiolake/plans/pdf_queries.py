@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,10 +121,18 @@ def a05_compressed(spark: SparkSession, d: str) -> DataFrame:
     return pdf.xref_totals(j12_xref_streams(spark, d).filter("error is null"))
 
 
-def _read(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = written(pdf_files(spark, d), "pdf")
-    objs = written(po.objects(files), "objects")
-    return files, objs.filter("error is null"), rep.page_nodes(objs.filter("error is null"))
+def _steps(files: DataFrame, n: int) -> tuple[DataFrame, ...]:
+    """The first n of files, their objects, and their pages; what is not asked for is not made."""
+    found = [files]
+    if n > 1:
+        found.append(written(po.objects(files), "objects").filter("error is null"))
+    if n > 2:
+        found.append(rep.page_nodes(found[1]))
+    return tuple(found)
+
+
+def _read(spark: SparkSession, d: str, n: int = 3) -> tuple[DataFrame, ...]:
+    return _steps(written(pdf_files(spark, d), "pdf"), n)
 
 
 def unreadable(spark: SparkSession, d: str) -> DataFrame:
@@ -135,9 +144,11 @@ def _joined(df: DataFrame, *arrays: str) -> DataFrame:
     return df.withColumns({a: F.array_join(F.col(a).cast("array<string>"), ",") for a in arrays})
 
 
-def _query(make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _query(make: Callable[..., DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of as many of the steps as make has parameters."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return make(*_read(spark, d))
+        return make(*_read(spark, d, len(signature(make).parameters)))
 
     query.__name__ = name
     return query
@@ -159,9 +170,9 @@ def _codes(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pt.shown_codes(pt.shown_strings(_ops(files, objs, nodes)), objs, nodes)
 
 
-_MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
+_MAKE: dict[str, Callable[..., DataFrame]] = {
     "j01_form_fields": lambda f, o, n: _fields(o, n).drop("obj"),
-    "j02_metadata": lambda f, o, n: rep.metadata(o).select("path", "Title", "Author", "Producer").join(rep.metadata_filled(rep.metadata(o)).hint("merge"), "path"),
+    "j02_metadata": lambda f, o: rep.metadata(o).select("path", "Title", "Author", "Producer").join(rep.metadata_filled(rep.metadata(o)).hint("merge"), "path"),
     "j03_outline": lambda f, o, n: rep.outline(o, n),
     "j04_links": lambda f, o, n: rep.links(_notes(o, n), n),
     "j05_fonts": lambda f, o, n: _joined(rep.fonts(o, n).select("path", "obj", "base_font", "subtype", "encoding", "file", "embedded", "status", "to_unicode", "name_family", "name_weight", "name_style", "pages"), "pages"),
@@ -170,25 +181,25 @@ _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
     "j07_unique_images": lambda f, o, n: _joined(rep.unique_images(rep.images(o, n)), "pages"),
     "j08_annotations": lambda f, o, n: _joined(_notes(o, n).drop("uri", "to", "target"), "quad_points", "color", "rect"),
     "j09_signatures": lambda f, o, n: _joined(rep.signatures(o, _fields(o, n)).drop("obj", "reason"), "byte_range"),
-    "j10_attachments": lambda f, o, n: rep.attachments(o).drop("description", "created"),
-    "j10_objects_and_xref": lambda f, o, n: rep.with_xref(rep.inventory(o), pdf.xref_entries(f)).select("path", "obj", "kind", "n_keys", "xref_kind", "xref_offset").filter("obj in (1, 2, 90, 100)"),
-    "j11_objects": lambda f, o, n: rep.inventory(o).drop("n_keys", "declared", "filters"),
-    "j11_findings": lambda f, o, n: rep.findings(o, rep.inventory(o)),
-    "j12_xref": lambda f, o, n: pdf.xref_entries(f).select("path", "obj_number", "gen", "kind", "offset", "next_free", "error"),
+    "j10_attachments": lambda f, o: rep.attachments(o).drop("description", "created"),
+    "j10_objects_and_xref": lambda f, o: rep.with_xref(rep.inventory(o), pdf.xref_entries(f)).select("path", "obj", "kind", "n_keys", "xref_kind", "xref_offset").filter("obj in (1, 2, 90, 100)"),
+    "j11_objects": lambda f, o: rep.inventory(o).drop("n_keys", "declared", "filters"),
+    "j11_findings": lambda f, o: rep.findings(o, rep.inventory(o)),
+    "j12_xref": lambda f: pdf.xref_entries(f).select("path", "obj_number", "gen", "kind", "offset", "next_free", "error"),
     "j13_page_ops": lambda f, o, n: _ops(f, o, n),
-    "k06_font_maps": lambda f, o, n: pt.code_texts(pt.font_maps(f, o)),
+    "k06_font_maps": lambda f, o: pt.code_texts(pt.font_maps(f, o)),
     "k06_codes_without_text": lambda f, o, n: pt.codes_without_text(_codes(f, o, n), pt.font_maps(f, o)),
     "k06_text": lambda f, o, n: pt.text_runs(_codes(f, o, n), pt.font_maps(f, o)),
     "j13_notes": lambda f, o, n: rep.content_notes(rep.page_content(f, o, n)),
     "j14_scan": lambda f, o, n: pdf.scan_score(rep.scan_pages(o, n)),
-    "j15_encryption": lambda f, o, n: pdf.encryption(f).select("path", "encrypted", "filter", "v", "r", "key_bits", "p", "print", "modify", "print_high_quality"),
-    "j16_linearization": lambda f, o, n: pdf.linearization(f).select("path", "linearized", "L", "H_offset", "N", "header", "eof_count"),
+    "j15_encryption": lambda f: pdf.encryption(f).select("path", "encrypted", "filter", "v", "r", "key_bits", "p", "print", "modify", "print_high_quality"),
+    "j16_linearization": lambda f: pdf.linearization(f).select("path", "linearized", "L", "H_offset", "N", "header", "eof_count"),
     "a04_page_sizes": lambda f, o, n: rep.page_sizes(rep.pages(n)),
-    "a05_xref_totals": lambda f, o, n: pdf.xref_totals(pdf.xref_entries(f)),
+    "a05_xref_totals": lambda f: pdf.xref_totals(pdf.xref_entries(f)),
     "a06_link_counts": lambda f, o, n: rep.link_counts(rep.links(_notes(o, n), n)),
     "a07_font_counts": lambda f, o, n: rep.font_counts(rep.fonts(o, n)),
-    "a09_object_totals": lambda f, o, n: rep.object_totals(rep.inventory(o), hide_other=True).select("path", "streams", "arrays", "stream_bytes", "largest", "scripts", "files", "orphans"),
-    "a10_attachment_totals": lambda f, o, n: rep.attachment_totals(rep.attachments(o)),
+    "a09_object_totals": lambda f, o: rep.object_totals(rep.inventory(o), hide_other=True).select("path", "streams", "arrays", "stream_bytes", "largest", "scripts", "files", "orphans"),
+    "a10_attachment_totals": lambda f, o: rep.attachment_totals(rep.attachments(o)),
     "a11_signature_counts": lambda f, o, n: rep.signature_counts(rep.signatures(o, _fields(o, n))),
     "a12_annotation_counts": lambda f, o, n: rep.annotation_counts(_notes(o, n)),
     "a13_op_totals": lambda f, o, n: rep.op_totals(rep.page_op_counts(_ops(f, o, n))),
@@ -202,28 +213,33 @@ _MAKE: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
 _RANGES = ["2-3, 1", "4-2,x,9", None]
 
 
-def _merge(files: DataFrame, objs: DataFrame, nodes: DataFrame, policy: str = "keep-first", custom: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _sources(files: DataFrame) -> DataFrame:
     """The files by tens of supplier numbers."""
     k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
-    sources = files.select(F.concat(F.lit("m"), F.floor(k / 10).cast("string"), F.lit(".pdf")).alias("out"), (k % 10).cast("int").alias("idx"), "path")
-    return pw.merged(files, objs, nodes, sources, policy, custom)
+    return files.select(F.concat(F.lit("m"), F.floor(k / 10).cast("string"), F.lit(".pdf")).alias("out"), (k % 10).cast("int").alias("idx"), "path")
 
 
-def _split(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _merge(files: DataFrame, objs: DataFrame, nodes: DataFrame, policy: str = "keep-first", custom: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    return pw.merged(files, objs, nodes, _sources(files), policy, custom)
+
+
+def _plan(nodes: DataFrame) -> DataFrame:
     """Odd numbers by _RANGES, even ones page by page."""
     k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
     n = nodes.filter("page is not null").groupBy("path").agg(F.max("page").alias("n"))
     text = F.when(k % 3 == 0, _RANGES[0]).when(k % 3 == 1, _RANGES[1])
     each = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(i.alias("first"), i.alias("last")))
-    plan = pw.split_plan(nodes, n.select("path", F.when(text.isNotNull(), page_ranges(text, F.col("n"))).otherwise(each).alias("ranges")))
+    return pw.split_plan(nodes, n.select("path", F.when(text.isNotNull(), page_ranges(text, F.col("n"))).otherwise(each).alias("ranges")))
+
+
+def _split(files: DataFrame, objs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    plan = _plan(nodes)
     return pw.split(files, objs, nodes, plan), plan
 
 
-def _again(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What was written, read as any file is."""
-    files = written(pw.whole(chunks), "again")
-    objs = written(po.objects(files), "objects").filter("error is null")
-    return files, objs, rep.page_nodes(objs)
+def _again(chunks: DataFrame, n: int = 3) -> tuple[DataFrame, ...]:
+    """What was written, read as any file is: the first n steps."""
+    return _steps(written(pw.whole(chunks), "again"), n)
 
 
 def _shown(nodes: DataFrame) -> DataFrame:

@@ -57,3 +57,22 @@ def test_joins_of_pdf_rows_are_never_broadcast(spark, sf, monkeypatch, name):
     plans.append(plan(registry.QUERIES[name](spark, sf)))
     joins = {line.strip(" :+-") for text in plans for line in text.splitlines() if line.strip(" :+-").startswith("Join")}
     assert joins and not [j for j in joins if "strategy=merge" not in j]
+
+
+#: Queries beside those above whose plans are looked at, and steps that nothing of a query reads; of files that are written and read again, steps after that.
+MORE = ["a05_xref_totals"]
+UNREAD = {
+    "a05_xref_totals": {"objects", "tree"},
+}
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_queries_make_what_they_need_and_broadcast_nothing(spark, sf, monkeypatch, name):
+    """As above; and steps that nothing reads are not made."""
+    monkeypatch.setattr(tables, "BROADCAST", -1)
+    plans, made, before = [], [], tables._stored
+    monkeypatch.setattr(tables, "_stored", lambda df, as_name: (plans.append(physical(df)), made.append(as_name)) and before(df, as_name))
+    plans.append(physical(registry.QUERIES[name](spark, sf)))
+    assert not [p for p in plans if "Broadcast" in p]
+    later = made[made.index("again") :] if "again" in made else made
+    assert later and not UNREAD.get(name, set()) & set(later)
