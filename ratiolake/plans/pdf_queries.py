@@ -293,7 +293,7 @@ def _flat(f: DataFrame, o: DataFrame, n: DataFrame) -> DataFrame:
 _CUSTOM = {"Title": " All ", "Author": "", "Keywords": "one, two words,,three"}
 _MAKE |= {
     "j18_merge": lambda f, o, n: _shown(_again(_merge(f, o, n)[0])[2]),
-    "j18_mapping": lambda f, o, n: _merge(f, o, n)[1],
+    "j18_mapping": lambda f, o, n: pw.merge_mapping(_sources(f), n),
     "j18_metadata": lambda f, o, n: _info(_merge(f, o, n)[0]),
     "j18_custom_metadata": lambda f, o, n: _info(_merge(f, o, n, "custom", _CUSTOM)[0]),
     "j18_xref": lambda f, o, n: _right_places(_again(_merge(f, o, n)[0])[0]),

@@ -60,10 +60,11 @@ def test_joins_of_pdf_rows_are_never_broadcast(spark, sf, monkeypatch, name):
 
 
 #: Queries beside those above whose plans are looked at, and steps that nothing of a query reads; of files that are written and read again, steps after that.
-MORE = ["a05_xref_totals", "a10_attachment_totals"]
+MORE = ["a05_xref_totals", "a10_attachment_totals", "j18_mapping"]
 UNREAD = {
     "a05_xref_totals": {"objects", "tree"},
     "a10_attachment_totals": {"tree"},
+    "j18_mapping": {"chunks"},
 }
 
 
