@@ -254,7 +254,7 @@ def _right_places(files: DataFrame) -> DataFrame:
 
 
 def _info(chunks: DataFrame) -> DataFrame:
-    return rep.metadata(_again(chunks)[1]).select("path", "Title", "Author", "Subject", "Keywords", "Producer")
+    return rep.metadata(_again(chunks, 2)[1]).select("path", "Title", "Author", "Subject", "Keywords", "Producer")
 
 
 def _fonts_of(chunks: DataFrame) -> DataFrame:
