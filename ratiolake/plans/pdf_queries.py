@@ -296,7 +296,7 @@ _MAKE |= {
     "j18_mapping": lambda f, o, n: pw.merge_mapping(_sources(f), n),
     "j18_metadata": lambda f, o, n: _info(_merge(f, o, n)[0]),
     "j18_custom_metadata": lambda f, o, n: _info(_merge(f, o, n, "custom", _CUSTOM)[0]),
-    "j18_xref": lambda f, o, n: _right_places(_again(_merge(f, o, n)[0])[0]),
+    "j18_xref": lambda f, o, n: _right_places(*_again(_merge(f, o, n)[0], 1)),
     "j18_fonts": lambda f, o, n: _fonts_of(_merge(f, o, n)[0]),
     "a18_merge_totals": lambda f, o, n: _totals(*_merge(f, o, n)),
     "j19_plan": lambda f, o, n: _split(f, o, n)[1],
