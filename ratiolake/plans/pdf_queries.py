@@ -299,7 +299,7 @@ _MAKE |= {
     "j18_xref": lambda f, o, n: _right_places(*_again(_merge(f, o, n)[0], 1)),
     "j18_fonts": lambda f, o, n: _fonts_of(_merge(f, o, n)[0]),
     "a18_merge_totals": lambda f, o, n: _totals(*_merge(f, o, n)),
-    "j19_plan": lambda f, o, n: _split(f, o, n)[1],
+    "j19_plan": lambda f, o, n: _plan(n),
     "j19_split": lambda f, o, n: _shown(_again(_split(f, o, n)[0])[2]),
     "j19_fonts": lambda f, o, n: _fonts_of(_split(f, o, n)[0]),
     "j19_xref": lambda f, o, n: _right_places(_again(_split(f, o, n)[0])[0]),
