@@ -302,7 +302,7 @@ _MAKE |= {
     "j19_plan": lambda f, o, n: _plan(n),
     "j19_split": lambda f, o, n: _shown(_again(_split(f, o, n)[0])[2]),
     "j19_fonts": lambda f, o, n: _fonts_of(_split(f, o, n)[0]),
-    "j19_xref": lambda f, o, n: _right_places(_again(_split(f, o, n)[0])[0]),
+    "j19_xref": lambda f, o, n: _right_places(*_again(_split(f, o, n)[0], 1)),
     "j20_flatten": lambda f, o, n: _flat(f, o, n),
     "j21_sanitize": lambda f, o, n: _clean(f, o, n, rebuild=False),
     "j21_rebuild": lambda f, o, n: _clean(f, o, n, rebuild=True),
