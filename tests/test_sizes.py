@@ -60,7 +60,7 @@ def test_joins_of_pdf_rows_are_never_broadcast(spark, sf, monkeypatch, name):
 
 
 #: Queries beside those above whose plans are looked at, and steps that nothing of a query reads; of files that are written and read again, steps after that.
-MORE = ["a04_page_sizes", "a05_xref_totals", "a06_link_counts", "a10_attachment_totals", "j18_mapping", "j18_merge", "j18_metadata", "j18_xref", "j19_fonts", "j19_plan", "j19_split", "j19_xref", "k06_text"]
+MORE = ["a04_page_sizes", "a05_xref_totals", "a06_link_counts", "a10_attachment_totals", "j18_mapping", "j18_merge", "j18_metadata", "j18_xref", "j19_fonts", "j19_plan", "j19_split", "j19_xref", "j21_rebuild", "k06_text"]
 UNREAD = {
     "a05_xref_totals": {"objects", "tree"},
     "a10_attachment_totals": {"tree"},
