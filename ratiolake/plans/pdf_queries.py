@@ -271,11 +271,11 @@ def _clean(f: DataFrame, o: DataFrame, n: DataFrame, rebuild: bool) -> DataFrame
     """What went, and what is left: objects, those that nothing reaches, annotations, fields and findings."""
     some, report = pw.sanitized(f, o, n, rebuild=rebuild)
     _, o2, n2 = _again(some)
-    inv = rep.inventory(o2)
+    inv = written(rep.inventory(o2), "inventory")
     left = inv.groupBy("path").agg(F.count("*").alias("objects"), F.count_if(~F.col("reached")).alias("orphans"))
     found = rep.findings(o2, inv).groupBy("path").agg(F.count("*").alias("findings"))
     notes = rep.page_annotations(o2, n2).groupBy("path").agg(F.count("*").alias("annotations"))
-    x = report.join(left.hint("merge"), "path").join(found.hint("merge"), "path", "left").join(notes.hint("merge"), "path", "left")
+    x = written(report, "report").join(written(left, "left").hint("merge"), "path").join(found.hint("merge"), "path", "left").join(notes.hint("merge"), "path", "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("findings", "annotations")})
 
 
@@ -284,7 +284,8 @@ def _flat(f: DataFrame, o: DataFrame, n: DataFrame) -> DataFrame:
     f2, o2, n2 = _again(pw.flattened(f, o, n))
     ops = _ops(f2, o2, n2).join(rep.page_resources(o2, n2, "XObject").groupBy("path", "page").agg(F.count("*").alias("drawings")).hint("merge"), ["path", "page"], "left")
     of_page = ops.groupBy("path", "page", "drawings").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "op", "args"))), lambda x: F.trim(F.concat_ws(" ", x["args"], x["op"]))), " ").alias("content"))
-    fields = lambda a, b, name: _fields(a, b).groupBy("path").agg(F.count("*").alias(name))
+    of_page = written(of_page, "shown")
+    fields = lambda a, b, name: written(_fields(a, b).groupBy("path").agg(F.count("*").alias(name)), "counts")
     notes = rep.page_annotations(o2, n2).groupBy("path", "page").agg(F.count("*").alias("annotations"))
     x = of_page.join(notes.hint("merge"), ["path", "page"], "left").join(fields(o, n, "before").hint("merge"), "path", "left").join(fields(o2, n2, "after").hint("merge"), "path", "left")
     return x.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("annotations", "before", "after", "drawings")})

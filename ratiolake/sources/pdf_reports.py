@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ratiolake.functions import text as tx
 from ratiolake.functions.numbers import round_half_up
 from ratiolake.sources.pdf_filters import decoded
-from ratiolake.tables import united, written
+from ratiolake.tables import united, written, written_any
 
 
 def _get(key: str, of: str = "dict") -> Column:
@@ -78,8 +78,8 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
     to = edges.select(F.col("path").alias("_p"), "a", "b")
     while True:
         step = frontier.join(to, (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("a"))).select("path", F.col("b").alias("obj")).distinct()
-        frontier = written(step.join(seen, ["path", "obj"], "left_anti").join(nodes.select("path", "obj"), ["path", "obj"], "left_semi"), "frontier")
-        if frontier.isEmpty():
+        frontier, some = written_any(step.join(seen, ["path", "obj"], "left_anti").join(nodes.select("path", "obj"), ["path", "obj"], "left_semi"), "frontier")
+        if not some:
             return seen
         seen = written(seen.unionByName(frontier), "seen")
 
@@ -91,22 +91,31 @@ def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame
 INHERITED = {"MediaBox": "box", "CropBox": "crop", "Rotate": "turn", "Resources": "resources"}
 
 
+def _tree_entries(objs: DataFrame) -> DataFrame:
+    """(path, node, leaf, _kids, _box, _crop, _turn, _resources, contents, annots) of all objects that can be read: what page trees are walked over, references followed once for all levels."""
+    x = objs.filter("obj is not null and dict is not null").select("path", F.col("obj").alias("node"), "dict")
+    keys = {"_kids": "Kids", "_box": "MediaBox", "_crop": "CropBox", "_turn": "Rotate"}
+    some = F.rlike("dict", F.lit(f'"({"|".join(keys.values())})"'))
+    x = followed(x.filter(some), ["path", "node"], keys, objs).unionByName(x.filter(~some).withColumns({c: F.lit(None).cast("string") for c in keys}))
+    # most objects have none of these; a name is looked for before the object is parsed for it
+    got = lambda key: F.when(F.contains("dict", F.lit(f'"{key}"')), _get(key))
+    leaf = F.coalesce(F.contains("dict", F.lit('Page"')) & (_name("Type") == "Page"), F.lit(False))
+    return written(x.select("path", "node", leaf.alias("leaf"), *keys, got("Resources").alias("_resources"), got("Contents").alias("contents"), got("Annots").alias("annots")), "nodes")
+
+
 def page_nodes(objs: DataFrame) -> DataFrame:
     """(path, page, obj, box, crop, turn, resources, contents, annots, error): pages in order, as JSON what they have or inherit.
 
     error is null, but for one row of each file whose page tree enters an object again: of several places of an
     object the first counts, in its level and of all levels. Each level is written once.
     """
-    inherited = list(INHERITED.values())
+    inherited, entries = list(INHERITED.values()), _tree_entries(objs).withColumnsRenamed({"path": "_p", "node": "_o"})
     level = catalog(objs).select("path", _ref("Pages").alias("node"), F.array().cast("array<int>").alias("place"), *[F.lit(None).cast("string").alias(c) for c in inherited], F.lit(False).alias("again"), F.lit(False).alias("met"))
     level, levels = level.filter("node is not null"), []
     while True:
-        x = _resolved(level, "node", objs, "_d").filter("_d is not null")
-        x = followed(x, ["path", "node"], {"_kids": "Kids", "_box": "MediaBox", "_crop": "CropBox", "_turn": "Rotate"}, objs, "_d").withColumn("_resources", _get("Resources", "_d"))
-        x = x.select(
-            "path", "node", "place", "again", "met", *[F.coalesce(f"_{c}", c).alias(c) for c in inherited], _get("Contents", "_d").alias("contents"), _get("Annots", "_d").alias("annots"),
-            F.when((_name("Type", "_d") == "Page") | F.col("met"), None).otherwise(F.from_json("_kids", "array<struct<ref:bigint>>")).alias("kids"),
-        )
+        x = level.join(entries, (F.col("path") == F.col("_p")) & (F.col("node") == F.col("_o")))
+        kids = F.when(F.col("leaf") | F.col("met"), None).otherwise(F.from_json("_kids", "array<struct<ref:bigint>>"))
+        x = x.select("path", "node", "place", "again", "met", *[F.coalesce(f"_{c}", c).alias(c) for c in inherited], "contents", "annots", kids.alias("kids"))
         levels.append(written(x, "tree"))
         if levels[-1].filter("kids is not null").isEmpty():
             break
@@ -165,7 +174,7 @@ def page_annotations(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     p = nodes.filter("annots is not null").select("path", "page", "annots", F.get_json_object("annots", "$.ref").cast("long").alias("list"))
     p = _resolved(p, "list", objs, "_l").select("path", "page", F.posexplode(F.from_json(F.coalesce("_l", "annots"), "array<string>")).alias("at", "entry"))
     p = _resolved(p.withColumn("annot", F.get_json_object("entry", "$.ref").cast("long")), "annot", objs, "_d")
-    return p.select("path", "page", "at", "annot", F.when(F.col("annot").isNull(), F.col("entry")).otherwise(F.col("_d")).alias("dict")).filter("dict is not null")
+    return written(p.select("path", "page", "at", "annot", F.when(F.col("annot").isNull(), F.col("entry")).otherwise(F.col("_d")).alias("dict")).filter("dict is not null"), "annotations")
 
 
 def annotations(of_pages: DataFrame, objs: DataFrame) -> DataFrame:
@@ -177,8 +186,9 @@ def annotations(of_pages: DataFrame, objs: DataFrame) -> DataFrame:
     by = ["path", "page", "at"]
     x = of_pages.filter(F.coalesce(kind, F.lit("")) != "Widget")
     keys = {"_rect": "Rect", "_quads": "QuadPoints", "_c": "C", "_flags": "F", "_contents": "Contents", "_author": "T", "_modified": "M", "_nm": "NM", "_a": "A", "_dest": "Dest"}
-    x = followed(x, by, keys, objs)
+    x = written(followed(x.withColumn("_kind", kind), by, keys, objs).drop("dict"), "notes")
     x = followed(x, by, {"_s": "S", "_uri": "URI", "_d": "D"}, objs, "_a")
+    kind = F.col("_kind")
     c = F.from_json("_c", "array<double>")
     color = F.when(F.size(c) == 3, c).when(F.size(c) == 1, F.array(F.get(c, 0), F.get(c, 0), F.get(c, 0)))
     action = F.when(F.startswith("_s", F.lit("/")), F.regexp_replace("_s", "^/", ""))
@@ -232,7 +242,8 @@ def fonts(objs: DataFrame, nodes: DataFrame) -> DataFrame:
     composite font is its first descendant's.
     """
     used = page_resources(objs, nodes, "Font").groupBy("path", "obj").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    f = followed(_resolved(used, "obj", objs, "dict").filter("dict is not null"), ["path", "obj"], {"_below": "DescendantFonts"}, objs).withColumn("below", F.get_json_object("_below", "$[0].ref").cast("long"))
+    f = written(_resolved(used, "obj", objs, "dict").filter("dict is not null"), "fonts")
+    f = followed(f, ["path", "obj"], {"_below": "DescendantFonts"}, objs).withColumn("below", F.get_json_object("_below", "$[0].ref").cast("long"))
     f = _resolved(f, "below", objs, "_b").withColumn("descriptor", F.coalesce(_ref("FontDescriptor"), _ref("FontDescriptor", "_b")))
     f = _resolved(f, "descriptor", objs, "_d")
     file = F.coalesce(*[F.when(_ref(k, "_d").isNotNull(), F.lit(k)) for k in ("FontFile", "FontFile2", "FontFile3")])
@@ -342,10 +353,11 @@ def signature_counts(found: DataFrame) -> DataFrame:
 
 def attachments(objs: DataFrame) -> DataFrame:
     """(path, obj, name, description, mime, size, checksum, created, modified) of files in the tree of names; size is that of the stream as stored. Any value may be a reference."""
-    names = followed(catalog(objs), ["path"], {"names": "Names"}, objs).select("path", F.coalesce(F.get_json_object("names", "$.EmbeddedFiles"), F.lit("{}")).alias("node"))
+    names = followed(written(catalog(objs), "catalog"), ["path"], {"names": "Names"}, objs).select("path", F.coalesce(F.get_json_object("names", "$.EmbeddedFiles"), F.lit("{}")).alias("node"))
     level, levels = names, []
     while True:
-        x = _resolved(level.withColumn("own", F.get_json_object("node", "$.ref").cast("long")), "own", objs, "_d").withColumn("_d", F.coalesce("_d", "node"))
+        x = _resolved(level.withColumn("own", F.get_json_object("node", "$.ref").cast("long")), "own", objs, "_d").select("path", "node", F.coalesce("_d", "node").alias("_d"))
+        x = written(x, "level")
         levels.append(written(followed(x, ["path", "node"], {"names": "Names", "kids": "Kids"}, objs, "_d").select("path", "node", "names", F.from_json("kids", "array<string>").alias("kids")), "names"))
         if levels[-1].filter("kids is not null").isEmpty():
             break
@@ -354,10 +366,12 @@ def attachments(objs: DataFrame) -> DataFrame:
     pairs = F.from_json("names", "array<string>")
     every = reduce(DataFrame.unionByName, levels).filter("names is not null").select("path", "node", F.posexplode(pairs).alias("at", "key"), F.get(pairs, F.col("at") + 1).alias("spec")).filter("at % 2 = 0")
     s = _resolved(every.withColumn("obj", F.get_json_object("spec", "$.ref").cast("long")), "obj", objs, "_s").withColumn("dict", F.coalesce("_s", "spec"))
+    s = written(s.select("path", "node", "at", "key", "obj", "dict"), "files")
     by = ["path", "node", "at"]
     s = followed(s, by, {"uf": "UF", "f": "F", "description": "Desc", "ef": "EF"}, objs)
     s = s.select(*by, "obj", F.coalesce("uf", "f", "key").alias("name"), "description", F.coalesce(_ref("F", "ef"), _ref("UF", "ef")).alias("file"))
-    f = followed(_resolved(s, "file", objs, "dict", F.col("stream_length").alias("size")), by, {"mime": "Subtype", "params": "Params"}, objs)
+    f = written(_resolved(s, "file", objs, "dict", F.col("stream_length").alias("size")), "embedded")
+    f = followed(f, by, {"mime": "Subtype", "params": "Params"}, objs)
     return f.select("path", "obj", "name", "description", F.regexp_replace("mime", "^/", "").alias("mime"), "size", F.hex(F.encode(_get("CheckSum", "params"), "ISO-8859-1")).alias("checksum"), _get("CreationDate", "params").alias("created"), _get("ModDate", "params").alias("modified"))
 
 
@@ -505,7 +519,8 @@ STREAMS = "path string, obj bigint, data binary, error string"
 
 def streams_of(files: DataFrame, wanted: DataFrame, objs: DataFrame) -> DataFrame:
     """STREAMS: the streams of wanted (path, obj, dict, stream_start, stream_length), each once, decoded; those with an unknown filter or broken bytes as they are, with the reason."""
-    p = followed(wanted.filter("stream_start is not null").dropDuplicates(["path", "obj"]), ["path", "obj"], {"filters": "Filter", "parms": "DecodeParms"}, objs)
+    wanted = written(wanted.filter("stream_start is not null"), "streams")
+    p = followed(wanted.dropDuplicates(["path", "obj"]), ["path", "obj"], {"filters": "Filter", "parms": "DecodeParms"}, objs)
     listed = p.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("stream_start").alias("start"), F.col("stream_length").alias("length"), "obj", "filters", "parms"))).alias("streams"))
 
     def value(told: str | None):

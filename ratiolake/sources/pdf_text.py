@@ -168,7 +168,7 @@ def shown_codes(strings: DataFrame, objs: DataFrame, nodes: DataFrame) -> DataFr
     """
     used = rep._resolved(rep.page_resources(objs, nodes, "Font"), "obj", objs, "dict")
     used = used.select("path", "page", F.col("name").alias("font"), F.col("obj").alias("font_obj"), rep._ref("ToUnicode").alias("cmap"), F.when(rep._name("Subtype") == "Type0", 2).otherwise(1).alias("width"))
-    x = strings.join(used.hint("merge"), ["path", "page", "font"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
+    x = written(strings, "strings").join(written(used, "used").hint("merge"), ["path", "page", "font"], "left").withColumn("width", F.coalesce("width", F.lit(1)))
     count = F.floor(F.octet_length("codes") / F.col("width")).cast("int")
     x = x.withColumn("i", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     code = F.conv(F.hex(F.expr("substring(codes, i * width + 1, width)")), 16, 10).cast("long")

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ratiolake.operators.relational import offsets
 from ratiolake.sources import pdf_objects as po
 from ratiolake.sources import pdf_reports as rep
-from ratiolake.tables import before_each_range, ranged, united, written
+from ratiolake.tables import before_each_range, ranged, united, written, written_any
 
 #: Numbers of an output's own objects; the page tree node of its source i is NODES + i.
 CATALOG, ROOT, INFO, NODES = 1, 2, 3, 4
@@ -80,10 +80,12 @@ def reached(roots: DataFrame, of: DataFrame, cut: DataFrame | None = None) -> Da
     if cut is not None:
         edges = edges.join(cut.select(F.col("path").alias("_p"), F.col("obj").alias("_b")).distinct(), ["_p", "_b"], "left_anti")
     edges = written(edges.join(of.select(F.col("path").alias("_p"), F.col("obj").alias("_b")), ["_p", "_b"], "left_semi"), "edges")
-    found = [written(roots.select("out", "idx", "path", "obj").distinct(), "reached")]
-    while not found[-1].isEmpty():
+    last, some = written_any(roots.select("out", "idx", "path", "obj").distinct(), "reached")
+    found = [last]
+    while some:
         step = found[-1].join(edges, (F.col("path") == F.col("_p")) & (F.col("obj") == F.col("_a"))).select("out", "idx", "path", F.col("_b").alias("obj")).distinct()
-        found.append(written(step.join(united(found), ["out", "idx", "path", "obj"], "left_anti"), "reached"))
+        last, some = written_any(step.join(united(found), ["out", "idx", "path", "obj"], "left_anti"), "reached")
+        found.append(last)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -101,7 +103,8 @@ def serialised(numbers: DataFrame, of: DataFrame, tails: DataFrame | None = None
     x = numbers.join(of, ["path", "obj"])
     to = numbers.select("out", "idx", F.col("obj").alias("_ref"), F.col("number").alias("_to"))
     asked = x.select("out", "idx", "obj", F.explode("refs").alias("_ref")).join(to, ["out", "idx", "_ref"])
-    x = x.join(asked.groupBy("out", "idx", "obj").agg(F.collect_list(F.struct("_ref", "_to")).alias("new")).hint("merge"), ["out", "idx", "obj"], "left")
+    new = written(asked.groupBy("out", "idx", "obj").agg(F.collect_list(F.struct("_ref", "_to")).alias("new")), "references")
+    x = x.join(new, ["out", "idx", "obj"], "left")
     x = x.withColumn("tail", F.lit(None).cast("string")) if tails is None else x.join(tails.hint("merge"), ["out", "idx", "obj"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +132,7 @@ def chunks(objects: DataFrame, ends: DataFrame) -> DataFrame:
     placed = x.select("out", "number", "size", "_range", F.sum("size").over(w).alias("_upto")).join(before, (F.col("out") == F.col("_g")) & (F.col("_range") == F.col("_r")))
     entry = F.concat(F.lpad((F.lit(len(HEADER)) + F.col("_before") + F.col("_upto") - F.col("size")).cast("string"), 10, "0"), F.lit(" 00000 n \n"))
     lines = placed.select("out", "_range", F.struct("number", entry.alias("entry")).alias("e")).groupBy("out", "_range").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "").alias("text"))
-    totals = x.groupBy("out").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(ends.hint("merge"), "out")
+    totals = written(x.groupBy("out").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(ends.hint("merge"), "out"), "totals")
     text = lambda *some: F.concat(*[F.lit(s) if isinstance(s, str) else s.cast("string") for s in some])
     as_bytes = lambda c: F.encode(c, "ISO-8859-1")
     head = text("xref\n0 ", F.col("n") + 1, "\n0000000000 65535 f \n")
@@ -177,12 +180,12 @@ def of_pages(files: DataFrame, objs: DataFrame, nodes: DataFrame, wanted: DataFr
     pages = written(wanted.join(nodes.filter("page is not null").select("path", "page", "obj"), ["path", "page"]), "wanted")
     members = reached(pages, of, tree_nodes(objs, nodes))
     sources = pages.groupBy("out", "idx").agg(F.count("*").alias("n"))
-    per_out = pages.groupBy("out").agg(F.max("idx").alias("last"), F.count("*").alias("n"))
+    per_out = written(pages.groupBy("out").agg(F.max("idx").alias("last"), F.count("*").alias("n")), "outputs")
     numbers = numbered(members, per_out.select("out", (F.col("last") + NODES).alias("reserved")))
     tails = pages.select("out", "idx", "obj", F.concat(F.lit("/Parent "), (F.col("idx") + NODES).cast("string"), F.lit(" 0 R")).alias("tail"))
     text = lambda *some: F.encode(F.concat(*[F.lit(s) if isinstance(s, str) else s.cast("string") for s in some]), "UTF-8")
     own = lambda of, number, *body: of.select("out", number.cast("long").alias("number"), text(number, " 0 obj\n", *body, "\nendobj\n").alias("data"))
-    at = numbers.join(pages.select("out", "idx", "obj", "to"), ["out", "idx", "obj"]).groupBy("out", "idx").agg(F.array_sort(F.collect_list(F.struct("to", "number"))).alias("kids"))
+    at = written(numbers.join(pages.select("out", "idx", "obj", "to"), ["out", "idx", "obj"]).groupBy("out", "idx").agg(F.array_sort(F.collect_list(F.struct("to", "number"))).alias("kids")), "kids")
     kids = lambda c: F.array_join(F.transform(c, lambda k: F.concat(k.cast("string"), F.lit(" 0 R"))), " ")
     some = [
         serialised(numbers, of, tails),
@@ -276,9 +279,9 @@ def split_report(some: DataFrame, plan: DataFrame) -> DataFrame:
 def kept_catalog(files: DataFrame, objs: DataFrame, edits: DataFrame, info: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, parts' numbers) of files (path, content) after edits: what their catalogue reaches then, with the information (out, info) given."""
     of = parts(files, edits, more)
-    roots = rep.catalog(objs).filter("root is not null").select(F.col("path").alias("out"), F.lit(0).alias("idx"), "path", F.col("root").alias("obj"))
+    roots = written(rep.catalog(objs).filter("root is not null").select(F.col("path").alias("out"), F.lit(0).alias("idx"), "path", F.col("root").alias("obj")), "roots")
     numbers = numbered(reached(roots, of), roots.select("out", F.lit(1).alias("reserved")))
-    ends = numbers.join(roots.hint("merge"), ["out", "idx", "path", "obj"]).select("out", F.col("number").alias("root"), F.lit(1).alias("info"))
+    ends = written(numbers.join(roots.hint("merge"), ["out", "idx", "path", "obj"]).select("out", F.col("number").alias("root"), F.lit(1).alias("info")), "ends")
     own = ends.select("out").join(info.hint("merge"), "out", "left").select("out", F.lit(1).cast("long").alias("number"), F.encode(F.concat(F.lit("1 0 obj\n"), F.coalesce("info", F.lit("<< >>")), F.lit("\nendobj\n")), "UTF-8").alias("data"))
     return chunks(serialised(numbers, of).unionByName(own), ends), numbers
 

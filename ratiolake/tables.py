@@ -37,8 +37,13 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts lineage, is computed once, and survives lost executors. Rows of more than BROADCAST bytes are joined by sorting."""
+    return written_any(df, name)[0]
+
+
+def written_any(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """`written`, and whether it has rows, which is known without another job."""
     back, size = _stored(df, name)
-    return back.hint("merge") if size > BROADCAST else back
+    return back.hint("merge") if size > BROADCAST else back, size > 0
 
 
 def _weight(c: Column, kind: T.DataType) -> Column:

@@ -82,3 +82,17 @@ def test_queries_make_what_they_need_and_broadcast_nothing(spark, sf, monkeypatc
     assert not [p for p in plans if "Broadcast" in p]
     later = made[made.index("again") :] if "again" in made else made
     assert later and not UNREAD.get(name, set()) & set(later)
+
+
+@pytest.mark.parametrize("name", ["a06_link_counts", "j20_flatten"])
+def test_plans_of_pdf_queries_stay_small(spark, sf, monkeypatch, name):
+    """The driver holds a plan, and plans it anew after each of its stages; what a plan reads twice is in it twice."""
+    joins, before = {}, tables._stored
+
+    def count(df, step):
+        joins[step] = max(joins.get(step, 0), sum(line.strip(" :+-").startswith("Join") for line in plan(df).splitlines()))
+
+    monkeypatch.setattr(tables, "_stored", lambda df, step: count(df, step) or before(df, step))
+    count(registry.QUERIES[name](spark, sf), "result")
+    assert max(joins.values()) <= 10, joins
+    assert joins["tree"] <= 2, joins
